@@ -3,14 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parallaxis.llm import packing, storage, token_counts, tokens
+from parallaxis.llm import chat, decontaminate, line_dedup, multi_index, packing, pii, storage, token_counts, tokens, toxicity, warc
+
+
+def op1_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(storage.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(storage.table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(storage.table(spark, sf_dir, "documents")))
+
+
+def op4_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = storage.table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, storage.table(spark, sf_dir, "labels"), seen=toxicity.in_fold(F.col("doc_id")) != 2)
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (toxicity.in_fold(F.col("doc_id")) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "n_sentences",
+        F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("offending"),
+    )
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(storage.table(spark, sf_dir, "documents"), storage.table(spark, sf_dir, "benchmark"))
 
 
 def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(storage.table(spark, sf_dir, "documents"))
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.round_trip(storage.table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "payload_intact")
+
+
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = storage.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.windows(turns))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = storage.table(spark, sf_dir, "documents")
     ledger = token_counts.TokenLedger(spark, storage.scratch(spark, "ledger"))
@@ -20,7 +63,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_multi_index_search": op1_multi_index_search,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_pii_spans": op3_pii_spans,
+    "op4_toxicity_scores": op4_toxicity_scores,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_sequence_packing": op6_sequence_packing,
+    "op7_warc_index": op7_warc_index,
+    "op8_chat_windows": op8_chat_windows,
     "op10_token_counts": op10_token_counts,
 }
 
