@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm import chat, decontaminate, line_dedup, multi_index, packing, pii, storage, token_counts, tokens, toxicity, warc
+from parallaxis.llm import chat, decontaminate, jaccard_join, line_dedup, multi_index, packing, pii, storage, token_counts, tokens, toxicity, warc
 
 
 def op1_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +49,15 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = storage.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.windows(turns))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(storage.table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = storage.table(spark, sf_dir, "documents")
     ledger = token_counts.TokenLedger(spark, storage.scratch(spark, "ledger"))
@@ -71,6 +75,7 @@ QUERIES = {
     "op6_sequence_packing": op6_sequence_packing,
     "op7_warc_index": op7_warc_index,
     "op8_chat_windows": op8_chat_windows,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_token_counts": op10_token_counts,
 }
 
