@@ -120,68 +120,87 @@ class _Block:
             self.hashes, self.owner, self.place = h[order], np.concatenate(owner)[order], np.concatenate(place)[order]
 
 
+def _covered(block: _Block, text: str | None, seed: int, coverage: float) -> list[tuple[int, float, int, int]]:
+    """(item_id, coverage, tiles, longest tile) of the block's items that a text covers enough of."""
+    get = block.vocabulary.get
+    ids = np.array([get(w, 0) for w in WORD.findall((text or "").lower())], np.int64)
+    if len(ids) < seed:
+        return []
+    full = ids != 0
+    at = np.flatnonzero(np.logical_and.reduce([full[k : len(ids) - seed + 1 + k] for k in range(seed)]))
+    if not len(at):
+        return []
+    h = _window_hashes(ids, seed)[at]
+    low, high = np.searchsorted(block.hashes, h, "left"), np.searchsorted(block.hashes, h, "right")
+    n = high - low
+    if not n.any():
+        return []
+    entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    owner, place, where = block.owner[entry], block.place[entry], np.repeat(at, n)
+    order = np.argsort(owner, kind="stable")
+    found = []
+    for own in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
+        item_id, item = block.items[owner[own[0]]]
+        bound, shared = np.zeros(len(item), bool), np.zeros(len(ids), bool)
+        for k in range(seed):
+            bound[place[own] + k] = True
+            shared[where[own] + k] = True
+        if bound.sum() < coverage * len(item):
+            continue
+        # only words under a seed can be in a tile; a gap is one mark that matches nothing
+        spots = np.flatnonzero(shared)
+        part = np.insert(ids[spots], np.flatnonzero(np.diff(spots) > 1) + 1, -1).tolist()
+        tiles = tile(item, part, seed)
+        words = sum(k for _, _, k in tiles)
+        if words >= coverage * len(item):
+            found.append((item_id, words / len(item), len(tiles), max(k for _, _, k in tiles)))
+    return found
+
+
 def _match(block: _Block, seed: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = block.vocabulary.get
-        distinct = np.unique(block.hashes)
         for batch in batches:
-            out: list[tuple] = []
-            docs = batch.column(0).to_pylist()
+            docs, out = batch.column(0).to_pylist(), []
             for at in range(0, batch.num_rows, 512):
                 for doc_id, text in zip(docs[at : at + 512], batch.column(1).slice(at, 512).to_pylist()):
-                    ids = np.array([get(w, 0) for w in WORD.findall((text or "").lower())], np.int64)
-                    if len(ids) < seed:
-                        continue
-                    h = _window_hashes(ids, seed)
-                    full = ids != 0
-                    h_at = np.flatnonzero(np.logical_and.reduce([full[k : len(ids) - seed + 1 + k] for k in range(seed)]))
-                    h = h[h_at]
-                    near = np.minimum(np.searchsorted(distinct, h), len(distinct) - 1)
-                    hit = distinct[near] == h
-                    if not hit.any():
-                        continue
-                    h, h_at = h[hit], h_at[hit]
-                    low, high = np.searchsorted(block.hashes, h, "left"), np.searchsorted(block.hashes, h, "right")
-                    n = high - low
-                    entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    owner, place, where = block.owner[entry], block.place[entry], np.repeat(h_at, n)
-                    order = np.argsort(owner, kind="stable")
-                    cuts = np.flatnonzero(np.diff(owner[order])) + 1
-                    for own in np.split(order, cuts):
-                        item_id, item = block.items[owner[own[0]]]
-                        bound = np.zeros(len(item), bool)
-                        covered = np.zeros(len(ids), bool)
-                        for k in range(seed):
-                            bound[place[own] + k] = True
-                            covered[where[own] + k] = True
-                        if bound.sum() < coverage * len(item):
-                            continue
-                        # only words under a seed can be in a tile; a gap is one mark that matches nothing
-                        spots = np.flatnonzero(covered)
-                        gap = np.flatnonzero(np.diff(spots) > 1) + 1
-                        part = np.insert(ids[spots], gap, -1).tolist()
-                        tiles = tile(item, part, seed)
-                        words = sum(k for _, _, k in tiles)
-                        if words >= coverage * len(item):
-                            out.append((doc_id, item_id, words / len(item), len(tiles), max(k for _, _, k in tiles)))
+                    out += [(doc_id, *f) for f in _covered(block, text, seed, coverage)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "coverage", "n_tiles", "longest"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, coverage, n_tiles, longest) for pairs of which tiles cover ``coverage`` of the item's words."""
+def _blocks(benchmark: DataFrame, seed: int, block_chars: int) -> Iterator[_Block]:
     items = benchmark.select("item_id", "text").filter("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    found: DataFrame | None = None
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         block = _Block([(r.item_id, r.text) for r in rows], seed)
-        if not block.items:
-            continue
-        own = docs.select("doc_id", "text").mapInArrow(_match(block, seed, coverage), "doc_id long, item_id long, coverage double, n_tiles long, longest long")
+        if block.items:
+            yield block
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, item_id, coverage, n_tiles, longest) for pairs of which tiles cover ``coverage`` of the item's words."""
+    schema = "doc_id long, item_id long, coverage double, n_tiles long, longest long"
+    found: DataFrame | None = None
+    for block in _blocks(benchmark, seed, block_chars):
+        own = docs.select("doc_id", "text").mapInArrow(_match(block, seed, coverage), schema)
         found = own if found is None else found.unionByName(own)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, n_tiles long, longest long")
-    return found
+    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs``, all columns, without the rows that ``contaminated`` would name; a map, whatever their number."""
+    for block in _blocks(benchmark, seed, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], block: _Block = block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                text = batch.column(batch.schema.get_field_index("text"))
+                keep = []
+                for at in range(0, batch.num_rows, 512):
+                    keep += [not _covered(block, t, seed, coverage) for t in text.slice(at, 512).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallaxis.llm import chat, decontaminate, jaccard_join, line_dedup, multi_index, packing, pii, storage, token_counts, tokens, toxicity, warc
+from parallaxis.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +79,3 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_token_counts": op10_token_counts,
 }
-
-ORACLE_SQL: dict[str, str] = {}

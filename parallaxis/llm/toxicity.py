@@ -2,7 +2,7 @@
 
 A sentence scores ``p = sigmoid(bias + sum of its words' weights)`` and a document ``1 - prod(1 - p)``. Labels say
 only whether some sentence is toxic; the likelihood of the noisy-or puts the blame on the sentences that toxic
-documents have and clean ones lack. A word's features are the word and its leading 3 to 6 letters, so that inflected
+documents have and clean ones lack. A word's features are the word and its leading 3 to 8 letters, so that inflected
 and compounded forms share weights.
 
 Fitting takes a bounded sample of labelled documents (``sample`` of each class, by hash of the id): its ids, at most
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Labelled documents of each class, and candidate features, that fitting takes at most.
 SAMPLE, FEATURES = 6000, 8192
 THRESHOLD = 0.3
