@@ -53,29 +53,40 @@ def source_candidates(pairs: DataFrame) -> DataFrame:
     return scored.filter((F.col("shared") > 0) & (F.col("score") > 0))
 
 
-def floor_index(values: Column, fraction: float) -> Column:
-    """Element at floor(n * fraction) of a sorted array, at most the last."""
-    n = F.size(values)
-    return F.get(values, F.least(F.floor(n * fraction).cast("int"), n - 1))
+def ordered(frame: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, place, n): each value's place, from 0, in its key's order, and how many the key has.
+
+    A ranking window sorts and spills; no key's values are gathered into one row.
+    """
+    own = frame.select(key, value).filter(F.col(value).isNotNull())
+    place = F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1
+    return own.withColumn("place", place).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+
+
+def _at(place: Column, value: str) -> Column:
+    return F.max(F.when(F.col("place") == place, F.col(value)))
 
 
 def depth_range(depths: DataFrame, key: str, depth: str) -> DataFrame:
     """Per key, widened low and high percentiles by floor index of the sorted depths."""
-    listed = depths.groupBy(key).agg(F.sort_array(F.collect_list(depth)).alias("d"), F.avg(depth).alias("mean"))
-    few = F.size("d") < 2
-    return listed.select(
+    low = F.floor(F.col("n") * LOW)
+    high = F.least(F.floor(F.col("n") * HIGH), F.col("n") - 1)
+    found = ordered(depths, key, depth).groupBy(key).agg(F.max("n").alias("n"), F.avg(depth).alias("mean"), _at(low, depth).alias("low"), _at(high, depth).alias("high"))
+    few = F.col("n") < 2
+    return found.select(
         key,
-        F.when(few, F.col("mean") * FEW_LOW).otherwise(floor_index(F.col("d"), LOW) * LOW_MARGIN).alias("depth_min"),
-        F.when(few, F.col("mean") * FEW_HIGH).otherwise(floor_index(F.col("d"), HIGH) * HIGH_MARGIN).alias("depth_max"),
+        F.when(few, F.col("mean") * FEW_LOW).otherwise(F.col("low") * LOW_MARGIN).alias("depth_min"),
+        F.when(few, F.col("mean") * FEW_HIGH).otherwise(F.col("high") * HIGH_MARGIN).alias("depth_max"),
     )
 
 
-def upper_median(values: Column) -> Column:
-    """sorted[n / 2], the upper one of two middle values."""
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def upper_median(frame: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median): sorted[n / 2], the upper one of two middle values."""
+    return ordered(frame, key, value).groupBy(key).agg(_at(F.floor(F.col("n") / 2), value).alias("median"))
 
 
-def lowest_mean(costs: Column, k: int = 3) -> Column:
-    """Mean of the k lowest of an array, or of all if there are fewer; 2.0 for an empty one."""
-    low = F.slice(F.array_sort(costs), 1, k)
-    return F.when(F.size(costs) == 0, 2.0).otherwise(V.total(low) / F.size(low))
+def lowest_mean(frame: DataFrame, key: str, value: str, k: int = 3) -> DataFrame:
+    """(key, cost): mean of the k lowest, or of all if there are fewer."""
+    low = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    kept = frame.select(key, value).filter(F.col(value).isNotNull()).withColumn("rn", low).filter(F.col("rn") <= k)
+    return kept.groupBy(key).agg(F.avg(value).alias("cost"))

@@ -242,8 +242,8 @@ def inlier_count(spark, sf_dir):
 
 @query("median_upper", "select l_suppkey image_id, list_sort(list(l_extendedprice))[(len(list(l_extendedprice)) // 2)::int + 1] median from lineitem group by all")
 def median_upper(spark, sf_dir):
-    listed = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("image_id")).agg(F.sort_array(F.collect_list("l_extendedprice")).alias("d"))
-    return listed.select("image_id", views.upper_median(F.col("d")).alias("median"))
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image_id"), "l_extendedprice")
+    return views.upper_median(own, "image_id", "l_extendedprice")
 
 
 @query("depth_percentiles", """with d as (select l_suppkey image_id, list_sort(list(l_extendedprice)) d, avg(l_extendedprice) mean from lineitem group by all)
@@ -285,8 +285,7 @@ def baseline_score(spark, sf_dir):
 
 @query("topk_cost_mean", "select user_id, round(list_sum(list_sort(list(value))[1:3]) / least(3, count(value)), 6) cost from events where value is not null group by all")
 def topk_cost_mean(spark, sf_dir):
-    listed = table(spark, sf_dir, "events").filter("value is not null").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return listed.select("user_id", F.round(views.lowest_mean(F.col("v")), 6).alias("cost"))
+    return views.lowest_mean(table(spark, sf_dir, "events"), "user_id", "value").withColumn("cost", F.round("cost", 6))
 
 
 @query("best_hypothesis", "select user_id, min(event_id) filter (where value = lowest) event_id, any_value(lowest) cost from (select *, min(value) over (partition by user_id) lowest from events) group by user_id")
