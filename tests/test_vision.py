@@ -211,3 +211,34 @@ def test_patchmatch_on_a_slanted_plane(spark):
     jobs = spark.createDataFrame([(3, w, h, 1.2, 3.5, [pack(ref), pack(others[0][0])]), (4, w, h, 1.2, 3.5, [pack(ref)])], "image_id long, width int, height int, low double, high double, views array<struct<gray:binary,k:array<double>,r:array<double>,t:array<double>>>")
     got = mvs.depth_maps(jobs, iterations=1, radius=2)
     assert got.groupBy("image_id").agg(F.count("*").alias("n")).collect() == [(3, h * w)]
+
+
+def test_reconstruction_recovers_the_ring(spark):
+    from parallaxis.operators import sfm
+    from parallaxis.plans import solvers
+
+    got = {r.image_id: (np.reshape(r.R, (3, 3)), np.array(r.t)) for r in solvers.sfm_run(spark, "").collect()}
+    truth = {r.image_id: (np.array([r[c] for c in geometry.R]).reshape(3, 3), np.array([r[c] for c in geometry.T])) for r in synthetic.ring_cameras(spark).collect()}
+    assert set(got) == set(range(12))
+    a = np.array([-r.T @ t for r, t in (got[i] for i in range(12))])
+    b = np.array([-r.T @ t for r, t in (truth[i] for i in range(12))])
+    s, q, t = epipolar.umeyama(a, b)
+    assert np.linalg.norm(s * a @ q.T + t - b, axis=1).max() < 0.05 * 0.5
+    for i in range(12):
+        cos = (np.trace(got[i][0] @ q.T @ truth[i][0].T) - 1) / 2
+        assert np.degrees(np.arccos(np.clip(cos, -1, 1))) < 2
+    assert np.allclose(np.linalg.norm(sfm.on_circle(b + 0.001 * np.sin(np.arange(36).reshape(12, 3))) - b, axis=1), 0, atol=0.003)
+    assert (sfm.on_circle(b[:3]) == b[:3]).all() and sfm.reconstruct({0: b[:, :2]}, {}, np.eye(3)).poses == {}
+
+
+def test_solver_queries_against_the_scene(spark):
+    from parallaxis.plans import solvers
+
+    vertex = {r.v_id: np.array([r.x, r.y, r.z]) for r in synthetic.sphere_vertices(spark).collect()}
+    found = solvers.triangulate(spark, "").collect()
+    assert len(found) == 247 and all(r.ok and np.linalg.norm(vertex[r.point_id] - [r.x, r.y, r.z]) < 1e-4 for r in found)
+    assert all(np.linalg.norm(vertex[r.point_id] - [r.x, r.y, r.z]) < 1e-4 for r in solvers.bundle_adjust(spark, "").collect())
+    pairs = solvers.fundamental_ransac(spark, "").collect()
+    assert {(r.image_i, r.image_j) for r in pairs} == {(i, i + 1) for i in range(35)} and all(r.kp_i == r.kp_j for r in pairs)
+    near = solvers.mvs_run(spark, "").filter("y between 14 and 22 and x between 18 and 30").collect()
+    assert np.mean([0.19 <= r.depth <= 0.24 for r in near]) > 0.8
