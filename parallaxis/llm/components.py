@@ -30,6 +30,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges are allowed; no edges give an empty result.
     """
     edges = storage.materialize(edges.filter("u <> v").distinct(), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     state = None
     for _ in range(rounds):
         edges = storage.materialize(_star(_star(edges, True), False), "edges")

@@ -11,13 +11,16 @@ too; if those would exceed ``COMBINED`` shingles it is dense, indexes its freque
 whoever else has them there. The classes only steer how selective signatures are: frequent shingles are the (at most)
 ``FREQUENT_KEPT`` most common of those that more than ``FREQUENT`` sets hold near the front. Any choice loses nothing.
 
-Candidates, in two rounds. First, every set is compared with the leader of each of the three groups that share its
-first shingles, which settles groups of near copies without their pairs. Then all sets that share a signature are
-compared unless they are in one component already, or their sizes or places in the order rule a link out. Pairs are
-verified on whole sets, dealt out by the leading set in blocks of ``BLOCK``.
+Candidates, in three rounds. First, every set is compared with the leader of each of the groups that share one of its
+first ``STARS`` shingles; then, across components only, with a few chance neighbours in the groups of its first
+``CHAINED``. That settles groups of near copies without their pairs. Last, all sets that share a signature are compared
+unless they are in one component already, or their sizes, their places in the order or their digests rule a link out. A digest is a parity bitmap: two of them differ in no more bits than their sets in shingles. Larger bitmaps
+thin the pairs again, and the others are verified on whole sets, in groups dealt out by the leading set in blocks of
+``BLOCK``.
 
 Signatures travel as packed arrays by signature range, about ``RANGE_ENTRIES`` entries in each. Copies of a set
-collapse wherever they meet. Nothing that grows with the corpus is broadcast or collected.
+collapse wherever they meet. Before a join, rows are thinned by a semi-join on the id's hash modulo ``BUCKETS``, whose
+broadcast side has at most that many numbers; nothing that grows with the corpus is broadcast or collected.
 
 Edge cases: null and empty texts have no shingles and are alone; texts shorter than a shingle are one shingle; a null
 doc_id is never a component_id unless all of its component are null; repeated rows are rows of their own in one
@@ -27,7 +30,8 @@ component; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -41,11 +45,14 @@ from parallaxis.llm.components import components
 
 K = 2
 #: A shingle is frequent if more sets than this hold it near the front; at most FREQUENT_KEPT are (4 bytes each, broadcast).
-FREQUENT, FREQUENT_KEPT = 64, 500_000
+FREQUENT, FREQUENT_KEPT = 32, 1_000_000
 #: Frequent shingles of a set whose combinations are indexed at most.
 COMBINED = 40
-RANGE_ENTRIES, BLOCK, STARS = 1_000_000, 256, 3
-CACHED_WORDS = 500_000
+RANGE_ENTRIES, BLOCK, STARS, CHAINED = 800_000, 256, 3, 10
+CACHED_WORDS = 300_000
+BUCKETS = 1 << 20
+#: 64-bit words of the parity bitmap that travels with every signature's owner.
+DIGEST_WORDS = 4
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -111,7 +118,7 @@ def _scan(words: int, num: int, den: int, ranges: int):
                 sizes.append(len(s))
                 if len(s) > 1 and keys[-1] not in seen:
                     seen.add(keys[-1])
-                    fronts.append((s[: 2 * (len(s) - need(len(s), num, den)) + 8] >> _U(32)).astype(np.uint32))
+                    fronts.append((s[: len(s) - need(len(s), num, den) + 8] >> _U(32)).astype(np.uint32))
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_SCAN)
             if fronts:
@@ -133,15 +140,58 @@ def _frequent(table: pa.Table, more_than: int) -> pa.Table:
     return pa.table({"half": pa.array(values[keep].astype(np.int64)), "sets": pa.array(counts[keep].astype(np.int64))})
 
 
+class FrequentClass:
+    """Which shingles are frequent, by the upper halves of their hashes; a bit for each upper quarter spares look-ups."""
+
+    def __init__(self, halves: np.ndarray):
+        self.halves = np.sort(halves.astype(np.uint32))
+        self.quarters = np.zeros(1 << 24, bool)
+        self.quarters[self.halves >> np.uint32(8)] = True
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        half = (s >> _U(32)).astype(np.uint32)
+        out = self.quarters[half >> np.uint32(8)]
+        if out.any():
+            near = np.searchsorted(self.halves, half[out])
+            out[out] = self.halves[np.minimum(near, len(self.halves) - 1)] == half[out]
+        return out
+
+
+@lru_cache(maxsize=2)
+def _class_of(halves: bytes) -> FrequentClass:
+    """One for each worker: what is sent to it are the sorted halves alone."""
+    return FrequentClass(np.frombuffer(halves, np.uint32))
+
+
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Bit b is the parity of the shingles whose hash is b modulo the bitmap's length, at least twice the set's size."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def digest(s: np.ndarray) -> bytes:
+    """A parity bitmap of DIGEST_WORDS words, whatever the set's size."""
+    bits = 64 * DIGEST_WORDS
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def bitmap_difference(a: bytes, b: bytes) -> int:
+    """At most the number of shingles that are in one set only: the longer bitmap is folded to the shorter's length."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 SINGLE, MEETS_DENSE, DENSE = 0, 1, 2
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(s: np.ndarray, frequent: FrequentClass, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A set's signatures, the places of their first shingles in the set's order, and their kinds."""
     n = len(s)
     if n < 2:  # equal sets are one class, and no other set links to a single shingle
         return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
-    common = np.isin((s >> _U(32)).astype(np.uint32), frequent, assume_unique=False) if len(frequent) else np.zeros(n, bool)
+    common = frequent(s)
     ordered = np.concatenate([s[~common], s[common]])
     rare, least = n - int(common.sum()), need(n, num, den)
     front = n - least + 1
@@ -162,83 +212,110 @@ def signatures(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple
     return np.concatenate(out), np.concatenate(at), np.concatenate(kind)
 
 
-_ENTRY = np.dtype([("sig", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("kind", "u1")])
-_OWNER = np.dtype([("key", "<i8"), ("label", "<i8"), ("n", "<u4")])
+#: A signature in flight: its owner's number in the batch, and its place (at most 16383) times 4 plus its kind.
+_ENTRY = np.dtype([("sig", "<u8"), ("doc", "<u2"), ("at_kind", "<u2")])
+_OWNER = np.dtype([("key", "<i8"), ("label", "<i8"), ("n", "<u4"), ("bits", "<u8", DIGEST_WORDS)])
+_STORED = np.dtype([("sig", "<u8"), ("at_kind", "<u2")])
+LAST_PLACE = (1 << 14) - 1
 
 
-def _sign(words: int, num: int, den: int, frequent: np.ndarray):
-    """(key, n, packed signatures) of each text, once for each set in a batch."""
+def _sign(words: int, num: int, den: int, halves: bytes):
+    """(key, n, packed signatures, parity bitmap) of each text, once for each set in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _class_of(halves)
         for _, texts in _batches(batches):
-            keys, sizes, packed = [], [], []
+            keys, sizes, packed, maps, digests = [], [], [], [], []
             seen = set()
             for text in texts:
                 s = shingles(text, words)
-                key = set_key(s)
-                if len(s) < 2 or key in seen:
+                if len(s) < 2 or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
                 sig, at, kind = signatures(s, frequent, num, den)
-                entry = np.zeros(len(sig), _ENTRY)
-                entry["sig"], entry["at"], entry["kind"] = sig, at, kind
+                entry = np.zeros(len(sig), _STORED)
+                entry["sig"], entry["at_kind"] = sig, np.minimum(at, LAST_PLACE) * 4 + kind
                 keys.append(key)
                 sizes.append(len(s))
-                packed.append(entry[["sig", "at", "kind"]].astype(_STORED).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["key", "n", "sigs"])
+                packed.append(entry.tobytes())
+                maps.append(parity_bitmap(s))
+                digests.append(digest(s))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.array(maps, pa.binary()), pa.array(digests, pa.binary())], names=["key", "n", "sigs", "bitmap", "digest"])
 
     return run
 
 
-_STORED = np.dtype([("sig", "<u8"), ("at", "<u4"), ("kind", "u1")])
-
-
 def _deal(ranges: int, first: int | None):
     """Packs the signatures of (key, n, sigs, label) rows by range; with ``first``, only that many of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=_U)
         for b in batches:
-            for start in range(0, b.num_rows, 4096):
-                part = b.slice(start, 4096)
+            for start in range(0, b.num_rows, 8192):
+                part = b.slice(start, 8192)
                 owners = np.zeros(part.num_rows, _OWNER)
                 owners["key"], owners["n"], owners["label"] = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "label"))
+                owners["bits"] = np.frombuffer(b"".join(part.column("digest").to_pylist()), "<u8").reshape(-1, DIGEST_WORDS)
                 stored = [np.frombuffer(x, _STORED)[:first] for x in part.column("sigs").to_pylist()]
                 entries = np.zeros(sum(map(len, stored)), _ENTRY)
                 if not len(entries):
                     continue
                 whole = np.concatenate(stored)
-                for c in ("sig", "at", "kind"):
-                    entries[c] = whole[c]
-                entries["doc"] = np.repeat(np.arange(len(stored), dtype=np.uint32), [len(x) for x in stored])
+                entries["sig"], entries["at_kind"] = whole["sig"], whole["at_kind"]
+                entries["doc"] = np.repeat(np.arange(len(stored), dtype=np.uint16), [len(x) for x in stored])
                 entries = entries[np.argsort(entries["sig"], kind="stable")]
-                edges = np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=object)
-                cut = [0, *(np.searchsorted(entries["sig"], np.array(edges, dtype=_U)) if ranges > 1 else []), len(entries)]
+                cut = [0, *np.searchsorted(entries["sig"], edges), len(entries)]
                 rows = []
                 for r, (a, z) in enumerate(zip(cut, cut[1:])):
                     if z > a:
                         own = entries[a:z].copy()
                         used, own["doc"] = np.unique(own["doc"], return_inverse=True)
-                        rows.append((r, owners[used].tobytes(), own.tobytes()))
+                        # field by field, which compresses better than entry by entry
+                        rows.append((r, owners[used].tobytes(), b"".join(own[c].tobytes() for c in ("sig", "doc", "at_kind"))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["span", "owners", "entries"])
 
     return run
 
 
-def _gather(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Key, label, size, place and kind of a range's entries in order of signature, copies collapsed; run bounds."""
-    columns = []
-    for owners, entries in zip(table["owners"].to_pylist(), table["entries"].to_pylist()):
-        o, e = np.frombuffer(owners, _OWNER), np.frombuffer(entries, _ENTRY)
-        own = o[e["doc"]]
-        columns.append((e["sig"], own["key"], own["label"], own["n"].astype(np.int64), e["at"].astype(np.int64), e["kind"]))
-    sig, key, label, n, at, kind = (np.concatenate(c) for c in zip(*columns))
-    order = np.lexsort((key, sig))
-    sig, key, label, n, at, kind = (c[order] for c in (sig, key, label, n, at, kind))
-    first = np.ones(len(sig), bool)
-    first[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    sig, key, label, n, at, kind = (c[first] for c in (sig, key, label, n, at, kind))
+@dataclass
+class _Range:
+    """A range's entries in order of signature with copies collapsed: for each the number of its set, place and kind."""
+
+    own: np.ndarray
+    at: np.ndarray
+    kind: np.ndarray
+    bounds: np.ndarray
+    keys: np.ndarray
+    labels: np.ndarray
+    sizes: np.ndarray
+    bits: np.ndarray
+
+    def near(self, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Whether digests differ in no more bits than linked sets of these sizes differ in shingles."""
+        apart = np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(-1, dtype=np.int64)
+        return (den + num) * apart <= (den - num) * (self.sizes[x] + self.sizes[y])
+
+
+def _gather(table: pa.Table) -> _Range:
+    owners = np.concatenate([np.frombuffer(x.as_py(), _OWNER) for x in table["owners"]])
+    keys, first, number = np.unique(owners["key"], return_index=True, return_inverse=True)
+    labels, sizes, number = owners["label"][first], owners["n"][first].astype(np.int64), number.astype(np.uint32)
+    sig, own, at_kind, offset = [], [], [], 0
+    for own_blob, blob in zip(table["owners"], table["entries"]):
+        blob = blob.as_py()
+        size = len(blob) // _ENTRY.itemsize
+        sig.append(np.frombuffer(blob, "<u8", size))
+        own.append(number[offset + np.frombuffer(blob, "<u2", size, 8 * size).astype(np.int64)])
+        at_kind.append(np.frombuffer(blob, "<u2", size, 10 * size))
+        offset += len(own_blob.as_py()) // _OWNER.itemsize
+    sig, own, at_kind = np.concatenate(sig), np.concatenate(own), np.concatenate(at_kind)
+    order = np.lexsort((own, sig))
+    sig, own, at_kind = sig[order], own[order], at_kind[order]
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+    sig, own, at_kind = sig[fresh], own[fresh], at_kind[fresh]
     bounds = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
-    return key, label, n, at, kind, bounds
+    return _Range(own, at_kind >> 2, at_kind & 3, bounds, keys, labels, sizes, owners["bits"][first])
 
 
 def _possible(n1, at1, n2, at2, num: int, den: int):
@@ -250,48 +327,77 @@ def _possible(n1, at1, n2, at2, num: int, den: int):
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
-    if not a:
-        return _PAIRS.empty_table()
-    x, y = np.concatenate(a), np.concatenate(b)
-    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-    return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=_PAIRS)
+def _pairs(found: _Range, a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    """Distinct pairs of sets, the smaller key first: keys are in order, so numbers compare as keys do."""
+    x, y = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+    both = np.unique(np.minimum(x, y) << 32 | np.maximum(x, y))
+    return pa.table([pa.array(found.keys[both >> 32]), pa.array(found.keys[both & 0xFFFFFFFF])], schema=_PAIRS)
 
 
 def _stars(table: pa.Table, num: int, den: int) -> pa.Table:
-    key, _, n, at, _, bounds = _gather(table)
-    head = np.repeat(bounds[:-1], np.diff(bounds))
-    ok = (np.arange(len(key)) != head) & _possible(n, at, n[head], at[head], num, den)
-    return _pairs([key[head[ok]]], [key[ok]])
-
-
-def _crossings(table: pa.Table, num: int, den: int, rows: int = 512) -> pa.Table:
-    key, label, n, at, kind, bounds = _gather(table)
-    sizes = np.diff(bounds)
+    """Every set of a run with the run's leader."""
+    f = _gather(table)
+    head = np.repeat(f.bounds[:-1], np.diff(f.bounds))
+    n, at = f.sizes[f.own], f.at.astype(np.int64)
+    ok = (np.arange(len(f.own)) != head) & _possible(n, at, n[head], at[head], num, den)
+    x, y = f.own[head[ok]], f.own[ok]
+    ok = f.near(x, y, num, den)
+    return _pairs(f, [x[ok]], [y[ok]])
+
+
+def _chains(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Every set of a run with the next two of other components, in an order of chance that differs between runs."""
+    f = _gather(table)
+    run = np.repeat(np.arange(len(f.bounds) - 1), np.diff(f.bounds))
+    with np.errstate(over="ignore"):
+        chance = _mix(f.keys.view(_U)[f.own] ^ (run.astype(_U) + _U(1)) * _P)
+    order = np.lexsort((chance, run))
+    run, own, at = run[order], f.own[order], f.at[order].astype(np.int64)
     a, b = [], []
-    twos = bounds[:-1][sizes == 2]
-    ok = (label[twos] != label[twos + 1]) & _possible(n[twos], at[twos], n[twos + 1], at[twos + 1], num, den)
-    ok &= ~((np.maximum(kind[twos], kind[twos + 1]) == MEETS_DENSE))
-    a.append(key[twos[ok]])
-    b.append(key[twos[ok] + 1])
-    for start, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2]):
-        own = slice(start, start + size)
-        if (label[own] == label[start]).all() or (kind[own] == MEETS_DENSE).all():
+    for gap in (1, 2):
+        x, y = own[:-gap], own[gap:]
+        ok = (run[:-gap] == run[gap:]) & (f.labels[x] != f.labels[y]) & _possible(f.sizes[x], at[:-gap], f.sizes[y], at[gap:], num, den)
+        x, y = x[ok], y[ok]
+        ok = f.near(x, y, num, den)
+        a.append(x[ok])
+        b.append(y[ok])
+    return _pairs(f, a, b)
+
+
+def _crossings(table: pa.Table, num: int, den: int, rows: int = 256) -> pa.Table:
+    """Sets that share a run and may link, of different components."""
+    f = _gather(table)
+    a, b = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
+    runs = np.diff(f.bounds)
+
+    def fitting(i, j):
+        x, y = f.own[i], f.own[j]
+        ok = (f.labels[x] != f.labels[y]) & _possible(f.sizes[x], f.at[i].astype(np.int64), f.sizes[y], f.at[j].astype(np.int64), num, den)
+        p, q = f.kind[i], f.kind[j]
+        return ok & ((p == SINGLE) & (q == SINGLE) | (p == DENSE) | (q == DENSE))
+
+    def add(x, y):
+        ok = f.near(x, y, num, den)
+        a.append(x[ok])
+        b.append(y[ok])
+
+    twos = f.bounds[:-1][runs == 2]
+    ok = fitting(twos, twos + 1)
+    add(f.own[twos[ok]], f.own[twos[ok] + 1])
+    for start, size in zip(f.bounds[:-1][runs > 2], runs[runs > 2]):
+        own = f.own[start : start + size]
+        if (f.labels[own] == f.labels[own[0]]).all() or (f.kind[start : start + size] == MEETS_DENSE).all():
             continue
-        k, l, m, p, d = key[own], label[own], n[own], at[own], kind[own]
-        by_size = np.argsort(m, kind="stable")
-        k, l, m, p, d = k[by_size], l[by_size], m[by_size], p[by_size], d[by_size]
+        by_size = start + np.argsort(f.sizes[own], kind="stable")
+        m = f.sizes[f.own[by_size]]
         for x in range(0, size, rows):
             end = min(x + rows, size)
             # no set more than den / num times as large can link
-            far = np.searchsorted(m, m[end - 1] * den // num, "right")
-            i, j = np.arange(x, end)[:, None], np.arange(x, far)[None]
-            fits = (i < j) & (l[i] != l[j]) & _possible(m[i], p[i], m[j], p[j], num, den)
-            fits &= (d[i] == SINGLE) & (d[j] == SINGLE) | (d[i] == DENSE) | (d[j] == DENSE)
-            i, j = np.nonzero(fits)
-            a.append(k[i + x])
-            b.append(k[j + x])
-    return _pairs(a, b)
+            for y in range(x, np.searchsorted(m, m[end - 1] * den // num, "right"), 4 * rows):
+                i, j = np.arange(x, end)[:, None], np.arange(y, min(y + 4 * rows, size))[None]
+                i, j = np.nonzero((i < j) & fitting(by_size[i], by_size[j]))
+                add(f.own[by_size[i + x]], f.own[by_size[j + y]])
+    return _pairs(f, a, b)
 
 
 def _route(words: int):
@@ -306,25 +412,47 @@ def _route(words: int):
                     s = shingles(text, words)
                     if set_key(s) == key:
                         packed = s.tobytes()
-                        rows += [(r["a"], r["block"], key, packed) for r in routes]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["a", "block", "key", "shingles"])
+                        rows += [(r["a"], r["block"], key, len(s), packed) for r in routes]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["a", "block", "key", "n", "sent"])
 
     return run
 
 
-def _verify(table: pa.Table, num: int, den: int) -> pa.Table:
+def _led(table: pa.Table) -> tuple[int, tuple[int, bytes], dict[int, tuple[int, bytes]]]:
+    """The leading key of a block, what was sent of its set, and of the sets that it is compared with."""
     lead = table["a"][0].as_py()
-    sets = dict(zip(table["key"].to_pylist(), table["shingles"].to_pylist()))
-    own = np.frombuffer(sets.pop(lead), _U)
+    sets = {k: (n, x) for k, n, x in zip(table["key"].to_pylist(), table["n"].to_pylist(), table["sent"].to_pylist())}
+    return lead, sets.pop(lead), sets
+
+
+def _thin(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Pairs of a block whose bitmaps leave a link possible."""
+    lead, (n, own), sets = _led(table)
+    kept = [k for k, (m, other) in sets.items() if (den + num) * bitmap_difference(own, other) <= (den - num) * (n + m)]
+    return pa.table([pa.array([lead] * len(kept), pa.int64()), pa.array(kept, pa.int64())], schema=_PAIRS)
+
+
+def _verify(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Pairs of a block that link."""
+    lead, (n, packed), sets = _led(table)
+    own = np.frombuffer(packed, _U)
     linked = []
-    for key, packed in sets.items():
-        other = np.frombuffer(packed, _U)
-        both = len(np.intersect1d(own, other, assume_unique=True))
-        if den * both >= num * (len(own) + len(other) - both):
+    for key, (m, other) in sets.items():
+        other = np.frombuffer(other, _U)
+        near = np.searchsorted(own, other)
+        both = int((own[np.minimum(near, n - 1)] == other).sum())
+        if den * both >= num * (n + m - both):
             linked.append(key)
     return pa.table({"u": pa.array([lead] * len(linked), pa.int64()), "v": pa.array(linked, pa.int64())})
 
 
+def _thinned(frame: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """Rows of ``frame`` whose id falls into a bucket that an id of ``ids`` falls into: a superset of the semi-join."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    hit = ids.select(bucket(id_column).alias("_bucket")).distinct()
+    return frame.withColumn("_bucket", bucket(column)).join(F.broadcast(hit), "_bucket", "left_semi").drop("_bucket")
+
+
 class JaccardJoin:
     """Links and components of ``docs(doc_id, text)`` under ``den * |A and B| >= num * |A or B|``."""
 
@@ -333,48 +461,56 @@ class JaccardJoin:
         self.spark = docs.sparkSession
 
     def _ranges(self, entries: int) -> int:
-        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // RANGE_ENTRIES))
+        return max(2 * self.spark.sparkContext.defaultParallelism, -(-entries // RANGE_ENTRIES))
 
-    def _candidates(self, signed: DataFrame, ranges: int, first: int | None) -> DataFrame:
+    def _candidates(self, signed: DataFrame, meet: Callable[[pa.Table, int, int], pa.Table], ranges: int, first: int | None = None) -> DataFrame:
         num, den = self.num, self.den
-        dealt = signed.mapInArrow(_deal(ranges, first), "span long, owners binary, entries binary")
-        meet = _stars if first else _crossings
+        dealt = signed.select("key", "n", "sigs", "digest", "label").mapInArrow(_deal(ranges, first), "span long, owners binary, entries binary")
         met = dealt.groupBy("span").applyInArrow(lambda t: meet(t, num, den), "a long, b long")
         return storage.materialize(met.distinct(), "candidates")
 
-    def _verified(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        num, den = self.num, self.den
+    @staticmethod
+    def _routes(pairs: DataFrame) -> DataFrame:
+        """(key, a, block): where each set of a pair is to be sent."""
         count = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-        blocked = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+        blocked = pairs.join(count, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
         heads = count.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        routes = blocked.select(F.col("b").alias("key"), "a", "block").unionByName(heads)
-        routes = routes.groupBy("key").agg(F.collect_set(F.struct("a", "block")).alias("routes"))
-        routes = routes.join(reps, "key").withColumnRenamed("doc_id", "_id")
-        texts = self.docs.select("doc_id", F.col("text").alias("_text")).join(routes, F.col("doc_id").eqNullSafe(F.col("_id")))
-        sent = texts.select("_text", "key", "routes").mapInArrow(_route(self.words), "a long, block long, key long, shingles binary").groupBy("a", "block")
+        # only blocks that a pair falls into need their head
+        return blocked.unionByName(heads.join(blocked.select("a", "block").distinct(), ["a", "block"], "left_semi").select("key", "a", "block"))
+
+    def _verified(self, pairs: DataFrame, reps: DataFrame, signed: DataFrame) -> DataFrame:
+        num, den = self.num, self.den
+        sides = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
+        maps = _thinned(signed.select("key", "n", "bitmap"), "key", sides, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("bitmap").alias("sent"))
+        thinned = self._routes(pairs).join(maps, "key").groupBy("a", "block").applyInArrow(lambda t: _thin(t, num, den), "a long, b long")
+        thinned = storage.materialize(thinned, "thinned")
+        routes = storage.materialize(self._routes(thinned).groupBy("key").agg(F.collect_list(F.struct("a", "block")).alias("routes")).join(reps, "key").withColumnRenamed("doc_id", "_id"), "routes")
+        texts = _thinned(self.docs.select("doc_id", F.col("text").alias("_text")), "doc_id", routes, "_id").join(routes, F.col("doc_id").eqNullSafe(F.col("_id")))
+        sent = texts.select("_text", "key", "routes").mapInArrow(_route(self.words), "a long, block long, key long, n long, sent binary").groupBy("a", "block")
         return storage.materialize(sent.applyInArrow(lambda t: _verify(t, num, den), "u long, v long"), "links")
 
     def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every row, and ``links``, the number of links found verified."""
+        """(doc_id, n_shingles, component_id) of every row."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         scanned = storage.materialize(self.docs.mapInArrow(_scan(self.words, self.num, self.den, parts), "doc_id long, n long, key long, span long, front binary"), "shingle-sets")
         rows = scanned.filter("span is null").select("doc_id", "n", "key")
         reps = storage.materialize(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
         common = scanned.filter("span is not null").select("span", "front").groupBy("span").applyInArrow(lambda t: _frequent(t, FREQUENT), "half long, sets long")
         kept = common.orderBy(F.desc("sets"), "half").limit(FREQUENT_KEPT).toArrow()
-        frequent = np.unique(kept["half"].to_numpy().astype(np.uint32))
-        signed = self.docs.mapInArrow(_sign(self.words, self.num, self.den, frequent), "key long, n long, sigs binary")
+        halves = np.sort(kept["half"].to_numpy().astype(np.uint32)).tobytes()
+        signed = self.docs.mapInArrow(_sign(self.words, self.num, self.den, halves), "key long, n long, sigs binary, bitmap binary, digest binary")
         signed = storage.materialize(signed, "signatures")
         total = signed.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
         ranges = self._ranges(total // _STORED.itemsize)
-        alone = signed.withColumn("label", F.col("key"))
-        near = self._verified(self._candidates(alone, parts, STARS), reps)
-        labels = components(near)
-        labelled = signed.join(labels, signed["key"] == labels["node"], "left").select("key", "n", "sigs", F.coalesce("root", "key").alias("label"))
-        across = self._verified(self._candidates(labelled, ranges, None), reps)
-        merged = across.join(labels.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-        edges = near.unionByName(merged.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
-        roots = components(edges)
+        few, links = self._ranges(0), None
+        labelled = signed.withColumn("label", F.col("key"))
+        for meet, spans, first in ((_stars, few, STARS), (_chains, few, CHAINED), (_crossings, ranges, None)):
+            found = self._verified(self._candidates(labelled, meet, spans, first), reps, signed)
+            links = found if links is None else links.unionByName(found)
+            roots = components(links)
+            # labels replace what they join, so that the next round sees one component as one
+            links = roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+            labelled = signed.join(roots, signed["key"] == roots["node"], "left").select("key", "n", "sigs", "digest", F.coalesce("root", "key").alias("label"))
         by_key = reps.join(roots, reps["key"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
         least = by_key.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         found = by_key.join(least, "root").select(F.col("key").alias("_key"), "component_id")
