@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parallaxis.llm import chat
+from parallaxis.llm import chat, pii
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -60,7 +60,48 @@ with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(
   least_root as (select node, min(root) root from reach group by node)
 select d.doc_id, coalesce(n.n, 0) n_shingles, coalesce(l.root, d.doc_id) component_id from documents d left join n using (doc_id) left join least_root l on l.node = d.doc_id"""
 
+#: The same spans in a dialect without possessive loops and look-around.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[ -]?[0-9])+",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: case when i % 2 = 1 then substr({_DIGITS}, length({_DIGITS}) - i + 1, 1)::int else (substr({_DIGITS}, length({_DIGITS}) - i + 1, 1)::int * 2) // 10 + (substr({_DIGITS}, length({_DIGITS}) - i + 1, 1)::int * 2) % 10 end)) % 10 = 0"
+_TURNED = "(substr(m, 5) || substr(m, 1, 4))"
+_MOD97 = f"list_reduce(list_transform(range(1, length(m) + 1), lambda i: case when ascii(substr({_TURNED}, i, 1)) <= 57 then ascii(substr({_TURNED}, i, 1)) - 48 else ascii(substr({_TURNED}, i, 1)) + 945 end), lambda a, c: case when c < 10 then (a * 10 + c) % 97 else (a * 100 + c - 1000) % 97 end) % 97 = 1"
+_CHECKS = {
+    "email": "true",
+    "ip": "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 and coalesce(try_cast(right(x, 3) as int), 0) <= 255))",
+    "card": f"length({_DIGITS}) between 16 and 19 and {_LUHN}",
+    "phone": f"length({_DIGITS}) between 8 and 15",
+    "iban": _MOD97,
+    "ssn": "not (substr(m, 1, 3) in ('000', '666') or m like '9%' or substr(m, 5, 2) = '00' or substr(m, 8, 4) = '0000')",
+}
+
+
+def _kind(n: int, kind: str) -> str:
+    sure = pii.PROPOSED + (pii.CONFIRMED if kind in ("card", "iban", "ip", "phone") else 0.2)
+    beside = f"lower(right(s[i], {pii.CONTEXT}) || ' ' || left(s[i + 1], {pii.CONTEXT}))"
+    return f"""{kind}_a as (select r, regexp_extract_all(t, '{_PLAIN[kind]}') ms, string_split_regex(t, '{_PLAIN[kind]}') s from d),
+  {kind}_b as (select r, s, unnest(ms) m, unnest(range(1, len(ms) + 1)) i from {kind}_a),
+  {kind}_c as (select *, sum(length(s[i]) + length(m)) over (partition by r order by i) stop from {kind}_b),
+  {kind}_d as (select r, {n} k, '{kind}' kind, (stop - length(m))::bigint start, stop::bigint stop, case when regexp_matches({beside}, '{pii.WORDS[kind]}') then {min(1.0, sure + pii.CONTEXT_GAIN)} else {sure} end score from {kind}_c where {_CHECKS[kind]})"""
+
+
+_LISTED = "string_agg(kind || ':' || start || ':' || stop, ',' order by k, start)"
+PII_SPANS = f"""
+with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+  {', '.join(_kind(n, kind) for n, kind in enumerate(pii.PATTERNS))},
+  f as (select * from ({' union all '.join(f'select * from {kind}_d' for kind in pii.PATTERNS)}) where k < {len(pii.BASE)} or score >= {pii.THRESHOLD}),
+  g as (select r, {', '.join(f"count_if(kind = '{kind}')::bigint n_{kind}" for kind in pii.BASE)}, {_LISTED} filter (where k < {len(pii.BASE)}) base, {_LISTED} spans, string_agg(printf('%.2f', score), ',' order by k, start) scores from f group by r)
+select doc_id, {', '.join(f"coalesce(n_{kind}, 0) n_{kind}" for kind in pii.BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(scores, '') scores from d left join g using (r)"""
+
 ORACLE_SQL = {
+    "op3_pii_spans": PII_SPANS,
     "op2_line_dedup": LINE_DEDUP,
     "op7_warc_index": WARC_INDEX,
     "op8_chat_windows": CHAT_WINDOWS,
