@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Components = Sequence[Column]
@@ -149,3 +149,16 @@ def axis_angle_from_rotation(r: Components) -> list[Column]:
         .otherwise(turned[2][k])
         for k in range(3)
     ]
+
+
+def between_rotations(frame: DataFrame, a: Sequence[str], b: Sequence[str], t: float, out: Sequence[str]) -> DataFrame:
+    """Spherical interpolation: columns ``a`` turned by the share t of the turn from a to b, as columns ``out``.
+
+    Every step is a projection of its own, so that no formula is written into the next one many times over.
+    """
+    cols = lambda names: [F.col(n) for n in names]
+    rel, turn = [f"_rel{k}" for k in range(9)], [f"_turn{k}" for k in range(3)]
+    frame = frame.withColumns(dict(zip(rel, matmul(transpose(cols(a)), cols(b)))))
+    frame = frame.withColumns({n: x * t for n, x in zip(turn, axis_angle_from_rotation(cols(rel)))})
+    frame = frame.withColumns(dict(zip(rel, rotation_from_axis_angle(cols(turn)))))
+    return frame.withColumns(dict(zip(out, matmul(cols(a), cols(rel))))).drop(*rel, *turn)

@@ -393,3 +393,42 @@ def nearest_valid_both_sides(spark, sf_dir):
     before = F.last(valid, ignorenulls=True).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(valid, ignorenulls=True).over(Window.orderBy("i").rowsBetween(1, Window.unboundedFollowing))
     return own.select("i", "ok", before.alias("before"), after.alias("after")).filter("not ok").drop("ok")
+
+
+def _noise(x: str, y: str) -> str:
+    v = f"sin(({x}) * 127.1::double + ({y}) * 311.7::double) * 43758.5453::double"
+    return f"({v} - floor({v}))"
+
+
+@query("hash_noise", f"select id, round({_noise('id * 0.37::double', 'id * 0.11::double')}, 5) noise from range(500) t(id)")
+def hash_noise(spark, sf_dir):
+    return spark.range(500).select("id", F.round(synthetic.hash_noise(F.col("id") * 0.37, F.col("id") * 0.11), 5).alias("noise"))
+
+
+_UP = "(phi + pi() / 2)"
+_WAVE = [f"sin(theta * {f}::double + {a}::double) * sin({_UP} * {f}::double + {b}::double)" for f, a, b in synthetic.WAVES]
+_NOISE = [f"({_noise(f'theta / (2 * pi()) * {s}::double + {a}::double', f'{_UP} / pi() * {s}::double + {b}::double')} - 0.5::double)" for s, a, b in synthetic.NOISES]
+
+
+def _channel(name: str) -> str:
+    level, waves, noises = synthetic.CHANNELS[name]
+    terms = " + ".join(f"({w})::double * {x}" for w, x in [*zip(waves, _WAVE), *zip(noises, _NOISE)])
+    return f"round(greatest(0.0::double, least(1.0::double, {level}::double + {terms})), 5) {name}"
+
+
+@query("gen_texture", f"with p as (select id, (id % 25) * 0.25::double theta, (id // 25) * 0.15::double - 1.5::double phi from range(500) t(id)) select id, {', '.join(map(_channel, 'rgb'))} from p")
+def gen_texture(spark, sf_dir):
+    made = synthetic.sphere_texture((F.col("id") % 25) * 0.25, F.floor(F.col("id") / 25) * 0.15 - 1.5)
+    return spark.range(500).select("id", *(F.round(made[c], 5).alias(c) for c in "rgb"))
+
+
+@query("slerp", f"with {_RING} select image_id, " + ", ".join(f"round({x}, 6) + 0.0::double r{k}" for k, x in enumerate(
+    ["-sin(radians(10.0::double * image_id + 2.5::double))", "cos(radians(10.0::double * image_id + 2.5::double))", "0.0::double", "0.0::double", "0.0::double", "-1.0::double",
+     "-cos(radians(10.0::double * image_id + 2.5::double))", "-sin(radians(10.0::double * image_id + 2.5::double))", "0.0::double"])) + " from ring")
+def slerp(spark, sf_dir):
+    """A quarter of the way from each camera to the next."""
+    a = synthetic.ring_cameras(spark).select("image_id", *(F.col(c).alias(f"a{c}") for c in geometry.R))
+    b = synthetic.ring_cameras(spark).select(((F.col("image_id") + 35) % 36).alias("image_id"), *geometry.R)
+    names = [f"p{k}" for k in range(9)]
+    part = V.between_rotations(a.join(F.broadcast(b), "image_id"), [f"a{c}" for c in geometry.R], geometry.R, 0.25, names)
+    return part.select("image_id", *(r6(F.col(n)).alias(f"r{k}") for k, n in enumerate(names)))

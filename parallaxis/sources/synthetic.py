@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the scene.
@@ -70,3 +70,34 @@ def sphere_depth(cameras: DataFrame, pixels: DataFrame, focal: float, cx: float,
     near, far = (b - F.sqrt(disc)) / a, (b + F.sqrt(disc)) / a
     hit = cameras.crossJoin(F.broadcast(pixels)).filter(disc >= 0).withColumn("depth", F.when(near >= 0, near).otherwise(far))
     return hit.filter("depth >= 0").select("image_id", "x", "y", "depth")
+
+
+#: Fixed values of the texture: waves (frequency, phase of the azimuth, phase of the elevation) and noises (scale, shifts).
+WAVES = [(8.0, 0.0, 0.0), (16.0, 1.0, 0.5), (32.0, 2.0, 1.5)]
+NOISES = [(30.0, 0.0, 0.0), (60.0, 7.3, 13.7), (120.0, 23.1, 41.9), (200.0, 53.7, 97.3)]
+#: For red, green and blue, the level and the weights of the waves and noises.
+CHANNELS = {
+    "r": (0.5, (0.25, 0.15, 0.10), (0.15, 0.10, 0.05, 0.0)),
+    "g": (0.4, (0.20, -0.15, 0.12), (0.0, 0.12, 0.08, 0.05)),
+    "b": (0.6, (-0.15, 0.20, -0.10), (0.10, 0.05, 0.13, 0.0)),
+}
+
+
+def hash_noise(x: Column, y: Column) -> Column:
+    """A fraction that looks random, from the sine of a mix of both coordinates."""
+    v = F.sin(x * 127.1 + y * 311.7) * 43758.5453
+    return v - F.floor(v)
+
+
+def sphere_texture(theta: Column, phi: Column) -> dict[str, Column]:
+    """Red, green and blue, 0 to 1, at an azimuth and an elevation."""
+    up = phi + math.pi / 2
+    waves = [F.sin(theta * f + a) * F.sin(up * f + b) for f, a, b in WAVES]
+    noises = [hash_noise(theta / (2 * math.pi) * s + a, up / math.pi * s + b) - 0.5 for s, a, b in NOISES]
+    out = {}
+    for name, (level, by_wave, by_noise) in CHANNELS.items():
+        value = F.lit(level)
+        for w, x in [*zip(by_wave, waves), *zip(by_noise, noises)]:
+            value = value + w * x
+        out[name] = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    return out

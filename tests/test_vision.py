@@ -242,3 +242,38 @@ def test_solver_queries_against_the_scene(spark):
     assert {(r.image_i, r.image_j) for r in pairs} == {(i, i + 1) for i in range(35)} and all(r.kp_i == r.kp_j for r in pairs)
     near = solvers.mvs_run(spark, "").filter("y between 14 and 22 and x between 18 and 30").collect()
     assert np.mean([0.19 <= r.depth <= 0.24 for r in near]) > 0.8
+
+
+def test_turntable_repair():
+    from parallaxis.operators import sfm, turntable
+
+    rng = np.random.default_rng(4)
+    n, k = 12, np.array([[800.0, 0, 320], [0, 800.0, 240], [0, 0, 1]])
+    x = rng.normal(0, 0.25, (120, 3))
+    truth = {}
+    for i in range(n):
+        a = 2 * np.pi * i / n
+        c = 3 * np.array([np.cos(a), np.sin(a), 0.15])
+        fwd = -c / np.linalg.norm(c)
+        right = np.cross(fwd, [0, 0, 1])
+        right /= np.linalg.norm(right)
+        r = np.stack([right, np.cross(fwd, right), fwd])
+        truth[i] = (r, -r @ c)
+    keypoints = {i: (q := (x @ r.T + t) @ k.T)[:, :2] / q[:, 2:] for i, (r, t) in truth.items()}
+    matches = {(i, j): [(m, m) for m in range(120)] for i in range(n) for j in range(i + 1, n) if min(j - i, n - j + i) <= 2}
+    scene = sfm.Scene(keypoints, k, dict(truth))
+    assert not turntable.disambiguate(scene, matches, 0) and scene.poses == truth
+    scene = sfm.Scene(keypoints, k, {i: truth[i % 6] for i in range(n)})
+    assert turntable.disambiguate(scene, matches, 0) and len(scene.points) > 100
+    assert all(np.allclose(scene.poses[i][0], truth[i][0], atol=0.02) for i in range(n))
+
+
+def test_command_line(capsys):
+    from parallaxis import cli
+
+    made = cli.parse("-i a -o b.obj --quality low --poisson-depth 11 --turntable".split())
+    assert (made.max_image_size, made.poisson_depth, made.turntable) == (1600, 11, True)
+    for argv, code in (([], 0), (["-h"], 0), (["-i", "a"], 1), (["--nope"], 1), (["-i", "a", "-o", "b", "--gpu"], 1)):
+        with pytest.raises(SystemExit) as stop:
+            cli.parse(argv)
+        assert stop.value.code == code
