@@ -20,7 +20,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +56,22 @@ class NoisyOr:
         return sum(get(f, 0.0) for f in features(word))
 
 
+class WordWeights(dict):
+    """Weights of words met so far, at most ``most``; few words begin as a feature does, the others weigh nothing."""
+
+    def __init__(self, model: NoisyOr, most: int = 400_000):
+        super().__init__()
+        self.model, self.most = model, most
+        self.starts = {f.removeprefix("=")[:3] for f in model.weights}
+
+    def __missing__(self, word: str) -> float:
+        value = self.model.word(word) if word[:3] in self.starts else 0.0
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = value
+        return value
+
+
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int, seen: Column) -> DataFrame:
     picked = labels.filter(seen & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     each = [picked.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (1, 0)]
@@ -136,27 +151,22 @@ def fit(docs: DataFrame, labels: DataFrame, seen: Column | None = None, sample:
 
 def _score(model: NoisyOr, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, log1p, exp = float(np.logaddexp(0, model.bias)), np.log1p, np.exp
-
-        @lru_cache(maxsize=200_000)
-        def weight(chunk: str) -> float:
-            return sum(map(model.word, WORD.findall(chunk)))
-
+        base, weight = float(np.logaddexp(0, model.bias)), WordWeights(model).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 score, n, spans = [], [], []
                 for text in part.column("_text").to_pylist():
                     low = (text or "").lower()
-                    hit = any(map(weight, set(low.split()))) if model.weights else False
+                    hit = any(map(weight, set(WORD.findall(low)))) if model.weights else False
                     # lower-casing may change a text's length, so spans are counted on the text as it is
                     places = [x.span() for x in SENTENCE.finditer(text or "")] if hit else ()
                     count = len(places) if hit else len(SENTENCE.findall(low)) or 1
                     clean, own = 0.0, []
                     for a, b in places:
-                        z = model.bias + sum(map(model.word, set(WORD.findall(text[a:b].lower()))))
+                        z = model.bias + sum(map(weight, set(WORD.findall(text[a:b].lower()))))
                         clean += float(np.logaddexp(0, z))
-                        p = float(1 / (1 + exp(-z)))
+                        p = float(1 / (1 + np.exp(-z)))
                         if p >= THRESHOLD:
                             own.append({"start": a, "end": b, "score": p})
                     if not hit:
