@@ -53,14 +53,28 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: as a lambda's variable it is not an expression to repeat."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def prefix_sums(values: Column) -> Column:
     """Running sums of an int array, in chunks of about the square root of its length."""
-    n = F.size(values)
-    w = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-    chunks = F.transform(F.sequence(F.lit(0), F.ceil(n / w).cast("int") - 1), lambda c: F.slice(values, c * w + 1, w))
-    bases = F.aggregate(F.transform(chunks, _sum), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    within = F.transform(chunks, lambda chunk, c: F.transform(chunk, lambda _, i: F.get(bases, c) + _sum(F.slice(chunk, F.lit(1), i + 1))))
-    return F.when(n > 0, F.flatten(within)).otherwise(F.array().cast("array<int>"))
+
+    def chunked(v: Column) -> Column:
+        n = F.size(v)
+        w = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.ceil(n / w).cast("int") - 1), lambda c: F.slice(v, c * w + 1, w))
+
+    def bases(chunks: Column) -> Column:
+        return F.aggregate(F.transform(chunks, _sum), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def within(chunks: Column, at: Column) -> Column:
+        running = lambda chunk, c: let(F.get(at, c), lambda base: F.transform(chunk, lambda _, i: base + _sum(F.slice(chunk, F.lit(1), i + 1))))
+        return F.flatten(F.transform(chunks, running))
+
+    summed = lambda v: let(chunked(v), lambda chunks: let(bases(chunks), lambda at: within(chunks, at)))
+    return let(values, lambda v: F.when(F.size(v) > 0, summed(v)).otherwise(F.array().cast("array<int>")))
 
 
 def digits(value: Column) -> Column:
@@ -81,13 +95,12 @@ def luhn(value: Column) -> Column:
 
 def mod97(value: Column) -> Column:
     """Whether an IBAN's rearranged digits leave 1 modulo 97."""
-    turned = F.concat(F.substr(value, F.lit(5)), F.substring(value, 1, 4))
-
-    def step(a: Column, i: Column) -> Column:
-        code = F.ascii(F.substr(turned, i, F.lit(1)))
+    def step(a: Column, c: Column) -> Column:
+        code = F.ascii(c)
         return F.when(code <= 57, (a * 10 + code - 48) % 97).otherwise((a * 100 + code - 55) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
+    turned = F.concat(F.substr(value, F.lit(5)), F.substring(value, 1, 4))
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
 
 
 def _octets(value: Column) -> Column:
@@ -101,7 +114,7 @@ def _octets(value: Column) -> Column:
 VALID: dict[str, Callable[[Column], Column]] = {
     "email": lambda m: F.lit(True),
     "ip": _octets,
-    "card": lambda m: F.when(F.length(digits(m)).between(16, 19), luhn(digits(m))).otherwise(False),
+    "card": lambda m: let(digits(m), lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(False)),
     "phone": lambda m: F.length(digits(m)).between(8, 15),
     "iban": mod97,
     "ssn": lambda m: ~(F.substring(m, 1, 3).isin("000", "666") | m.startswith("9") | (F.substring(m, 5, 2) == "00") | (F.substring(m, 8, 4) == "0000")),
@@ -121,8 +134,8 @@ def spans(text: Column, kind: str) -> Column:
         )
 
     # binding both arrays to lambda variables makes each pattern run once over the text
-    bound = F.transform(F.array(F.struct(pieces.alias("p"), matches.alias("m"))), lambda b: located(b["p"], b["m"]))
-    kept = F.filter(F.get(bound, F.lit(0)), lambda s: VALID[kind](s["m"]))
+    bound = let(pieces, lambda p: let(matches, lambda m: located(p, m)))
+    kept = F.filter(bound, lambda s: VALID[kind](s["m"]))
 
     def scored(s: Column) -> Column:
         beside = F.lower(F.concat_ws(" ", F.right(s["left"], F.lit(CONTEXT)), F.left(s["right"], F.lit(CONTEXT))))
