@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes to the folder in ``spark.checkpoint.dir`` (a local one only in local mode) and reads back."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "parallaxis")
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from parallaxis.storage import materialize
 
 
 def label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -30,14 +15,14 @@ def label_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -
     undirected; every round is one join and one partial aggregate.
     """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = stored(both, "graph-edges")
-    labels = stored(nodes.select(F.col("node"), F.col("node").alias("component")).distinct(), "graph-labels")
+    both = materialize(both, "graph-edges")
+    labels = materialize(nodes.select(F.col("node"), F.col("node").alias("component")).distinct(), "graph-labels")
     for _ in range(max_rounds):
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("near"))
         spread = labels.join(near, labels["node"] == near["u"], "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"))
         up = spread.select(F.col("node").alias("component"), F.col("component").alias("up"))
         jumped = spread.join(up, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
-        before, labels = labels, stored(jumped, "graph-labels")
+        before, labels = labels, materialize(jumped, "graph-labels")
         changed = labels.join(before.withColumnRenamed("component", "old"), "node").filter("component <> old")
         if changed.isEmpty():
             return labels
