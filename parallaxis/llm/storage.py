@@ -1,76 +1,5 @@
-"""Shared storage for intermediate tables.
+"""Shared storage, as the rest of the library has it."""
 
-Executors and the driver share only the folder named by ``spark.checkpoint.dir``. Every intermediate table is
-written there with Spark's own writers, so any Hadoop-compatible file system works and a lost executor costs a
-re-read rather than a recomputation of the whole lineage.
-"""
+from parallaxis.storage import exists, file_system, materialize, remove, rename, scratch, shared_dir, table
 
-from __future__ import annotations
-
-import atexit
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is chosen only in local mode when it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "parallaxis")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_sweep)
-    _made.append((spark, path))
-    return path
-
-
-def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # the JVM may be gone at interpreter exit
-            return
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
-
-
-def rename(spark: SparkSession, src: str, dst: str) -> bool:
-    fs, p = _fs(spark, src)
-    return fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(dst))
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later uses neither recompute it nor hold its lineage."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["exists", "file_system", "materialize", "remove", "rename", "scratch", "shared_dir", "table"]

@@ -83,7 +83,7 @@ class TokenLedger:
         )
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
         delta.write.parquet(staged)
-        fs, path = storage._fs(self.spark, f"{self.root}/batches")
+        fs, path = storage.file_system(self.spark, f"{self.root}/batches")
         fs.mkdirs(path)
         if storage.exists(self.spark, place) or not storage.rename(self.spark, staged, place):
             storage.remove(self.spark, staged)
