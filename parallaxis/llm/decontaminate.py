@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parallaxis.llm import worker
+
 WORD = re.compile(r"\w+")
 #: Words of a seed, which is also the shortest tile.
 SEED = 4
@@ -159,6 +161,7 @@ def _covered(block: _Block, text: str | None, seed: int, coverage: float) -> lis
 
 def _match(block: _Block, seed: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.claim("decontamination")
         for batch in batches:
             docs, out = batch.column(0).to_pylist(), []
             for at in range(0, batch.num_rows, 512):
@@ -195,6 +198,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, see
     for block in _blocks(benchmark, seed, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], block: _Block = block) -> Iterator[pa.RecordBatch]:
+            worker.claim("decontamination")
             for batch in batches:
                 text = batch.column(batch.schema.get_field_index("text"))
                 keep = []

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallaxis.llm import storage
+from parallaxis.llm import storage, worker
 from parallaxis.llm.components import components
 
 K = 2
@@ -48,8 +48,8 @@ K = 2
 FREQUENT, FREQUENT_KEPT = 32, 1_000_000
 #: Frequent shingles of a set whose combinations are indexed at most.
 COMBINED = 40
-RANGE_ENTRIES, BLOCK, STARS, CHAINED = 800_000, 256, 3, 10
-CACHED_WORDS = 300_000
+RANGE_ENTRIES, BLOCK, STARS, CHAINED = 500_000, 256, 3, 10
+CACHED_WORDS = 200_000
 BUCKETS = 1 << 20
 #: 64-bit words of the parity bitmap that travels with every signature's owner.
 DIGEST_WORDS = 4
@@ -80,10 +80,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    if not tokens:
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    if not found:
         return np.empty(0, _U)
-    h = np.frombuffer(b"".join(map(_words().__getitem__, tokens)), _U)
+    h = np.frombuffer(b"".join(map(_words().__getitem__, found)), _U)
     size = min(words, len(h))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - size + 1, size, _U)
@@ -101,6 +101,7 @@ def need(n, num: int, den: int):
 
 
 def _batches(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[tuple[list, list]]:
+    worker.claim("shingles")
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.column(0).slice(at, rows).to_pylist(), b.column(1).slice(at, rows).to_pylist()
@@ -157,12 +158,15 @@ class FrequentClass:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _class_of(halves: bytes) -> FrequentClass:
     """One for each worker: what is sent to it are the sorted halves alone."""
     return FrequentClass(np.frombuffer(halves, np.uint32))
 
 
+worker.register("shingles", lambda: (_words.cache_clear(), _class_of.cache_clear()))
+
+
 def parity_bitmap(s: np.ndarray) -> bytes:
     """Bit b is the parity of the shingles whose hash is b modulo the bitmap's length, at least twice the set's size."""
     bits = 1 << max(6, (2 * len(s) - 1).bit_length())
@@ -249,6 +253,7 @@ def _deal(ranges: int, first: int | None):
     """Packs the signatures of (key, n, sigs, label) rows by range; with ``first``, only that many of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.claim("signature ranges")
         edges = np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=_U)
         for b in batches:
             for start in range(0, b.num_rows, 8192):
@@ -297,6 +302,7 @@ class _Range:
 
 
 def _gather(table: pa.Table) -> _Range:
+    worker.claim("signature ranges")
     owners = np.concatenate([np.frombuffer(x.as_py(), _OWNER) for x in table["owners"]])
     keys, first, number = np.unique(owners["key"], return_index=True, return_inverse=True)
     labels, sizes, number = owners["label"][first], owners["n"][first].astype(np.int64), number.astype(np.uint32)
@@ -404,6 +410,7 @@ def _route(words: int):
     """Sends a text's set to every block that compares it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.claim("shingles")
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
@@ -427,6 +434,7 @@ def _led(table: pa.Table) -> tuple[int, tuple[int, bytes], dict[int, tuple[int,
 
 def _thin(table: pa.Table, num: int, den: int) -> pa.Table:
     """Pairs of a block whose bitmaps leave a link possible."""
+    worker.claim("signature ranges")
     lead, (n, own), sets = _led(table)
     kept = [k for k, (m, other) in sets.items() if (den + num) * bitmap_difference(own, other) <= (den - num) * (n + m)]
     return pa.table([pa.array([lead] * len(kept), pa.int64()), pa.array(kept, pa.int64())], schema=_PAIRS)
@@ -434,6 +442,7 @@ def _thin(table: pa.Table, num: int, den: int) -> pa.Table:
 
 def _verify(table: pa.Table, num: int, den: int) -> pa.Table:
     """Pairs of a block that link."""
+    worker.claim("signature ranges")
     lead, (n, packed), sets = _led(table)
     own = np.frombuffer(packed, _U)
     linked = []

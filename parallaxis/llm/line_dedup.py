@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm import storage
+from parallaxis.llm import storage, worker
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -121,6 +121,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, hi, lo) once for each row of ``docs(doc_id, text)`` and distinct key in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.claim("lines")
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, batch.num_rows, 1024):
@@ -240,6 +241,7 @@ class LineStore:
         schema = docs.select("doc_id", *keep).schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker.claim("lines")
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)

@@ -13,8 +13,10 @@ from unicodedata import is_normalized
 
 import numpy as np
 
+from parallaxis.llm import worker
+
 #: Distinct chunks kept per Python worker before the cache starts afresh.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 600_000
 
 
 def default_vocabulary() -> str:
@@ -100,6 +102,14 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
+worker.register("tokens", _encoder.cache_clear)
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder for each vocabulary in a Python worker."""
-    return WordEncoder(path)
+    worker.claim("tokens")
+    return _encoder(path)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallaxis.llm import worker
+
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -80,6 +82,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int, seen: Column) -> D
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker.claim("toxicity")
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -151,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, seen: Column | None = None, sample:
 
 def _score(model: NoisyOr, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.claim("toxicity")
         base, weight = float(np.logaddexp(0, model.bias)), WordWeights(model).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
