@@ -7,6 +7,7 @@ to packed little-endian uint32 ids turns encoding into dictionary look-ups.
 
 from __future__ import annotations
 
+import os
 import struct
 from functools import lru_cache
 from unicodedata import is_normalized
@@ -16,7 +17,7 @@ import numpy as np
 from parallaxis.llm import worker
 
 #: Distinct chunks kept per Python worker before the cache starts afresh.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -39,6 +40,8 @@ class WordEncoder:
     """Encodes texts to packed ids; ``path`` names a tokenizers JSON whose pre-tokenizer splits on white space."""
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+        # a task has one core; the library's own threads would only wait for work beside it
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
