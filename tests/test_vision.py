@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -244,6 +246,26 @@ def test_solver_queries_against_the_scene(spark):
     assert np.mean([0.19 <= r.depth <= 0.24 for r in near]) > 0.8
 
 
+def shared_points(spark, sf_dir):
+    """{(image, other image): points that both see}, by brute force, of a table of a hundred images."""
+    seen = {}
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect():
+        seen.setdefault(r.l_orderkey, set()).add(r.l_suppkey)
+    return Counter(p for s in seen.values() for p in itertools.permutations(s, 2))
+
+
+def test_top_sources_of_all_images(spark):
+    from parallaxis.plans import matching as plans
+
+    sf_dir = "/root/testdata/sf0.01"
+    of = {}
+    for (i, j), n in shared_points(spark, sf_dir).items():
+        of.setdefault(i, []).append((-n, j))
+    assert len(of) == 100
+    want = {(i, j, -n, rank) for i, rows in of.items() for rank, (n, j) in enumerate(sorted(rows)[:5], 1)}
+    assert sorted(map(tuple, plans.topn_sources(spark, sf_dir).collect())) == sorted(want)
+
+
 def test_turntable_repair():
     from parallaxis.operators import sfm, turntable
 
