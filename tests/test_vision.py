@@ -266,6 +266,17 @@ def test_top_sources_of_all_images(spark):
     assert sorted(map(tuple, plans.topn_sources(spark, sf_dir).collect())) == sorted(want)
 
 
+def test_source_candidates_of_all_images(spark):
+    from parallaxis.plans import matching as plans
+
+    sf_dir = "/root/testdata/sf0.01"
+    degrees = lambda i, j: abs(i - j) * 7 % 120
+    want = {(i, j): (n, np.sin(np.radians(min(30, degrees(i, j)))) * n) for (i, j), n in shared_points(spark, sf_dir).items() if 5 <= degrees(i, j) <= 90}
+    got = {(r.ref_id, r.src_id): (r.shared, r.score) for r in plans.source_candidates(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and len({i for i, _ in got}) == 100
+    assert all(got[p][0] == n and abs(got[p][1] - score) < 1e-6 for p, (n, score) in want.items())
+
+
 def test_turntable_repair():
     from parallaxis.operators import sfm, turntable
 
