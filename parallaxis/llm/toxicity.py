@@ -1,15 +1,16 @@
 """Toxicity by multiple-instance learning: noisy-or over sentences, trained from document labels alone.
 
-A sentence scores ``p = sigmoid(bias + sum of its words' weights)`` and a document ``1 - prod(1 - p)``. Labels say
-only whether some sentence is toxic; the likelihood of the noisy-or puts the blame on the sentences that toxic
-documents have and clean ones lack. A word's features are the word and its leading 3 to 8 letters, so that inflected
-and compounded forms share weights.
+A sentence scores ``p = sigmoid(bias + sum of its words' weights)`` and a document ``1 - prod(1 - p)``. A sentence adds
+to its document only what its words add to the bias, and one without known features nothing, so that length alone makes
+no document toxic; fitting takes the sentences that hold a known feature. Labels say only whether some sentence is
+toxic; the likelihood of the noisy-or puts the blame on the sentences that toxic documents have and clean ones lack. A
+word's features are the word and its leading 3 to 8 letters, so that inflected and compounded forms share weights.
 
 Fitting takes a bounded sample of labelled documents (``sample`` of each class, by hash of the id): its ids, at most
 ``2 * sample`` rows, are broadcast, features are counted on the executors, and the driver sees the ``features`` best
 of them and, for each sampled document, only the sentences that hold one. Scoring is a map over the whole texts.
 
-Edge cases: a null or empty text is one empty sentence and gets the score of the bias; null labels are ignored, and
+Edge cases: a null or empty text is one empty sentence and scores 0.0; null labels are ignored, and
 if one class has no labelled rows every score is the share of the other class's complement (0.0 or 1.0, 0.0 without
 labels); equal rows score equally; an empty table gives an empty result; extra columns are ignored.
 """
@@ -34,7 +35,7 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Labelled documents of each class, and candidate features, that fitting takes at most.
 SAMPLE, FEATURES = 6000, 8192
 THRESHOLD = 0.3
-#: A sentence without known features scores at most sigmoid of this, so that thousands of them stay below THRESHOLD.
+#: What a sentence's known features start from, at most.
 MAX_BIAS = -11.0
 
 
@@ -100,17 +101,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bags(index: dict[str, int]):
-    """For each document, its label, its sentences, and the known features of the sentences that have any."""
+    """For each document, its label and the known features of the sentences that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, rows = [], []
+            rows = []
             for text in batch.column(1).to_pylist():
-                sentences = SENTENCE.findall((text or "").lower()) or [""]
-                found = [[index[f] for w in set(WORD.findall(s)) for f in features(w) if f in index] for s in sentences]
-                total.append(len(sentences))
+                found = [[index[f] for w in set(WORD.findall(s)) for f in features(w) if f in index] for s in SENTENCE.findall((text or "").lower())]
                 rows.append([x for x in found if x])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(total, pa.int32()), pa.array(rows, pa.list_(pa.list_(pa.int32())))], names=["toxic", "n", "bags"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.list_(pa.int32())))], names=["toxic", "bags"])
 
     return run
 
@@ -123,29 +122,26 @@ def fit(docs: DataFrame, labels: DataFrame, seen: Column | None = None, sample:
     lean = F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5))
     best = counted.filter("pos >= 3 and pos > 2 * neg").orderBy(F.desc(lean * F.sqrt("pos")), "feature").limit(max_features)
     names = [r.feature for r in best.select("feature").collect()]
-    found = rows.mapInArrow(_bags({n: k for k, n in enumerate(names)}), "toxic int, n int, bags array<array<int>>").toArrow()
+    found = rows.mapInArrow(_bags({n: k for k, n in enumerate(names)}), "toxic int, bags array<array<int>>").toArrow()
     y = np.array(found["toxic"].to_pylist(), float)
     if not len(y) or y.min() == y.max():
         return NoisyOr({}, 0.0, float(y[0]) if len(y) else 0.0)
     order = np.arange(len(y))
     bags = found["bags"].to_pylist()
-    total = np.array(found["n"].to_pylist(), float)
     doc = np.repeat(order, [len(b) for b in bags])
     sentences = [s for b in bags for s in b]
     entry = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
     feature = np.array([f for s in sentences for f in s], np.int64)
-    plain = total - np.bincount(doc, minlength=len(y))
     w, b = np.zeros(len(names)), MAX_BIAS
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
         z = b + np.bincount(entry, w[feature], len(sentences))
         p = 1 / (1 + np.exp(-z))
-        p0 = 1 / (1 + np.exp(-b))
-        clean = np.bincount(doc, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, b)  # -log(1 - P)
+        clean = np.bincount(doc, np.logaddexp(0, z), len(y))  # -log(1 - P)
         # d loss / d clean: 1 for clean documents, -(1 - P) / P for toxic ones
         g = np.where(y == 1, -1 / np.expm1(np.maximum(clean, 1e-9)), 1.0)
         gz = g[doc] * p
-        grad = np.append(np.bincount(feature, gz[entry], len(w)) + ridge * w, gz.sum() + (g * plain).sum() * p0) / len(y)
+        grad = np.append(np.bincount(feature, gz[entry], len(w)) + ridge * w, gz.sum()) / len(y)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], min(b - move[-1], MAX_BIAS)
@@ -169,12 +165,12 @@ def _score(model: NoisyOr, columns: list[str]):
                     clean, own = 0.0, []
                     for a, b in places:
                         z = model.bias + sum(map(weight, set(WORD.findall(text[a:b].lower()))))
-                        clean += float(np.logaddexp(0, z))
+                        if z <= model.bias:
+                            continue
+                        clean += float(np.logaddexp(0, z)) - base
                         p = float(1 / (1 + np.exp(-z)))
                         if p >= THRESHOLD:
                             own.append({"start": a, "end": b, "score": p})
-                    if not hit:
-                        clean = count * base
                     n.append(count)
                     spans.append(own)
                     score.append(model.constant if model.constant is not None else float(-np.expm1(-clean)))

@@ -257,6 +257,16 @@ def test_toxicity_locates_sentences(spark, awkward, empty):
     assert toxicity.fit(frame, frame.select("doc_id", "toxic").limit(0)).constant == 0.0
 
 
+def test_toxicity_of_long_clean_texts(spark):
+    model = toxicity.NoisyOr({"=vilest": 14.0, "=clean": -1.0, "=sentence": 0.01}, toxicity.MAX_BIAS)
+    clean = "a clean sentence. " * 100_000
+    rows = [(1, clean), (2, clean + "the vilest words."), (3, clean.replace(". ", "\n")), (4, "the vilest words."), (5, None)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert max(got[k].score for k in (1, 3, 5)) == 0 and got[1].offending == got[3].offending == []
+    assert got[2].score == got[4].score > 0.9 and [s.start for s in got[2].offending] == [len(clean) - 1]
+    assert (got[1].n_sentences, got[3].n_sentences, got[5].n_sentences) == (100_001, 100_000, 1)
+
+
 # 5 -----------------------------------------------------------------------------------------------------------------
 
 
