@@ -60,23 +60,33 @@ def bundle_adjust(spark, sf_dir):
     return epipolar.adjust_points(rows.select("point_id", "x", "y", "z", "u", "v", *geometry.R, *geometry.T), synthetic.FOCAL, synthetic.CENTER_X, synthetic.CENTER_Y)
 
 
-@query("sfm_run")
-def sfm_run(spark, sf_dir):
-    """(image_id, R, t) of a scene of twelve cameras, thirty degrees of the ring apart at most: one scene is one task."""
-    rows = sightings(spark).filter("image_id < 12").withColumn("scene", F.lit(0))
+def _reconstructed(sightings: DataFrame) -> DataFrame:
+    """(image_id, R, t, points) from matches of cameras at most thirty degrees of the ring apart: one scene is one task."""
+    rows = sightings.withColumn("scene", F.lit(0))
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         keypoints, number = {}, {}
         for image, own in g.sort_values(["image_id", "kp_id"]).groupby("image_id"):
             keypoints[int(image)] = own[["u", "v"]].to_numpy()
             number[int(image)] = {int(v): n for n, v in enumerate(own.kp_id)}
-        matches = {(i, j): [(number[i][v], number[j][v]) for v in number[i] if v in number[j]] for i in keypoints for j in keypoints if i < j <= i + 3}
+        matches = {(i, j): [(number[i][v], number[j][v]) for v in number[i] if v in number[j]] for i in keypoints for j in keypoints if i < j and min(j - i, synthetic.VIEWS - j + i) <= 3}
         scene = sfm.reconstruct(keypoints, matches, K)
         return pd.DataFrame({"image_id": list(scene.poses), "R": [r.ravel() for r, _ in scene.poses.values()], "t": [t for _, t in scene.poses.values()], "points": len(scene.points)})
 
     return rows.groupBy("scene").applyInPandas(one, "image_id long, R array<double>, t array<double>, points long")
 
 
+@query("sfm_run")
+def sfm_ring(spark, sf_dir):
+    """All cameras of the ring and all vertices."""
+    return _reconstructed(sightings(spark, 1))
+
+
+def sfm_run(spark, sf_dir):
+    """A smaller scene for tests: twelve cameras and every seventh vertex."""
+    return _reconstructed(sightings(spark).filter("image_id < 12"))
+
+
 def _rendered(spark, width: int, height: int, images: str) -> DataFrame:
     """(image_id, width, height, gray): shaded sphere with a smooth pattern, packed as float32."""
     focal, cx, cy = synthetic.FOCAL * width / synthetic.WIDTH, width / 2, height / 2

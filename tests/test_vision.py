@@ -301,6 +301,44 @@ def test_turntable_repair():
     assert all(np.allclose(scene.poses[i][0], truth[i][0], atol=0.02) for i in range(n))
 
 
+def test_reconstruction_repairs_repeated_texture():
+    from parallaxis.operators import sfm, turntable
+
+    rng = np.random.default_rng(4)
+    n, k = 12, np.array([[800.0, 0, 320], [0, 800.0, 240], [0, 0, 1]])
+    x = rng.normal(0, 0.25, (120, 3))
+    truth = []
+    for a in 2 * np.pi * np.arange(n) / n:
+        c = 3 * np.array([np.cos(a), np.sin(a), 0.15])
+        fwd = -c / np.linalg.norm(c)
+        right = np.cross(fwd, [0, 0, 1])
+        right /= np.linalg.norm(right)
+        r = np.stack([right, np.cross(fwd, right), fwd])
+        truth.append((r, -r @ c))
+    looks = [(q := (x @ r.T + t) @ k.T)[:, :2] / q[:, 2:] for r, t in truth]
+    matches = {(i, j): [(m, m) for m in range(120)] for i in range(n) for j in range(i + 1, n)}
+    # the far side looks like the near one
+    scene = sfm.reconstruct({i: looks[i % 6] for i in range(n)}, matches, k)
+    turned = [scene.poses[i][0] @ scene.poses[0][0].T for i in range(n)]
+    assert all(np.allclose(q, truth[i][0] @ truth[0][0].T, atol=0.1) for i, q in enumerate(turned))
+    assert turntable.duplicates(turntable.angles(scene, 0, turntable.orbit_axis(scene, 0)), n) == 0
+    noisy = {i: p + rng.normal(0, 0.5, p.shape) for i, p in enumerate(looks)}
+    centres = [np.array([s.centre(i) for i in range(n)]) for s in (sfm.reconstruct(noisy, matches, k, turntable=flag) for flag in (False, True))]
+    off = [np.abs(sfm.on_circle(c) - c).max() for c in centres]
+    assert off[0] > 1e-5 and off[1] < 1e-9
+
+
+def test_registered_reconstruction_has_the_whole_ring(spark):
+    from parallaxis.plans import catalog
+
+    got = {r.image_id: (np.reshape(r.R, (3, 3)), np.array(r.t), r.points) for r in catalog.QUERIES["sfm_run"](spark, "").collect()}
+    truth = {r.image_id: (np.array([r[c] for c in geometry.R]).reshape(3, 3), np.array([r[c] for c in geometry.T])) for r in synthetic.ring_cameras(spark).collect()}
+    assert set(got) == set(truth) == set(range(36)) and got[0][2] > 1500
+    a, b = (np.array([-p[i][0].T @ p[i][1] for i in range(36)]) for p in (got, truth))
+    s, q, t = epipolar.umeyama(a, b)
+    assert np.linalg.norm(s * a @ q.T + t - b, axis=1).max() < 0.05 * 0.5
+
+
 def test_command_line(capsys):
     from parallaxis import cli
 
