@@ -30,7 +30,7 @@ def sightings(spark, every: int = 7) -> DataFrame:
 @query("fundamental_ransac")
 def fundamental_ransac(spark, sf_dir):
     """Verified matches of neighbouring cameras."""
-    own = sightings(spark)
+    own = sightings(spark, 1)
     a = own.select(F.col("image_id").alias("image_i"), "kp_id", F.col("u").alias("xi"), F.col("v").alias("yi"))
     b = own.select(F.col("image_id").alias("image_j"), "kp_id", F.col("u").alias("xj"), F.col("v").alias("yj"))
     met = a.join(b, "kp_id").filter("image_j = image_i + 1").select("image_i", "image_j", F.col("kp_id").alias("kp_i"), F.col("kp_id").alias("kp_j"), "xi", "yi", "xj", "yj")
@@ -54,9 +54,9 @@ def triangulate(spark, sf_dir):
 
 @query("bundle_adjust")
 def bundle_adjust(spark, sf_dir):
-    """Points moved off by a millimetre and adjusted with fixed cameras."""
+    """Points moved off by a millimetre and adjusted with fixed cameras, all of them; cameras stay as they are."""
     points = synthetic.sphere_vertices(spark).select(F.col("v_id").alias("point_id"), *((F.col(c) + 0.001).alias(c) for c in "xyz"))
-    rows = sightings(spark).withColumnRenamed("kp_id", "point_id").join(F.broadcast(synthetic.ring_cameras(spark)), "image_id").join(points, "point_id")
+    rows = sightings(spark, 1).withColumnRenamed("kp_id", "point_id").join(F.broadcast(synthetic.ring_cameras(spark)), "image_id").join(points, "point_id")
     return epipolar.adjust_points(rows.select("point_id", "x", "y", "z", "u", "v", *geometry.R, *geometry.T), synthetic.FOCAL, synthetic.CENTER_X, synthetic.CENTER_Y)
 
 
@@ -109,8 +109,8 @@ def _rendered(spark, width: int, height: int, images: str) -> DataFrame:
 
 @query("sift_cuda")
 def sift_cuda(spark, sf_dir):
-    """Features of three rendered views."""
-    return features.detect_all(_rendered(spark, 160, 120, "image_id < 3")).drop("descriptor")
+    """Features of all rendered views."""
+    return features.detect_all(_rendered(spark, 160, 120, "true")).drop("descriptor")
 
 
 @query("mvs_run")

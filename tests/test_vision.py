@@ -277,6 +277,16 @@ def test_source_candidates_of_all_images(spark):
     assert all(got[p][0] == n and abs(got[p][1] - score) < 1e-6 for p, (n, score) in want.items())
 
 
+def test_solver_queries_take_the_whole_scene(spark):
+    from parallaxis.plans import solvers
+
+    seen = {r.kp_id for r in solvers.sightings(spark, 1).select("kp_id").distinct().collect()}
+    assert {r.point_id for r in solvers.bundle_adjust(spark, "").collect()} == seen and len(seen) > 1700
+    pairs = solvers.fundamental_ransac(spark, "").collect()
+    assert {r.image_i for r in pairs} == set(range(35)) and any(r.kp_i % 7 for r in pairs)
+    assert {r.image_id for r in solvers.sift_cuda(spark, "").collect()} == set(range(36))
+
+
 def test_turntable_repair():
     from parallaxis.operators import sfm, turntable
 
