@@ -11,6 +11,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,12 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder, removed when the driver exits."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_sweep)
     _made.append((spark, path))
     return path
 
 
+@atexit.register
 def _sweep() -> None:
     for spark, path in _made:
         try:
@@ -69,7 +69,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Removes the tables of frames that ``materialize`` returned and that nothing will read again."""
+    for frame in frames:
+        path = getattr(frame, "_stored_at", None)
+        if path is not None:
+            remove(frame.sparkSession, path)
+            _made[:] = [m for m in _made if m[1] != path]
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, with as many leading underscores as make it differ from the names taken, whatever their case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
