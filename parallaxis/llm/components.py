@@ -34,7 +34,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     state = None
     for _ in range(rounds):
-        edges = storage.materialize(_star(_star(edges, True), False), "edges")
+        before, edges = edges, storage.materialize(_star(_star(edges, True), False), "edges")
+        storage.drop(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -14,17 +14,23 @@ whoever else has them there. The classes only steer how selective signatures are
 Candidates, in three rounds. First, every set is compared with the leader of each of the groups that share one of its
 first ``STARS`` shingles; then, across components only, with a few chance neighbours in the groups of its first
 ``CHAINED``. That settles groups of near copies without their pairs. Last, all sets that share a signature are compared
-unless they are in one component already, or their sizes, their places in the order or their digests rule a link out. A digest is a parity bitmap: two of them differ in no more bits than their sets in shingles. Larger bitmaps
-thin the pairs again, and the others are verified on whole sets, in groups dealt out by the leading set in blocks of
-``BLOCK``.
+unless they are in one component already, or their sizes, their places in the order or their digests rule a link out.
+A digest is a parity bitmap: two of them differ in no more bits than their sets in shingles. Larger bitmaps thin the
+pairs again, and the others are verified on whole sets, in groups dealt out by the leading set in blocks of ``BLOCK``.
 
-Signatures travel as packed arrays by signature range, about ``RANGE_ENTRIES`` entries in each. Copies of a set
-collapse wherever they meet. Before a join, rows are thinned by a semi-join on the id's hash modulo ``BUCKETS``, whose
-broadcast side has at most that many numbers; nothing that grows with the corpus is broadcast or collected.
+Texts are shingled once, into a table of packed sets. Signatures travel as packed arrays by signature range, about
+``RANGE_ENTRIES`` entries in each; a range that a hot signature makes wider than ``WIDE`` is cut into blocks of owners,
+and every two blocks meet in a task of their own. Copies of a set collapse wherever they meet. Before a join, rows are
+thinned by a semi-join on the id's hash modulo ``thinning.BUCKETS``, whose broadcast side has at most that many numbers; nothing
+that grows with the corpus is broadcast, and the driver collects one number for each wide range.
+
+Sets are told apart by 128 bits: 64 are the key, and where two sets have one key the other 64 make new ones.
 
 Edge cases: null and empty texts have no shingles and are alone; texts shorter than a shingle are one shingle; a null
 doc_id is never a component_id unless all of its component are null; repeated rows are rows of their own in one
-component; an empty table gives an empty result; extra columns are ignored.
+component; an empty table gives an empty result; extra columns are ignored. ``one_of_each`` keeps one row of each
+component, that of the smallest doc_id, and of its repeated rows the one of least JSON text; of texts without
+shingles, one row for each doc_id, and all whose doc_id is null.
 """
 
 from __future__ import annotations
@@ -37,11 +43,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parallaxis.llm import storage, worker
 from parallaxis.llm.components import components
+from parallaxis.llm.thinning import thinned
 
 K = 2
 #: A shingle is frequent if more sets than this hold it near the front; at most FREQUENT_KEPT are (4 bytes each, broadcast).
@@ -49,8 +57,9 @@ FREQUENT, FREQUENT_KEPT = 32, 1_000_000
 #: Frequent shingles of a set whose combinations are indexed at most.
 COMBINED = 40
 RANGE_ENTRIES, BLOCK, STARS, CHAINED = 500_000, 256, 3, 10
+#: Entries of a range above which it is cut, and front shingles that are counted in one group on average.
+WIDE, FRONT_ENTRIES = 4 * RANGE_ENTRIES, 2_000_000
 CACHED_WORDS = 200_000
-BUCKETS = 1 << 20
 #: 64-bit words of the parity bitmap that travels with every signature's owner.
 DIGEST_WORDS = 4
 
@@ -92,49 +101,58 @@ def shingles(text: str | None, words: int) -> np.ndarray:
         return np.unique(_mix(out))
 
 
-def set_key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set from others, as two longs."""
+    found = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
 
 
 def need(n, num: int, den: int):
     return -(-num * n // den)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[tuple[list, list]]:
-    worker.claim("shingles")
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.column(0).slice(at, rows).to_pylist(), b.column(1).slice(at, rows).to_pylist()
+def _scan(words: int):
+    """Each document's size of set and key, and the packed set with the first document of a batch that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.claim("shingles")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                keys, others, sizes, packed, seen = [], [], [], [], set()
+                for text in batch.column(1).slice(at, 512).to_pylist():
+                    s = shingles(text, words)
+                    own = set_key(s)
+                    keys.append(own[0])
+                    others.append(own[1])
+                    sizes.append(len(s))
+                    packed.append(None if own in seen or not len(s) else s.tobytes())
+                    seen.add(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(packed, pa.binary())], names=_SCAN)
+
+    return run
+
+
+_SCAN = ["doc_id", "n", "key", "other", "packed"]
 
 
-def _scan(words: int, num: int, den: int, ranges: int):
-    """Rows of two kinds: each document's set key and size; and, by range, the front shingles' upper halves."""
+def _fronts(num: int, den: int, spans: int):
+    """The upper halves of the shingles at the front of each set, by span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _batches(batches):
-            keys, sizes, fronts, seen = [], [], [], set()
-            for text in texts:
-                s = shingles(text, words)
-                keys.append(set_key(s))
-                sizes.append(len(s))
-                if len(s) > 1 and keys[-1] not in seen:
-                    seen.add(keys[-1])
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                fronts = []
+                for packed in b.column(0).slice(at, 4096).to_pylist():
+                    s = np.frombuffer(packed, _U)
                     fronts.append((s[: len(s) - need(len(s), num, den) + 8] >> _U(32)).astype(np.uint32))
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_SCAN)
-            if fronts:
                 front = np.sort(np.concatenate(fronts))
-                cut = np.searchsorted(front, (np.arange(ranges + 1) << 32) // ranges)
-                parts = [(r, front[a:b].tobytes()) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([r for r, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=_SCAN)
+                cut = np.searchsorted(front, (np.arange(spans + 1) << 32) // spans)
+                parts = [(r, front[a:z].tobytes()) for r, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["span", "front"])
 
     return run
 
 
-_SCAN = ["doc_id", "n", "key", "span", "front"]
-
-
 def _frequent(table: pa.Table, more_than: int) -> pa.Table:
     values, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in table["front"].to_pylist()]), return_counts=True)
     keep = counts > more_than
@@ -187,13 +205,18 @@ def bitmap_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def least_size(num: int, den: int) -> int:
+    """Shingles of the smallest set that another one may link to: a single one is in half of another set at most."""
+    return 2 if 2 * num > den else 1
+
+
 SINGLE, MEETS_DENSE, DENSE = 0, 1, 2
 
 
 def signatures(s: np.ndarray, frequent: FrequentClass, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A set's signatures, the places of their first shingles in the set's order, and their kinds."""
     n = len(s)
-    if n < 2:  # equal sets are one class, and no other set links to a single shingle
+    if n < least_size(num, den):
         return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
     common = frequent(s)
     ordered = np.concatenate([s[~common], s[common]])
@@ -223,38 +246,75 @@ _STORED = np.dtype([("sig", "<u8"), ("at_kind", "<u2")])
 LAST_PLACE = (1 << 14) - 1
 
 
-def _sign(words: int, num: int, den: int, halves: bytes):
-    """(key, n, packed signatures, parity bitmap) of each text, once for each set in a batch."""
+def _sign(num: int, den: int, halves: bytes):
+    """(key, n, packed signatures, parity bitmap, digest) of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.claim("shingles")
         frequent = _class_of(halves)
-        for _, texts in _batches(batches):
-            keys, sizes, packed, maps, digests = [], [], [], [], []
-            seen = set()
-            for text in texts:
-                s = shingles(text, words)
-                if len(s) < 2 or (key := set_key(s)) in seen:
-                    continue
-                seen.add(key)
-                sig, at, kind = signatures(s, frequent, num, den)
-                entry = np.zeros(len(sig), _STORED)
-                entry["sig"], entry["at_kind"] = sig, np.minimum(at, LAST_PLACE) * 4 + kind
-                keys.append(key)
-                sizes.append(len(s))
-                packed.append(entry.tobytes())
-                maps.append(parity_bitmap(s))
-                digests.append(digest(s))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.array(maps, pa.binary()), pa.array(digests, pa.binary())], names=["key", "n", "sigs", "bitmap", "digest"])
+        for b in batches:
+            for start in range(0, b.num_rows, 1024):
+                part = b.slice(start, 1024)
+                signed, maps, digests = [], [], []
+                for packed in part.column("packed").to_pylist():
+                    s = np.frombuffer(packed, _U)
+                    sig, at, kind = signatures(s, frequent, num, den)
+                    entry = np.zeros(len(sig), _STORED)
+                    entry["sig"], entry["at_kind"] = sig, np.minimum(at, LAST_PLACE) * 4 + kind
+                    signed.append(entry.tobytes())
+                    maps.append(parity_bitmap(s))
+                    digests.append(digest(s))
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n"), pa.array(signed, pa.binary()), pa.array(maps, pa.binary()), pa.array(digests, pa.binary())], names=["key", "n", "sigs", "bitmap", "digest"])
 
     return run
 
 
-def _deal(ranges: int, first: int | None):
-    """Packs the signatures of (key, n, sigs, label) rows by range; with ``first``, only that many of each set."""
+def _edges(ranges: int) -> np.ndarray:
+    return np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=_U)
+
+
+def _tally(ranges: int, first: int | None):
+    """How many signatures fall into each range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, total = _edges(ranges), np.zeros(ranges, np.int64)
+        for b in batches:
+            for packed in b.column(0):
+                total += np.bincount(np.searchsorted(edges, np.frombuffer(packed.as_py(), _STORED)[:first]["sig"], "right"), minlength=ranges)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["span", "entries"])
+
+    return run
+
+
+def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_mix(keys.view(_U)) % _U(blocks)).astype(np.int64)
+
+
+def _everyone(block: int, blocks: int) -> list[tuple[int, int]]:
+    """The pairs of blocks that a block is in, if all blocks meet."""
+    return [(min(block, k), max(block, k)) for k in range(blocks)]
+
+
+def _leaders(block: int, blocks: int) -> list[tuple[int, int]]:
+    """The pairs of blocks that a block is in, if all meet the first alone."""
+    return [(0, k) for k in range(blocks)] if block == 0 else [(0, block)]
+
+
+def _alone(block: int, blocks: int) -> list[tuple[int, int]]:
+    return [(block, block)]
+
+
+def _deal(ranges: int, first: int | None, wide: dict[int, int], meets: Callable[[int, int], list[tuple[int, int]]]):
+    """Packs the signatures of (key, n, sigs, label) rows by range; with ``first``, only that many of each set.
+
+    ``wide`` gives the number of blocks of the ranges that are cut, ``meets`` the pairs of blocks that need a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.claim("signature ranges")
-        edges = np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=_U)
+        edges = _edges(ranges)
         for b in batches:
             for start in range(0, b.num_rows, 8192):
                 part = b.slice(start, 8192)
@@ -271,13 +331,22 @@ def _deal(ranges: int, first: int | None):
                 entries = entries[np.argsort(entries["sig"], kind="stable")]
                 cut = [0, *np.searchsorted(entries["sig"], edges), len(entries)]
                 rows = []
+
+                def put(r: int, i: int, j: int, own: np.ndarray, owners: np.ndarray = owners, rows: list = rows) -> None:
+                    own = own.copy()
+                    used, own["doc"] = np.unique(own["doc"], return_inverse=True)
+                    # field by field, which compresses better than entry by entry
+                    rows.append((r, i, j, owners[used].tobytes(), b"".join(own[c].tobytes() for c in ("sig", "doc", "at_kind"))))
+
                 for r, (a, z) in enumerate(zip(cut, cut[1:])):
-                    if z > a:
-                        own = entries[a:z].copy()
-                        used, own["doc"] = np.unique(own["doc"], return_inverse=True)
-                        # field by field, which compresses better than entry by entry
-                        rows.append((r, owners[used].tobytes(), b"".join(own[c].tobytes() for c in ("sig", "doc", "at_kind"))))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["span", "owners", "entries"])
+                    if z > a and r not in wide:
+                        put(r, 0, 0, entries[a:z])
+                    elif z > a:
+                        block = _block_of(owners["key"][entries["doc"][a:z]], wide[r])
+                        for k in np.unique(block):
+                            for i, j in meets(int(k), wide[r]):
+                                put(r, i, j, entries[a:z][block == k])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["span", "i", "j", "owners", "entries"])
 
     return run
 
@@ -294,6 +363,12 @@ class _Range:
     labels: np.ndarray
     sizes: np.ndarray
     bits: np.ndarray
+    #: The block that each set is of, if two blocks of a range that was cut meet here.
+    side: np.ndarray | None
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray | bool:
+        """Whether two sets are of different blocks, where blocks meet that have met themselves elsewhere."""
+        return True if self.side is None else self.side[x] != self.side[y]
 
     def near(self, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
         """Whether digests differ in no more bits than linked sets of these sizes differ in shingles."""
@@ -301,8 +376,9 @@ class _Range:
         return (den + num) * apart <= (den - num) * (self.sizes[x] + self.sizes[y])
 
 
-def _gather(table: pa.Table) -> _Range:
+def _gather(table: pa.Table, wide: dict[int, int]) -> _Range:
     worker.claim("signature ranges")
+    span, i, j = (table[c][0].as_py() for c in ("span", "i", "j"))
     owners = np.concatenate([np.frombuffer(x.as_py(), _OWNER) for x in table["owners"]])
     keys, first, number = np.unique(owners["key"], return_index=True, return_inverse=True)
     labels, sizes, number = owners["label"][first], owners["n"][first].astype(np.int64), number.astype(np.uint32)
@@ -321,7 +397,8 @@ def _gather(table: pa.Table) -> _Range:
     fresh[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
     sig, own, at_kind = sig[fresh], own[fresh], at_kind[fresh]
     bounds = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
-    return _Range(own, at_kind >> 2, at_kind & 3, bounds, keys, labels, sizes, owners["bits"][first])
+    side = _block_of(keys, wide[span]) if i != j else None
+    return _Range(own, at_kind >> 2, at_kind & 3, bounds, keys, labels, sizes, owners["bits"][first], side)
 
 
 def _possible(n1, at1, n2, at2, num: int, den: int):
@@ -340,10 +417,14 @@ def _pairs(found: _Range, a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
     return pa.table([pa.array(found.keys[both >> 32]), pa.array(found.keys[both & 0xFFFFFFFF])], schema=_PAIRS)
 
 
-def _stars(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Every set of a run with the run's leader."""
-    f = _gather(table)
-    head = np.repeat(f.bounds[:-1], np.diff(f.bounds))
+def _stars(f: _Range, num: int, den: int) -> pa.Table:
+    """Every set of a run with the run's leader, which is of the first block if that has any of the run."""
+    leads = f.bounds[:-1]
+    if f.side is not None:
+        place = np.where(f.side[f.own] == 0, np.arange(len(f.own)), len(f.own))
+        first = np.minimum.reduceat(place, leads)
+        leads = np.where(first < f.bounds[1:], first, leads)
+    head = np.repeat(leads, np.diff(f.bounds))
     n, at = f.sizes[f.own], f.at.astype(np.int64)
     ok = (np.arange(len(f.own)) != head) & _possible(n, at, n[head], at[head], num, den)
     x, y = f.own[head[ok]], f.own[ok]
@@ -351,9 +432,8 @@ def _stars(table: pa.Table, num: int, den: int) -> pa.Table:
     return _pairs(f, [x[ok]], [y[ok]])
 
 
-def _chains(table: pa.Table, num: int, den: int) -> pa.Table:
+def _chains(f: _Range, num: int, den: int) -> pa.Table:
     """Every set of a run with the next two of other components, in an order of chance that differs between runs."""
-    f = _gather(table)
     run = np.repeat(np.arange(len(f.bounds) - 1), np.diff(f.bounds))
     with np.errstate(over="ignore"):
         chance = _mix(f.keys.view(_U)[f.own] ^ (run.astype(_U) + _U(1)) * _P)
@@ -370,15 +450,14 @@ def _chains(table: pa.Table, num: int, den: int) -> pa.Table:
     return _pairs(f, a, b)
 
 
-def _crossings(table: pa.Table, num: int, den: int, rows: int = 256) -> pa.Table:
+def _crossings(f: _Range, num: int, den: int, rows: int = 256) -> pa.Table:
     """Sets that share a run and may link, of different components."""
-    f = _gather(table)
     a, b = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
     runs = np.diff(f.bounds)
 
     def fitting(i, j):
         x, y = f.own[i], f.own[j]
-        ok = (f.labels[x] != f.labels[y]) & _possible(f.sizes[x], f.at[i].astype(np.int64), f.sizes[y], f.at[j].astype(np.int64), num, den)
+        ok = (f.labels[x] != f.labels[y]) & f.apart(x, y) & _possible(f.sizes[x], f.at[i].astype(np.int64), f.sizes[y], f.at[j].astype(np.int64), num, den)
         p, q = f.kind[i], f.kind[j]
         return ok & ((p == SINGLE) & (q == SINGLE) | (p == DENSE) | (q == DENSE))
 
@@ -406,25 +485,6 @@ def _crossings(table: pa.Table, num: int, den: int, rows: int = 256) -> pa.Table
     return _pairs(f, a, b)
 
 
-def _route(words: int):
-    """Sends a text's set to every block that compares it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker.claim("shingles")
-        for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                rows = []
-                for text, key, routes in zip(part.column("_text").to_pylist(), part.column("key").to_pylist(), part.column("routes").to_pylist()):
-                    s = shingles(text, words)
-                    if set_key(s) == key:
-                        packed = s.tobytes()
-                        rows += [(r["a"], r["block"], key, len(s), packed) for r in routes]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["a", "block", "key", "n", "sent"])
-
-    return run
-
-
 def _led(table: pa.Table) -> tuple[int, tuple[int, bytes], dict[int, tuple[int, bytes]]]:
     """The leading key of a block, what was sent of its set, and of the sets that it is compared with."""
     lead = table["a"][0].as_py()
@@ -452,14 +512,7 @@ def _verify(table: pa.Table, num: int, den: int) -> pa.Table:
         both = int((own[np.minimum(near, n - 1)] == other).sum())
         if den * both >= num * (n + m - both):
             linked.append(key)
-    return pa.table({"u": pa.array([lead] * len(linked), pa.int64()), "v": pa.array(linked, pa.int64())})
-
-
-def _thinned(frame: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """Rows of ``frame`` whose id falls into a bucket that an id of ``ids`` falls into: a superset of the semi-join."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    hit = ids.select(bucket(id_column).alias("_bucket")).distinct()
-    return frame.withColumn("_bucket", bucket(column)).join(F.broadcast(hit), "_bucket", "left_semi").drop("_bucket")
+    return pa.table([pa.array([lead] * len(linked), pa.int64()), pa.array(linked, pa.int64())], schema=_PAIRS)
 
 
 class JaccardJoin:
@@ -469,13 +522,15 @@ class JaccardJoin:
         self.docs, self.words, self.num, self.den = docs.select("doc_id", "text"), words, num, den
         self.spark = docs.sparkSession
 
-    def _ranges(self, entries: int) -> int:
-        return max(2 * self.spark.sparkContext.defaultParallelism, -(-entries // RANGE_ENTRIES))
+    def _ranges(self, entries: int, each: int) -> int:
+        return max(2 * self.spark.sparkContext.defaultParallelism, -(-entries // each))
 
-    def _candidates(self, signed: DataFrame, meet: Callable[[pa.Table, int, int], pa.Table], ranges: int, first: int | None = None) -> DataFrame:
-        num, den = self.num, self.den
-        dealt = signed.select("key", "n", "sigs", "digest", "label").mapInArrow(_deal(ranges, first), "span long, owners binary, entries binary")
-        met = dealt.groupBy("span").applyInArrow(lambda t: meet(t, num, den), "a long, b long")
+    def _candidates(self, signed: DataFrame, meet: Callable[[_Range, int, int], pa.Table], meets: Callable, entries: int, first: int | None = None) -> DataFrame:
+        num, den, ranges = self.num, self.den, self._ranges(entries, RANGE_ENTRIES)
+        tally = signed.select("sigs").mapInArrow(_tally(ranges, first), "span long, entries long").groupBy("span").agg(F.sum("entries").alias("entries"))
+        wide = {r.span: -(-r.entries // RANGE_ENTRIES) for r in tally.filter(F.col("entries") > WIDE).collect()}
+        dealt = signed.select("key", "n", "sigs", "digest", "label").mapInArrow(_deal(ranges, first, wide, meets), "span long, i long, j long, owners binary, entries binary")
+        met = dealt.groupBy("span", "i", "j").applyInArrow(lambda t: meet(_gather(t, wide), num, den), "a long, b long")
         return storage.materialize(met.distinct(), "candidates")
 
     @staticmethod
@@ -487,42 +542,59 @@ class JaccardJoin:
         # only blocks that a pair falls into need their head
         return blocked.unionByName(heads.join(blocked.select("a", "block").distinct(), ["a", "block"], "left_semi").select("key", "a", "block"))
 
-    def _verified(self, pairs: DataFrame, reps: DataFrame, signed: DataFrame) -> DataFrame:
+    def _met(self, pairs: DataFrame, sent: DataFrame, column: str, compare: Callable[[pa.Table, int, int], pa.Table], label: str) -> DataFrame:
+        """Pairs for which ``compare`` holds on what ``column`` of ``sent(key, n)`` gives of both sets."""
         num, den = self.num, self.den
         sides = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
-        maps = _thinned(signed.select("key", "n", "bitmap"), "key", sides, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("bitmap").alias("sent"))
-        thinned = self._routes(pairs).join(maps, "key").groupBy("a", "block").applyInArrow(lambda t: _thin(t, num, den), "a long, b long")
-        thinned = storage.materialize(thinned, "thinned")
-        routes = storage.materialize(self._routes(thinned).groupBy("key").agg(F.collect_list(F.struct("a", "block")).alias("routes")).join(reps, "key").withColumnRenamed("doc_id", "_id"), "routes")
-        texts = _thinned(self.docs.select("doc_id", F.col("text").alias("_text")), "doc_id", routes, "_id").join(routes, F.col("doc_id").eqNullSafe(F.col("_id")))
-        sent = texts.select("_text", "key", "routes").mapInArrow(_route(self.words), "a long, block long, key long, n long, sent binary").groupBy("a", "block")
-        return storage.materialize(sent.applyInArrow(lambda t: _verify(t, num, den), "u long, v long"), "links")
-
-    def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every row."""
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        scanned = storage.materialize(self.docs.mapInArrow(_scan(self.words, self.num, self.den, parts), "doc_id long, n long, key long, span long, front binary"), "shingle-sets")
-        rows = scanned.filter("span is null").select("doc_id", "n", "key")
-        reps = storage.materialize(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
-        common = scanned.filter("span is not null").select("span", "front").groupBy("span").applyInArrow(lambda t: _frequent(t, FREQUENT), "half long, sets long")
+        own = thinned(sent.select("key", "n", column), ["key"], sides).groupBy("key").agg(F.first("n").alias("n"), F.first(column).alias("sent"))
+        return storage.materialize(self._routes(pairs).join(own, "key").groupBy("a", "block").applyInArrow(lambda t: compare(t, num, den), "a long, b long"), label)
+
+    def _scanned(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, n, key, other, packed) of all rows, and the classes (key, other, doc_id) of those with shingles."""
+        scanned = storage.materialize(self.docs.mapInArrow(_scan(self.words), "doc_id long, n long, key long, other long, packed binary"), "shingle-sets")
+        while True:
+            classes = storage.materialize(scanned.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("other"), F.max("other").alias("most")), "classes")
+            clash = classes.filter("other <> most").select(F.col("key").alias("_key"))
+            if clash.isEmpty():
+                return scanned, classes
+            hit = scanned.join(clash, F.col("key") == F.col("_key"), "left").withColumn("key", F.when(F.col("_key").isNull(), F.col("key")).otherwise(F.xxhash64("key", "other"))).drop("_key")
+            scanned, before = storage.materialize(hit, "shingle-sets"), scanned
+            storage.drop(before, classes)
+
+    def resolve(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, n, key, other) of every row, and (key, other, doc_id, root) of every class of equal sets."""
+        num, den = self.num, self.den
+        scanned, classes = self._scanned()
+        sets = scanned.filter((F.col("n") >= least_size(num, den)) & F.col("packed").isNotNull()).select("key", "n", "packed")
+        shingled, many = sets.agg(F.sum("n"), F.count(F.lit(1))).first()
+        spans = self._ranges(((den - num) * (shingled or 0) // den) + 9 * many, FRONT_ENTRIES)
+        common = sets.select("packed").mapInArrow(_fronts(num, den, spans), "span long, front binary").groupBy("span").applyInArrow(lambda t: _frequent(t, FREQUENT), "half long, sets long")
         kept = common.orderBy(F.desc("sets"), "half").limit(FREQUENT_KEPT).toArrow()
         halves = np.sort(kept["half"].to_numpy().astype(np.uint32)).tobytes()
-        signed = self.docs.mapInArrow(_sign(self.words, self.num, self.den, halves), "key long, n long, sigs binary, bitmap binary, digest binary")
-        signed = storage.materialize(signed, "signatures")
-        total = signed.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
-        ranges = self._ranges(total // _STORED.itemsize)
-        few, links = self._ranges(0), None
+        signed = storage.materialize(sets.mapInArrow(_sign(num, den, halves), "key long, n long, sigs binary, bitmap binary, digest binary"), "signatures")
+        total = (signed.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0) // _STORED.itemsize
+        links = roots = None
         labelled = signed.withColumn("label", F.col("key"))
-        for meet, spans, first in ((_stars, few, STARS), (_chains, few, CHAINED), (_crossings, ranges, None)):
-            found = self._verified(self._candidates(labelled, meet, spans, first), reps, signed)
-            links = found if links is None else links.unionByName(found)
-            roots = components(links)
+        for meet, meets, entries, first in ((_stars, _leaders, STARS * many, STARS), (_chains, _alone, CHAINED * many, CHAINED), (_crossings, _everyone, total, None)):
+            candidates = self._candidates(labelled, meet, meets, entries, first)
+            thinned = self._met(candidates, signed, "bitmap", _thin, "thinned")
+            verified = self._met(thinned, sets, "packed", _verify, "links")
+            found = verified.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            before, roots = roots, storage.materialize(components(found if links is None else links.unionByName(found)), "roots")
+            storage.drop(candidates, thinned, verified, before)
             # labels replace what they join, so that the next round sees one component as one
             links = roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
             labelled = signed.join(roots, signed["key"] == roots["node"], "left").select("key", "n", "sigs", "digest", F.coalesce("root", "key").alias("label"))
-        by_key = reps.join(roots, reps["key"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-        least = by_key.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        found = by_key.join(least, "root").select(F.col("key").alias("_key"), "component_id")
+        rows = storage.materialize(scanned.select("doc_id", "n", "key", "other"), "shingled-rows")
+        rooted = storage.materialize(classes.join(roots, classes["key"] == roots["node"], "left").select("key", "other", "doc_id", F.coalesce("root", "key").alias("root")), "rooted-classes")
+        storage.drop(scanned, classes, signed, roots)
+        return rows, rooted
+
+    def run(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) of every row."""
+        rows, rooted = self.resolve()
+        least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        found = rooted.join(least, "root").select(F.col("key").alias("_key"), "component_id")
         whole = rows.join(found, (F.col("key") == F.col("_key")) & (F.col("n") > 0), "left")
         return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -530,3 +602,41 @@ class JaccardJoin:
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked by shingle similarity of ``num / den`` or more."""
     return JaccardJoin(docs, words, num, den).run()
+
+
+def _with_set(words: int):
+    """Rows with their set's size and the second half of its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.claim("shingles")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingles(text, words) for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s)[1] for s in sets], pa.int64())], names=["row", "n", "other"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs``, all columns, with one row of each component."""
+    rows, rooted = JaccardJoin(docs, words, num, den).resolve()
+    # nulls last: a component is led by its smallest id, and by the least key of those that have it
+    led = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "other")).alias("lead")).select("lead.doc_id", "lead.other")
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    many = storage.materialize(ids.filter("rows > 1 or doc_id is null").select(F.col("doc_id").alias("_many")), "repeated-ids")
+    chosen = led.select("doc_id").unionByName(rows.filter("n = 0").select("doc_id")).distinct().select(F.col("doc_id").alias("_chosen"))
+    with_id = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_doc"))
+    single = with_id.join(chosen, F.col("_doc") == F.col("_chosen"), "left_semi")
+    if many.isEmpty():
+        return single.select("row.*")
+    single = single.join(many, F.col("_doc").eqNullSafe(F.col("_many")), "left_anti").select("row")
+    schema = T.StructType([with_id.schema["row"], T.StructField("n", T.LongType()), T.StructField("other", T.LongType())])
+    repeated = with_id.join(many, F.col("_doc").eqNullSafe(F.col("_many")), "left_semi").select("row", F.col("row.text").alias("text"))
+    repeated = repeated.mapInArrow(_with_set(words), schema).withColumn("_doc", F.col("row.doc_id"))
+    led = led.select(F.col("doc_id").alias("_lead"), F.col("other").alias("_other"))
+    kept = repeated.join(led, F.col("_doc").eqNullSafe(F.col("_lead")) & (F.col("other") == F.col("_other")) & (F.col("n") > 0), "left")
+    kept = kept.filter((F.col("_other").isNotNull()) | ((F.col("n") == 0) & F.col("_doc").isNotNull()))
+    kept = kept.groupBy("_doc", "other").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    wordless = repeated.filter("n = 0 and _doc is null").select("row")
+    return single.unionByName(kept).unionByName(wordless).select("row.*")

@@ -3,36 +3,50 @@
 A line's key is its text without white space at the ends and with A-Z lower-cased, hashed to 128 bits. The store
 holds three tables, all in the shared folder:
 
-* postings ``(doc_id, hi, lo)``: which document holds which key, once for each document;
-* references ``(hi, lo, n_docs, first_doc, last_doc)``: the exact counts, combined before they are shuffled;
+* postings ``(doc_id, hi, lo, sign)``: which document holds which key, and with sign -1 which no longer does;
+* counts ``(hi, lo, d_docs)``: signed changes of the number of documents that hold a key;
 * filters ``(shard, blob)``: for each shard of the key space, a cuckoo filter of the keys that two or more
   documents hold. Filters take deletions, so removing documents reverses what inserting them did.
 
-To drop lines, postings meet the filter of their shard; the few that pass are looked up in the exact table, which
-settles false positives. Shards are as many as keep a filter under ``FILTER_KEYS`` keys, and the postings of a shard
-are dealt out by document as well, so a line that a third of all documents hold is spread over many groups.
+A batch appends to postings and counts and looks up its own keys' counts alone; those that rise to two documents or
+fall below enter or leave the filters. ``compact`` folds what batches appended into one table each.
+
+To drop lines, postings meet the filter of their shard; the counts of the few that pass settle false positives, and
+the smallest of their documents keeps the line. Shards are as many as keep a filter under ``FILTER_KEYS`` keys, and
+the postings of a shard are dealt out by document as well, so a line that a third of all documents hold is spread over
+many groups. Lines of more than a ``HOT_KEYS``-th of all postings, of which there are at most so many, meet their
+postings by broadcast. Documents that lose no line are not shuffled.
 
 Edge cases: a null or empty text is one empty line; a null doc_id counts as the smallest id; rows that repeat a
-doc_id are one document; keys shorter than ``min_chars`` code points never drop; empty tables give empty results.
+doc_id are one document; a document inserted again gains the lines that it did not hold; one deleted twice, or never
+inserted, changes nothing; keys shorter than ``min_chars`` code points never drop; empty tables give empty results;
+kept columns that are named as a result column give way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parallaxis.llm import storage, worker
+from parallaxis.llm.thinning import thinned
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
 #: Keys in one filter shard, and postings in one probing group, at most on average.
 FILTER_KEYS = 500_000
 PROBE_ROWS = 250_000
+#: Keys that are broadcast at most, because each has more than this share of all postings.
+HOT_KEYS = 100_000
+#: Batches after which ``insert`` and ``delete`` compact.
+BATCHES = 16
 SMALLEST = -(1 << 63)
 
 _POSTING = "doc_id long, hi long, lo long"
@@ -118,7 +132,7 @@ class CuckooFilter:
 
 
 def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, hi, lo) once for each row of ``docs(doc_id, text)`` and distinct key in it."""
+    """(doc_id, hi, lo) once for each document and distinct key in its rows of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.claim("lines")
@@ -136,12 +150,14 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(SMALLEST)).alias("doc_id"), "text").mapInArrow(run, _POSTING)
 
 
-def _references(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-
-
-def _merged(references: DataFrame) -> DataFrame:
-    return references.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+def _once(posted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``posted``, in which documents of one row are distinct as they are, without repeats."""
+    rows = docs.groupBy(F.coalesce("doc_id", F.lit(SMALLEST)).alias("_many")).agg(F.count(F.lit(1)).alias("rows"))
+    many = storage.materialize(rows.filter("rows > 1").select("_many"), "repeated-ids")
+    if many.isEmpty():
+        return posted
+    repeated = posted.join(many, F.col("doc_id") == F.col("_many"), "left_semi").distinct()
+    return posted.join(many, F.col("doc_id") == F.col("_many"), "left_anti").unionByName(repeated)
 
 
 def _build(table: pa.Table) -> pa.Table:
@@ -154,9 +170,9 @@ def _build(table: pa.Table) -> pa.Table:
 
 def _probe(posted: pa.Table, filters: pa.Table) -> pa.Table:
     if not posted.num_rows or not filters.num_rows:
-        return posted.select(["doc_id", "hi", "lo"]).slice(0, 0)
+        return posted.select(["doc_id", "hi", "lo", "sign"]).slice(0, 0)
     found = CuckooFilter.load(filters["blob"][0].as_py()).contains(posted["hi"].to_numpy(), posted["lo"].to_numpy())
-    return posted.select(["doc_id", "hi", "lo"]).filter(pa.array(found))
+    return posted.select(["doc_id", "hi", "lo", "sign"]).filter(pa.array(found))
 
 
 def _change(changes: pa.Table, filters: pa.Table) -> pa.Table:
@@ -170,75 +186,122 @@ def _change(changes: pa.Table, filters: pa.Table) -> pa.Table:
 
 
 class LineStore:
-    """The incremental store. ``insert`` and ``delete`` leave the tables as if built from the remaining documents."""
+    """The incremental store. ``insert`` and ``delete`` leave it as if built from the remaining documents."""
 
     def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, filter_keys: int = FILTER_KEYS, probe_rows: int = PROBE_ROWS):
         self.spark, self.min_chars, self.filter_keys, self.probe_rows = spark, min_chars, filter_keys, probe_rows
-        self.posted: DataFrame | None = None
-        self.refs: DataFrame | None = None
+        self.segments: list[DataFrame] = []
+        self.counts: list[DataFrame] = []
         self.filters: DataFrame | None = None
-        self.shards = 0
+        self.shards = self.shared = 0
+        self.pure = True
 
     def _shard(self, frame: DataFrame) -> DataFrame:
         return frame.withColumn("shard", F.pmod(F.col("lo"), F.lit(self.shards)).cast("long"))
 
+    def _live(self, part: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> DataFrame:
+        """(doc_id, hi, lo) of what documents hold now, of the rows that ``part`` takes of each segment."""
+        rows = reduce(DataFrame.unionByName, (part(s) for s in self.segments))
+        if self.pure:
+            return rows.select("doc_id", "hi", "lo")
+        return rows.groupBy("doc_id", "hi", "lo").agg(F.sum("sign").alias("sign")).filter("sign > 0").drop("sign")
+
+    def _counted(self, part: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> DataFrame:
+        """(hi, lo, n_docs), exact, for the keys that ``part`` takes of each segment."""
+        rows = reduce(DataFrame.unionByName, (part(c) for c in self.counts))
+        if len(self.counts) == 1:
+            return rows.select("hi", "lo", F.col("d_docs").alias("n_docs"))
+        return rows.groupBy("hi", "lo").agg(F.sum("d_docs").alias("n_docs")).filter("n_docs > 0")
+
+    @property
+    def refs(self) -> DataFrame:
+        """The exact references: (hi, lo, n_docs, first_doc, last_doc)."""
+        ends = self._live().groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+        return self._counted().join(ends, ["hi", "lo"])
+
     def _rebuild(self) -> None:
-        shared = self.refs.filter("first_doc < last_doc")
-        self.shards = max(1, -(-shared.count() // self.filter_keys))
+        shared = self._counted().filter("n_docs >= 2")
+        self.shared = shared.count()
+        self.shards = max(1, -(-self.shared // self.filter_keys))
         built = self._shard(shared.select("hi", "lo")).groupBy("shard").applyInArrow(_build, "shard long, blob binary")
         self.filters = storage.materialize(built, "line-filters")
 
-    def _update(self, before: DataFrame | None, after: DataFrame) -> None:
-        """Brings the filters from the references before to those after, for the keys named in ``after``."""
-        if before is None:
-            return self._rebuild()
-        old = before.filter("first_doc < last_doc").select("hi", "lo")
-        new = after.filter("first_doc < last_doc").select("hi", "lo")
-        changes = new.join(old, ["hi", "lo"], "left_anti").withColumn("sign", F.lit(1)).unionByName(old.join(new, ["hi", "lo"], "left_anti").withColumn("sign", F.lit(-1)))
-        changed = storage.materialize(self._shard(changes).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_change, "shard long, blob binary"), "line-filters")
-        if changed.filter("blob is null").count() or new.count() > 2 * self.shards * self.filter_keys:
+    def _append(self, batch: DataFrame, sign: int) -> None:
+        """Adds a batch of postings, updates its keys' counts and lets those that cross two into or out of the filters."""
+        batch = storage.materialize(batch.withColumn("sign", F.lit(sign)), "line-postings")
+        delta = storage.materialize(batch.groupBy("hi", "lo").agg(F.sum("sign").alias("d_docs")), "line-counts")
+        changed = None
+        if self.counts:
+            before = self._counted(lambda c: thinned(c, ["hi", "lo"], delta))
+            both = delta.join(before, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("n_docs", F.lit(0)).alias("old"), (F.coalesce("n_docs", F.lit(0)) + F.col("d_docs")).alias("new"))
+            crossed = both.filter("(old >= 2) <> (new >= 2)").select("hi", "lo", F.when(F.col("new") >= 2, 1).otherwise(-1).alias("sign"))
+            changed = storage.materialize(self._shard(crossed), "line-changes")
+        self.segments.append(batch)
+        self.counts.append(delta)
+        self.pure = self.pure and sign > 0
+        if changed is None:
             return self._rebuild()
-        self.filters = changed
+        self.shared += changed.agg(F.sum("sign")).first()[0] or 0
+        filters = storage.materialize(changed.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_change, "shard long, blob binary"), "line-filters")
+        storage.drop(changed, self.filters)
+        self.filters = filters
+        if self.shared > 2 * self.shards * self.filter_keys or not filters.filter("blob is null").isEmpty():
+            storage.drop(filters)
+            self._rebuild()
+        if len(self.counts) > BATCHES:
+            self.compact()
+
+    def compact(self) -> LineStore:
+        """Folds the batches into one table of postings and one of counts."""
+        old = [*self.segments, *self.counts]
+        self.segments, self.counts = [storage.materialize(self._live().withColumn("sign", F.lit(1)), "line-postings")], [storage.materialize(self._counted().withColumnRenamed("n_docs", "d_docs"), "line-counts")]
+        self.pure = True
+        storage.drop(*old)
+        return self
 
     def insert(self, docs: DataFrame) -> LineStore:
-        """Adds ``docs(doc_id, text)``, whose ids are new to the store."""
-        posted = storage.materialize(postings(docs, self.min_chars), "line-postings")
-        refs = _references(posted)
-        before = self.refs
-        if before is not None:
-            refs = _merged(before.unionByName(refs))
-        self.posted = posted if self.posted is None else self.posted.unionByName(posted)
-        self.refs = storage.materialize(refs, "line-references")
-        self._update(before, self.refs)
+        """Adds ``docs(doc_id, text)``."""
+        posted = _once(postings(docs, self.min_chars), docs)
+        if self.segments:
+            posted = storage.materialize(posted, "line-postings")
+            held = self._live(lambda s: thinned(s, ["doc_id"], posted))
+            posted = posted.join(held, ["doc_id", "hi", "lo"], "left_anti")
+        self._append(posted, 1)
         return self
 
     def delete(self, ids: DataFrame) -> LineStore:
         """Removes the documents named in ``ids(doc_id)``."""
         gone = ids.select(F.coalesce("doc_id", F.lit(SMALLEST)).alias("doc_id")).distinct()
-        removed = self.posted.join(gone, "doc_id", "left_semi")
-        touched = removed.select("hi", "lo").distinct()
-        self.posted = storage.materialize(self.posted.join(gone, "doc_id", "left_anti"), "line-postings")
-        before = self.refs
-        counted_again = _references(self.posted.join(touched, ["hi", "lo"], "left_semi"))
-        self.refs = storage.materialize(before.join(touched, ["hi", "lo"], "left_anti").unionByName(counted_again), "line-references")
-        self._update(before, self.refs)
+        if self.segments:
+            self._append(self._live(lambda s: thinned(s, ["doc_id"], gone)).join(gone, "doc_id", "left_semi"), -1)
         return self
 
     def drops(self) -> DataFrame:
         """(doc_id, hi, lo): keys that lose their lines in that document, because a smaller doc_id holds them."""
-        salts = max(1, -(-self.posted.count() // (self.shards * self.probe_rows)))
-        salted = self._shard(self.posted).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        total = sum(s.count() for s in self.segments)
+        salts = max(1, -(-total // (self.shards * self.probe_rows)))
         filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        passed = salted.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(_probe, _POSTING)
-        shared = self.refs.filter("first_doc < last_doc").select("hi", "lo", "first_doc")
-        return passed.join(shared, ["hi", "lo"]).filter("doc_id > first_doc").select("doc_id", "hi", "lo")
+
+        def probed(segment: DataFrame) -> DataFrame:
+            salted = self._shard(segment).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+            return salted.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(_probe, _POSTING + ", sign int")
+
+        passed = storage.materialize(self._live(probed), "line-passed")
+        firsts = passed.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"))
+        shared = storage.materialize(firsts.join(self._counted().filter("n_docs >= 2"), ["hi", "lo"]), "line-shared")
+        often = F.col("n_docs") > total // HOT_KEYS
+        hot = F.broadcast(shared.filter(often).select("hi", "lo", "first_doc"))
+        rare = shared.filter(~often).select("hi", "lo", "first_doc")
+        met = passed.join(hot, ["hi", "lo"]).unionByName(passed.join(hot, ["hi", "lo"], "left_anti").join(rare, ["hi", "lo"]))
+        return met.filter("doc_id > first_doc").select("doc_id", "hi", "lo")
 
     def apply(self, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """``docs`` without the dropped lines: doc_id, ``keep``, text, n_lines, n_dropped."""
         min_chars = self.min_chars
-        base = docs.select("doc_id", *keep, F.col("text").alias("_text"), F.coalesce("doc_id", F.lit(SMALLEST)).alias("_id"))
-        dropped = self.drops().groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("hi", "lo")).alias("_drops"))
-        schema = docs.select("doc_id", *keep).schema
+        keep = tuple(c for c in keep if c.lower() not in {"doc_id", *(f.name for f in _LEFT)})
+        columns = ["doc_id", *keep]
+        own, listed = storage.fresh(columns, "own_id"), storage.fresh(columns, "drops")
+        schema = T.StructType([*docs.select(*columns).schema, *_LEFT])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             worker.claim("lines")
@@ -246,19 +309,25 @@ class LineStore:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
                     kept, n_lines, n_dropped = [], [], []
-                    for text, own in zip(part.column("_text").to_pylist(), part.column("_drops").to_pylist()):
+                    for text, gone in zip(part.column("text").to_pylist(), part.column(listed).to_pylist()):
                         lines = (text or "").encode("utf-8", "replace").split(b"\n")
                         n_lines.append(len(lines))
-                        if own:
-                            out = {np.array([d["hi"], d["lo"]], "<i8").tobytes() for d in own}
+                        if gone:
+                            out = {np.array([d["hi"], d["lo"]], "<i8").tobytes() for d in gone}
                             lines = [x for x in lines if line_key(x, min_chars) not in out]
                         n_dropped.append(n_lines[-1] - len(lines))
                         kept.append(b"\n".join(lines).decode())
-                    arrays = [part.column(f.name) for f in schema] + [pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[*schema.names, "text", "n_lines", "n_dropped"])
+                    arrays = [part.column(c) for c in columns] + [pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+        base = docs.select(*columns, "text").withColumn(own, F.coalesce("doc_id", F.lit(SMALLEST)))
+        drops = storage.materialize(self.drops().groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("hi", "lo")).alias(listed)), "line-drops")
+        some = thinned(base, [own], drops).join(drops, own, "left").drop(own)
+        none = thinned(base, [own], drops, how="left_anti").drop(own).withColumn(listed, F.lit(None).cast(drops.schema[listed].dataType))
+        return some.mapInArrow(run, schema).unionByName(none.mapInArrow(run, schema))
+
 
-        declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", text string, n_lines long, n_dropped long"
-        return base.join(dropped, "_id", "left").drop("_id").mapInArrow(run, declared)
+_LEFT = T.StructType().add("text", "string").add("n_lines", "long").add("n_dropped", "long")
 
 
 def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = (), min_chars: int = MIN_CHARS) -> DataFrame:

@@ -8,11 +8,13 @@ word's features are the word and its leading 3 to 8 letters, so that inflected a
 
 Fitting takes a bounded sample of labelled documents (``sample`` of each class, by hash of the id): its ids, at most
 ``2 * sample`` rows, are broadcast, features are counted on the executors, and the driver sees the ``features`` best
-of them and, for each sampled document, only the sentences that hold one. Scoring is a map over the whole texts.
+of them and, for each sampled document, only the sentences that hold one: ``SENTENCES`` of them at most, evenly spaced.
+Scoring is a map over the whole texts.
 
 Edge cases: a null or empty text is one empty sentence and scores 0.0; null labels are ignored, and
 if one class has no labelled rows every score is the share of the other class's complement (0.0 or 1.0, 0.0 without
-labels); equal rows score equally; an empty table gives an empty result; extra columns are ignored.
+labels); equal rows score equally; of rows that share an id, fitting takes the one of least text; an empty table gives
+an empty result; extra columns are ignored, and kept ones that are named as a result column give way to it.
 """
 
 from __future__ import annotations
@@ -26,14 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parallaxis.llm import worker
+from parallaxis.llm import storage, worker
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Labelled documents of each class, and candidate features, that fitting takes at most.
 SAMPLE, FEATURES = 6000, 8192
+#: Sentences with known features that fitting takes of one document at most.
+SENTENCES = 4000
 THRESHOLD = 0.3
 #: What a sentence's known features start from, at most.
 MAX_BIAS = -11.0
@@ -79,7 +84,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int, seen: Column) -> D
     picked = labels.filter(seen & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     each = [picked.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (1, 0)]
     ids = each[0].unionByName(each[1]).withColumnRenamed("doc_id", "_id")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("toxic", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return storage.materialize(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "toxicity-sample")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +114,8 @@ def _bags(index: dict[str, int]):
             rows = []
             for text in batch.column(1).to_pylist():
                 found = [[index[f] for w in set(WORD.findall(s)) for f in features(w) if f in index] for s in SENTENCE.findall((text or "").lower())]
-                rows.append([x for x in found if x])
+                found = [x for x in found if x]
+                rows.append(found[:: -(-len(found) // SENTENCES)] if found else found)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.list_(pa.int32())))], names=["toxic", "bags"])
 
     return run
@@ -123,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, seen: Column | None = None, sample:
     best = counted.filter("pos >= 3 and pos > 2 * neg").orderBy(F.desc(lean * F.sqrt("pos")), "feature").limit(max_features)
     names = [r.feature for r in best.select("feature").collect()]
     found = rows.mapInArrow(_bags({n: k for k, n in enumerate(names)}), "toxic int, bags array<array<int>>").toArrow()
+    storage.drop(rows)
     y = np.array(found["toxic"].to_pylist(), float)
     if not len(y) or y.min() == y.max():
         return NoisyOr({}, 0.0, float(y[0]) if len(y) else 0.0)
@@ -148,6 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, seen: Column | None = None, sample:
     return NoisyOr({n: float(x) for n, x in zip(names, w) if abs(x) > 1e-3}, float(b))
 
 
+_SPAN = T.StructType().add("start", "long").add("end", "long").add("score", "double")
+_SCORED = T.StructType().add("score", "double").add("n_sentences", "long").add("offending", T.ArrayType(_SPAN))
+
+
 def _score(model: NoisyOr, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.claim("toxicity")
@@ -156,7 +168,7 @@ def _score(model: NoisyOr, columns: list[str]):
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 score, n, spans = [], [], []
-                for text in part.column("_text").to_pylist():
+                for text in part.column("text").to_pylist():
                     low = (text or "").lower()
                     hit = any(map(weight, set(WORD.findall(low)))) if model.weights else False
                     # lower-casing may change a text's length, so spans are counted on the text as it is
@@ -184,7 +196,6 @@ def _score(model: NoisyOr, columns: list[str]):
 
 def score(docs: DataFrame, model: NoisyOr, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``keep``, score, n_sentences and offending: the places (code points) and scores of toxic sentences."""
-    base = docs.select("doc_id", *keep, F.col("text").alias("_text"))
-    columns = ["doc_id", *keep]
-    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return base.mapInArrow(_score(model, columns), declared + ", score double, n_sentences long, offending array<struct<start:long,end:long,score:double>>")
+    columns = ["doc_id", *(c for c in keep if c.lower() not in {"doc_id", *(f.name for f in _SCORED)})]
+    base = docs.select(*columns, *([] if "text" in columns else ["text"]))
+    return base.mapInArrow(_score(model, columns), T.StructType([*docs.select(*columns).schema, *_SCORED]))
