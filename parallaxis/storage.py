@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
@@ -64,6 +65,39 @@ def rename(spark: SparkSession, src: str, dst: str) -> bool:
     return fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(dst))
 
 
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a new small file; False, and nothing is written, if the path exists."""
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def contents(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    fs, p = file_system(spark, path)
+    reader = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(reader, "UTF-8")
+    finally:
+        reader.close()
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder, none if it does not exist."""
+    fs, p = file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later uses neither recompute it nor hold its lineage."""
     spark = df.sparkSession
