@@ -18,7 +18,9 @@ unless they are in one component already, or their sizes, their places in the or
 A digest is a parity bitmap: two of them differ in no more bits than their sets in shingles. Larger bitmaps thin the
 pairs again, and the others are verified on whole sets, in groups dealt out by the leading set in blocks of ``BLOCK``.
 
-Texts are shingled once, into a table of packed sets. Signatures travel as packed arrays by signature range, about
+Texts are shingled into the base of each set, which is the least shingles by hash and a little more than what rare ones
+sign with; texts whose base holds many frequent shingles are shingled again to be signed, and those of candidates to be
+verified, so that no whole set is stored. Signatures travel as packed arrays by signature range, about
 ``RANGE_ENTRIES`` entries in each; a range that a hot signature makes wider than ``WIDE`` is cut into blocks of owners,
 and every two blocks meet in a task of their own. Copies of a set collapse wherever they meet. Before a join, rows are
 thinned by a semi-join on the id's hash modulo ``thinning.BUCKETS``, whose broadcast side has at most that many numbers; nothing
@@ -57,6 +59,8 @@ FREQUENT, FREQUENT_KEPT = 32, 1_000_000
 #: Frequent shingles of a set whose combinations are indexed at most.
 COMBINED = 40
 RANGE_ENTRIES, BLOCK, STARS, CHAINED = 500_000, 256, 3, 10
+#: Shingles of a base besides the front and an eighth of it.
+SPARE = 8
 #: Entries of a range above which it is cut, and front shingles that are counted in one group on average.
 WIDE, FRONT_ENTRIES = 4 * RANGE_ENTRIES, 2_000_000
 CACHED_WORDS = 200_000
@@ -111,40 +115,44 @@ def need(n, num: int, den: int):
     return -(-num * n // den)
 
 
-def _scan(words: int):
-    """Each document's size of set and key, and the packed set with the first document of a batch that has it."""
+def _scan(words: int, num: int, den: int):
+    """Each row's size of set and key; and base and bitmaps with the first row of a batch that has the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.claim("shingles")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                keys, others, sizes, packed, seen = [], [], [], [], set()
-                for text in batch.column(1).slice(at, 512).to_pylist():
+                part = batch.slice(at, 512)
+                rows, seen = [], set()
+                for text in part.column("_text").to_pylist():
                     s = shingles(text, words)
                     own = set_key(s)
-                    keys.append(own[0])
-                    others.append(own[1])
-                    sizes.append(len(s))
-                    packed.append(None if own in seen or not len(s) else s.tobytes())
+                    fresh = len(s) >= least_size(num, den) and own not in seen
                     seen.add(own)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(packed, pa.binary())], names=_SCAN)
+                    rows.append((len(s), *own, *((s[: base_size(len(s), num, den)].tobytes(), parity_bitmap(s), digest(s)) if fresh else (None, None, None))))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("_hash"), *(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.binary()) for k in range(6))], names=_SCAN)
 
     return run
 
 
-_SCAN = ["doc_id", "n", "key", "other", "packed"]
+_SCAN = ["doc_id", "hash", "n", "key", "other", "base", "bitmap", "digest"]
+
+
+def base_size(n: int, num: int, den: int) -> int:
+    """Shingles in the base of a set of n: the front, an eighth more, and SPARE."""
+    front = n - need(n, num, den) + 1
+    return min(n, front + front // 8 + SPARE)
 
 
-def _fronts(num: int, den: int, spans: int):
-    """The upper halves of the shingles at the front of each set, by span."""
+def _fronts(spans: int):
+    """The upper halves of the shingles in the base of each set, by span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 fronts = []
                 for packed in b.column(0).slice(at, 4096).to_pylist():
-                    s = np.frombuffer(packed, _U)
-                    fronts.append((s[: len(s) - need(len(s), num, den) + 8] >> _U(32)).astype(np.uint32))
+                    fronts.append((np.frombuffer(packed, _U) >> _U(32)).astype(np.uint32))
                 front = np.sort(np.concatenate(fronts))
                 cut = np.searchsorted(front, (np.arange(spans + 1) << 32) // spans)
                 parts = [(r, front[a:z].tobytes()) for r, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
@@ -213,15 +221,19 @@ def least_size(num: int, den: int) -> int:
 SINGLE, MEETS_DENSE, DENSE = 0, 1, 2
 
 
-def signatures(s: np.ndarray, frequent: FrequentClass, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A set's signatures, the places of their first shingles in the set's order, and their kinds."""
-    n = len(s)
+def signatures(s: np.ndarray, n: int, frequent: FrequentClass, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The signatures of a set of n shingles, the places of their first shingles in the set's order, and their kinds.
+
+    ``s`` is the set or its base; None if the base does not tell.
+    """
     if n < least_size(num, den):
         return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
     common = frequent(s)
-    ordered = np.concatenate([s[~common], s[common]])
-    rare, least = n - int(common.sum()), need(n, num, den)
+    rare, least = len(s) - int(common.sum()), need(n, num, den)
     front = n - least + 1
+    if rare < front and len(s) < n:
+        return None
+    ordered = np.concatenate([s[~common], s[common]])
     out, at, kind = [ordered[: min(rare, front)]], [np.arange(min(rare, front))], [np.full(min(rare, front), SINGLE)]
     if rare < front:
         extended = ordered[rare : front + K - 1]
@@ -246,8 +258,16 @@ _STORED = np.dtype([("sig", "<u8"), ("at_kind", "<u2")])
 LAST_PLACE = (1 << 14) - 1
 
 
+def _stored(found: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> bytes | None:
+    if found is None:
+        return None
+    entry = np.zeros(len(found[0]), _STORED)
+    entry["sig"], entry["at_kind"] = found[0], np.minimum(found[1], LAST_PLACE) * 4 + found[2]
+    return entry.tobytes()
+
+
 def _sign(num: int, den: int, halves: bytes):
-    """(key, n, packed signatures, parity bitmap, digest) of each set."""
+    """Packed signatures from the bases of sets, null where those do not tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.claim("shingles")
@@ -255,16 +275,51 @@ def _sign(num: int, den: int, halves: bytes):
         for b in batches:
             for start in range(0, b.num_rows, 1024):
                 part = b.slice(start, 1024)
-                signed, maps, digests = [], [], []
-                for packed in part.column("packed").to_pylist():
-                    s = np.frombuffer(packed, _U)
-                    sig, at, kind = signatures(s, frequent, num, den)
-                    entry = np.zeros(len(sig), _STORED)
-                    entry["sig"], entry["at_kind"] = sig, np.minimum(at, LAST_PLACE) * 4 + kind
-                    signed.append(entry.tobytes())
-                    maps.append(parity_bitmap(s))
-                    digests.append(digest(s))
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n"), pa.array(signed, pa.binary()), pa.array(maps, pa.binary()), pa.array(digests, pa.binary())], names=["key", "n", "sigs", "bitmap", "digest"])
+                signed = [_stored(signatures(np.frombuffer(base, _U), n, frequent, num, den)) for base, n in zip(part.column("base").to_pylist(), part.column("n").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n"), pa.array(signed, pa.binary()), part.column("bitmap"), part.column("digest")], names=_SIGNED)
+
+    return run
+
+
+_SIGNED = ["key", "n", "sigs", "bitmap", "digest"]
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray]]]]:
+    """Batches with a text and the second half of a set's key, and the (row, set) of those that are the set's, each once."""
+    worker.claim("shingles")
+    seen = set()
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            part = b.slice(start, rows)
+            found = []
+            for i, (text, key, other) in enumerate(zip(part.column("_text").to_pylist(), part.column("key").to_pylist(), part.column("other").to_pylist())):
+                if key not in seen and set_key(s := shingles(text, words))[1] == other:
+                    seen.add(key)
+                    found.append((i, s))
+            yield part, found
+
+
+def _sign_texts(words: int, num: int, den: int, halves: bytes):
+    """As ``_sign``, from texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _class_of(halves)
+        for part, found in _sets(batches, words):
+            sets, keys = [s for _, s in found], part.column("key").take(pa.array([i for i, _ in found], pa.int64()))
+            signed = [_stored(signatures(s, len(s), frequent, num, den)) for s in sets]
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), pa.array(signed, pa.binary()), pa.array([parity_bitmap(s) for s in sets], pa.binary()), pa.array([digest(s) for s in sets], pa.binary())], names=_SIGNED)
+
+    return run
+
+
+def _route(words: int):
+    """Sends a text's set to every block that compares it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _sets(batches, words):
+            keys, routes = part.column("key").to_pylist(), part.column("routes").to_pylist()
+            rows = [(r["a"], r["block"], keys[i], len(s), packed) for i, s in found for packed in [s.tobytes()] for r in routes[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["a", "block", "key", "n", "sent"])
 
     return run
 
@@ -519,7 +574,7 @@ class JaccardJoin:
     """Links and components of ``docs(doc_id, text)`` under ``den * |A and B| >= num * |A or B|``."""
 
     def __init__(self, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100):
-        self.docs, self.words, self.num, self.den = docs.select("doc_id", "text"), words, num, den
+        self.docs, self.words, self.num, self.den = docs.select("doc_id", F.col("text").alias("_text"), F.xxhash64("text").alias("_hash")), words, num, den
         self.spark = docs.sparkSession
 
     def _ranges(self, entries: int, each: int) -> int:
@@ -542,52 +597,76 @@ class JaccardJoin:
         # only blocks that a pair falls into need their head
         return blocked.unionByName(heads.join(blocked.select("a", "block").distinct(), ["a", "block"], "left_semi").select("key", "a", "block"))
 
-    def _met(self, pairs: DataFrame, sent: DataFrame, column: str, compare: Callable[[pa.Table, int, int], pa.Table], label: str) -> DataFrame:
-        """Pairs for which ``compare`` holds on what ``column`` of ``sent(key, n)`` gives of both sets."""
+    def _thinned(self, pairs: DataFrame, signed: DataFrame) -> DataFrame:
+        """Pairs whose bitmaps leave a link possible."""
         num, den = self.num, self.den
         sides = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
-        own = thinned(sent.select("key", "n", column), ["key"], sides).groupBy("key").agg(F.first("n").alias("n"), F.first(column).alias("sent"))
-        return storage.materialize(self._routes(pairs).join(own, "key").groupBy("a", "block").applyInArrow(lambda t: compare(t, num, den), "a long, b long"), label)
+        maps = thinned(signed.select("key", "n", "bitmap"), ["key"], sides).groupBy("key").agg(F.first("n").alias("n"), F.first("bitmap").alias("sent"))
+        return storage.materialize(self._routes(pairs).join(maps, "key").groupBy("a", "block").applyInArrow(lambda t: _thin(t, num, den), "a long, b long"), "thinned")
+
+    def _texts(self, asked: DataFrame, classes: DataFrame) -> DataFrame:
+        """``asked(key, ...)`` with the second half of the key and a text of each class."""
+        asked = storage.materialize(asked.join(classes.select("key", "other", "lead"), "key"), "asked")
+        texts = thinned(self.docs, ["_hash"], asked.select(F.col("lead.hash").alias("_hash")))
+        return texts.join(asked, (F.col("_hash") == F.col("lead.hash")) & F.col("doc_id").eqNullSafe(F.col("lead.doc_id"))).drop("doc_id", "_hash", "lead")
+
+    def _verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs that link."""
+        num, den = self.num, self.den
+        routes = self._routes(pairs).groupBy("key").agg(F.collect_list(F.struct("a", "block")).alias("routes"))
+        sent = self._texts(routes, classes).mapInArrow(_route(self.words), "a long, block long, key long, n long, sent binary")
+        return storage.materialize(sent.groupBy("a", "block").applyInArrow(lambda t: _verify(t, num, den), "a long, b long"), "links")
 
     def _scanned(self) -> tuple[DataFrame, DataFrame]:
-        """(doc_id, n, key, other, packed) of all rows, and the classes (key, other, doc_id) of those with shingles."""
-        scanned = storage.materialize(self.docs.mapInArrow(_scan(self.words), "doc_id long, n long, key long, other long, packed binary"), "shingle-sets")
+        """(doc_id, hash, n, key, other, base, bitmap, digest) of all rows, and (key, other, doc_id, lead) of the classes."""
+        schema = ", ".join(f"{c} {'long' if k < 5 else 'binary'}" for k, c in enumerate(_SCAN))
+        scanned = storage.materialize(self.docs.mapInArrow(_scan(self.words, self.num, self.den), schema), "shingle-bases")
+        lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
         while True:
-            classes = storage.materialize(scanned.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("other"), F.max("other").alias("most")), "classes")
+            classes = scanned.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(lead).alias("lead"), F.min("other").alias("other"), F.max("other").alias("most"))
+            classes = storage.materialize(classes, "classes")
             clash = classes.filter("other <> most").select(F.col("key").alias("_key"))
             if clash.isEmpty():
                 return scanned, classes
             hit = scanned.join(clash, F.col("key") == F.col("_key"), "left").withColumn("key", F.when(F.col("_key").isNull(), F.col("key")).otherwise(F.xxhash64("key", "other"))).drop("_key")
-            scanned, before = storage.materialize(hit, "shingle-sets"), scanned
+            scanned, before = storage.materialize(hit, "shingle-bases"), scanned
             storage.drop(before, classes)
 
-    def resolve(self) -> tuple[DataFrame, DataFrame]:
-        """(doc_id, n, key, other) of every row, and (key, other, doc_id, root) of every class of equal sets."""
+    def _signed(self, scanned: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(key, n, sigs, bitmap, digest) of every class, more than once if several batches hold it, in two tables."""
         num, den = self.num, self.den
-        scanned, classes = self._scanned()
-        sets = scanned.filter((F.col("n") >= least_size(num, den)) & F.col("packed").isNotNull()).select("key", "n", "packed")
-        shingled, many = sets.agg(F.sum("n"), F.count(F.lit(1))).first()
-        spans = self._ranges(((den - num) * (shingled or 0) // den) + 9 * many, FRONT_ENTRIES)
-        common = sets.select("packed").mapInArrow(_fronts(num, den, spans), "span long, front binary").groupBy("span").applyInArrow(lambda t: _frequent(t, FREQUENT), "half long, sets long")
+        bases = scanned.filter("base is not null").select("key", "n", "base", "bitmap", "digest")
+        spans = self._ranges((bases.agg(F.sum(F.octet_length("base"))).first()[0] or 0) // 8, FRONT_ENTRIES)
+        common = bases.select("base").mapInArrow(_fronts(spans), "span long, front binary").groupBy("span").applyInArrow(lambda t: _frequent(t, FREQUENT), "half long, sets long")
         kept = common.orderBy(F.desc("sets"), "half").limit(FREQUENT_KEPT).toArrow()
         halves = np.sort(kept["half"].to_numpy().astype(np.uint32)).tobytes()
-        signed = storage.materialize(sets.mapInArrow(_sign(num, den, halves), "key long, n long, sigs binary, bitmap binary, digest binary"), "signatures")
-        total = (signed.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0) // _STORED.itemsize
+        schema = "key long, n long, sigs binary, bitmap binary, digest binary"
+        signed = storage.materialize(bases.mapInArrow(_sign(num, den, halves), schema), "signatures")
+        again = signed.filter("sigs is null").select("key").distinct()
+        whole = storage.materialize(self._texts(again, classes).mapInArrow(_sign_texts(self.words, num, den, halves), schema), "signatures")
+        return signed, whole
+
+    def resolve(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, n, key, other) of every row, and (key, other, doc_id, root) of every class of equal sets."""
+        scanned, classes = self._scanned()
+        based, whole = self._signed(scanned, classes)
+        signed = based.filter("sigs is not null").unionByName(whole)
+        many, total = signed.agg(F.count(F.lit(1)), F.sum(F.octet_length("sigs"))).first()
         links = roots = None
         labelled = signed.withColumn("label", F.col("key"))
-        for meet, meets, entries, first in ((_stars, _leaders, STARS * many, STARS), (_chains, _alone, CHAINED * many, CHAINED), (_crossings, _everyone, total, None)):
+        for meet, meets, entries, first in ((_stars, _leaders, STARS * many, STARS), (_chains, _alone, CHAINED * many, CHAINED), (_crossings, _everyone, (total or 0) // _STORED.itemsize, None)):
             candidates = self._candidates(labelled, meet, meets, entries, first)
-            thinned = self._met(candidates, signed, "bitmap", _thin, "thinned")
-            verified = self._met(thinned, sets, "packed", _verify, "links")
+            thin = self._thinned(candidates, signed)
+            verified = self._verified(thin, classes)
             found = verified.select(F.col("a").alias("u"), F.col("b").alias("v"))
             before, roots = roots, storage.materialize(components(found if links is None else links.unionByName(found)), "roots")
-            storage.drop(candidates, thinned, verified, before)
+            storage.drop(candidates, thin, verified, before)
             # labels replace what they join, so that the next round sees one component as one
             links = roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
             labelled = signed.join(roots, signed["key"] == roots["node"], "left").select("key", "n", "sigs", "digest", F.coalesce("root", "key").alias("label"))
         rows = storage.materialize(scanned.select("doc_id", "n", "key", "other"), "shingled-rows")
         rooted = storage.materialize(classes.join(roots, classes["key"] == roots["node"], "left").select("key", "other", "doc_id", F.coalesce("root", "key").alias("root")), "rooted-classes")
-        storage.drop(scanned, classes, signed, roots)
+        storage.drop(scanned, classes, based, whole, roots)
         return rows, rooted
 
     def run(self) -> DataFrame:

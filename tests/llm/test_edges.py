@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parallaxis.llm import jaccard_join, line_dedup, storage, toxicity
-from tests.llm.test_operators import lines_without_repeats, near_groups
+from parallaxis.llm import chat, decontaminate, jaccard_join, line_dedup, multi_index, packing, pii, storage, token_counts, toxicity, warc
+from tests.llm.test_operators import conversation_digests, lines_without_repeats, near_groups, plain_tiles
 
 #: Names that operators use for their results or once used inside.
 CLASHES = ["score", "n_sentences", "offending", "n_lines", "n_dropped", "_id", "_kept", "_text", "_drops", "_stays", "key", "n", "row", "hi", "lo", "bucket", "own_id", "drops", "component_id", "item_id", "coverage", "other"]
@@ -86,8 +89,8 @@ def test_hot_ranges_and_equal_keys(spark, monkeypatch, broken):
     rows += [(k, " ".join(passage[: k % 40])) for k in range(70, 110)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     if broken == "keys":
-        scan = jaccard_join._scan(3)
-        monkeypatch.setattr(jaccard_join, "_scan", lambda words: _crowded(scan))
+        scan = jaccard_join._scan(3, 80, 100)
+        monkeypatch.setattr(jaccard_join, "_scan", lambda *a: _crowded(scan))
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame, 3, 80, 100).collect()]
     assert sorted(got, key=repr) == near_groups(rows, 3, 80, 100)
 
@@ -142,3 +145,192 @@ def test_toxicity_scores_by_definition(spark, sf_dir):
         assert [(s.start, s.end) for s in r.offending] == offending
         seen += r.score >= toxicity.THRESHOLD
     assert seen > 0
+
+
+def mixture(pieces, window, sources):
+    got = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), *(F.sum(F.when(F.col("source") == s, F.col("length")).otherwise(0)).alias(s) for s in sources)).orderBy("sequence_id").toPandas()
+    assert (got["sequence_id"] == range(len(got))).all()
+    return got[got["n"] == window]
+
+
+@pytest.mark.parametrize("shares", [None, {"a": 5.0, "b": 3.0, "c": 2.0}])
+def test_packing_mixes_clustered_sources(spark, shares):
+    """Input sorted by source: full windows hold every source in its share until one runs out."""
+    rows = [(k, f"word number {k} " * (20 + k % 9), "a" if k < 1500 else "b" if k < 2700 else "c") for k in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).sortWithinPartitions("doc_id").repartitionByRange(4, "doc_id")
+    pieces = storage.materialize(packing.pack(frame, block_tokens=9_000, window=1024, shares=shares, with_ids=True), "pieces")
+    totals = {r.source: r.n for r in pieces.groupBy("source").agg(F.sum("length").alias("n")).collect()}
+    got, weights = mixture(pieces, 1024, "abc"), shares or totals
+    share = {s: weights[s] / sum(weights.values()) for s in "abc"}
+    until = int(min(totals[s] / share[s] for s in "abc") // 1024)
+    assert until > 20
+    for s in "abc":
+        assert ((got[s][:until] / 1024 - share[s]).abs() < 0.1).all()
+        assert abs(got[s][:until].sum() - 1024 * until * share[s]) < 2 * packing.PIECE
+    whole = packing.sequences(pieces)
+    assert whole.filter(F.octet_length("ids") != 4 * F.col("n_tokens")).count() == 0
+    ids = b"".join(r.ids for r in whole.orderBy("sequence_id").collect())
+    assert sum(np.frombuffer(ids, "<u4") == 2) == 3000
+
+
+def test_plan_is_one_order():
+    """Places in closed form belong to one order of all tokens, whatever the totals and weights."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        totals = rng.integers(0, 4000, rng.integers(1, 9)) // rng.integers(1, 60)
+        weights = rng.choice([0.0, 1.0, 2.5, 700.0], len(totals))
+        plan = packing.Plan.of(totals, weights, 16)
+        if not totals.sum():
+            continue
+        held = np.array([plan._before(x) for x in range(plan.total + 1)])
+        assert (held.sum(1) == np.arange(plan.total + 1)).all() and (held[-1] == totals).all()
+        assert (np.diff(held, axis=0) >= 0).all()
+        for q in np.flatnonzero(totals):
+            lengths = rng.integers(1, 50, 100)
+            lengths = np.diff(np.minimum(np.cumsum([0, *lengths, totals[q]]), totals[q]))
+            lengths = lengths[lengths > 0]
+            doc, start, length, sequence, offset = packing._pieces(plan, int(q), 0, lengths)
+            assert length.sum() == totals[q] and (length > 0).all() and (offset + length <= 16).all()
+            assert (np.bincount(doc, length, len(lengths)) == lengths).all()
+
+
+def test_deficits_are_carried():
+    given = packing.deal(np.array([[700, 300, 24], [1024, 0, 0]]), [64] * 16)
+    assert (given.sum(2) == 64).all() and (given.sum(1) == [[700, 300, 24], [1024, 0, 0]]).all()
+    assert set(given[0, :, 2]) <= {0, 24}  # less than a piece, so given at once when it is due
+
+
+def test_pii_context_and_spaced_ibans(spark):
+    """Context reaches over neighbouring matches, words stand alone, and printed IBANs are checked without blanks."""
+    texts = {
+        "SSN: 123-45-6789, 219-09-9998, 219-09-9997": [("ssn", 0.8)] * 3,
+        "call the hotel +1 415 555 0100": [("phone", 1.0)],
+        "the hotel +1 415 555 0100": [("phone", 0.8)],
+        "discard 4111 1111 1111 1111": [("card", 0.8)],
+        "Karte 4111 1111 1111 1111": [("card", 1.0)],
+        "IBAN GB82 WEST 1234 5698 7654 32, or DE89 3704 0044 0532 0130 00.": [("iban", 1.0), ("iban", 1.0)],
+        "GB82 WEST 1234 5698 7654 33": [],
+    }
+    frame = spark.createDataFrame([*enumerate(texts), (None, next(iter(texts))), (None, next(iter(texts)))], "doc_id long, text string")
+    rows = pii.find_pii(frame).collect()
+    want = dict(enumerate(texts.values())) | {None: next(iter(texts.values()))}
+    for r in rows:
+        got = [(kind, round(s.score, 6)) for kind in pii.PATTERNS for s in r[kind] if kind in ("card", "phone", "iban", "ssn")]
+        assert got == want[r.doc_id], r.doc_id
+    assert len(rows) == len(texts) + 2
+
+
+def test_tiling_is_its_definition():
+    rng = random.Random(12)
+    for _ in range(150):
+        a = [rng.randint(1, 3) for _ in range(rng.randint(0, 24))]
+        b = [rng.choice([-1, 1, 2, 3]) for _ in range(rng.randint(0, 30))]
+        assert sorted(decontaminate.tile(a, b, 3)) == sorted(plain_tiles(a, b, 3))
+
+
+def test_tiling_repeated_words():
+    start = time.monotonic()
+    assert decontaminate.tile([1] * 400, [1] * 100_000, 4) == [(0, 0, 400)]
+    assert sum(k for *_, k in decontaminate.tile([1, 2] * 5000, [2, 2, 1] * 4000 + [1, 2] * 2000, 2)) >= 4000
+    block = decontaminate._Block([(k, f"one stem of six common words item{k} " + sentence(k, 20)) for k in range(20_000)], 4)
+    text = " ".join(f"one stem of six common words other{k}" for k in range(150))
+    assert decontaminate._covered(block, text, 4, 0.5) == []
+    assert time.monotonic() - start < 20
+
+
+def test_decontamination_by_plain_tiling(spark):
+    """All pairs of a small table, against tiling by its definition; items of a word or two have to occur whole."""
+    rng = random.Random(3)
+    items = [(k, sentence(100 + k, 14)) for k in range(6)] + [(6, "zulu yankee"), (7, "xray"), (8, None), (9, "!")]
+    rows = []
+    for k in range(60):
+        words = sentence(200 + k, 20).split()
+        for _ in range(rng.randrange(3)):
+            own = rng.choice(items[:6])[1].split()
+            a, n = rng.randrange(10), rng.randrange(3, 12)
+            words[rng.randrange(len(words)) :] = own[a : a + n] + words[:4]
+        rows.append((k, " ".join(words)))
+    rows += [(60, "a Zulu, YANKEE here"), (61, "zulu x yankee"), (62, "x-ray xray"), (63, "")]
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
+    number, want = {}, set()
+    for d, t in rows:
+        for i, x in items:
+            a, b = ([number.setdefault(w, len(number)) for w in split(y)] for y in (x, t))
+            if 0 < len(a) < 4:
+                if any(b[k : k + len(a)] == a for k in range(len(b))):
+                    want.add((d, i, 1.0))
+            elif a and (n := sum(k for *_, k in plain_tiles(a, b, 4))) >= 0.5 * len(a):
+                want.add((d, i, n / len(a)))
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.coverage) for r in got.collect()} == want and len(want) > 10
+
+
+def test_archives_are_members(spark, tmp_path):
+    """Every record can be read from its offset alone; long records are several members; ranges are small."""
+    rows = [(k, f"http://h{k % 3}.example/{k % 7}", f"page {k} " * (k % 50)) for k in range(500)] + [(900, "u", "".join(map(chr, np.random.default_rng(1).integers(97, 123, 20_000_000))))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/warc"
+    warc.write(pages, path)
+    records = warc.read(spark, path).collect()
+    assert len(records) == 501 and all(r.payload_intact for r in records)
+    for r in records:
+        content = (tmp_path / "warc" / r.file).read_bytes()
+        said = zlib.decompressobj(31).decompress(content[r.byte_offset :])
+        assert said.startswith(b"WARC/1.1\r\n") and f"<urn:page:{r.page_id}>".encode() in said
+    merged = warc.merged_index(warc.runs(warc.read(spark, path)), range_rows=60).orderBy("key_range", "place").collect()
+    order = [(r.url_key, r.captured, r.page_id) for r in merged]
+    assert order == sorted(order) and len(order) == 501 and len({r.key_range for r in merged}) > 5
+
+
+def test_ledger_races_and_snapshots(spark, monkeypatch):
+    ledger = token_counts.TokenLedger(spark, storage.scratch(spark, "ledger"))
+    change = lambda n: spark.createDataFrame([("a", "en", "v", 1, n)], "source string, lang string, tokenizer_version string, sign int, n_tokens long")
+    total = lambda: [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()]
+    assert total() == [] and ledger.compact() and total() == []
+    monkeypatch.setattr(storage, "exists", lambda *a: False)  # both committers have looked and seen nothing
+    assert ledger.commit("one", change(5)) and not ledger.commit("one", change(70))
+    monkeypatch.undo()
+    assert total() == [(1, 5)]
+    assert ledger.commit("two", change(6)) and ledger.compact() and total() == [(2, 11)]
+    assert not ledger.commit("one", change(1)) and not ledger.commit("two", change(1)) and ledger.commit("three", change(1))
+    assert total() == [(3, 12)] and ledger.compact() and total() == [(3, 12)] and len(storage.listed(spark, f"{ledger.root}/deltas")) == 1
+
+
+def test_chat_windows_keep_the_budget(spark):
+    """With a system turn that leaves little room, and with counts of a tokenizer's own."""
+    rows = [(c, 0, "system", "s" * n) for c, n in ((1, 6000), (2, 8100), (3, 40), (4, 9000))]
+    rows += [(c, k, ["user", "assistant"][k % 2], "word " * (k * 7 % 23)) for c in range(1, 5) for k in range(1, 90)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("count", F.length("text") + 3)
+    for tokens, budget in ((None, 2048), (F.col("count"), 8192)):
+        made = chat.windows(frame, budget, budget // 4, tokens)
+        for r in made.collect():
+            turns = r.formatted.count("<|im_start|>")
+            assert r.n_tokens <= budget or turns - r.n_repeated == 1 or r.conv_id == 4, r.conv_id
+        got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(made).collect()}
+        assert got == conversation_digests(rows)
+
+
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_multi_index_on_clustered_vectors(spark, n, monkeypatch):
+    """Recall of 0.9 at two sizes, and a visited share that falls as the table grows."""
+    shares, whole = [], multi_index._share
+    monkeypatch.setattr(multi_index, "_share", lambda *a: shares.append(whole(*a)) or shares[-1])
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(60, 16))
+    x = (centers[rng.integers(0, 60, n)] + 0.25 * rng.normal(size=(n, 16))).astype(np.float32)
+    frame = spark.createDataFrame(((i, v.tolist()) for i, v in enumerate(x)), "vec_id long, embedding array<float>")
+    got = multi_index.search(frame, F.col("vec_id") % 20 == 0, k=10, block=500).toPandas().groupby("query_id")["vec_id"].apply(set)
+    scores = x[::20].astype(float) @ x.T.astype(float)
+    hits = 0
+    for q, row in zip(range(0, n, 20), scores):
+        row[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-row)[:10].tolist()))
+    print("share", n, shares)
+    assert hits >= 0.9 * 10 * len(got) and shares[0] < (0.3 if n == 2000 else 0.2)
+
+
+def test_multi_index_of_several_lengths(spark):
+    rows = [(k, [float(k % 5 + 1), 1.0]) for k in range(30)] + [(k, [1.0, float(k % 3), 0.5]) for k in range(30, 50)]
+    got = multi_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=3).collect()
+    assert {(r.query_id, r.vec_id) for r in got} >= {(0, 4), (0, 9), (0, 14), (40, 32), (40, 35)}
+    assert all((r.query_id < 30) == (r.vec_id < 30) for r in got) and len(got) == 15
