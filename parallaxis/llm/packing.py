@@ -1,16 +1,22 @@
 """Mixture-controlled sequence packing by deficit round-robin.
 
-Every source is a queue of documents. A window (one training sequence) is filled by rounds over the queues: each
-source earns ``window * share`` tokens and spends them from its queue, and what it could not spend, or was given
-beyond its share, stays in its deficit for later windows. Deficits also cross partitions: a first pass tokenizes the
-corpus into blocks and counts tokens by partition and source, so every block starts from the deficit that all blocks
-before it leave, ``share * tokens_before - source_tokens_before``, without waiting for them.
+Every source is a queue of documents. A window (one training sequence) is filled by deficit round-robin over the
+queues: each earns ``window * share`` tokens, spends them when they make a piece of ``PIECE`` tokens at least, and
+carries what it could not spend, or was given beyond its share, to later windows. When a queue runs out the others
+share what it had.
 
-Blocks are rows of bounded size in a table in the shared folder, so the second pass is a map: no document is
-shuffled, a hot source only lengthens queues inside its own blocks, and a lost task repeats one block.
+Queues span the corpus, so windows mix sources however the input is clustered. A first pass tokenizes it into blocks
+of bounded size in the shared folder and counts tokens by partition and source: then every block knows the place of
+its documents in their queues. A window is dealt out by a rule that any task can evaluate: rounds of ``ROUND`` windows
+begin at places in closed form (``Plan.before``, in which no queue is more than a token from its share), and within a
+round the deficits are carried from window to window (``deal``). So the second pass is a map that names each piece's
+sequence and offset; no document is shuffled, and a lost task repeats its blocks.
 
-Each block's last ``total % window`` tokens are cut into sequences whose lengths are powers of two, so nothing at
-all is padded when ``window`` is one.
+The corpus' last ``total % window`` tokens are cut into sequences whose lengths are powers of two, so nothing at all
+is padded when ``window`` is one.
+
+The driver holds the totals of at most ``QUEUES`` sources; smaller ones form one more queue, as do those that given
+``shares`` do not name, which come last.
 
 Edge cases: a null or empty text is the end id alone; null sources form one queue; equal rows are packed once each;
 an empty table gives an empty result; extra input columns are ignored.
@@ -18,8 +24,10 @@ an empty table gives an empty result; extra input columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +39,10 @@ from parallaxis.llm import storage, tokens
 
 WINDOW = 4096
 #: Tokens after which a block is closed; a longer document makes a longer block.
-BLOCK_TOKENS = 1_000_000
-#: Rows of per-partition deficits that are still broadcast; more are joined by a shuffle.
+BLOCK_TOKENS = 500_000
+#: Windows of a round, sources with a queue of their own, and tokens below which a queue waits for a later window.
+ROUND, QUEUES, PIECE = 256, 1000, 64
+#: Rows of per-partition places that are still broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 _BLOCKS = "part long, block long, doc_ids array<long>, sources array<string>, lengths array<long>, ids binary, seen_sources array<string>, seen_tokens array<long>"
@@ -89,81 +99,197 @@ def _widen(stored: bytes) -> np.ndarray:
 
 
 def capacities(total: int, window: int) -> list[int]:
-    """Sequence lengths for a block: full windows, then powers of two for what is left."""
+    """Sequence lengths for so many tokens: full windows, then powers of two for what is left."""
     rest = total % window
     return [window] * (total // window) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-def deal(lengths: list[int], sources: list[str | None], shares: dict, deficits: dict, window: int) -> list[tuple[int, int, int, int, int]]:
-    """Deficit round-robin over one block: pieces (document index, start, length, sequence, offset)."""
-    order = sorted(set(sources), key=lambda s: (s is None, s or ""))
-    queues = {s: [i for i, x in enumerate(sources) if x == s][::-1] for s in order} if len(order) > 1 else {order[0]: list(range(len(sources)))[::-1]}
-    left = {s: sum(lengths[i] for i in q) for s, q in queues.items()}
-    start = [0] * len(lengths)
-    deficit = {s: deficits.get(s, 0.0) for s in order}
-    out: list[tuple[int, int, int, int, int]] = []
-
-    def spend(s, n: int, sequence: int, offset: int) -> int:
-        left[s] -= n
-        deficit[s] -= n
-        q = queues[s]
-        while n:
-            i = q[-1]
-            take = min(n, lengths[i] - start[i])
-            out.append((i, start[i], take, sequence, offset))
-            start[i] += take
-            offset += take
-            n -= take
-            if start[i] == lengths[i]:
-                q.pop()
-        return offset
-
-    for sequence, room in enumerate(capacities(sum(lengths), window)):
-        offset, capacity = 0, room
-        for s in order:
-            earned = capacity * shares.get(s, 0.0)
-            deficit[s] += earned
-            # a backlog is worked off at no more than one further share a window, to keep every window near the target
-            n = min(left[s], capacity - offset, int(min(deficit[s], 2 * earned)))
-            if n > 0:
-                offset = spend(s, n, sequence, offset)
-        while offset < capacity:  # what rounding, empty queues and negative deficits left open
-            open_ = sorted((s for s in order if left[s]), key=lambda s: -deficit[s])
-            weight = sum(shares.get(s, 0.0) for s in open_) or 1.0
-            room = capacity - offset
-            for s in open_:
-                n = min(left[s], capacity - offset, max(1, round(room * shares.get(s, 0.0) / weight)))
-                if n > 0:
-                    offset = spend(s, n, sequence, offset)
+@dataclass
+class Plan:
+    """What the packed corpus holds of each queue before any place in it.
+
+    ``at`` and ``held`` are the knots of piecewise linear functions: ideally the first ``at[k]`` tokens hold
+    ``held[k, q]`` of queue q. A token is due where its queue's function reaches its middle.
+    """
+
+    totals: np.ndarray
+    window: int
+    at: np.ndarray
+    held: np.ndarray
+    rounds: dict[int, np.ndarray] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, totals: np.ndarray, weights: np.ndarray, window: int) -> Plan:
+        totals = np.asarray(totals, np.int64)
+        held = [np.zeros(len(totals))]
+        while (open_ := held[-1] < totals).any():
+            rate = np.where(open_, weights, 0.0)
+            if not rate.any():
+                rate = np.where(open_, totals - held[-1], 0.0)
+            rate = rate / rate.sum()
+            lasts = np.where(rate > 0, (totals - held[-1]) / np.where(rate > 0, rate, 1.0), np.inf)
+            now = np.minimum(totals, held[-1] + rate * lasts.min())
+            now[lasts <= lasts.min() * (1 + 1e-9)] = totals[lasts <= lasts.min() * (1 + 1e-9)]
+            held.append(now)
+        held = np.array(held)
+        return cls(totals, window, held.sum(1), held)
+
+    @property
+    def total(self) -> int:
+        return int(self.totals.sum())
+
+    def ideal(self, places: np.ndarray) -> np.ndarray:
+        """Tokens of each queue that its share earns it among the first ``places``."""
+        k = np.clip(np.searchsorted(self.at, places, "right") - 1, 0, len(self.at) - 2)
+        slope = (self.held[k + 1] - self.held[k]) / np.maximum(self.at[k + 1] - self.at[k], 1e-300)[:, None]
+        return np.minimum(self.totals, self.held[k] + slope * (places - self.at[k])[:, None])
+
+    def due(self, queue: int, token: int) -> float:
+        return float(np.interp(token + 0.5, self.held[:, queue], self.at))
+
+    def _before(self, place: int) -> np.ndarray:
+        """Tokens of each queue among the first ``place``: those due first, ties to the first queue."""
+        if place >= self.total:
+            return self.totals
+        own = np.clip(np.floor(self.ideal(np.array([place]))[0] + 0.5).astype(np.int64), 0, self.totals)
+        # rounding may be a token off what is due, and only that is one order for all places
+        for q in range(len(own)):
+            while own[q] and self.due(q, own[q] - 1) >= place:
+                own[q] -= 1
+            while own[q] < self.totals[q] and self.due(q, own[q]) < place:
+                own[q] += 1
+        short = place - int(own.sum())
+        if short > 0:
+            heap = [(self.due(q, n), q) for q, n in enumerate(own) if n < self.totals[q]]
+            heapq.heapify(heap)
+            for _ in range(short):
+                _, q = heap[0]
+                own[q] += 1
+                heapq.heapreplace(heap, (self.due(q, own[q]), q)) if own[q] < self.totals[q] else heapq.heappop(heap)
+        elif short < 0:
+            heap = [(-self.due(q, n - 1), -q) for q, n in enumerate(own) if n > 0]
+            heapq.heapify(heap)
+            for _ in range(-short):
+                q = -heap[0][1]
+                own[q] -= 1
+                heapq.heapreplace(heap, (-self.due(q, own[q] - 1), -q)) if own[q] > 0 else heapq.heappop(heap)
+        return own
+
+    def before(self, k: int) -> np.ndarray:
+        """Tokens of each queue before round k."""
+        if k not in self.rounds:
+            if len(self.rounds) > 10_000:
+                self.rounds.clear()
+            self.rounds[k] = self._before(k * ROUND * self.window)
+        return self.rounds[k]
+
+    def round_of(self, queue: int, token: int) -> int:
+        k = min(int(self.due(queue, token) // (ROUND * self.window)), (self.total - 1) // (ROUND * self.window))
+        while self.before(k)[queue] > token:
+            k -= 1
+        while self.before(k + 1)[queue] <= token:
+            k += 1
+        return k
+
+    def windows(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of all windows of rounds ``first`` to ``last``: what each queue gave before it, and gives to it."""
+        size = ROUND * self.window
+        whole = [k for k in range(first, last + 1) if (k + 1) * size <= self.total]
+        parts = []
+        if whole:
+            start = np.array([self.before(k) for k in whole])
+            stop = np.array([self.before(k + 1) for k in whole])
+            parts.append(deal(stop - start, [self.window] * ROUND, self, np.array(whole) * size).reshape(-1, len(self.totals)))
+        if len(whole) <= last - first:
+            rest = (self.before(last + 1) - self.before(last))[None]
+            parts.append(deal(rest, capacities(self.total - last * size, self.window), self, np.array([last * size]))[0])
+        gives = np.concatenate(parts)
+        return self.before(first) + np.cumsum(gives, 0) - gives, gives
+
+
+def _by_turn(amounts: np.ndarray, rank: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """What of ``amounts`` each queue gets if they are served by descending ``rank`` up to ``limit`` in all."""
+    order = np.argsort(-rank, axis=1, kind="stable")
+    wanted = np.take_along_axis(amounts, order, 1)
+    got = np.clip(limit[:, None] - (np.cumsum(wanted, 1) - wanted), 0, wanted)
+    out = np.empty_like(amounts)
+    np.put_along_axis(out, order, got, 1)
     return out
 
 
-def _pack(window: int, with_ids: bool):
+def deal(tokens_of: np.ndarray, capacity: list[int], plan: Plan | None = None, places: np.ndarray | None = None) -> np.ndarray:
+    """Deficit round-robin over rounds side by side: (round, window, queue) from (round, queue) tokens.
+
+    Every window is filled to its capacity, every queue gives all of its tokens. Queues earn what ``plan`` says for
+    rounds that begin at ``places``, by default the same in all windows.
+    """
+    left, deficit = tokens_of.copy(), np.zeros(tokens_of.shape)
+    out = np.empty((len(left), len(capacity), left.shape[1]), np.int64)
+    quantum, upto = tokens_of / max(1, sum(capacity)), np.cumsum([0, *capacity])
+    for w, room in enumerate(capacity):
+        deficit += quantum * room if plan is None else plan.ideal(places + upto[w + 1]) - plan.ideal(places + upto[w])
+        full = np.full(len(left), room)
+        earned = np.clip(np.floor(deficit + 1e-9), 0, left).astype(np.int64)
+        earned[deficit < np.minimum(PIECE, left)] = 0
+        give = _by_turn(earned, deficit, full)
+        # what rounding, empty and waiting queues leave open goes to the longest queues
+        give += _by_turn(left - give, (left - give).astype(float), full - give.sum(1))
+        left -= give
+        deficit -= give
+        out[:, w] = give
+    return out
+
+
+def _pieces(plan: Plan, queue: int, place: int, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Cuts documents that follow each other in a queue from ``place`` on: (document, start, length, sequence, offset)."""
+    starts = place + np.cumsum(lengths) - lengths
+    stop, found = place + int(lengths.sum()), []
+    first, last = plan.round_of(queue, place), plan.round_of(queue, stop - 1)
+    for k in range(first, last + 1, 64):
+        until = min(k + 63, last)
+        before, gives = plan.windows(k, until)
+        edges = before[:, queue]
+        low, high = max(place, int(plan.before(k)[queue])), min(stop, int(plan.before(until + 1)[queue]))
+        if high <= low:
+            continue
+        inside = edges[(edges > low) & (edges < high)]
+        cuts = np.unique(np.concatenate([[low], starts[(starts > low) & (starts < high)], inside, [high]]))
+        at = cuts[:-1]
+        doc = np.searchsorted(starts, at, "right") - 1
+        window = np.searchsorted(edges, at, "right") - 1
+        offset = (np.cumsum(gives, 1) - gives)[window, queue] + at - edges[window]
+        found.append((doc, at - starts[doc], np.diff(cuts), window + k * ROUND, offset))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _pack(plan: Plan, names: dict[str | None, int], with_ids: bool):
+    rest = len(plan.totals) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                names, prior, shares = row["names"], row["prior"], row["shares"]
-                share = dict(zip(names, shares))
-                seen = dict(zip(row["seen_sources"], row["seen_tokens"]))
-                total = row["prior_total"] + sum(seen.values())
-                owed = {s: share[s] * total - p - seen.get(s, 0) for s, p in zip(names, prior)}
-                ids, lengths = _widen(row["ids"]), row["lengths"]
-                first = np.concatenate([[0], np.cumsum(lengths)])
-                pieces = np.array(deal(lengths, row["sources"], share, owed, window), np.int64).reshape(-1, 5)
-                i = pieces[:, 0]
-                begin = first[i] + pieces[:, 1]
-                raw = [ids[b : b + n].tobytes() for b, n in zip(begin, pieces[:, 2])]
+                place = dict(row["places"])
+                for s, n in zip(row["seen_sources"], row["seen_tokens"]):
+                    q = names.get(s, rest)
+                    place[q] = place.get(q, 0) + n
+                ids, lengths = _widen(row["ids"]), np.array(row["lengths"], np.int64)
+                first = np.cumsum(lengths) - lengths
+                queue = np.array([names.get(s, rest) for s in row["sources"]])
                 docs, sources = row["doc_ids"], row["sources"]
-                base = row["part"] << 42 | row["block"] << 22
-                cols = {
-                    "doc_id": pa.array([docs[x] for x in i], pa.int64()), "start": pa.array(pieces[:, 1]), "length": pa.array(pieces[:, 2]),
-                    "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()), "doc_tokens": pa.array(np.asarray(lengths, np.int64)[i]),
-                    "sequence_id": pa.array(base + pieces[:, 3]), "offset": pa.array(pieces[:, 4]), "source": pa.array([sources[x] for x in i], pa.string()),
-                }
-                if with_ids:
-                    cols["ids"] = pa.array(raw, pa.binary())
-                yield pa.RecordBatch.from_pydict(cols)
+                for q in np.unique(queue):
+                    own = np.flatnonzero(queue == q)
+                    doc, start, length, sequence, offset = _pieces(plan, int(q), place.get(int(q), 0), lengths[own])
+                    doc = own[doc]
+                    raw = [ids[b : b + n].tobytes() for b, n in zip(first[doc] + start, length)]
+                    cols = {
+                        "doc_id": pa.array([docs[x] for x in doc], pa.int64()), "start": pa.array(start), "length": pa.array(length),
+                        "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()), "doc_tokens": pa.array(lengths[doc]),
+                        "sequence_id": pa.array(sequence), "offset": pa.array(offset), "source": pa.array([sources[x] for x in doc], pa.string()),
+                    }
+                    if with_ids:
+                        cols["ids"] = pa.array(raw, pa.binary())
+                    yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
@@ -176,6 +302,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     packed little-endian uint32.
     """
     spark = docs.sparkSession
+    schema = _PIECES + (", ids binary" if with_ids else "")
     path = vocabulary or tokens.default_vocabulary()
     blocks = storage.materialize(docs.select("doc_id", "source", "text").mapInArrow(_blocks(path, end_id, block_tokens), _BLOCKS), "blocks")
     counted = (
@@ -183,23 +310,32 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
         .groupBy("part", F.col("d.sources").alias("source")).agg(F.sum("d.lengths").alias("n"))
     )
     counted = storage.materialize(counted, "mixture")
-    by_source = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    part_totals = counted.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("prior_total"))
     if shares is None:
-        whole = counted.agg(F.sum("n").alias("whole"))
-        share = counted.groupBy("source").agg(F.sum("n").alias("s")).crossJoin(F.broadcast(whole)).select(F.col("source").alias("sh_source"), (F.col("s") / F.col("whole")).alias("share"))
+        largest = counted.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES).select("source").collect()
+        named = sorted((r.source for r in largest), key=lambda s: (s is None, s or ""))
     else:
-        scale = sum(shares.values()) or 1.0
-        share = spark.createDataFrame([(s, v / scale) for s, v in shares.items()], "sh_source string, share double")
-    state = (
-        counted.withColumn("prior", F.coalesce(F.sum("n").over(by_source), F.lit(0)))
-        .join(share, F.col("source").eqNullSafe(F.col("sh_source")), "left")
-        .groupBy("part").agg(F.sort_array(F.collect_list(F.struct("source", "prior", F.coalesce("share", F.lit(0.0)).alias("share")))).alias("st"))
-        .join(part_totals, "part")
-        .select("part", "prior_total", F.col("st.source").alias("names"), F.col("st.prior").alias("prior"), F.col("st.share").alias("shares"))
-    )
-    if counted.count() <= BROADCAST_ROWS:
-        state = F.broadcast(state)
-    schema = _PIECES + (", ids binary" if with_ids else "")
-    return blocks.join(state, "part").mapInArrow(_pack(window, with_ids), schema)
+        named = sorted(shares, key=lambda s: (s is None, s or ""))
+    names = {s: q for q, s in enumerate(named)}
+    table = F.broadcast(spark.createDataFrame([(s, q) for s, q in names.items()], "own string, queue int"))
+    queued = counted.join(table, F.col("source").eqNullSafe(F.col("own")), "left").groupBy("part", F.coalesce("queue", F.lit(len(names))).alias("queue")).agg(F.sum("n").alias("n"))
+    queued = storage.materialize(queued, "queues")
+    totals = np.zeros(len(names) + 1, np.int64)
+    for r in queued.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # one row for each queue
+        totals[r.queue] = r.n
+    if not totals.any():
+        return spark.createDataFrame([], schema)
+    weights = totals.astype(float) if shares is None else np.array([*(max(0.0, shares[s]) for s in named), 0.0])
+    plan = Plan.of(totals, weights, window)
+    by_queue = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    places = queued.withColumn("place", F.coalesce(F.sum("n").over(by_queue), F.lit(0))).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("queue", "place"))).alias("places"))
+    if queued.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    storage.drop(counted)
+    return blocks.join(places, "part").mapInArrow(_pack(plan, names, with_ids), schema)
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """(sequence_id, n_tokens, ids): whole sequences from pieces with ids; a group is one window at most."""
+    listed = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    joined = F.aggregate("listed", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    return pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), listed.alias("listed")).select("sequence_id", "n_tokens", joined.alias("ids"))

@@ -2,7 +2,8 @@
 
 The vocabulary drops white space and splits on it before merging, so the ids of a text are the concatenation of
 the ids of its ASCII-white-space-separated chunks. Chunks repeat heavily, hence a bounded cache from chunk bytes
-to packed little-endian uint32 ids turns encoding into dictionary look-ups.
+to packed little-endian uint32 ids turns encoding into dictionary look-ups. The cache has two generations: what is
+looked up in the old one moves to the young one, and when that is full the rest of the old one goes.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import numpy as np
 
 from parallaxis.llm import worker
 
-#: Distinct chunks kept per Python worker before the cache starts afresh.
-CACHE_CHUNKS = 1_000_000
+#: Bytes of each of the two generations of a Python worker's cache, and of an entry besides its chunk and ids.
+CACHE_BYTES, ENTRY_BYTES = 72_000_000, 160
 
 
 def default_vocabulary() -> str:
@@ -39,7 +40,7 @@ def byte_alphabet() -> dict[int, str]:
 class WordEncoder:
     """Encodes texts to packed ids; ``path`` names a tokenizers JSON whose pre-tokenizer splits on white space."""
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         # a task has one core; the library's own threads would only wait for work beside it
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -48,22 +49,34 @@ class WordEncoder:
         #: the merges alone, for chunks of lower-case letters, on which normalising and pre-tokenising change nothing
         self.bare = Tokenizer(self.tokenizer.model)
         self.alphabet = byte_alphabet()
-        self.cache: dict[bytes, bytes] = {}
-        self.cache_chunks = cache_chunks
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size, self.cache_bytes = 0, cache_bytes
+
+    def _put(self, chunk: bytes, ids: bytes) -> None:
+        self.young[chunk] = ids
+        self.size += len(chunk) + len(ids) + ENTRY_BYTES
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Adds the ids of chunks; a closing comma or full stop after a letter is always a pre-token of its own."""
+        if self.size > self.cache_bytes:
+            self.old, self.young, self.size = self.young, {}, 0
         stems, ended = set(), []
         for c in chunks:
-            if len(c) > 1 and c[-1] in b".," and c[-2:-1].isalpha():
+            if c in self.old:
+                self._put(c, self.old[c])
+            elif len(c) > 1 and c[-1] in b".," and c[-2:-1].isalpha():
                 ended.append(c)
                 stems.update((c[:-1], c[-1:]))
             else:
                 stems.add(c)
-        cache = self.cache
-        todo = [c for c in stems if c not in cache]
         plain, other = [], []
-        for c in todo:
+        for c in stems:
+            if c in self.young:
+                continue
+            if c in self.old:
+                self._put(c, self.old[c])
+                continue
             w = c.decode()
             if w.isalpha() and w.islower() and (w.isascii() or is_normalized("NFC", w)):
                 plain.append((c, c.decode("latin-1").translate(self.alphabet)))
@@ -74,32 +87,29 @@ class WordEncoder:
                 part = pairs[k : k + 20_000]
                 found = tokenizer.encode_batch_fast([w for _, w in part], add_special_tokens=False)
                 for (c, _), e in zip(part, found):
-                    cache[c] = pack(*ids) if (ids := e.ids) and (pack := PACK.get(len(ids))) else np.asarray(ids, dtype="<u4").tobytes()
+                    self._put(c, pack(*ids) if (ids := e.ids) and (pack := PACK.get(len(ids))) else np.asarray(ids, dtype="<u4").tobytes())
         for c in ended:
-            cache[c] = cache[c[:-1]] + cache[c[-1:]]
+            self._put(c, self.young[c[:-1]] + self.young[c[-1:]])
 
     def encode(self, texts: list[str | None], group: int = 64) -> list[bytes]:
         """Packed little-endian uint32 ids for every text; null and empty texts have no ids."""
         out: list[bytes] = []
-        cache = self.cache
         for k in range(0, len(texts), group):
-            packed, gaps, missing = [], [], set()
+            get, packed, gaps, missing = self.young.get, [], [], set()
             for t in texts[k : k + group]:
                 raw = (t or "").encode("utf-8", "replace")
                 # control strings are matched before lower-casing, so texts that may hold one keep their case
                 chunks = (raw if b"<|" in raw else raw.lower()).split()
-                found = list(map(cache.get, chunks))
+                found = list(map(get, chunks))
                 if None in found:
                     gap = [(found, i, c) for i, (c, v) in enumerate(zip(chunks, found)) if v is None]
                     missing.update(c for _, _, c in gap)
                     gaps += gap
                 packed.append(found)
             if missing:
-                if len(cache) + len(missing) > self.cache_chunks:
-                    cache.clear()
                 self._learn(missing)
                 for found, i, c in gaps:
-                    found[i] = cache[c]
+                    found[i] = self.young[c]
             out += map(b"".join, packed)
         return out
 
