@@ -7,7 +7,11 @@ so every assistant turn is learned once.
 
 The sum's axis is divided into bins of the tokens that are free besides system turn and history. Turns inside one bin
 form a span and a turn that crosses a bin's edge is a span by itself, so no span but a single long turn exceeds a bin.
-At most four spans can begin within one history budget, so a turn is repeated at most four times.
+Where the system turn leaves less than two history budgets, history and bin halve what it leaves. So a window keeps
+the budget unless a single turn that does not fit beside system turn and history, or the system turn by itself,
+exceeds it. At most four spans can begin within one history budget, so a turn is repeated at most four times.
+
+A turn's tokens are estimated from its code points; give ``tokens`` to count them as a tokenizer does.
 
 Windows, running sums and both groupings cluster by conversation: one shuffle carries each text once.
 
@@ -46,23 +50,26 @@ def turn_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / CHARS_PER_TOKEN).cast("long") + TURN_OVERHEAD
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Training windows of ``conversations(conv_id, turn, role, text)``.
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Column | None = None) -> DataFrame:
+    """Training windows of ``conversations(conv_id, turn, role, text)``; ``tokens`` counts a turn's, of any columns.
 
     One row for each window: conv_id, window, formatted, n_tokens, n_repeated (turns at its head that an earlier
     window or the retained system turn already gave), loss_spans (code points of ``formatted``, end exclusive).
     """
-    free = budget - history
     conv = Window.partitionBy("conv_id")
     in_order = conv.orderBy(F.asc_nulls_first("turn"), "role", "text")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
     turns = (
-        conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        conversations.select(
+            "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+            (turn_tokens(F.coalesce("text", F.lit(""))) if tokens is None else F.greatest(F.lit(1), F.coalesce(tokens, F.lit(1))).cast("long")).alias("tokens"),
+        )
         .withColumn("rn", F.row_number().over(in_order))
-        .withColumn("tokens", turn_tokens(F.col("text")))
         .withColumn("system", (F.col("rn") == 1) & (F.col("role") == "system"))
         .withColumn("stop", F.sum(F.when(F.col("system"), 0).otherwise(F.col("tokens"))).over(so_far))
-        .withColumn("bin", F.greatest(F.lit(history), free - F.first(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(so_far)))
+        .withColumn("room", F.greatest(F.lit(1), budget - F.first(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(so_far)))
+        .withColumn("history", F.least(F.lit(history), F.floor(F.col("room") / 2)))
+        .withColumn("bin", F.col("room") - F.col("history"))
         .withColumn("start", F.when(F.col("system"), 0).otherwise(F.col("stop") - F.col("tokens")))
         .withColumn("low", F.floor(F.col("start") / F.col("bin")))
         .withColumn("high", F.floor((F.col("stop") - 1) / F.col("bin")))
@@ -78,7 +85,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     for k in range(1, AHEAD + 1):
         turns = turns.withColumn(f"next{k}", F.min("start").over(by_span.rangeBetween(k, k)))
     own = F.array(F.col("span"))
-    again = F.flatten(F.array(*(F.when(F.col("start") >= F.col(f"next{k}") - history, F.array(F.col("span") + k)).otherwise(F.array().cast("array<bigint>")) for k in range(1, AHEAD + 1))))
+    again = F.flatten(F.array(*(F.when(F.col("start") >= F.col(f"next{k}") - F.col("history"), F.array(F.col("span") + k)).otherwise(F.array().cast("array<bigint>")) for k in range(1, AHEAD + 1))))
     placed = turns.withColumn("window", F.explode(F.when(F.col("system"), F.sequence(F.lit(0).cast("long"), F.col("spans") - 1)).otherwise(F.concat(own, again))))
     head = F.concat(F.lit(START), escape(F.col("role"), role=True), F.lit("\n"))
     inside = Window.partitionBy("conv_id", "window").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)

@@ -29,13 +29,13 @@ select page_id, n payload_bytes, sha256(html) payload_digest, case when n >= 100
 _ESC = "replace(replace({}, chr(92), chr(92) || 'b'), '<|', '<' || chr(92) || 'p')"
 _W = "(partition by conv_id order by turn nulls first, role, text rows between unbounded preceding and current row)"
 _O = "(partition by conv_id order by turn nulls first, role, text)"
-_FREE = chat.BUDGET - chat.HISTORY
 CHAT_WINDOWS = f"""
 with c as (select conv_id, turn, coalesce(role, '') "role", coalesce(text, '') text from conversations
     union all values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
   a as (select *, row_number() over {_O} rn, ceil(length(text) / {chat.CHARS_PER_TOKEN})::bigint + {chat.TURN_OVERHEAD} tokens from c),
   b as (select *, rn = 1 and "role" = 'system' sys from a),
-  e as (select *, sum(case when sys then 0 else tokens end) over {_W} stop, greatest({chat.HISTORY}, {_FREE} - first_value(case when sys then tokens else 0 end) over {_W}) bin from b),
+  room as (select *, sum(case when sys then 0 else tokens end) over {_W} stop, greatest(1, {chat.BUDGET} - first_value(case when sys then tokens else 0 end) over {_W}) room from b),
+  e as (select *, least({chat.HISTORY}, room // 2) history, room - least({chat.HISTORY}, room // 2) bin from room),
   f as (select *, case when sys then 0 else stop - tokens end start from e),
   g as (select *, floor(start::double / bin) low, floor((stop - 1)::double / bin) high from f),
   i as (select *, lag(case when not sys then low end) over {_O} pl, lag(case when not sys then high end) over {_O} ph from g),
@@ -43,7 +43,7 @@ with c as (select conv_id, turn, coalesce(role, '') "role", coalesce(text, '') t
   k as (select *, greatest(0, sum(opens) over {_W} - 1)::bigint span from j),
   l as (select *, max(span) over (partition by conv_id) + 1 spans, {', '.join(f"min(start) over (partition by conv_id order by span range between {n} following and {n} following) n{n}" for n in range(1, chat.AHEAD + 1))} from k),
   shown as (select *, length('<|im_start|>' || replace({_ESC.format('"role"')}, chr(10), chr(92) || 'n') || chr(10) || {_ESC.format('text')} || '<|im_end|>' || chr(10)) chars,
-    case when sys then spans else 1 {' '.join(f"+ case when start >= n{n} - {chat.HISTORY} then 1 else 0 end" for n in range(1, chat.AHEAD + 1))} end places from l)
+    case when sys then spans else 1 {' '.join(f"+ case when start >= n{n} - history then 1 else 0 end" for n in range(1, chat.AHEAD + 1))} end places from l)
 select conv_id, count(*) n_turns, sha256(string_agg("role" || chr(10) || text || chr(10), '' order by rn)) turns_sha256,
   coalesce(sum(length(text)) filter (where "role" = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(text, '' order by rn) filter (where "role" = 'assistant'), '')) loss_sha256,
   sum(chars * places)::bigint formatted_chars, max(spans) n_windows from shown group by conv_id"""
@@ -66,13 +66,13 @@ _PLAIN = {
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[ -]?[0-9])+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){1,2}(?: [0-9]{4}){1,5}(?: [0-9]{1,3})?)\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: case when i % 2 = 1 then substr({_DIGITS}, length({_DIGITS}) - i + 1, 1)::int else (substr({_DIGITS}, length({_DIGITS}) - i + 1, 1)::int * 2) // 10 + (substr({_DIGITS}, length({_DIGITS}) - i + 1, 1)::int * 2) % 10 end)) % 10 = 0"
-_TURNED = "(substr(m, 5) || substr(m, 1, 4))"
-_MOD97 = f"list_reduce(list_transform(range(1, length(m) + 1), lambda i: case when ascii(substr({_TURNED}, i, 1)) <= 57 then ascii(substr({_TURNED}, i, 1)) - 48 else ascii(substr({_TURNED}, i, 1)) + 945 end), lambda a, c: case when c < 10 then (a * 10 + c) % 97 else (a * 100 + c - 1000) % 97 end) % 97 = 1"
+_TURNED = "(substr(replace(m, ' ', ''), 5) || substr(m, 1, 4))"
+_MOD97 = f"list_reduce(list_transform(range(1, length({_TURNED}) + 1), lambda i: case when ascii(substr({_TURNED}, i, 1)) <= 57 then ascii(substr({_TURNED}, i, 1)) - 48 else ascii(substr({_TURNED}, i, 1)) + 945 end), lambda a, c: case when c < 10 then (a * 10 + c) % 97 else (a * 100 + c - 1000) % 97 end) % 97 = 1"
 _CHECKS = {
     "email": "true",
     "ip": "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 and coalesce(try_cast(right(x, 3) as int), 0) <= 255))",
@@ -85,11 +85,11 @@ _CHECKS = {
 
 def _kind(n: int, kind: str) -> str:
     sure = pii.PROPOSED + (pii.CONFIRMED if kind in ("card", "iban", "ip", "phone") else 0.2)
-    beside = f"lower(right(s[i], {pii.CONTEXT}) || ' ' || left(s[i + 1], {pii.CONTEXT}))"
-    return f"""{kind}_a as (select r, regexp_extract_all(t, '{_PLAIN[kind]}') ms, string_split_regex(t, '{_PLAIN[kind]}') s from d),
-  {kind}_b as (select r, s, unnest(ms) m, unnest(range(1, len(ms) + 1)) i from {kind}_a),
+    beside = f"lower(right(substr(t, 1, (stop - length(m))::bigint), {pii.CONTEXT}) || ' ' || substr(t, stop::bigint + 1, {pii.CONTEXT}))"
+    return f"""{kind}_a as (select r, t, regexp_extract_all(t, '{_PLAIN[kind]}') ms, string_split_regex(t, '{_PLAIN[kind]}') s from d),
+  {kind}_b as (select r, t, s, unnest(ms) m, unnest(range(1, len(ms) + 1)) i from {kind}_a),
   {kind}_c as (select *, sum(length(s[i]) + length(m)) over (partition by r order by i) stop from {kind}_b),
-  {kind}_d as (select r, {n} k, '{kind}' kind, (stop - length(m))::bigint start, stop::bigint stop, case when regexp_matches({beside}, '{pii.WORDS[kind]}') then {min(1.0, sure + pii.CONTEXT_GAIN)} else {sure} end score from {kind}_c where {_CHECKS[kind]})"""
+  {kind}_d as (select r, {n} k, '{kind}' kind, (stop - length(m))::bigint start, stop::bigint stop, case when regexp_matches({beside}, '{pii.alone(pii.WORDS[kind])}') then {min(1.0, sure + pii.CONTEXT_GAIN)} else {sure} end score from {kind}_c where {_CHECKS[kind]})"""
 
 
 _LISTED = "string_agg(kind || ':' || start || ':' || stop, ',' order by k, start)"

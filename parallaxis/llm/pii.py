@@ -3,8 +3,12 @@
 For each kind a pattern proposes leftmost non-overlapping spans. Splitting the text at the pattern gives what lies
 between the spans, so their places are prefix sums of lengths in code points. Validators confirm or drop a span
 (Luhn for cards, mod-97 for IBANs, ranges for addresses, digit counts for phones). A validator raises a span's score,
-and so does a context word in the ``CONTEXT`` code points beside it. Kinds of the base set are kept whatever their score;
-the added kinds, IBANs and social security numbers, are kept at ``THRESHOLD`` or more.
+and so does a context word, in one of four languages, that stands by itself in the ``CONTEXT`` code points on either
+side of it. Kinds of the base set are kept whatever their score; the added kinds, IBANs (as one word or in groups of
+four) and social security numbers, are kept at ``THRESHOLD`` or more.
+
+A pattern's matches split the text, and context is put together again from as many of the neighbouring matches, and
+what lies between them, as ``CONTEXT`` code points can hold; so it costs the same however long the text is.
 
 Patterns are written so that matching is linear: possessive loops, and starts only at the edge of a run of the
 characters that the pattern begins with, or where the last match ended.
@@ -31,19 +35,22 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){1,2}(?:\x20[0-9]{4}){1,5}(?:\x20[0-9]{1,3})?)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: What a text must contain for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+#: Context words in English, German, French and Spanish, in lower case.
 WORDS = {
-    "email": "e-?mail|contact|write to|reach",
-    "ip": r"\bip\b|address|host|server",
-    "card": "card|visa|master|credit|payment",
-    "phone": "phone|tel|call|mobile|fax",
-    "iban": "iban|account|bank|transfer",
+    "email": "e-?mails?|contact|write to|reach|kontakt|courriel|correo",
+    "ip": "ip|address|hosts?|servers?|adresse|rechner|serveur|direcci.n|servidor",
+    "card": "cards?|visa|master|mastercard|credit|payment|kreditkarte|karte|carte|tarjeta",
+    "phone": "phone|telephone|tel|calls?|mobile|fax|telefon|handy|t.l.phone|tel.fono|m.vil",
+    "iban": "iban|accounts?|bank|transfer|konto|.berweisung|compte|virement|cuenta|banco",
     "ssn": "ssn|social security",
 }
+#: Code points of a kind's shortest match, valid or not.
+SHORTEST = {"email": 5, "ip": 7, "card": 2, "phone": 4, "iban": 15, "ssn": 11}
 #: Score of a proposed span, and what a passed validator adds; a context word adds CONTEXT_GAIN.
 PROPOSED, CONFIRMED, CONTEXT_GAIN = 0.4, 0.4, 0.2
 BASE = ("email", "ip", "card", "phone")
@@ -116,36 +123,48 @@ VALID: dict[str, Callable[[Column], Column]] = {
     "ip": _octets,
     "card": lambda m: let(digits(m), lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(False)),
     "phone": lambda m: F.length(digits(m)).between(8, 15),
-    "iban": mod97,
+    "iban": lambda m: mod97(F.replace(m, F.lit(" "), F.lit(""))),
     "ssn": lambda m: ~(F.substring(m, 1, 3).isin("000", "666") | m.startswith("9") | (F.substring(m, 5, 2) == "00") | (F.substring(m, 8, 4) == "0000")),
 }
 
 
+def alone(words: str) -> str:
+    """A pattern for the words where no letter from a to z is beside them, in any dialect."""
+    return f"(?:^|[^a-z])(?:{words})(?:[^a-z]|$)"
+
+
 def spans(text: Column, kind: str) -> Column:
     """array<struct<start int, end int, score double>> of a kind's spans, in code points, end exclusive."""
     pattern = PATTERNS[kind]
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
+    none = F.array().cast("array<struct<start:int,end:int,score:double>>")
+    near = -(-CONTEXT // SHORTEST[kind])
+
     def located(pieces: Column, matches: Column) -> Column:
-        ends = prefix_sums(F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m)))
-        return F.transform(
-            F.arrays_zip(matches.alias("m"), ends.alias("e")),
-            lambda x, i: F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("m"), F.get(pieces, i).alias("left"), F.get(pieces, i + 1).alias("right")),
-        )
+        before = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.concat(p, m))
+        after = F.zip_with(matches, F.slice(pieces, F.lit(2), F.size(matches)), lambda m, p: F.concat(m, p))
+        ends = prefix_sums(F.transform(before, lambda x: F.length(x)))
+
+        def one(x: Column, i: Column, before: Column, after: Column) -> Column:
+            left = F.concat(F.array_join(F.slice(before, F.greatest(F.lit(1), i - near + 1), F.least(i, F.lit(near))), ""), F.get(pieces, i))
+            right = F.concat(F.get(pieces, i + 1), F.array_join(F.slice(after, i + 2, F.lit(near)), ""))
+            return F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("m"), F.right(left, F.lit(CONTEXT)).alias("left"), F.left(right, F.lit(CONTEXT)).alias("right"))
+
+        return let(before, lambda b: let(after, lambda a: F.transform(F.arrays_zip(matches.alias("m"), ends.alias("e")), lambda x, i: one(x, i, b, a))))
 
     # binding both arrays to lambda variables makes each pattern run once over the text
     bound = let(pieces, lambda p: let(matches, lambda m: located(p, m)))
     kept = F.filter(bound, lambda s: VALID[kind](s["m"]))
 
     def scored(s: Column) -> Column:
-        beside = F.lower(F.concat_ws(" ", F.right(s["left"], F.lit(CONTEXT)), F.left(s["right"], F.lit(CONTEXT))))
+        beside = F.lower(F.concat_ws(" ", s["left"], s["right"]))
         sure = PROPOSED + (CONFIRMED if kind in ("card", "iban", "ip", "phone") else 0.2)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(beside.rlike(WORDS[kind]), min(1.0, sure + CONTEXT_GAIN)).otherwise(sure).alias("score"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(beside.rlike(alone(WORDS[kind])), min(1.0, sure + CONTEXT_GAIN)).otherwise(sure).alias("score"))
 
     found = F.transform(kept, scored)
     if kind not in BASE:
         found = F.filter(found, lambda s: s["score"] >= THRESHOLD)
-    none = F.array().cast("array<struct<start:int,end:int,score:double>>")
     tried = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]")
     return F.when(tried, found).otherwise(none)
 

@@ -60,10 +60,22 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents after a load in two batches, a revision, a deletion taken back and a repeated commit."""
     docs = storage.table(spark, sf_dir, "documents")
     ledger = token_counts.TokenLedger(spark, storage.scratch(spark, "ledger"))
-    counts = token_counts.count_tokens(docs, {"word_bpe_49k": tokens.default_vocabulary()})
-    ledger.commit(f"load {sf_dir}", token_counts.inserted(counts))
+    counts = storage.materialize(token_counts.count_tokens(docs, {"word_bpe_49k": tokens.default_vocabulary()}), "token-counts")
+    fold = toxicity.in_fold(F.col("doc_id"))
+    first, late, gone = counts.filter(fold != 0), counts.filter(fold == 0), counts.filter(fold == 1)
+    draft = late.withColumn("n_tokens", F.lit(0))
+    ledger.commit("load", token_counts.inserted(first))
+    ledger.commit("late load, not counted yet", token_counts.inserted(draft))
+    ledger.commit("late counts", token_counts.revised(draft, late))
+    ledger.commit("withdrawal", token_counts.deleted(gone))
+    ledger.commit("load", token_counts.inserted(first))
+    ledger.compact()
+    ledger.commit("withdrawal", token_counts.deleted(gone))
+    ledger.commit("withdrawal taken back", token_counts.inserted(gone))
+    storage.drop(counts)
     return ledger.totals()
 
 

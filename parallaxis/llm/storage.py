@@ -1,5 +1,5 @@
 """Shared storage, as the rest of the library has it."""
 
-from parallaxis.storage import drop, exists, file_system, fresh, materialize, remove, rename, scratch, shared_dir, table
+from parallaxis.storage import contents, create, drop, exists, file_system, fresh, listed, materialize, remove, rename, scratch, shared_dir, table
 
-__all__ = ["drop", "exists", "file_system", "fresh", "materialize", "remove", "rename", "scratch", "shared_dir", "table"]
+__all__ = ["contents", "create", "drop", "exists", "file_system", "fresh", "listed", "materialize", "remove", "rename", "scratch", "shared_dir", "table"]

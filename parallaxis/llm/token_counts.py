@@ -4,9 +4,13 @@ A ledger is a folder of committed batches. A batch holds signed additive deltas
 an insert adds a document and its tokens, a delete subtracts them, and a revised count subtracts the old figure and
 adds the new one. Totals are the sum of all batches, so they never need the documents again.
 
-A commit pre-aggregates its changes, writes them beside the ledger and renames the folder into place under a name
-made from the batch id. Renaming is the commit: a batch id that is there already is left alone, so a repeated or
-resumed commit counts once, and a half-written batch is never read.
+A commit pre-aggregates its changes and writes them to a folder of its own; then it creates the batch's marker, a file
+under a name made from the batch id, that names the folder. The marker is created without overwriting: a batch id that
+has one is left alone, so a repeated or resumed commit counts once. Readers read the one folder that each marker
+names, so neither a half-written batch nor the second of two that race is ever counted.
+
+``compact`` sums what is committed into a snapshot, whose own marker lists the batches that it holds; totals are the
+newest snapshot and the batches after it. Markers stay, so batches that were compacted are still known.
 
 Edge cases: null source, language or version are keys of their own; a null count is 0; an empty batch commits and
 changes nothing; keys whose documents and tokens both return to 0 vanish from the totals; extra columns are ignored.
@@ -69,31 +73,59 @@ class TokenLedger:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _place(self, batch_id: str) -> str:
-        return f"{self.root}/batches/b{hashlib.sha256(batch_id.encode()).hexdigest()}"
+    def _marker(self, batch_id: str) -> str:
+        return f"{self.root}/commits/{hashlib.sha256(batch_id.encode()).hexdigest()}"
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds signed ``changes(source, lang, tokenizer_version, sign, n_tokens)``; False if the batch was there."""
-        place = self._place(batch_id)
-        if storage.exists(self.spark, place):
+        marker = self._marker(batch_id)
+        if storage.exists(self.spark, marker):
             return False
         delta = changes.groupBy(*KEYS).agg(
             F.sum("sign").cast("long").alias("d_docs"),
             F.sum(F.col("sign") * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("d_tokens"),
         )
-        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        delta.write.parquet(staged)
-        fs, path = storage.file_system(self.spark, f"{self.root}/batches")
-        fs.mkdirs(path)
-        if storage.exists(self.spark, place) or not storage.rename(self.spark, staged, place):
-            storage.remove(self.spark, staged)
+        return self._publish(marker, delta)
+
+    def _publish(self, marker: str, delta: DataFrame, also: tuple[str, ...] = ()) -> bool:
+        """Writes a delta and then its marker: the folder's name, and what else the marker is to say."""
+        own = uuid.uuid4().hex
+        delta.write.parquet(f"{self.root}/deltas/{own}")
+        if not storage.create(self.spark, marker, "\n".join([own, *also])):
+            storage.remove(self.spark, f"{self.root}/deltas/{own}")
             return False
-        return True
+        return storage.contents(self.spark, marker).split("\n")[0] == own
+
+    def _state(self) -> tuple[list[str], list[str]]:
+        """Names of the folders to add up, and of the batches in them: the newest snapshot, and batches after it."""
+        snapshots = storage.listed(self.spark, f"{self.root}/snapshots")
+        folders, held = [], set()
+        if snapshots:
+            own, *batches = storage.contents(self.spark, f"{self.root}/snapshots/{max(snapshots)}").split("\n")
+            folders, held = [own], set(batches)
+        names = storage.listed(self.spark, f"{self.root}/commits")
+        later = [n for n in sorted(names) if n not in held]
+        folders += [storage.contents(self.spark, f"{self.root}/commits/{n}").split("\n")[0] for n in later]
+        return folders, sorted(held | set(later))
+
+    def _deltas(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], _DELTA)
+        return self.spark.read.schema(_DELTA).parquet(*(f"{self.root}/deltas/{f}" for f in folders))
 
     def deltas(self) -> DataFrame:
-        if not storage.exists(self.spark, f"{self.root}/batches"):
-            return self.spark.createDataFrame([], _DELTA)
-        return self.spark.read.schema(_DELTA).option("recursiveFileLookup", "true").parquet(f"{self.root}/batches")
+        return self._deltas(self._state()[0])
+
+    def compact(self) -> bool:
+        """Sums what is committed into the next snapshot; False if another one was first."""
+        number = len(storage.listed(self.spark, f"{self.root}/snapshots"))
+        folders, batches = self._state()
+        summed = self._deltas(folders).groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+        done = self._publish(f"{self.root}/snapshots/{number:012d}", summed.filter("d_docs <> 0 or d_tokens <> 0"), tuple(batches))
+        if done:
+            for f in folders:
+                storage.remove(self.spark, f"{self.root}/deltas/{f}")
+        return done
 
     def totals(self) -> DataFrame:
         summed = self.deltas().groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
