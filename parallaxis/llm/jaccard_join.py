@@ -69,6 +69,8 @@ DIGEST_WORDS = 4
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
+#: An odd factor that scatters 32-bit numbers, and its inverse.
+SCATTER, GATHER = np.uint32(0x9E3779B1), np.uint32(pow(0x9E3779B1, -1, 1 << 32))
 
 
 class _WordHashes(dict):
@@ -145,7 +147,7 @@ def base_size(n: int, num: int, den: int) -> int:
 
 
 def _fronts(spans: int):
-    """The upper halves of the shingles in the base of each set, by span."""
+    """The upper halves of the shingles in the base of each set, scattered, by span: the least hashes are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,7 +155,7 @@ def _fronts(spans: int):
                 fronts = []
                 for packed in b.column(0).slice(at, 4096).to_pylist():
                     fronts.append((np.frombuffer(packed, _U) >> _U(32)).astype(np.uint32))
-                front = np.sort(np.concatenate(fronts))
+                front = np.sort(np.concatenate(fronts) * SCATTER)
                 cut = np.searchsorted(front, (np.arange(spans + 1) << 32) // spans)
                 parts = [(r, front[a:z].tobytes()) for r, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["span", "front"])
@@ -224,7 +226,8 @@ SINGLE, MEETS_DENSE, DENSE = 0, 1, 2
 def signatures(s: np.ndarray, n: int, frequent: FrequentClass, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """The signatures of a set of n shingles, the places of their first shingles in the set's order, and their kinds.
 
-    ``s`` is the set or its base; None if the base does not tell.
+    ``s`` is the set or its base; None if the base does not tell. Single shingles are scattered, as those at the front
+    are the least hashes and would all fall into the first ranges.
     """
     if n < least_size(num, den):
         return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -234,12 +237,12 @@ def signatures(s: np.ndarray, n: int, frequent: FrequentClass, num: int, den: in
     if rare < front and len(s) < n:
         return None
     ordered = np.concatenate([s[~common], s[common]])
-    out, at, kind = [ordered[: min(rare, front)]], [np.arange(min(rare, front))], [np.full(min(rare, front), SINGLE)]
+    out, at, kind = [_mix(ordered[: min(rare, front)])], [np.arange(min(rare, front))], [np.full(min(rare, front), SINGLE)]
     if rare < front:
         extended = ordered[rare : front + K - 1]
         dense = len(extended) > COMBINED or least < K
         singly = ordered[rare:front]
-        out.append(singly)
+        out.append(_mix(singly))
         at.append(rare + np.arange(len(singly)))
         kind.append(np.full(len(singly), DENSE if dense else MEETS_DENSE))
         if not dense:
@@ -639,7 +642,7 @@ class JaccardJoin:
         spans = self._ranges((bases.agg(F.sum(F.octet_length("base"))).first()[0] or 0) // 8, FRONT_ENTRIES)
         common = bases.select("base").mapInArrow(_fronts(spans), "span long, front binary").groupBy("span").applyInArrow(lambda t: _frequent(t, FREQUENT), "half long, sets long")
         kept = common.orderBy(F.desc("sets"), "half").limit(FREQUENT_KEPT).toArrow()
-        halves = np.sort(kept["half"].to_numpy().astype(np.uint32)).tobytes()
+        halves = np.sort(kept["half"].to_numpy().astype(np.uint32) * GATHER).tobytes()
         schema = "key long, n long, sigs binary, bitmap binary, digest binary"
         signed = storage.materialize(bases.mapInArrow(_sign(num, den, halves), schema), "signatures")
         again = signed.filter("sigs is null").select("key").distinct()
