@@ -42,6 +42,8 @@ WINDOW = 4096
 BLOCK_TOKENS = 500_000
 #: Windows of a round, sources with a queue of their own, and tokens below which a queue waits for a later window.
 ROUND, QUEUES, PIECE = 256, 1000, 64
+#: Numbers of dealt rounds that a task keeps at hand.
+KEPT = 2_000_000
 #: Rows of per-partition places that are still broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -117,6 +119,7 @@ class Plan:
     at: np.ndarray
     held: np.ndarray
     rounds: dict[int, np.ndarray] = field(default_factory=dict)
+    dealt: dict[int, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def of(cls, totals: np.ndarray, weights: np.ndarray, window: int) -> Plan:
@@ -191,19 +194,25 @@ class Plan:
             k += 1
         return k
 
-    def windows(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of all windows of rounds ``first`` to ``last``: what each queue gave before it, and gives to it."""
+    def _dealt(self, ks: list[int]) -> None:
+        """Deals out the rounds among ``ks`` that are not at hand, whole ones side by side."""
         size = ROUND * self.window
-        whole = [k for k in range(first, last + 1) if (k + 1) * size <= self.total]
-        parts = []
+        ks = [k for k in ks if k not in self.dealt]
+        whole = [k for k in ks if (k + 1) * size <= self.total]
         if whole:
-            start = np.array([self.before(k) for k in whole])
-            stop = np.array([self.before(k + 1) for k in whole])
-            parts.append(deal(stop - start, [self.window] * ROUND, self, np.array(whole) * size).reshape(-1, len(self.totals)))
-        if len(whole) <= last - first:
-            rest = (self.before(last + 1) - self.before(last))[None]
-            parts.append(deal(rest, capacities(self.total - last * size, self.window), self, np.array([last * size]))[0])
-        gives = np.concatenate(parts)
+            start, stop = (np.array([self.before(k + d) for k in whole]) for d in (0, 1))
+            self.dealt.update(zip(whole, deal(stop - start, [self.window] * ROUND, self, np.array(whole) * size)))
+        for k in set(ks) - set(whole):  # the last one
+            rest = (self.before(k + 1) - self.before(k))[None]
+            self.dealt[k] = deal(rest, capacities(self.total - k * size, self.window), self, np.array([k * size]))[0]
+
+    def windows(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of all windows of rounds ``first`` to ``last``: what each queue gave before it, and gives to it."""
+        ks = list(range(first, last + 1))
+        if len(self.dealt) + len(ks) > max(KEPT // (ROUND * len(self.totals)), len(ks)):
+            self.dealt.clear()
+        self._dealt(ks)
+        gives = np.concatenate([self.dealt[k] for k in ks])
         return self.before(first) + np.cumsum(gives, 0) - gives, gives
 
 
@@ -245,8 +254,9 @@ def _pieces(plan: Plan, queue: int, place: int, lengths: np.ndarray) -> tuple[np
     starts = place + np.cumsum(lengths) - lengths
     stop, found = place + int(lengths.sum()), []
     first, last = plan.round_of(queue, place), plan.round_of(queue, stop - 1)
-    for k in range(first, last + 1, 64):
-        until = min(k + 63, last)
+    step = max(1, min(64, KEPT // (ROUND * len(plan.totals))))
+    for k in range(first, last + 1, step):
+        until = min(k + step - 1, last)
         before, gives = plan.windows(k, until)
         edges = before[:, queue]
         low, high = max(place, int(plan.before(k)[queue])), min(stop, int(plan.before(until + 1)[queue]))

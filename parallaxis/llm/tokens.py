@@ -18,7 +18,7 @@ import numpy as np
 from parallaxis.llm import worker
 
 #: Bytes of each of the two generations of a Python worker's cache, and of an entry besides its chunk and ids.
-CACHE_BYTES, ENTRY_BYTES = 72_000_000, 160
+CACHE_BYTES, ENTRY_BYTES = 90_000_000, 120
 
 
 def default_vocabulary() -> str:
