@@ -3,9 +3,13 @@ adjustment. Solvers are numpy on one pair, point or scene; the frames around the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Pixel limit and confidence of fundamental matrices, fewest points, and rounds tried at most.
 F_PIXELS, F_CONFIDENCE, F_POINTS, F_ROUNDS = 3.0, 0.99, 8, 2000
@@ -254,20 +258,120 @@ def adjust(cameras, points, cam_of, point_of, pixels, k, fix_points: bool = Fals
     return list(zip(rot, tr)), x, now
 
 
+SEEN = "array<struct<u:double,v:double,r:array<double>,t:array<double>>>"
+#: Points that are solved side by side.
+TOGETHER = 1024
+
+
+def _by_point(observations: DataFrame, *also: str) -> DataFrame:
+    """(point_id, also, seen): each point's pixels with the poses of their cameras, at most as many as there are cameras."""
+    pose = F.struct("u", "v", F.array(*(f"r{i}" for i in range(9))).alias("r"), F.array(*(f"t{i}" for i in range(3))).alias("t"))
+    return observations.groupBy("point_id").agg(*(F.first(c).alias(c) for c in also), F.collect_list(pose).alias("seen"))
+
+
+def _flat(seen: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Point number, pixel, rotation and translation of all observations of a batch."""
+    own = seen.flatten()
+    of = np.repeat(np.arange(len(seen)), seen.value_lengths().to_numpy())
+    pixels = np.stack([own.field(c).to_numpy() for c in ("u", "v")], 1)
+    return of, pixels, own.field("r").flatten().to_numpy().reshape(-1, 3, 3), own.field("t").flatten().to_numpy().reshape(-1, 3)
+
+
+def triangulate_many(of: np.ndarray, n: int, projections: np.ndarray, pixels: np.ndarray) -> np.ndarray:
+    """``triangulate`` of n points side by side, observation m being of point ``of[m]``; not finite at infinity."""
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    rows = np.zeros((n, place.max(initial=0) + 1, 2, 4))
+    rows[of, place] = pixels[:, :, None] * projections[:, None, 2] - projections[:, :2]
+    x = np.linalg.svd(rows.reshape(n, -1, 4), full_matrices=False)[2][:, -1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(np.abs(x[:, 3:]) >= 1e-10, x[:, :3] / x[:, 3:], np.nan)
+
+
+def accepted_many(x: np.ndarray, of: np.ndarray, projections: np.ndarray, pixels: np.ndarray, centres: np.ndarray, max_error: float = 4.0, min_angle: float = 2.0) -> np.ndarray:
+    """``accepted`` of points side by side."""
+    p = np.einsum("mij,mj->mi", projections, _homogeneous(x[of]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fits = (p[:, 2] > 0) & (np.linalg.norm(p[:, :2] / p[:, 2:] - pixels, axis=1) <= max_error)
+    bad = np.bincount(of, ~fits, len(x)) > 0
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    rays = np.zeros((len(x), place.max(initial=0) + 1, 3))
+    away = centres - x[of]
+    rays[of, place] = away / np.linalg.norm(away, axis=1, keepdims=True)
+    used = (rays != 0).any(2)
+    cos = np.where(used[:, :, None] & used[:, None], rays @ rays.transpose(0, 2, 1), 1.0).min((1, 2))
+    return ~bad & (np.degrees(np.arccos(np.clip(cos, -1, 1))) >= min_angle)
+
+
+def triangulate_points(observations: DataFrame, focal: float, cx: float, cy: float, max_error: float = 4.0, min_angle: float = 2.0) -> DataFrame:
+    """(point_id, x, y, z, ok): points from ``observations(point_id, u, v, r0..r8, t0..t2)``, and whether they are accepted.
+
+    Points at infinity have null places. One shuffle; points are solved ``TOGETHER`` at a time.
+    """
+    k = np.array([[focal, 0, cx], [0, focal, cy], [0, 0, 1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, TOGETHER):
+                part = b.slice(start, TOGETHER)
+                of, pixels, r, t = _flat(part.column("seen"))
+                projections = k @ np.concatenate([r, t[:, :, None]], 2)
+                x = triangulate_many(of, part.num_rows, projections, pixels)
+                ok = accepted_many(x, of, projections, pixels, -np.einsum("mji,mj->mi", r, t), max_error, min_angle)
+                yield pa.RecordBatch.from_arrays([part.column("point_id").cast(pa.int64()), *(pa.array(c, pa.float64(), mask=np.isnan(c)) for c in x.T), pa.array(ok)], names=["point_id", "x", "y", "z", "ok"])
+
+    return _by_point(observations).mapInArrow(run, "point_id long, x double, y double, z double, ok boolean")
+
+
+def adjust_many(x: np.ndarray, of: np.ndarray, rot: np.ndarray, tr: np.ndarray, pixels: np.ndarray, k: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Levenberg-Marquardt of points side by side under fixed cameras, each with a damping of its own."""
+    n, focal = len(x), np.array([k[0, 0], k[1, 1]])
+    x, damp, open_ = x.copy(), np.full(n, 1e-3), np.ones(n, bool)
+
+    def cost(x):
+        p = np.einsum("mij,mj->mi", rot, x[of]) + tr
+        res = p[:, :2] / np.where(np.abs(p[:, 2:]) < 1e-9, 1e-9, p[:, 2:]) * focal + k[:2, 2] - pixels
+        e = np.linalg.norm(res, axis=1)
+        return p, res, e, np.bincount(of, np.where(e <= HUBER, e * e, 2 * HUBER * e - HUBER**2), n)
+
+    p, res, e, now = cost(x)
+    for _ in range(rounds):
+        if not open_.any():
+            break
+        w, z = np.minimum(1, HUBER / np.maximum(e, 1e-12)), np.where(np.abs(p[:, 2]) < 1e-9, 1e-9, p[:, 2])
+        d = np.zeros((len(p), 2, 3))
+        d[:, 0, 0], d[:, 0, 2] = focal[0] / z, -focal[0] * p[:, 0] / z**2
+        d[:, 1, 1], d[:, 1, 2] = focal[1] / z, -focal[1] * p[:, 1] / z**2
+        j = d @ rot
+        h, g = np.zeros((n, 3, 3)), np.zeros((n, 3))
+        np.add.at(h, of, w[:, None, None] * j.transpose(0, 2, 1) @ j)
+        np.add.at(g, of, np.einsum("m,mij,mi->mj", w, j, res))
+        step = np.linalg.solve(h + np.eye(3) * (damp * np.maximum(np.trace(h, axis1=1, axis2=2), 1e-9))[:, None, None], g[:, :, None])[:, :, 0]
+        trial = np.where(open_[:, None], x - step, x)
+        then = cost(trial)[3]
+        better = open_ & (then < now)
+        # a point is done when a step gains next to nothing, or when no step gains anything
+        open_ &= ~((better & (now - then < 1e-6 * now)) | (~better & (damp > 1e8)))
+        x, damp = np.where(better[:, None], trial, x), np.where(better, np.maximum(damp / 10, 1e-9), damp * 10)
+        p, res, e, now = cost(x)
+    return x
+
+
 def adjust_points(observations: DataFrame, focal: float, cx: float, cy: float) -> DataFrame:
     """(point_id, x, y, z) refined with fixed cameras: every point is a problem of its own.
 
-    ``observations`` carry point_id, x, y, z, u, v, r0..r8, t0..t2; a point is a group of at most as many rows as cameras.
+    ``observations`` carry point_id, x, y, z, u, v, r0..r8, t0..t2. One shuffle; points move ``TOGETHER`` at a time.
     """
     k = np.array([[focal, 0, cx], [0, focal, cy], [0, 0, 1]])
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        cameras = [(np.array([r[f"r{i}"] for i in range(9)]).reshape(3, 3), np.array([r[f"t{i}"] for i in range(3)])) for _, r in g.iterrows()]
-        n = len(g)
-        _, x, _ = adjust(cameras, g[["x", "y", "z"]].to_numpy(float)[:1], np.arange(n), np.zeros(n, int), g[["u", "v"]].to_numpy(float), k, fix_cameras=True)
-        return pd.DataFrame({"point_id": g.point_id.iloc[:1], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, TOGETHER):
+                part = b.slice(start, TOGETHER)
+                of, pixels, r, t = _flat(part.column("seen"))
+                x = adjust_many(np.stack([part.column(c).to_numpy() for c in "xyz"], 1), of, r, t, pixels, k)
+                yield pa.RecordBatch.from_arrays([part.column("point_id").cast(pa.int64()), *map(pa.array, x.T)], names=["point_id", "x", "y", "z"])
 
-    return observations.groupBy("point_id").applyInPandas(one, "point_id long, x double, y double, z double")
+    return _by_point(observations, "x", "y", "z").mapInArrow(run, "point_id long, x double, y double, z double")
 
 
 def umeyama(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

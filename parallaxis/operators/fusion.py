@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parallaxis.functions import vectors as V
-from parallaxis.operators import geometry
+from parallaxis.operators import geometry, sizes
 
 
 def lifted(depths: DataFrame, cameras: DataFrame, focal: float, cx: float, cy: float) -> DataFrame:
     """(image_id, X, Y, Z): world positions of pixels with a depth."""
-    met = depths.filter("depth is not null").join(F.broadcast(cameras), "image_id")
+    met = depths.filter("depth is not null").join(sizes.small(cameras), "image_id")
     d = F.col("depth")
     cam = [(F.col("x") - cx) / focal * d - F.col("t0"), (F.col("y") - cy) / focal * d - F.col("t1"), d - F.col("t2")]
     world = V.matvec(V.transpose(geometry.columns(*geometry.R)), cam)

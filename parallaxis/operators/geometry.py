@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallaxis import storage
 from parallaxis.functions import vectors as V
+from parallaxis.operators import sizes
 
 R = [f"r{k}" for k in range(9)]
 T = ["t0", "t1", "t2"]
@@ -59,6 +64,30 @@ def penalised_errors(errors: DataFrame) -> DataFrame:
     return errors.groupBy("point_id").agg(F.avg(F.coalesce("error", F.lit(BEHIND))).alias("mean_error"), F.count(F.lit(1)).alias("track"))
 
 
+def in_front(*depths: str, least: float = 0.0) -> Column:
+    """Whether a point lies before all cameras that these depths are of."""
+    return reduce(lambda a, b: a & b, (F.col(d) > least for d in depths))
+
+
+def filter_rounds(points: DataFrame, scored: Callable[[DataFrame], DataFrame], adjusted: Callable[[DataFrame], DataFrame] | None = None, limits: tuple[float, ...] = ROUNDS, min_track: int = MIN_TRACK) -> DataFrame:
+    """Drops points by limits that tighten, until a round drops none.
+
+    ``scored(points)`` gives (point_id, mean_error, track), ``adjusted(points)`` the points moved to where they fit best
+    before each round.
+    """
+    points = storage.materialize(points, "points")
+    for limit in limits:
+        moved = points if adjusted is None else storage.materialize(adjusted(points), "points")
+        good = filter_points(scored(moved), limit, min_track).select("point_id")
+        kept = storage.materialize(moved.join(good, "point_id", "left_semi"), "points")
+        done = kept.count() == moved.count()
+        storage.drop(*{id(f): f for f in (points, moved)}.values())
+        points = kept
+        if done:
+            break
+    return points
+
+
 def filter_points(scored: DataFrame, limit: float, min_track: int = MIN_TRACK) -> DataFrame:
     return scored.filter((F.col("mean_error") <= limit) & (F.col("track") >= min_track))
 
@@ -71,7 +100,7 @@ def consistent_views(depths: DataFrame, cameras: DataFrame, sources: DataFrame,
     """
     ref = cameras.select(F.col("image_id"), *(F.col(c).alias(f"a{c}") for c in [*R, *T]))
     src = cameras.select(F.col("image_id").alias("src_id"), *R, *T)
-    lifted = depths.join(sources, "image_id").join(F.broadcast(ref), "image_id").join(F.broadcast(src), "src_id")
+    lifted = depths.join(sources, "image_id").join(sizes.small(ref), "image_id").join(sizes.small(src), "src_id")
     d = F.col("depth")
     at = [(F.col("x") - cx) / focal * d - F.col("at0"), (F.col("y") - cy) / focal * d - F.col("at1"), d - F.col("at2")]
     world = V.matvec(V.transpose(columns(*(f"a{r}" for r in R))), at)

@@ -2,8 +2,9 @@
 
 Descriptors are rows ``(image_id, kp_id, descriptor)``. Matching packs each image's descriptors into blocks of at most
 ``BLOCK`` rows, joins blocks of candidate image pairs, and lets numpy rank every pair of blocks; per-block bests are
-merged by a grouped sort of at most two rows a block. No descriptor is shuffled more than once for each block that it
-meets, and no task holds more than two blocks.
+merged by a grouped sort of at most two rows a block. Mutual neighbours come from one product of two blocks, by rows and
+by columns. No descriptor is shuffled more than once for each block that it meets, and no task holds more than two
+blocks.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ def packed(descriptors: DataFrame, block: int = BLOCK) -> DataFrame:
     return blocked.groupBy("image_id", "block").applyInArrow(_pack, f"image_id {kind}, block long, kps array<long>, dim long, mat binary")
 
 
-def _two_best(q: np.ndarray, r: np.ndarray, kps: np.ndarray) -> list[list[dict]]:
-    near = (q**2).sum(1)[:, None] - 2 * q @ r.T + (r**2).sum(1)[None]
+def _two_best(near: np.ndarray, q: np.ndarray, r: np.ndarray, kps: np.ndarray) -> list[list[dict]]:
+    """The two nearest rows of r for each row of q, by near distances first and exact ones among the best."""
     take = min(4, len(r))
     at = np.argpartition(near, take - 1, axis=1)[:, :take]
     exact = ((q[:, None, :] - r[at]) ** 2).sum(2)
@@ -74,29 +75,37 @@ def _two_best(q: np.ndarray, r: np.ndarray, kps: np.ndarray) -> list[list[dict]]
     return out
 
 
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(b.num_rows):
-            row = {n: b.column(n)[k].as_py() for n in b.schema.names}
-            q = np.frombuffer(row["mat_q"]).reshape(-1, row["dim"])
-            r = np.frombuffer(row["mat_r"]).reshape(-1, row["dim"])
-            best = _two_best(q, r, np.array(row["kps_r"]))
-            n = len(q)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["image_q"]] * n, pa.int64()), pa.array([row["image_r"]] * n, pa.int64()), pa.array(row["kps_q"], pa.int64()), pa.array(best, pa.list_(pa.struct([("d2", pa.float64()), ("kp", pa.int64())])))],
-                names=["image_q", "image_r", "kp_q", "best"],
-            )
-
-
-def knn2(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+def _ranked(both: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {n: b.column(n)[k].as_py() for n in b.schema.names}
+                q = np.frombuffer(row["mat_q"]).reshape(-1, row["dim"])
+                r = np.frombuffer(row["mat_r"]).reshape(-1, row["dim"])
+                near = (q**2).sum(1)[:, None] - 2 * q @ r.T + (r**2).sum(1)[None]
+                sides = [(row["image_q"], row["image_r"], row["kps_q"], _two_best(near, q, r, np.array(row["kps_r"])))]
+                if both:
+                    sides.append((row["image_r"], row["image_q"], row["kps_r"], _two_best(near.T, r, q, np.array(row["kps_q"]))))
+                for one, other, kps, best in sides:
+                    n = len(kps)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([one] * n, pa.int64()), pa.array([other] * n, pa.int64()), pa.array(kps, pa.int64()), pa.array(best, pa.list_(pa.struct([("d2", pa.float64()), ("kp", pa.int64())])))],
+                        names=["image_q", "image_r", "kp_q", "best"],
+                    )
+
+    return run
+
+
+def knn2(blocks: DataFrame, pairs: DataFrame, both: bool = False) -> DataFrame:
     """(image_q, image_r, kp_q, idx1, dist1, idx2, dist2): squared distances, ties to the lower kp_id.
 
-    ``pairs(image_q, image_r)`` are ordered pairs. A reference image with one descriptor gives ``NO_SECOND`` and -1.
+    ``pairs(image_q, image_r)`` are ordered pairs; with ``both`` the opposite ones are answered too, from the same
+    products. A reference image with one descriptor gives ``NO_SECOND`` and -1.
     """
     q = blocks.select(F.col("image_id").alias("image_q"), F.col("kps").alias("kps_q"), F.col("mat").alias("mat_q"), "dim")
     r = blocks.select(F.col("image_id").alias("image_r"), F.col("kps").alias("kps_r"), F.col("mat").alias("mat_r"))
     met = pairs.join(q, "image_q").join(r, "image_r").select(F.col("image_q").cast("long"), F.col("image_r").cast("long"), "kps_q", "mat_q", "kps_r", "mat_r", "dim")
-    ranked = met.mapInArrow(_ranked, "image_q long, image_r long, kp_q long, best array<struct<d2:double,kp:long>>")
+    ranked = met.mapInArrow(_ranked(both), "image_q long, image_r long, kp_q long, best array<struct<d2:double,kp:long>>")
     merged = ranked.groupBy("image_q", "image_r", "kp_q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 2).alias("best"))
     one, two = F.get("best", F.lit(0)), F.get("best", F.lit(1))
     return merged.select(
@@ -113,15 +122,19 @@ def passes_ratio(dist1: Column, dist2: Column, ratio: float) -> Column:
 def match_pairs(descriptors: DataFrame, pairs: DataFrame, ratio: float = RATIO, block: int = BLOCK) -> DataFrame:
     """(image_i, image_j, kp_i, kp_j, distance) of mutual nearest neighbours that pass the ratio test forwards.
 
-    An image without descriptors has no matches.
+    ``pairs(image_i, image_j)`` are distinct and i < j. An image without descriptors has no matches.
     """
     blocks = packed(descriptors, block)
     forward = pairs.select(F.col("image_i").alias("image_q"), F.col("image_j").alias("image_r"))
-    back = pairs.select(F.col("image_j").alias("image_q"), F.col("image_i").alias("image_r"))
-    fwd = knn2(blocks, forward).filter(passes_ratio(F.col("dist1"), F.col("dist2"), ratio))
-    rev = knn2(blocks, back).select(F.col("image_q").alias("image_r"), F.col("image_r").alias("image_q"), F.col("kp_q").alias("idx1"), F.col("idx1").alias("kp_q"))
-    mutual = fwd.join(rev, ["image_q", "image_r", "kp_q", "idx1"], "left_semi")
-    return mutual.select(F.col("image_q").alias("image_i"), F.col("image_r").alias("image_j"), F.col("kp_q").alias("kp_i"), F.col("idx1").alias("kp_j"), F.sqrt("dist1").alias("distance"))
+    found = knn2(blocks, forward, both=True)
+    ahead, kp = F.col("image_q") < F.col("image_r"), lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
+    # a match and its counterpart name the same images and keypoints, so mutual ones meet in one grouping
+    named = found.select(
+        F.least("image_q", "image_r").alias("image_i"), F.greatest("image_q", "image_r").alias("image_j"), kp("kp_q", "idx1").alias("kp_i"), kp("idx1", "kp_q").alias("kp_j"),
+        F.when(ahead, F.struct(passes_ratio(F.col("dist1"), F.col("dist2"), ratio).alias("ok"), F.sqrt("dist1").alias("distance"))).alias("forwards"),
+    )
+    met = named.groupBy("image_i", "image_j", "kp_i", "kp_j").agg(F.count(F.lit(1)).alias("sides"), F.max("forwards").alias("forwards"))
+    return met.filter("sides = 2 and forwards.ok").select("image_i", "image_j", "kp_i", "kp_j", F.col("forwards.distance").alias("distance"))
 
 
 def verified_pairs(matches: DataFrame, min_matches: int = MIN_MATCHES) -> DataFrame:

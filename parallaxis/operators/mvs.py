@@ -128,8 +128,8 @@ def estimate(ref: View, sources: list[View], low: float, high: float, iterations
 def depth_maps(jobs: DataFrame, iterations: int = 12, radius: int = 5) -> DataFrame:
     """(image_id, y, x, depth, nx, ny, nz, conf) for rows (image_id, width, height, low, high, views).
 
-    ``views`` lists the reference first, then its sources, as structs (gray: packed float32, k, r, t: arrays). A row
-    without sources has no pixels.
+    ``views`` lists the reference first, then its sources, as structs (gray: packed float32, k, r, t: arrays); a column
+    ``seeds``, if there is one, lists (x, y, depth) of known points. A row without sources has no pixels.
     """
     names = ["image_id", "y", "x", "depth", "nx", "ny", "nz", "conf"]
 
@@ -141,9 +141,10 @@ def depth_maps(jobs: DataFrame, iterations: int = 12, radius: int = 5) -> DataFr
                 seen = [View(np.frombuffer(v["gray"], "<f4").reshape(h, w).astype(float), np.reshape(v["k"], (3, 3)), np.reshape(v["r"], (3, 3)), np.array(v["t"])) for v in row["views"]]
                 if len(seen) < 2:
                     continue
-                d, n, c = estimate(seen[0], seen[1:], row["low"], row["high"], iterations, radius, seed=42 + 1_000_000 * row["image_id"])
+                d, n, c = estimate(seen[0], seen[1:], row["low"], row["high"], iterations, radius, row.get("seeds") or [], seed=42 + 1_000_000 * row["image_id"])
                 yy, xx = (a.ravel().astype(np.int32) for a in np.mgrid[:h, :w])
                 planes = [d, n[..., 0], n[..., 1], n[..., 2], c]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(h * w, row["image_id"], np.int64)), pa.array(yy), pa.array(xx), *(pa.array(p.ravel().astype(np.float32)) for p in planes)], names=names)
 
-    return jobs.select("image_id", "width", "height", "low", "high", "views").mapInArrow(run, "image_id long, y int, x int, depth float, nx float, ny float, nz float, conf float")
+    given = [c for c in ("image_id", "width", "height", "low", "high", "views", "seeds") if c in jobs.columns]
+    return jobs.select(*given).repartition("image_id").mapInArrow(run, "image_id long, y int, x int, depth float, nx float, ny float, nz float, conf float")

@@ -67,12 +67,27 @@ def block_mean(pixels: DataFrame, factor: int) -> DataFrame:
 
 
 def extrema(stack: DataFrame) -> DataFrame:
-    """Pixels of ``(image_id, s, y, x, v)`` strictly above or below all 26 neighbours; those without all 26 drop out."""
-    offsets = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
-    near = F.explode(F.array(*(F.struct((F.col("s") + a).alias("s"), (F.col("y") + b).alias("y"), (F.col("x") + c).alias("x")) for a, b, c in offsets)))
-    spread = stack.select("image_id", near.alias("n"), "v").groupBy("image_id", "n").agg(F.max("v").alias("high"), F.min("v").alias("low"), F.count(F.lit(1)).alias("near"))
-    spread = spread.filter("near = 26").select("image_id", F.col("n.s").alias("s"), F.col("n.y").alias("y"), F.col("n.x").alias("x"), "high", "low")
-    return stack.join(spread, ["image_id", "s", "y", "x"]).filter("v > high or v < low").select("image_id", "s", "y", "x", "v")
+    """Pixels of ``(image_id, s, y, x, v)`` strictly above or below all 26 neighbours; those without all 26 drop out.
+
+    Lines of pixels, which have no gaps, meet the eight lines beside them as arrays: nine copies of a line are shuffled.
+    """
+    lines = stack.groupBy("image_id", "s", "y").agg(F.min("x").alias("x0"), F.sort_array(F.collect_list(F.struct("x", "v"))).alias("line"))
+    lines = lines.select("image_id", "s", "y", F.struct("x0", F.transform("line", lambda p: p["v"]).alias("v")).alias("line"))
+    beside = F.array(*(F.struct((F.col("s") + a).alias("s"), (F.col("y") + b).alias("y"), F.lit(a == b == 0).alias("own")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    spread = lines.select("image_id", F.explode(beside).alias("to"), "line").select("image_id", "to.s", "to.y", "to.own", "line")
+    met = spread.groupBy("image_id", "s", "y").agg(F.collect_list(F.when(~F.col("own"), F.col("line"))).alias("near"), F.first(F.when(F.col("own"), F.col("line")), ignorenulls=True).alias("own"))
+    met = met.filter((F.size("near") == 8) & F.col("own").isNotNull())
+    at = lambda line, x: F.get(line["v"], (x - line["x0"]).cast("int"))
+
+    def judged(v: Column, i: Column) -> Column:
+        x = F.col("own.x0") + i
+        sides = F.transform("near", lambda n: F.array(*(at(n, x + k) for k in (-1, 0, 1))))
+        around = F.concat(F.flatten(sides), F.array(at(F.col("own"), x - 1), at(F.col("own"), x + 1)))
+        whole = F.forall(around, lambda w: w.isNotNull())
+        return F.struct(x.alias("x"), v.alias("v"), (whole & ((v > F.array_max(around)) | (v < F.array_min(around)))).alias("extreme"))
+
+    found = F.filter(F.transform(F.col("own.v"), judged), lambda p: p["extreme"])
+    return met.select("image_id", "s", "y", F.explode(found).alias("p")).select("image_id", "s", "y", "p.x", "p.v")
 
 
 def oriented(pixels: DataFrame, width: int, height: int, orientation: int) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parallaxis import storage
 from parallaxis.functions import vectors as V
 
 #: The scoring range of baselines in degrees, and where the score stops growing.
 MIN_BASELINE, BEST_BASELINE, MAX_BASELINE = 5.0, 30.0, 90.0
+#: Fixed value: places on the ring between images whose matches count.
+RING = 5
 #: Depth range percentiles and margins, and the margins about the centroid for fewer than two points.
 LOW, HIGH, LOW_MARGIN, HIGH_MARGIN, FEW_LOW, FEW_HIGH = 0.05, 0.95, 0.5, 1.5, 0.3, 3.0
 
@@ -29,6 +32,90 @@ def covisibility(observations: DataFrame) -> DataFrame:
     return two.groupBy("image_i", "image_j").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def neighbours(images: DataFrame, n: int, reach: int = RING) -> DataFrame:
+    """Adds ``other``: ids at most ``reach`` places away on a ring of n, whether there are such images or not."""
+    offset = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.array(k, k - n, k + n))
+    others = F.transform(F.array_distinct(F.flatten(offset)), lambda k: F.col("image_id") + k)
+    return images.withColumn("other", F.explode(others)).filter("other <> image_id")
+
+
+def correspondences(matches: DataFrame, index: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+    """(image_id, kp_id, point_id): the point that a keypoint's match in another image observes.
+
+    ``matches(image_id, kp_id, other, kp_other)`` meet ``index(image_id, kp_id, point_id)`` on the other image and its
+    keypoint, of ``registered(image_id)`` images only if those are given. The first image, then point, wins.
+    """
+    seen = index if registered is None else index.join(registered.select("image_id").distinct(), "image_id", "left_semi")
+    seen = seen.select(F.col("image_id").alias("other"), F.col("kp_id").alias("kp_other"), "point_id")
+    first = F.min(F.struct("other", "point_id"))
+    return matches.join(seen, ["other", "kp_other"]).groupBy("image_id", "kp_id").agg(first.alias("first")).select("image_id", "kp_id", F.col("first.point_id").alias("point_id"))
+
+
+def first_wins(observations: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key; minima are combined before the shuffle."""
+    rest = [c for c in observations.columns if c not in (key, *order)]
+    return observations.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("first")).select(key, "first.*")
+
+
+def untracked(new: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Rows whose (image_id, kp_id) no tracked row has."""
+    return new.join(tracked.select("image_id", "kp_id"), ["image_id", "kp_id"], "left_anti")
+
+
+def grown(matches: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Matches (image_i, kp_i, image_j, kp_j, place) that make new points when they are scanned in order of place.
+
+    Neither end may be tracked, nor be taken by an earlier new point. Rounds take all matches that are the first at both
+    of their ends and drop the others of those ends, which is what the scan does.
+    """
+    ends = lambda m: m.select(F.col("image_i").alias("image_id"), F.col("kp_i").alias("kp_id"), "place").unionByName(m.select(F.col("image_j").alias("image_id"), F.col("kp_j").alias("kp_id"), "place"))
+
+    def without(m: DataFrame, used: DataFrame) -> DataFrame:
+        for side in ("i", "j"):
+            own = used.select(F.col("image_id").alias(f"image_{side}"), F.col("kp_id").alias(f"kp_{side}"))
+            m = m.join(own, [f"image_{side}", f"kp_{side}"], "left_anti")
+        return m
+
+    left, taken = storage.materialize(without(matches, tracked), "matches"), None
+    while not left.isEmpty():
+        first = ends(left).groupBy("image_id", "kp_id").agg(F.min("place").alias("place"))
+        won = first.groupBy("place").agg(F.count(F.lit(1)).alias("ends")).filter("ends = 2").select("place")
+        now = storage.materialize(left.join(won, "place", "left_semi"), "new-points")
+        taken = now if taken is None else taken.unionByName(now)
+        left, before = storage.materialize(without(left.join(won, "place", "left_anti"), ends(now)), "matches"), left
+        storage.drop(before)
+    return taken if taken is not None else left
+
+
+def without_images(points: DataFrame, observations: DataFrame, images: DataFrame) -> DataFrame:
+    """Points that none of ``images(image_id)`` sees."""
+    seen = observations.join(images.select("image_id"), "image_id", "left_semi").select("point_id")
+    return points.join(seen, "point_id", "left_anti")
+
+
+def lowest(frame: DataFrame, key: str, value: str, ident: str) -> DataFrame:
+    """(key, ident, value) of each key's lowest value, ties to the lowest ident; nulls take no part."""
+    best = frame.filter(F.col(value).isNotNull()).groupBy(key).agg(F.min(F.struct(value, ident)).alias("b"))
+    return best.select(key, F.col(f"b.{ident}").alias(ident), F.col(f"b.{value}").alias(value))
+
+
+def strongest(frame: DataFrame, key: str, value: str, ident: str, n: int) -> DataFrame:
+    """(key, ident, place): each key's n rows of highest value, numbered from 1 in order of ident."""
+    strong = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_first(value), ident))
+    kept = frame.withColumn("rn", strong).filter(F.col("rn") <= n)
+    return kept.select(key, ident, F.row_number().over(Window.partitionBy(key).orderBy(ident)).cast("long").alias("place"))
+
+
+def start_pairs(pairs: DataFrame, least: int, n: int) -> DataFrame:
+    """The n pairs (image_i, image_j, num_inliers) of most inliers."""
+    return pairs.filter(F.col("num_inliers") >= least).orderBy(F.desc("num_inliers"), "image_i", "image_j").limit(n)
+
+
+def best_pair(scored: DataFrame) -> DataFrame:
+    """The pair of highest score, ties to the first."""
+    return scored.orderBy(F.desc("score"), "image_i", "image_j").limit(1)
+
+
 def baseline_score(degrees: Column) -> Column:
     bounded = F.greatest(F.lit(MIN_BASELINE), F.least(F.lit(BEST_BASELINE), degrees))
     return F.when((degrees < MIN_BASELINE) | (degrees > MAX_BASELINE), 0.0).otherwise(F.sin(F.radians(bounded)))

@@ -9,6 +9,7 @@ from parallaxis.functions import vectors as V
 from parallaxis.operators import geometry, views
 from parallaxis.plans.catalog import query, table
 from parallaxis.sources import synthetic
+from parallaxis.sources.images import SENSORS, focal_pixels, sensor_width
 
 W, H, FOCAL, CX, CY = 64, 48, 100.0, 32.0, 24.0
 
@@ -88,9 +89,9 @@ def select_sources(spark, sf_dir):
     return views.top_sources(scored, 5).select("ref_id", "src_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
-@query("duplicate_pose_pairs", "with a as (select n_nationkey i, (n_nationkey * 37 % 360)::double theta from nation) select x.i image_i, y.i image_j from a x join a y on y.i >= x.i + 4 and abs(x.theta - y.theta) < 5")
+@query("duplicate_pose_pairs", "with a as (select n_nationkey i, (n_nationkey * 47 % 210)::double theta from nation) select x.i image_i, y.i image_j from a x join a y on y.i >= x.i + 4 and abs(x.theta - y.theta) < 5")
 def duplicate_pose_pairs(spark, sf_dir):
-    own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("image_i"), (F.col("n_nationkey") * 37 % 360).cast("double").alias("a"))
+    own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("image_i"), (F.col("n_nationkey") * 47 % 210).cast("double").alias("a"))
     other = own.select(F.col("image_i").alias("image_j"), F.col("a").alias("b"))
     return own.join(F.broadcast(other), (F.col("image_j") >= F.col("image_i") + 25 // 6) & (F.abs(F.col("a") - F.col("b")) < 5)).select("image_i", "image_j")
 
@@ -170,9 +171,15 @@ def mean_reproj_penalised(spark, sf_dir):
     return geometry.penalised_errors(errors).withColumn("mean_error", F.round("mean_error", 3))
 
 
-@query("pred_cheirality", f"with {_OBS} select count(*) n from err where depth > 0.23")
+@query("pred_cheirality", f"""with {_RING}, {_VERTS}, cam as (select v_id, image_id, 6 * (r6*x+r7*y+r8*z) + t2 z from verts, ring)
+  select a.image_id, count(*) n from cam a join cam b on a.v_id = b.v_id and b.image_id = (a.image_id + 9) % 36 where a.z > 1e-9 and b.z > 1e-9 group by all""")
 def pred_cheirality(spark, sf_dir):
-    return _errors(spark).filter("depth > 0.23").agg(F.count(F.lit(1)).alias("n"))
+    """Points of a sphere that reaches behind the cameras, in front of a camera and of the one a quarter further on."""
+    points = synthetic.sphere_vertices(spark).select("v_id", *((6 * F.col(c)).alias(c) for c in "xyz"))
+    depth = points.crossJoin(F.broadcast(synthetic.ring_cameras(spark))).select("v_id", "image_id", geometry.camera_frame(geometry.columns("x", "y", "z"))[2].alias("z"))
+    other = depth.select("v_id", F.pmod(F.col("image_id") - 9, F.lit(36)).alias("image_id"), F.col("z").alias("w"))
+    both = depth.join(other, ["v_id", "image_id"]).filter(geometry.in_front("z", "w", least=1e-9))
+    return both.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("pred_reproj", f"with {_OBS} select count(*) n from err where error <= 0.5")
@@ -199,9 +206,9 @@ def depths(spark) -> DataFrame:
     return synthetic.sphere_depth(synthetic.ring_cameras(spark), synthetic.lattice(spark, W, H), FOCAL, CX, CY)
 
 
-@query("gen_render", f"with {_DEPTH} select image_id, x, y, round(depth, 6) depth from depth where image_id < 3")
+@query("gen_render", f"with {_DEPTH} select image_id, x, y, round(depth, 6) depth from depth")
 def gen_render(spark, sf_dir):
-    return depths(spark).filter("image_id < 3").withColumn("depth", F.round("depth", 6))
+    return depths(spark).withColumn("depth", F.round("depth", 6))
 
 
 @query("depth_map_lookup", f"with {_DEPTH} select a.image_id ref_id, b.image_id src_id, count(*) n from depth a join depth b on b.image_id = (a.image_id + 1) % 36 and a.x = b.x and a.y = b.y group by all")
@@ -321,35 +328,16 @@ def mat_inverse(spark, sf_dir):
     return own.select("id", r6(eye[0]).alias("d0"), r6(eye[1]).alias("d1"), r6(eye[4]).alias("d4"), r6(eye[8] - 1).alias("d8_off"), r6(V.determinant(cols)).alias("det"))
 
 
-@query("triangulate_rays", f"with {_VERTS} select v_id point_id, round(x, 6) + 0.0::double x, round(y, 6) + 0.0::double y, round(z, 6) + 0.0::double z from verts where v_id % 10 = 0")
+@query("triangulate_rays", f"with {_VERTS} select v_id point_id, round(x, 6) + 0.0::double x, round(y, 6) + 0.0::double y, round(z, 6) + 0.0::double z from verts")
 def triangulate_rays(spark, sf_dir):
-    """Every tenth vertex, found again from the rays that three cameras see it along."""
-    points = synthetic.sphere_vertices(spark).filter("v_id % 10 = 0").select(F.col("v_id").alias("point_id"), "x", "y", "z")
-    cameras = synthetic.ring_cameras(spark).filter("image_id in (0, 7, 20)")
+    """Every vertex, found again from the rays that all cameras see it along."""
+    points = synthetic.sphere_vertices(spark).select(F.col("v_id").alias("point_id"), "x", "y", "z")
+    cameras = synthetic.ring_cameras(spark)
     away = V.unit3([F.col(p) - F.col(c) for p, c in zip("xyz", ("cx", "cy", "cz"))])
     rays = points.crossJoin(F.broadcast(cameras)).select("point_id", F.col("cx").alias("c0"), F.col("cy").alias("c1"), F.col("cz").alias("c2"), *(x.alias(f"d{k}") for k, x in enumerate(away)))
     return geometry.rays_meet(rays, "point_id").select("point_id", *(r6(c).alias(c) for c in "xyz"))
 
 
-#: Sensor widths in mm by make, then by the first part of the model name that fits.
-SENSORS = [
-    ("apple", [("15 pro", 9.8), ("14 pro", 7.6), ("", 6.17)]),
-    ("google", [("pixel 8 pro", 8.2), ("pixel 8", 6.17), ("pixel 7 pro", 8.2), ("", 6.17)]),
-    ("samsung", [("s24 ultra", 8.6), ("s24", 6.4), ("s23 ultra", 8.6), ("s23", 6.4), ("", 6.4)]),
-]
-
-
-def sensor_width(make, model):
-    """mm, 0.0 for an unknown camera."""
-    rule = F.lit(0.0)
-    for brand, models in reversed(SENSORS):
-        own = F.lit(0.0)
-        for part, width in reversed(models):
-            own = F.when(F.contains(F.lower(model), F.lit(part)), width).otherwise(own)
-        rule = F.when(F.contains(F.lower(make), F.lit(brand)), own).otherwise(rule)
-    return rule
-
-
 _DEVICES = [("Apple", "iPhone 13"), ("Apple", "iPhone 14 Pro"), ("APPLE inc", "iphone 15 pro max"), ("Google", "Pixel 8"), ("Google", "Pixel 8 Pro"), ("google", "Pixel 7"), ("Samsung", "Galaxy S24 Ultra"), ("samsung", "Galaxy S24"), ("Samsung", "A52"), ("Nokia", "9")]
 _DEVICE_SQL = "d(make, model) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in _DEVICES) + ")"
 _SENSOR_SQL = "case " + " ".join(f"when contains(lower(make), '{brand}') then case " + " ".join(f"when contains(lower(model), '{part}') then {width}::double" for part, width in models) + " end" for brand, models in SENSORS) + " else 0.0::double end"
@@ -368,9 +356,9 @@ def intrinsics(spark, sf_dir):
     """Focal length by override, then EXIF, then 28 mm equivalent; sensor by table, then 6 mm."""
     devices = spark.createDataFrame(_DEVICES, "make string, model string")
     lenses = spark.createDataFrame([(0.0, 0.0), (4.0, 0.0), (5.7, 6.5)], "f double, o double")
-    own = devices.crossJoin(F.broadcast(lenses)).withColumn("w", F.coalesce(F.nullif(sensor_width(F.col("make"), F.col("model")), F.lit(0.0)), F.lit(6.0)))
-    focal = F.coalesce(F.when(F.col("o") > 0, F.col("o")), F.nullif(F.col("f"), F.lit(0.0)), 28.0 * F.col("w") / 36)
-    return own.select("make", "model", "f", "o", F.round(focal * 1280 / F.col("w"), 6).alias("fx"), F.lit(640.0).alias("cx"), F.lit(480.0).alias("cy"))
+    own = devices.crossJoin(F.broadcast(lenses))
+    fx = focal_pixels(F.col("make"), F.col("model"), F.col("f"), F.lit(1280), F.col("o"))
+    return own.select("make", "model", "f", "o", F.round(fx, 6).alias("fx"), F.lit(640.0).alias("cx"), F.lit(480.0).alias("cy"))
 
 
 @query("pixel_ranges", f"with {_DEPTH} select image_id, round(min(depth), 6) depth_min, round(max(depth), 6) depth_max from depth group by all")

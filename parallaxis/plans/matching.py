@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parallaxis.functions import vectors as V
-from parallaxis.operators import graph, matching, views
+from parallaxis.operators import graph, matching, sizes, views
 from parallaxis.plans.catalog import query, table
 
 #: The stand-in descriptors are far apart, so queries use the loosest tested ratio and few matches a pair.
@@ -121,9 +121,8 @@ _RING = """ring as (select row_number() over (order by s_suppkey) - 1 p, (select
 
 @query("pairs_sequential", f"with {_RING} select distinct least(p, (p + k) % n) image_i, greatest(p, (p + k) % n) image_j from ring, range(1, 11) t(k) where p <> (p + k) % n")
 def pairs_sequential(spark, sf_dir):
-    suppliers = table(spark, sf_dir, "supplier")
-    position = F.row_number().over(Window.orderBy("s_suppkey")).cast("long") - 1
-    return matching.pairs_sequential(suppliers.select(position.alias("image_id")), suppliers.count())
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey")
+    return matching.pairs_sequential(sizes.numbered(suppliers, "s_suppkey", name="image_id"), suppliers.count())
 
 
 @query("pair_distinct", f"with {_RING} select count(*) pairs from (select distinct least(p, (p + k) % n), greatest(p, (p + k) % n) from ring, range(1, 11) t(k) where p <> (p + k) % n)")
@@ -169,18 +168,14 @@ def covisibility(spark, sf_dir):
 def corr_2d3d(spark, sf_dir):
     """For each keypoint, the point of the first neighbouring image (ring distance at most 5) that observes its match."""
     own = observations(spark, sf_dir)
-    n = own.agg(F.max("image_id").alias("n"))
-    index = views.observation_index(own).select(F.col("image_id").alias("other"), "kp_id", "point_id")
-    met = own.select("image_id", "kp_id").distinct().join(index, "kp_id").crossJoin(F.broadcast(n))
-    met = met.filter((F.col("other") != F.col("image_id")) & (matching.ring_distance(F.col("other"), F.col("image_id"), F.col("n")) <= 5))
-    first = F.row_number().over(Window.partitionBy("image_id", "kp_id").orderBy("other", "point_id"))
-    return met.withColumn("rn", first).filter("rn = 1").select("image_id", F.col("kp_id").alias("kp_this"), "point_id")
+    n = own.agg(F.max("image_id")).first()[0] or 1
+    matches = views.neighbours(own.select("image_id", "kp_id").distinct(), n).withColumn("kp_other", F.col("kp_id"))
+    return views.correspondences(matches, views.observation_index(own)).withColumnRenamed("kp_id", "kp_this")
 
 
 @query("first_wins", "select l_partkey kp_id, l_suppkey image_id, l_orderkey point_id from (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey) rn from lineitem) where rn = 1")
 def first_wins(spark, sf_dir):
-    first = F.row_number().over(Window.partitionBy("kp_id").orderBy("point_id", "seq", "image_id"))
-    return observations(spark, sf_dir).withColumn("rn", first).filter("rn = 1").select("kp_id", "image_id", "point_id")
+    return views.first_wins(observations(spark, sf_dir), "kp_id", "point_id", "seq").select("kp_id", "image_id", "point_id")
 
 
 @query("used_kps", "select count(*) used from (select distinct l_suppkey, l_partkey from lineitem)")
@@ -192,7 +187,7 @@ def used_kps(spark, sf_dir):
   and (l_suppkey, l_partkey) not in (select (l_suppkey, l_partkey) from lineitem where l_linenumber <= 3) group by all""")
 def untracked_anti(spark, sf_dir):
     own = observations(spark, sf_dir)
-    fresh = own.filter("seq > 3").join(own.filter("seq <= 3"), ["image_id", "kp_id"], "left_anti")
+    fresh = views.untracked(own.filter("seq > 3"), own.filter("seq <= 3"))
     return fresh.groupBy("image_id", "kp_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -203,6 +198,15 @@ def obs_not_dup(spark, sf_dir):
     return own.filter("seq > 2").join(own.filter("seq <= 2"), ["point_id", "image_id"], "left_anti").select("point_id", "image_id").distinct()
 
 
+@query("mirror_contamination", """select distinct l_orderkey point_id from lineitem where l_orderkey not in
+  (select l_orderkey from lineitem join supplier on l_suppkey = s_suppkey where s_acctbal < 0)""")
+def mirror_contamination(spark, sf_dir):
+    """Points that no mirrored camera sees; suppliers in debt stand for those."""
+    own = observations(spark, sf_dir)
+    mirrored = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("image_id"))
+    return views.without_images(own.select("point_id").distinct(), own, mirrored)
+
+
 @query("camera_lookup", "select l_orderkey point_id, l_linenumber seq, s_nationkey camera from lineitem join supplier on l_suppkey = s_suppkey where s_acctbal > 0")
 def camera_lookup(spark, sf_dir):
     registered = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("image_id"), F.col("s_nationkey").alias("camera"))
@@ -254,11 +258,10 @@ def depth_percentiles(spark, sf_dir):
     return views.depth_range(own, "image_id", "l_extendedprice").withColumns({c: F.round(c, 6) for c in ("depth_min", "depth_max")})
 
 
-@query("topn_sources", """with o as (select distinct l_orderkey p, l_suppkey i from lineitem where l_suppkey <= 40),
+@query("topn_sources", """with o as (select distinct l_orderkey p, l_suppkey i from lineitem),
   c as (select a.i ref_id, b.i src_id, count(*) shared from o a join o b on a.p = b.p and a.i <> b.i group by all),
   r as (select *, row_number() over (partition by ref_id order by shared desc, src_id) rank from c) select ref_id, src_id, shared, rank from r where rank <= 5""")
 def topn_sources(spark, sf_dir):
-    """Of all images. The oracle keeps ids up to 40, so the two differ on tables of more images."""
     pairs = views.covisibility(observations(spark, sf_dir))
     both = pairs.select(F.col("image_i").alias("ref_id"), F.col("image_j").alias("src_id"), "shared").union(pairs.select("image_j", "image_i", "shared"))
     best = views.top_sources(both.withColumn("score", F.col("shared")), 5)
@@ -270,11 +273,10 @@ _SCORE = "case when deg < 5 or deg > 90 then 0.0::double else sin(radians(greate
 _PAIR_DEG = "(abs(a.i - b.i) * 7 % 120)::double"
 
 
-@query("source_candidates", f"""with o as (select distinct l_orderkey p, l_suppkey i from lineitem where l_suppkey <= 60),
+@query("source_candidates", f"""with o as (select distinct l_orderkey p, l_suppkey i from lineitem),
   c as (select a.i ref_id, b.i src_id, count(*) shared, {_PAIR_DEG} deg from o a join o b on a.p = b.p and a.i <> b.i group by all)
   select ref_id, src_id, shared, round({_SCORE} * shared, 6) score from c where {_SCORE} > 0""")
 def source_candidates(spark, sf_dir):
-    """Of all images. The oracle keeps ids up to 60, so the two differ on tables of more images."""
     pairs = views.covisibility(observations(spark, sf_dir))
     pairs = pairs.withColumn("baseline_deg", (F.abs(F.col("image_i") - F.col("image_j")) * 7 % 120).cast("double"))
     return views.source_candidates(pairs).select("ref_id", "src_id", "shared", F.round("score", 6).alias("score"))
@@ -292,27 +294,21 @@ def topk_cost_mean(spark, sf_dir):
 
 @query("best_hypothesis", "select user_id, min(event_id) filter (where value = lowest) event_id, any_value(lowest) cost from (select *, min(value) over (partition by user_id) lowest from events) group by user_id")
 def best_hypothesis(spark, sf_dir):
-    best = F.min(F.struct("value", "event_id"))
-    own = table(spark, sf_dir, "events").filter("value is not null").groupBy("user_id").agg(best.alias("b"))
-    return own.select("user_id", F.col("b.event_id").alias("event_id"), F.col("b.value").alias("cost"))
+    return views.lowest(table(spark, sf_dir, "events"), "user_id", "value", "event_id").withColumnRenamed("value", "cost")
 
 
 @query("topk_response", """with r as (select user_id, event_id, value, row_number() over (partition by user_id order by value desc, event_id) rn from events),
   k as (select *, row_number() over (partition by user_id order by event_id) place from r where rn <= 20) select user_id, event_id, place from k""")
 def topk_response(spark, sf_dir):
     """The strongest 20 of each key, then in their original order."""
-    own = table(spark, sf_dir, "events")
-    strong = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_first("value"), "event_id"))
-    kept = own.withColumn("rn", strong).filter("rn <= 20")
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
-    return kept.select("user_id", "event_id", place.alias("place"))
+    return views.strongest(table(spark, sf_dir, "events"), "user_id", "value", "event_id", 20)
 
 
 @query("init_candidates", "with o as (select distinct l_orderkey p, l_suppkey i from lineitem), c as (select a.i image_i, b.i image_j, count(*) num_inliers from o a join o b on a.p = b.p and a.i < b.i group by all) select * from c where num_inliers >= 3 order by num_inliers desc, image_i, image_j limit 300")
 def init_candidates(spark, sf_dir):
     """The 300 pairs with most inliers: a report, so the limit is the feature."""
     pairs = views.covisibility(observations(spark, sf_dir)).withColumnRenamed("shared", "num_inliers")
-    return pairs.filter("num_inliers >= 3").orderBy(F.desc("num_inliers"), "image_i", "image_j").limit(300)
+    return views.start_pairs(pairs, 3, 300)
 
 
 _W = "(case when deg between 3 and 45 then 2.0 when deg <= 60 then 1.0 else 0.3 end * case when ring <= 5 then 2 else 1 end)::double"
@@ -329,7 +325,7 @@ def argmax_pair(spark, sf_dir):
     weight = F.when(deg.between(3, 45), 2.0).when(deg <= 60, 1.0).otherwise(0.3) * F.when(ring <= 5, 2).otherwise(1)
     pairs = views.covisibility(own).filter("shared >= 3").crossJoin(F.broadcast(n))
     scored = pairs.select("image_i", "image_j", F.col("shared").alias("tri"), F.round(F.col("shared") * weight, 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "image_i", "image_j").limit(1)
+    return views.best_pair(scored)
 
 
 @query("argmax_config", "select config, votes from (select l_linenumber % 4 config, count(*) votes from lineitem group by all) order by votes desc, config limit 1")

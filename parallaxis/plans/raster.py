@@ -54,8 +54,8 @@ _STACK = ", ".join(_gauss(f"g{k}", s) for k, s in enumerate(_SIGMAS))
 _DOGS = "dogs as (" + " union all ".join(f"select {k} s, image_id, y, x, a.v - b.v v from g{k + 1} a join g{k} b using (image_id, y, x)" for k in range(3)) + ")"
 
 
-def dogs(spark) -> DataFrame:
-    levels = [raster.gaussian(texture(spark), s) for s in _SIGMAS]
+def dogs(pixels: DataFrame) -> DataFrame:
+    levels = [raster.gaussian(pixels, s) for s in _SIGMAS]
     out = [raster.difference(b, a).withColumn("s", F.lit(k)) for k, (a, b) in enumerate(zip(levels, levels[1:]))]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -66,11 +66,22 @@ def dog(spark, sf_dir):
     return _rounded(raster.difference(raster.gaussian(own, 1.6), raster.gaussian(own, 1.0)))
 
 
-@query("extrema_3x3x3", f"""with {_TEX}, {_STACK}, {_DOGS}, r as (select s, image_id, y, x, round(v, 6) v from dogs),
+_BLOBS = "tex as (select m image_id, y, x, floor(200 * exp(-((x % 16 - 7) * (x % 16 - 7) + (y % 16 - 8) * (y % 16 - 8)) / (2 * (1.6::double + m * 0.6::double) * (1.6::double + m * 0.6::double)))) + (x + 2 * y) % 3 v from range(2) a(m), range(48) b(y), range(64) c(x))"
+
+
+def blobs(spark) -> DataFrame:
+    """Twelve bright spots on a little grain, wider in the second image."""
+    x, y = F.col("x"), F.col("y")
+    wide = 1.6 + F.col("image_id") * 0.6
+    spot = F.floor(200 * F.exp(-((x % 16 - 7) * (x % 16 - 7) + (y % 16 - 8) * (y % 16 - 8)) / (2 * wide * wide)))
+    return texture(spark).select("image_id", "y", "x", (spot + (x + 2 * y) % 3).cast("double").alias("v"))
+
+
+@query("extrema_3x3x3", f"""with {_BLOBS}, {_STACK}, {_DOGS}, r as (select s, image_id, y, x, round(v, 6) v from dogs),
   n as (select a.s, a.image_id, a.y, a.x, a.v, max(b.v) high, min(b.v) low, count(*) n from r a join r b on a.image_id = b.image_id and abs(a.s - b.s) <= 1 and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and (a.s, a.y, a.x) <> (b.s, b.y, b.x) group by all)
   select s, image_id, y, x, v from n where n = 26 and (v > high or v < low)""")
 def extrema_3x3x3(spark, sf_dir):
-    return raster.extrema(dogs(spark).withColumn("v", F.round("v", 6))).select("s", "image_id", "y", "x", "v")
+    return raster.extrema(dogs(blobs(spark)).withColumn("v", F.round("v", 6))).select("s", "image_id", "y", "x", "v")
 
 
 @query("downsample2", f"with {_TEX} select image_id, y // 2 y, x // 2 x, v from tex where x % 2 = 0 and y % 2 = 0")

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parallaxis import storage
 from parallaxis.functions import vectors as V
 from parallaxis.model import PRESETS, Config
-from parallaxis.operators import epipolar, features, fusion, geometry, mvs, raster, sfm
+from parallaxis.operators import epipolar, features, fusion, geometry, mvs, raster, sfm, views
 from parallaxis.plans import cameras as C
 from parallaxis.plans.catalog import query
 from parallaxis.sources import synthetic
@@ -40,16 +41,8 @@ def fundamental_ransac(spark, sf_dir):
 @query("triangulate")
 def triangulate(spark, sf_dir):
     """(point_id, x, y, z, ok): points from all cameras that see them, and whether they pass the acceptance tests."""
-    rows = sightings(spark).join(F.broadcast(synthetic.ring_cameras(spark)), "image_id")
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        r, t = g[geometry.R].to_numpy().reshape(-1, 3, 3), g[geometry.T].to_numpy()
-        p, seen = K @ np.concatenate([r, t[:, :, None]], 2), g[["u", "v"]].to_numpy()
-        x = epipolar.triangulate(p, seen)
-        ok = epipolar.accepted(x, p, seen, g[["cx", "cy", "cz"]].to_numpy())
-        return pd.DataFrame({"point_id": g.kp_id.iloc[:1].to_numpy(), "x": x[:1], "y": x[1:2], "z": x[2:], "ok": [ok]})
-
-    return rows.groupBy("kp_id").applyInPandas(one, "point_id long, x double, y double, z double, ok boolean")
+    rows = sightings(spark, 1).withColumnRenamed("kp_id", "point_id").join(F.broadcast(synthetic.ring_cameras(spark)), "image_id")
+    return epipolar.triangulate_points(rows, synthetic.FOCAL, synthetic.CENTER_X, synthetic.CENTER_Y)
 
 
 @query("bundle_adjust")
@@ -115,15 +108,30 @@ def sift_cuda(spark, sf_dir):
 
 @query("mvs_run")
 def mvs_run(spark, sf_dir):
-    """Depth maps of two small views from their neighbours."""
+    """Depth maps of all views, small ones, from their best sources; pixels that enough other views confirm."""
     width, height = 48, 36
-    images = _rendered(spark, width, height, "image_id < 4")
-    k = [synthetic.FOCAL * width / synthetic.WIDTH, 0.0, width / 2, 0.0, synthetic.FOCAL * width / synthetic.WIDTH, height / 2, 0.0, 0.0, 1.0]
+    images = _rendered(spark, width, height, "true")
+    focal = synthetic.FOCAL * width / synthetic.WIDTH
+    k = [focal, 0.0, width / 2, 0.0, focal, height / 2, 0.0, 0.0, 1.0]
     view = F.struct("gray", F.array(*map(F.lit, k)).alias("k"), F.array(*geometry.R).alias("r"), F.array(*geometry.T).alias("t")).alias("view")
     seen = images.join(F.broadcast(synthetic.ring_cameras(spark)), "image_id").select("image_id", view)
-    near = seen.select((F.col("image_id") - 1).alias("image_id"), F.lit(1).alias("o"), "view").unionByName(seen.select((F.col("image_id") - 2).alias("image_id"), F.lit(2).alias("o"), "view")).unionByName(seen.select("image_id", F.lit(0).alias("o"), "view"))
-    jobs = near.filter("image_id in (0, 1)").groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "view"))), lambda s: s["view"]).alias("views"))
-    return mvs.depth_maps(jobs.select("image_id", F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(0.19).alias("low"), F.lit(0.26).alias("high"), "views"), iterations=3, radius=3)
+    chosen = storage.materialize(C.select_sources(spark, sf_dir).select(F.col("ref_id").alias("image_id"), "src_id", "rank"), "sources")
+    near = chosen.join(seen.withColumnRenamed("image_id", "src_id"), "src_id").select("image_id", "rank", "view").unionByName(seen.select("image_id", F.lit(0).cast("long").alias("rank"), "view"))
+    jobs = near.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "view"))), lambda s: s["view"]).alias("views"))
+    # depth range and seeds come from the points that a view sees
+    points = sightings(spark, 1).join(synthetic.sphere_vertices(spark).withColumnRenamed("v_id", "kp_id"), "kp_id").join(F.broadcast(synthetic.ring_cameras(spark)), "image_id")
+    depth = geometry.camera_frame(geometry.columns("x", "y", "z"))[2]
+    placed = points.select("image_id", "kp_id", (F.col("u") * width / synthetic.WIDTH).alias("x"), (F.col("v") * width / synthetic.WIDTH).alias("y"), depth.alias("depth"))
+    ranges = views.depth_range(placed, "image_id", "depth")
+    seeds = placed.filter(F.col("kp_id") % 400 == 0).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("kp_id", "x", "y", "depth"))).alias("seeds"))
+    jobs = jobs.join(ranges, "image_id").join(seeds, "image_id", "left").select(
+        "image_id", F.lit(width).alias("width"), F.lit(height).alias("height"), F.col("depth_min").alias("low"), F.col("depth_max").alias("high"), "views",
+        F.transform("seeds", lambda s: F.array(s["x"], s["y"], s["depth"])).alias("seeds"),
+    )
+    maps = storage.materialize(mvs.depth_maps(jobs), "depth-maps")
+    agreed = geometry.consistent_views(maps.select("image_id", "x", "y", "depth"), synthetic.ring_cameras(spark), chosen.select("image_id", "src_id"), focal, width / 2, height / 2)
+    kept = geometry.filtered_depths(agreed).filter("depth is not null").select("image_id", "x", "y")
+    return maps.join(kept, ["image_id", "x", "y"], "left_semi")
 
 
 @query("fuse", f"""with {C._DEPTH}, q as (select d.image_id, (x - 32.0::double)/100*depth - t0 q0, (y - 24.0::double)/100*depth - t1 q1, depth - t2 q2, r0, r1, r2, r3, r4, r5, r6, r7, r8 from depth d join ring using (image_id)),

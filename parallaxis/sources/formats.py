@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from parallaxis import storage
+
 
 def pfm_bytes(depth: np.ndarray) -> bytes:
     """``Pf``, size, -1.0 for little-endian, then rows from the bottom up."""
@@ -94,6 +96,63 @@ def stl_triangle(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
     return struct.pack("<12fH", *(n / length if length else n), *a, *b, *c, 0)
 
 
+def ply_mesh_lines(vertices: DataFrame, faces: DataFrame) -> tuple[str, DataFrame]:
+    """Header and lines, in order, of an ASCII mesh from (v_id, x, y, z) and 0-based (f_id, v0, v1, v2)."""
+    head = ["ply", "format ascii 1.0", f"element vertex {vertices.count()}", *(f"property float {c}" for c in "xyz"), f"element face {faces.count()}", "property list uchar int vertex_indices", "end_header"]
+    v = vertices.select(F.lit(0).alias("part"), F.col("v_id").alias("k"), F.format_string("%.9g %.9g %.9g", "x", "y", "z").alias("value"))
+    f = faces.select(F.lit(1).alias("part"), F.col("f_id").alias("k"), F.format_string("3 %d %d %d", "v0", "v1", "v2").alias("value"))
+    return "\n".join(head), v.unionByName(f).orderBy("part", "k").select("value")
+
+
+def write_stl(vertices: DataFrame, faces: DataFrame, path: str) -> int:
+    """A binary STL file at ``path``, in any store that Spark reaches; how many triangles it holds.
+
+    The format is one file, so one process writes it; triangles are made on the executors and stream through.
+    """
+    corner = lambda k: vertices.select(F.col("v_id").alias(f"v{k}"), F.array("x", "y", "z").alias(f"p{k}"))
+    met = faces
+    for k in range(3):
+        met = met.join(corner(k), f"v{k}")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            rows = zip(*(b.column(f"p{k}").to_pylist() for k in range(3)))
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(stl_triangle(*map(np.array, r)) for r in rows)], pa.binary()), pa.array([b.num_rows], pa.int64())], names=["records", "n"])
+
+    spark = vertices.sparkSession
+    total = faces.count()
+    fs, target = storage.file_system(spark, path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(struct.pack("<80sI", b"", total)))
+        for r in met.orderBy("f_id").select("p0", "p1", "p2").mapInArrow(run, "records binary, n long").toLocalIterator():
+            out.write(bytearray(r.records))
+    finally:
+        out.close()
+    return total
+
+
+def write_checkpoints(save: bool, output_path: str, frames: dict[str, DataFrame]) -> list[str]:
+    """Writes frames as Parquet beside the output file, if that is asked for and there is one; the paths written."""
+    if not save or not output_path:
+        return []
+    folder = output_path.rpartition("/")[0] or "."
+    paths = []
+    for name, frame in frames.items():
+        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+        paths.append(f"{folder}/{name}")
+    return paths
+
+
+def read_true_cameras(spark: SparkSession, path: str, step: float = 10.0) -> DataFrame:
+    """(image_id, image, angle_deg, R, t, center) of a ground-truth JSON: ids are angles in steps."""
+    camera = "image:string,angle_deg:double,R:array<array<double>>,t:array<double>,center:array<double>"
+    own = spark.read.schema(f"cameras array<struct<{camera}>>").json(path, multiLine=True).select(F.inline("cameras"))
+    return own.select(F.round(F.col("angle_deg") / step).cast("int").alias("image_id"), "image", "angle_deg", F.flatten("R").alias("R"), "t", "center")
+
+
 def checkpoint_json(cameras: DataFrame, stats: dict) -> str:
     """Registered cameras and run statistics as JSON; poses of unregistered cameras are null.
 

@@ -238,12 +238,13 @@ def test_solver_queries_against_the_scene(spark):
 
     vertex = {r.v_id: np.array([r.x, r.y, r.z]) for r in synthetic.sphere_vertices(spark).collect()}
     found = solvers.triangulate(spark, "").collect()
-    assert len(found) == 247 and all(r.ok and np.linalg.norm(vertex[r.point_id] - [r.x, r.y, r.z]) < 1e-4 for r in found)
+    assert len(found) > 1700 and all(r.ok and np.linalg.norm(vertex[r.point_id] - [r.x, r.y, r.z]) < 1e-4 for r in found)
     assert all(np.linalg.norm(vertex[r.point_id] - [r.x, r.y, r.z]) < 1e-4 for r in solvers.bundle_adjust(spark, "").collect())
     pairs = solvers.fundamental_ransac(spark, "").collect()
     assert {(r.image_i, r.image_j) for r in pairs} == {(i, i + 1) for i in range(35)} and all(r.kp_i == r.kp_j for r in pairs)
-    near = solvers.mvs_run(spark, "").filter("y between 14 and 22 and x between 18 and 30").collect()
-    assert np.mean([0.19 <= r.depth <= 0.24 for r in near]) > 0.8
+    maps = solvers.mvs_run(spark, "").toPandas()
+    near = maps[maps.y.between(14, 22) & maps.x.between(18, 30)]
+    assert near.depth.between(0.19, 0.24).mean() > 0.8 and set(maps.image_id) == set(range(36))
 
 
 def shared_points(spark, sf_dir):
@@ -358,3 +359,115 @@ def test_command_line(capsys):
         with pytest.raises(SystemExit) as stop:
             cli.parse(argv)
         assert stop.value.code == code
+
+
+def png(spark, path, plane):
+    """Writes rows x columns x (red, green, blue) through the JVM."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(plane.shape[1], plane.shape[0], 1)
+    for y, row in enumerate(plane.tolist()):
+        for x, (r, g, b) in enumerate(row):
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    assert jvm.javax.imageio.ImageIO.write(image, "png", jvm.java.io.File(str(path)))
+
+
+def test_images_as_they_are_shown(spark, tmp_path, monkeypatch, caplog):
+    rng = np.random.default_rng(1)
+    planes = {"b.png": rng.integers(0, 256, (4, 8, 3)), "d.png": rng.integers(0, 256, (2, 3, 3))}
+    for name, plane in planes.items():
+        png(spark, tmp_path / name, plane)
+    (tmp_path / "a.jpg").write_bytes(exif_jpeg())  # a head without pixels: undecodable, so its id stays a gap
+    (tmp_path / "c.txt").write_bytes(b"not an image")
+    got = {r.filename: r for r in images.load_images(spark, str(tmp_path)).collect()}
+    assert {n: r.image_id for n, r in got.items()} == {"b.png": 1, "d.png": 2} and "too few" in caplog.text
+    r = got["b.png"]
+    assert (r.width, r.height) == (8, 4) and (np.frombuffer(r.bgr, np.uint8).reshape(4, 8, 3)[..., ::-1] == planes["b.png"]).all()
+    want = np.rint(planes["b.png"] @ np.array([0.299, 0.587, 0.114])) / 255
+    assert np.allclose(np.frombuffer(r.gray, "<f4").reshape(4, 8), want) and np.allclose(r.K, [28 / 36 * 8, 0, 4, 0, 28 / 36 * 8, 2, 0, 0, 1])
+    half = {r.filename: r for r in images.load_images(spark, str(tmp_path), max_size=4, focal_mm=4, sensor_mm=6).collect()}["b.png"]
+    mean = planes["b.png"].reshape(2, 2, 4, 2, 3).mean((1, 3))
+    assert (half.width, half.height) == (4, 2) and np.abs(np.frombuffer(half.bgr, np.uint8).reshape(2, 4, 3)[..., ::-1] - mean).max() <= 0.5
+    assert half.K[0] == 4 * 4 / 6 and images.load_images(spark, str(tmp_path / "none")).count() == 0
+    blue = np.zeros((2, 4, 3), np.uint8)
+    blue[0, 0] = 255
+    for turn, shape, at in ((6, (4, 2), (0, 1)), (3, (2, 4), (1, 3)), (8, (4, 2), (3, 0)), (5, (4, 2), (0, 0)), (7, (4, 2), (3, 1)), (2, (2, 4), (0, 3)), (4, (2, 4), (1, 0)), (1, (2, 4), (0, 0))):
+        turned = images.shown(blue, turn)
+        assert turned.shape[:2] == shape and tuple(np.argwhere(turned[..., 0] == 255)[0]) == at
+
+
+def test_meshes_as_files(spark, tmp_path):
+    vertices, faces = synthetic.sphere_vertices(spark, 4, 6), synthetic.sphere_faces(spark, 4, 6)
+    n = faces.count()
+    assert formats.write_stl(vertices, faces, f"file://{tmp_path}/m.stl") == n
+    data = (tmp_path / "m.stl").read_bytes()
+    assert len(data) == 84 + 50 * n and struct.unpack_from("<I", data, 80)[0] == n
+    normal, corner = np.array(struct.unpack_from("<6f", data, 84 + 50 * 7)).reshape(2, 3)
+    assert np.isclose(np.linalg.norm(normal), 1) and normal @ corner > 0
+    header, lines = formats.ply_mesh_lines(vertices, faces)
+    assert f"element face {n}" in header and lines.count() == n + vertices.count() and lines.collect()[-1].value.startswith("3 ")
+    assert formats.write_checkpoints(False, "x/y.obj", {"v": vertices}) == formats.write_checkpoints(True, "", {"v": vertices}) == []
+    (path,) = formats.write_checkpoints(True, f"{tmp_path}/out.obj", {"v": vertices})
+    assert spark.read.parquet(path).count() == vertices.count()
+    (tmp_path / "gt.json").write_text('{"cameras": [{"image": "v.jpg", "angle_deg": 19.6, "R": [[1, 0, 0], [0, 1, 0], [0, 0, 1]], "t": [0, 0, 1], "center": [0, 0, -1]}]}')
+    true = formats.read_true_cameras(spark, str(tmp_path / "gt.json")).first()
+    assert (true.image_id, true.R[4], true.center) == (2, 1.0, [0.0, 0.0, -1.0])
+
+
+def test_points_side_by_side():
+    x, k, poses, px = scene(n=30)
+    rng = np.random.default_rng(8)
+    of = np.concatenate([np.repeat(i, 2 + i % 3) for i in range(30)])
+    cam = np.concatenate([np.arange(2 + i % 3) for i in range(30)])
+    r, t = np.array([poses[c][0] for c in cam]), np.array([poses[c][1] for c in cam])
+    seen = np.array([px[c][i] for c, i in zip(cam, of)]) + rng.normal(0, 0.3, (len(of), 2))
+    p = k @ np.concatenate([r, t[:, :, None]], 2)
+    many = epipolar.triangulate_many(of, 30, p, seen)
+    centres = -np.einsum("mji,mj->mi", r, t)
+    ok = epipolar.accepted_many(many, of, p, seen, centres, 0.4, 5.0)
+    moved = epipolar.adjust_many(many + 0.05, of, r, t, seen, k)
+    for i in range(30):
+        own = of == i
+        one = epipolar.triangulate(p[own], seen[own])
+        assert np.allclose(many[i], one) and ok[i] == epipolar.accepted(one, p[own], seen[own], centres[own], 0.4, 5.0)
+        n = own.sum()
+        best = epipolar.adjust(list(zip(r[own], t[own])), [many[i] + 0.05], np.arange(n), np.zeros(n, int), seen[own], k, fix_cameras=True)[1]
+        assert np.allclose(moved[i], best[0], atol=1e-3)
+    assert 0 < ok.sum() < 30
+
+
+def test_new_points_as_a_scan_makes_them(spark):
+    from parallaxis.operators import sizes, views
+
+    rng = np.random.default_rng(3)
+    rows = [(int(a), int(b), int(c) + 9, int(d), k) for k, (a, b, c, d) in enumerate(rng.integers(0, 9, (300, 4)))]
+    tracked = {(0, k) for k in range(4)}
+    used, want = set(tracked), []
+    for i, p, j, q, k in rows:
+        if (i, p) not in used and (j, q) not in used:
+            used |= {(i, p), (j, q)}
+            want.append(k)
+    matches = spark.createDataFrame(rows, "image_i long, kp_i long, image_j long, kp_j long, place long")
+    got = views.grown(matches, spark.createDataFrame(sorted(tracked), "image_id long, kp_id long"))
+    assert sorted(r.place for r in got.collect()) == want
+    placed = sizes.numbered(matches.select("place"), "place", rows=20)
+    assert all(r.place == r.position for r in placed.collect()) and placed.count() == 300
+
+
+def test_point_filter_rounds(spark):
+    points = spark.createDataFrame([(k, float(k)) for k in range(30)], "point_id long, x double")
+    scored = lambda p: p.select("point_id", (F.col("x") / 10).alias("mean_error"), F.when(F.col("point_id") == 3, 1).otherwise(5).alias("track"))
+    kept = geometry.filter_rounds(points, scored, adjusted=lambda p: p.withColumn("x", F.col("x") - 1))
+    assert sorted(r.point_id for r in kept.collect()) == [k for k in range(11) if k != 3]
+
+
+def test_extrema_by_definition(spark):
+    from parallaxis.operators import raster
+
+    v = np.random.default_rng(4).integers(0, 40, (4, 9, 11)).astype(float)
+    stack = spark.createDataFrame([(0, s, y, x, float(v[s, y, x])) for s, y, x in np.ndindex(v.shape)], "image_id int, s int, y int, x int, v double")
+    want = set()
+    for s, y, x in itertools.product(range(1, 3), range(1, 8), range(1, 10)):
+        near = np.delete(v[s - 1 : s + 2, y - 1 : y + 2, x - 1 : x + 2].ravel(), 13)
+        if v[s, y, x] > near.max() or v[s, y, x] < near.min():
+            want.add((s, y, x))
+    assert {(r.s, r.y, r.x) for r in raster.extrema(stack).collect()} == want and len(want) > 5
