@@ -57,12 +57,13 @@ K = 2
 #: A shingle is frequent if more sets than this hold it near the front; at most FREQUENT_KEPT are (4 bytes each, broadcast).
 FREQUENT, FREQUENT_KEPT = 32, 1_000_000
 #: Frequent shingles of a set whose combinations are indexed at most.
-COMBINED = 40
-RANGE_ENTRIES, BLOCK, STARS, CHAINED = 500_000, 256, 3, 10
+COMBINED = 24
+#: Entries of a range on average: a set's record goes once to each range that it has an entry in, so few ranges are lean.
+RANGE_ENTRIES, BLOCK, STARS, CHAINED = 1_500_000, 256, 3, 10
 #: Shingles of a base besides the front and an eighth of it.
 SPARE = 8
 #: Entries of a range above which it is cut, and front shingles that are counted in one group on average.
-WIDE, FRONT_ENTRIES = 4 * RANGE_ENTRIES, 2_000_000
+WIDE, FRONT_ENTRIES = 2 * RANGE_ENTRIES, 2_000_000
 CACHED_WORDS = 200_000
 #: 64-bit words of the parity bitmap that travels with every signature's owner.
 DIGEST_WORDS = 4
