@@ -248,7 +248,7 @@ def _search(valid: DataFrame, dim: int, n: int, k: int, recall: float, sample: i
     spark = valid.sparkSession
     parallel = spark.sparkContext.defaultParallelism
     block = block or max(1024, min(BLOCK_BYTES // (8 * max(1, dim)), n // (2 * parallel)))
-    index, asked = fit(valid, n, dim, sample)
+    index, held_out = fit(valid, n, dim, sample)
     centroids = len(index.books[0])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +262,7 @@ def _search(valid: DataFrame, dim: int, n: int, k: int, recall: float, sample: i
     for r in coded.groupBy("c1", "c2").count().collect():  # at most centroids ** 2 rows
         counts[r.c1, r.c2] = r["count"]
     total = int(counts.sum())
-    index.share = _share(coded, index, asked, counts, k, recall)
+    index.share = _share(coded, index, held_out, counts, k, recall)
     enough = max(index.share * total, min(total, k + 1))
     # chunks of centroids of about equal counts, as many that a tile has about a block of vectors
     chunks = max(1, min(centroids, round((total / block) ** 0.5)))
@@ -299,7 +299,8 @@ def _search(valid: DataFrame, dim: int, n: int, k: int, recall: float, sample: i
 
     schema = f"tile long, salt long, asks int, vec_id long, vec {kind}, c1 long, c2 long, reach double"
     posted = coded.select("vec_id", "vec", "c1", "c2", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)).alias("hash")).mapInArrow(place, schema)
-    routed = coded.filter("asks").select("vec_id", "vec").distinct().mapInArrow(route, schema)
+    asked = coded.filter("asks").select("vec_id", "vec").repartition(max(2 * parallel, n // 100_000), "vec_id").distinct()
+    routed = asked.mapInArrow(route, schema)
     blocks = max(2 * parallel, int(salts.sum()))
     met = posted.unionByName(routed).repartition(blocks, "tile", "salt").sortWithinPartitions("tile", "salt", "asks")
     found = met.mapInArrow(_meet(index, k), "query_id long, found array<struct<score:double,vec_id:long>>")
