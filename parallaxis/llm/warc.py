@@ -88,7 +88,11 @@ def write(pages: DataFrame, path: str, captured: Column | None = None, revisit_b
     )
     size = pages.agg(F.sum(F.octet_length("html").cast("long") + 1000)).first()[0] or 0
     files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
-    rows = rows.repartition(files, "own", "digest").join(_revisits(rows, revisit_bytes), ["own", "digest"], "left")
+    marks = _revisits(rows, revisit_bytes)
+    # fewer files than the join's own partitions would only add a second shuffle
+    if files > int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(files, "own", "digest")
+    rows = rows.join(marks, ["own", "digest"], "left")
     rows = rows.withColumn("revisit", F.col("origin").isNotNull())
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF + CRLF))
