@@ -15,8 +15,10 @@ Candidates, in three rounds. First, every set is compared with the leader of eac
 first ``STARS`` shingles; then, across components only, with a few chance neighbours in the groups of its first
 ``CHAINED``. That settles groups of near copies without their pairs. Last, all sets that share a signature are compared
 unless they are in one component already, or their sizes, their places in the order or their digests rule a link out.
-A digest is a parity bitmap: two of them differ in no more bits than their sets in shingles. Larger bitmaps thin the
-pairs again, and the others are verified on whole sets, in groups dealt out by the leading set in blocks of ``BLOCK``.
+A digest is a parity bitmap: two of them differ in no more bits than their sets in shingles. Digests of one length tell
+little of large sets, so the last round names no pairs by them: it names the sets that have any partner left, with the
+runs in which, and these meet there once more with bitmaps as long as their sets. In the other rounds such bitmaps thin
+the pairs. What is left is verified on whole sets, in groups dealt out by the leading set in blocks of ``BLOCK``.
 
 Texts are shingled into the base of each set, which is the least shingles by hash and a little more than what rare ones
 sign with; texts whose base holds many frequent shingles are shingled again to be signed, and those of candidates to be
@@ -45,7 +47,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +69,8 @@ WIDE, FRONT_ENTRIES = 2 * RANGE_ENTRIES, 2_000_000
 CACHED_WORDS = 200_000
 #: 64-bit words of the parity bitmap that travels with every signature's owner.
 DIGEST_WORDS = 4
+#: Bytes of bitmaps that are compared at once.
+COMPARED_BYTES = 1 << 22
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -216,6 +220,36 @@ def bitmap_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+class Bitmaps:
+    """Parity bitmaps of sets by number, folded beforehand to every length that any of them has."""
+
+    def __init__(self, maps: list[bytes]):
+        self.size = np.array([len(x) for x in maps], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        longer = np.empty((0, 0), np.uint8)
+        for size in map(int, np.unique(self.size)[::-1]):
+            has = np.flatnonzero(self.size >= size)
+            own = self.size[has] == size
+            rows = np.empty((len(has), size), np.uint8)
+            rows[own] = np.frombuffer(b"".join(maps[k] for k in has[own]), np.uint8).reshape(-1, size)
+            if len(longer):
+                rows[~own] = np.bitwise_xor.reduce(longer.reshape(len(longer), -1, size), axis=1)
+            place = np.zeros(len(maps), np.int32)
+            place[has] = np.arange(len(has))
+            self.folded[size], longer = (place, rows.view(_U)), rows
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``bitmap_difference`` of the sets of each pair."""
+        least, out = np.minimum(self.size[x], self.size[y]), np.zeros(len(x), np.int64)
+        for size in map(int, np.unique(least)):
+            place, rows = self.folded[size]
+            pairs, step = np.flatnonzero(least == size), max(1, COMPARED_BYTES // size)
+            for k in range(0, len(pairs), step):
+                at = pairs[k : k + step]
+                out[at] = np.bitwise_count(rows[place[x[at]]] ^ rows[place[y[at]]]).sum(-1, dtype=np.int64)
+        return out
+
+
 def least_size(num: int, den: int) -> int:
     """Shingles of the smallest set that another one may link to: a single one is in half of another set at most."""
     return 2 if 2 * num > den else 1
@@ -421,7 +455,8 @@ class _Range:
     keys: np.ndarray
     labels: np.ndarray
     sizes: np.ndarray
-    bits: np.ndarray
+    #: Digests, or whole bitmaps.
+    bits: np.ndarray | Bitmaps
     #: The block that each set is of, if two blocks of a range that was cut meet here.
     side: np.ndarray | None
 
@@ -430,8 +465,8 @@ class _Range:
         return True if self.side is None else self.side[x] != self.side[y]
 
     def near(self, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Whether digests differ in no more bits than linked sets of these sizes differ in shingles."""
-        apart = np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(-1, dtype=np.int64)
+        """Whether bitmaps differ in no more bits than linked sets of these sizes differ in shingles."""
+        apart = self.bits.apart(x, y) if isinstance(self.bits, Bitmaps) else np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(-1, dtype=np.int64)
         return (den + num) * apart <= (den - num) * (self.sizes[x] + self.sizes[y])
 
 
@@ -509,9 +544,8 @@ def _chains(f: _Range, num: int, den: int) -> pa.Table:
     return _pairs(f, a, b)
 
 
-def _crossings(f: _Range, num: int, den: int, rows: int = 256) -> pa.Table:
-    """Sets that share a run and may link, of different components."""
-    a, b = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
+def _cross(f: _Range, num: int, den: int, found: Callable[[np.ndarray, np.ndarray], None], rows: int = 256) -> None:
+    """Gives ``found`` the entries, pair by pair, of sets that share a run and may link, of different components."""
     runs = np.diff(f.bounds)
 
     def fitting(i, j):
@@ -520,14 +554,13 @@ def _crossings(f: _Range, num: int, den: int, rows: int = 256) -> pa.Table:
         p, q = f.kind[i], f.kind[j]
         return ok & ((p == SINGLE) & (q == SINGLE) | (p == DENSE) | (q == DENSE))
 
-    def add(x, y):
-        ok = f.near(x, y, num, den)
-        a.append(x[ok])
-        b.append(y[ok])
+    def add(i, j):
+        ok = f.near(f.own[i], f.own[j], num, den)
+        found(i[ok], j[ok])
 
     twos = f.bounds[:-1][runs == 2]
-    ok = fitting(twos, twos + 1)
-    add(f.own[twos[ok]], f.own[twos[ok] + 1])
+    twos = twos[fitting(twos, twos + 1)]
+    add(twos, twos + 1)
     for start, size in zip(f.bounds[:-1][runs > 2], runs[runs > 2]):
         own = f.own[start : start + size]
         if (f.labels[own] == f.labels[own[0]]).all() or (f.kind[start : start + size] == MEETS_DENSE).all():
@@ -540,7 +573,54 @@ def _crossings(f: _Range, num: int, den: int, rows: int = 256) -> pa.Table:
             for y in range(x, np.searchsorted(m, m[end - 1] * den // num, "right"), 4 * rows):
                 i, j = np.arange(x, end)[:, None], np.arange(y, min(y + 4 * rows, size))[None]
                 i, j = np.nonzero((i < j) & fitting(by_size[i], by_size[j]))
-                add(f.own[by_size[i + x]], f.own[by_size[j + y]])
+                add(by_size[i + x], by_size[j + y])
+
+
+#: An entry whose set has a partner: its run's number in the range, and its place times 4 plus its kind.
+_MEETING = np.dtype([("run", "<u4"), ("at_kind", "<u2")])
+_MET = pa.schema([(c, pa.int64()) for c in ("span", "i", "j", "key", "n", "label")] + [("entries", pa.binary())])
+
+
+def _meetings(table: pa.Table, wide: dict[int, int], num: int, den: int) -> pa.Table:
+    """The sets of a range that their digests let cross with any other, each with the entries at which."""
+    f = _gather(table, wide)
+    met = np.zeros(len(f.own), bool)
+
+    def mark(i: np.ndarray, j: np.ndarray) -> None:
+        met[i] = met[j] = True
+
+    _cross(f, num, den, mark)
+    at = np.flatnonzero(met)
+    at = at[np.argsort(f.own[at], kind="stable")]
+    entries = np.zeros(len(at), _MEETING)
+    entries["run"], entries["at_kind"] = np.searchsorted(f.bounds, at, "right") - 1, f.at[at] * 4 + f.kind[at]
+    own, first = np.unique(f.own[at], return_index=True)
+    packed = [entries[a:z].tobytes() for a, z in zip(first, [*first[1:], len(at)])]
+    here = [pa.array(np.full(len(own), table[c][0].as_py(), np.int64)) for c in ("span", "i", "j")]
+    return pa.table([*here, pa.array(f.keys[own]), pa.array(f.sizes[own]), pa.array(f.labels[own]), pa.array(packed, pa.binary())], schema=_MET)
+
+
+def _crossings(table: pa.Table, wide: dict[int, int], num: int, den: int) -> pa.Table:
+    """Pairs of the sets that ``_meetings`` found in a range, whose whole bitmaps leave a link possible."""
+    worker.claim("signature ranges")
+    span, i, j = (table[c][0].as_py() for c in ("span", "i", "j"))
+    table = table.sort_by("key")  # numbers compare as keys do
+    blobs = table["entries"].to_pylist()
+    entries = np.frombuffer(b"".join(blobs), _MEETING)
+    own = np.repeat(np.arange(len(blobs), dtype=np.uint32), [len(x) // _MEETING.itemsize for x in blobs])
+    order = np.lexsort((own, entries["run"]))
+    run, own, at_kind = entries["run"][order], own[order], entries["at_kind"][order]
+    bounds = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1], [True]]))
+    keys, labels, sizes = (table[c].to_numpy() for c in ("key", "label", "n"))
+    side = _block_of(keys, wide[span]) if i != j else None
+    f = _Range(own, at_kind >> 2, at_kind & 3, bounds, keys, labels, sizes, Bitmaps(table["bitmap"].to_pylist()), side)
+    a, b = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        a.append(f.own[i])
+        b.append(f.own[j])
+
+    _cross(f, num, den, add)
     return _pairs(f, a, b)
 
 
@@ -584,14 +664,29 @@ class JaccardJoin:
     def _ranges(self, entries: int, each: int) -> int:
         return max(2 * self.spark.sparkContext.defaultParallelism, -(-entries // each))
 
-    def _candidates(self, signed: DataFrame, meet: Callable[[_Range, int, int], pa.Table], meets: Callable, entries: int, first: int | None = None) -> DataFrame:
-        num, den, ranges = self.num, self.den, self._ranges(entries, RANGE_ENTRIES)
+    def _dealt(self, signed: DataFrame, meets: Callable, entries: int, first: int | None = None) -> tuple[GroupedData, dict[int, int]]:
+        """Signatures by range and pair of blocks, and the number of blocks of the ranges that are cut."""
+        ranges = self._ranges(entries, RANGE_ENTRIES)
         tally = signed.select("sigs").mapInArrow(_tally(ranges, first), "span long, entries long").groupBy("span").agg(F.sum("entries").alias("entries"))
         wide = {r.span: -(-r.entries // RANGE_ENTRIES) for r in tally.filter(F.col("entries") > WIDE).collect()}
         dealt = signed.select("key", "n", "sigs", "digest", "label").mapInArrow(_deal(ranges, first, wide, meets), "span long, i long, j long, owners binary, entries binary")
-        met = dealt.groupBy("span", "i", "j").applyInArrow(lambda t: meet(_gather(t, wide), num, den), "a long, b long")
+        return dealt.groupBy("span", "i", "j"), wide
+
+    def _candidates(self, signed: DataFrame, meet: Callable[[_Range, int, int], pa.Table], meets: Callable, entries: int, first: int) -> DataFrame:
+        num, den = self.num, self.den
+        dealt, wide = self._dealt(signed, meets, entries, first)
+        met = dealt.applyInArrow(lambda t: meet(_gather(t, wide), num, den), "a long, b long")
         return storage.materialize(met.distinct(), "candidates")
 
+    def _crossed(self, labelled: DataFrame, signed: DataFrame, entries: int) -> tuple[DataFrame, DataFrame]:
+        """Sets that have partners, by range, and pairs of them whose bitmaps leave a link possible."""
+        num, den = self.num, self.den
+        dealt, wide = self._dealt(labelled, _everyone, entries)
+        met = storage.materialize(dealt.applyInArrow(lambda t: _meetings(t, wide, num, den), "span long, i long, j long, key long, n long, label long, entries binary"), "meetings")
+        maps = thinned(signed.select("key", "bitmap"), ["key"], met).groupBy("key").agg(F.first("bitmap").alias("bitmap"))
+        pairs = met.join(maps, "key").groupBy("span", "i", "j").applyInArrow(lambda t: _crossings(t, wide, num, den), "a long, b long")
+        return met, storage.materialize(pairs.distinct(), "thinned")
+
     @staticmethod
     def _routes(pairs: DataFrame) -> DataFrame:
         """(key, a, block): where each set of a pair is to be sent."""
@@ -658,9 +753,12 @@ class JaccardJoin:
         many, total = signed.agg(F.count(F.lit(1)), F.sum(F.octet_length("sigs"))).first()
         links = roots = None
         labelled = signed.withColumn("label", F.col("key"))
-        for meet, meets, entries, first in ((_stars, _leaders, STARS * many, STARS), (_chains, _alone, CHAINED * many, CHAINED), (_crossings, _everyone, (total or 0) // _STORED.itemsize, None)):
-            candidates = self._candidates(labelled, meet, meets, entries, first)
-            thin = self._thinned(candidates, signed)
+        for meet, meets, first in ((_stars, _leaders, STARS), (_chains, _alone, CHAINED), (None, None, None)):
+            if meet is not None:
+                candidates = self._candidates(labelled, meet, meets, first * many, first)
+                thin = self._thinned(candidates, signed)
+            else:
+                candidates, thin = self._crossed(labelled, signed, (total or 0) // _STORED.itemsize)
             verified = self._verified(thin, classes)
             found = verified.select(F.col("a").alias("u"), F.col("b").alias("v"))
             before, roots = roots, storage.materialize(components(found if links is None else links.unionByName(found)), "roots")

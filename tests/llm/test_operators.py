@@ -539,6 +539,36 @@ def test_jaccard_join_near_copies_and_shared_passages(spark, monkeypatch):
         assert sorted(got, key=repr) == near_groups(rows, words, num, 100)
 
 
+def test_jaccard_join_names_no_pairs_of_long_texts_that_do_not_link(spark, monkeypatch):
+    """Long texts that share half of their words meet in many signatures, and digests of one length let all pairs pass."""
+    rng = random.Random(5)
+    shared = [f"s{k}" for k in range(900)]
+    rows = [(d, " ".join(shared + [f"w{rng.randrange(10**9)}" for _ in range(700)])) for d in range(60)]
+    rows += [(100 + d, rows[d][1] + " more") for d in range(0, 60, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    named, materialize = [], storage.materialize
+
+    def counted(df, label):
+        out = materialize(df, label)
+        if out.columns == ["a", "b"]:
+            named.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 100)
+    monkeypatch.setattr(storage, "materialize", counted)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame, 4, 85, 100).collect()]
+    assert sorted(got, key=repr) == near_groups(rows, 4, 85, 100)
+    assert max(named[6:]) <= len(rows)  # three tables of pairs for each of the first two rounds
+
+
+def test_bitmaps_differ_as_pair_by_pair():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (2, 2, 30, 31, 40, 200, 1500, 1501, 9000)]
+    maps = [jaccard_join.parity_bitmap(s) for s in sets]
+    x, y = (k.ravel() for k in np.meshgrid(np.arange(len(maps)), np.arange(len(maps))))
+    assert jaccard_join.Bitmaps(maps).apart(x, y).tolist() == [jaccard_join.bitmap_difference(maps[a], maps[b]) for a, b in zip(x, y)]
+
+
 def test_jaccard_join_empty(empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
