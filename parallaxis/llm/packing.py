@@ -35,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallaxis.llm import storage, tokens
+from parallaxis.llm import storage, tokens, worker
 
 WINDOW = 4096
 #: Tokens after which a block is closed; a longer document makes a longer block.
 BLOCK_TOKENS = 500_000
+#: Documents that a worker is given at once: beside its cached chunks there is little room for texts.
+BATCH_ROWS = 512
 #: Windows of a round, sources with a queue of their own, and tokens below which a queue waits for a later window.
 ROUND, QUEUES, PIECE = 256, 1000, 64
 #: Numbers of dealt rounds that a task keeps at hand.
@@ -276,6 +278,7 @@ def _pack(plan: Plan, names: dict[str | None, int], with_ids: bool):
     rest = len(plan.totals) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.claim("packing")  # cached chunks are of no more use
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
@@ -314,7 +317,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     spark = docs.sparkSession
     schema = _PIECES + (", ids binary" if with_ids else "")
     path = vocabulary or tokens.default_vocabulary()
-    blocks = storage.materialize(docs.select("doc_id", "source", "text").mapInArrow(_blocks(path, end_id, block_tokens), _BLOCKS), "blocks")
+    with storage.arrow_rows(spark, BATCH_ROWS):
+        blocks = storage.materialize(docs.select("doc_id", "source", "text").mapInArrow(_blocks(path, end_id, block_tokens), _BLOCKS), "blocks")
     counted = (
         blocks.select("part", F.explode(F.arrays_zip("sources", "lengths")).alias("d"))
         .groupBy("part", F.col("d.sources").alias("source")).agg(F.sum("d.lengths").alias("n"))

@@ -561,6 +561,29 @@ def test_jaccard_join_names_no_pairs_of_long_texts_that_do_not_link(spark, monke
     assert max(named[6:]) <= len(rows)  # three tables of pairs for each of the first two rounds
 
 
+def test_packing_tokenizes_few_documents_at_once(spark, monkeypatch):
+    """Batches of 10,000 texts stood beside the cached chunks, on both sides of the pipe."""
+    blocks, most = packing._blocks, 512
+
+    def watched(*args):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    assert b.num_rows <= most
+                    yield b
+
+            return blocks(*args)(seen())
+
+        return run
+
+    monkeypatch.setattr(packing, "_blocks", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    frame = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"), F.lit("s").alias("source"))
+    got = packing.pack(frame).agg(F.sum("length"), F.countDistinct("doc_id")).first()
+    assert got == (3000 * 4, 3000)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_bitmaps_differ_as_pair_by_pair():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (2, 2, 30, 31, 40, 200, 1500, 1501, 9000)]
