@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators: each applies its operator to the whole of its table."""
+"""The registered queries of the operators: each applies its operator to the whole of its table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm import chat, decontaminate, jaccard_join, line_dedup, multi_index, packing, pii, storage, token_counts, tokens, toxicity, warc
+from parallaxis.llm import chat, decontaminate, jaccard_join, line_dedup, multi_index, packing, pii, spelling, storage, suffix_dedup, token_counts, tokens, toxicity, warc, whitening
 from parallaxis.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -79,6 +79,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.dedup_passages(storage.table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = storage.table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(storage.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_multi_index_search": op1_multi_index_search,
     "op2_line_dedup": op2_line_dedup,
@@ -90,4 +104,7 @@ QUERIES = {
     "op8_chat_windows": op8_chat_windows,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_token_counts": op10_token_counts,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
