@@ -273,7 +273,7 @@ class SuffixFamily:
         """Windows of the batch that different runs about one anchor share, the earliest left out."""
         number = runs.agg(F.sum(F.when(F.col("hot"), F.col("n")).otherwise(1))).first()[0] or 0
         asked = runs.groupBy("doc", "own").agg(F.collect_list(F.struct("core", "lo", "n", "fresh", "hot")).alias("runs"))
-        texts = thinning.thinned(self.texts, ["doc", "own"], runs).dropDuplicates(["doc", "own"])
+        texts = thinning.thinned(self.texts, ["doc", "own"], runs)  # repeated rows bring equal places, which do not mark each other
         schema = "core long, sub long, doc long, own long, lo long, n int, fresh boolean, window binary"
         fetched = texts.join(asked, ["doc", "own"]).mapInArrow(_fetched(self.length), schema)
         groups = max(1, -(-number // SORTED_RUNS))
