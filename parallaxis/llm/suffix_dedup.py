@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -208,6 +209,18 @@ def _scanned(length: int):
     return scan
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled meanwhile is removed from the executors' disks as soon as the table that it makes is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class SuffixFamily:
     """An index of passages to which batches of documents are added in the order of their ids."""
 
@@ -320,10 +333,11 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     cuts = [c for c in own.agg(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000)).first()[0] or []] if batches > 1 else []
     edges = [None, *sorted(set(cuts)), None]
     family, marks = SuffixFamily(docs.sparkSession, length), []
-    for low, high in zip(edges, edges[1:]):
-        part = own.select("doc", "own", "text")
-        part = part if low is None else part.filter(F.col("doc") > low)
-        marks.append(family.add(part if high is None else part.filter(F.col("doc") <= high)))
+    with _shuffles_removed(docs.sparkSession):
+        for low, high in zip(edges, edges[1:]):
+            part = own.select("doc", "own", "text")
+            part = part if low is None else part.filter(F.col("doc") > low)
+            marks.append(family.add(part if high is None else part.filter(F.col("doc") <= high)))
     found = marks[0]
     for more in marks[1:]:
         found = found.unionByName(more)
