@@ -33,7 +33,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parallaxis.llm import storage, thinning
@@ -265,18 +265,16 @@ class SuffixFamily:
         rows = rows.withColumn("hot", F.lit(False)) if hot is None else rows.join(F.broadcast(hot), "core", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
         # an anchor's runs meet in one task, a hot anchor's equal runs do
         rows = rows.withColumn("deal", F.when(F.col("hot"), F.col("run")).otherwise(F.lit(0)))
-        group, place = Window.partitionBy("core", "deal"), F.struct("doc", "lo")
-        equal = Window.partitionBy("core", "deal", "run").orderBy("doc", "lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        lead: Column = F.first(place).over(equal)
+        group, equal = Window.partitionBy("core", "deal"), Window.partitionBy("core", "deal", "run").orderBy("doc", "lo")
         scanned = (
-            rows.withColumn("number", F.count(F.lit(1)).over(equal)).withColumn("later", place > lead)
+            rows.withColumn("number", F.row_number().over(equal)).withColumn("later", F.rank().over(equal) > 1)
             .withColumn("several", F.col("hot") | (F.min("run").over(group) < F.max("run").over(group)))
             .withColumn("met", F.col("several") & ~F.col("later") & (F.col("hot") | F.max("fresh").over(group)))
             .filter("fresh or met").drop("deal", "several")
         )
         scanned = storage.materialize(scanned, "suffix-scan")
         entries = [f.split()[0] for f in _ENTRY.split(", ")]
-        self.levels.append((0, storage.materialize(scanned.filter("fresh and not later and number = 1").select(*entries).sortWithinPartitions("core", "run"), "suffix-level")))
+        self.levels.append((0, storage.materialize(scanned.filter("fresh and not later and number = 1").select(*entries), "suffix-level")))  # in the order of the scan
         whole = found.filter("held").unionByName(scanned.filter("fresh and later"), allowMissingColumns=True).select("doc", "own", "lo", "n")
         marks = storage.materialize(whole.unionByName(self._matched(scanned.filter("met"))), "suffix-marks")
         storage.drop(found, scanned, hot)
