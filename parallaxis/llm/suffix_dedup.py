@@ -244,20 +244,26 @@ class SuffixFamily:
         """Anchors of the batch that very many runs share, at most 1 / HOT_SHARE of them; None if there are none."""
         sample = rows.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
         counts = sample.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("fresh"))
-        least = max(HOT_RUNS, int(HOT_SHARE * sample.count()))
-        found = storage.materialize(counts.filter((F.col("n") >= least) & F.col("fresh")).select("core", F.lit(True).alias("hot")), "hot-anchors")
-        if found.isEmpty():
+        found = storage.materialize(counts.filter((F.col("n") >= HOT_RUNS) & F.col("fresh")), "hot-anchors")
+        hot = found
+        if not found.isEmpty():
+            hot = storage.materialize(found.filter(F.col("n") >= HOT_SHARE * sample.count()).select("core", F.lit(True).alias("hot")), "hot-anchors")
             storage.drop(found)
+        if hot.isEmpty():
+            storage.drop(hot)
             return None
-        return found
+        return hot
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """(doc, own, lo, n): windows of ``docs(doc, own, text)`` that also start earlier, there or in the index."""
+    def add(self, docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """(doc, own, lo, n): windows of ``docs(doc, own, text)`` that also start earlier, there or in the index.
+
+        ``texts``, if given, is one frame of all documents so far, these included; else those of all batches are kept.
+        """
         self._settle()
         length, spark = self.length, self.spark
         with storage.arrow_rows(spark, BATCH_ROWS):
             found = storage.materialize(docs.select("doc", "own", "text").mapInArrow(_entries(length), _ENTRY + ", held boolean"), "suffix-entries")
-        self.texts = docs if self.texts is None else self.texts.unionByName(docs)
+        self.texts = texts if texts is not None else docs if self.texts is None else self.texts.unionByName(docs)
         rows = found.filter(~F.col("held")).drop("held").withColumn("fresh", F.lit(True))
         for _, level in self.levels:
             rows = rows.unionByName(level.withColumn("fresh", F.lit(False)))
@@ -332,10 +338,10 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     edges = [None, *sorted(set(cuts)), None]
     family, marks = SuffixFamily(docs.sparkSession, length), []
     with _shuffles_removed(docs.sparkSession):
+        texts = own.select("doc", "own", "text")
         for low, high in zip(edges, edges[1:]):
-            part = own.select("doc", "own", "text")
-            part = part if low is None else part.filter(F.col("doc") > low)
-            marks.append(family.add(part if high is None else part.filter(F.col("doc") <= high)))
+            upto = texts if high is None else texts.filter(F.col("doc") <= high)
+            marks.append(family.add(upto if low is None else upto.filter(F.col("doc") > low), upto))
     found = marks[0]
     for more in marks[1:]:
         found = found.unionByName(more)
