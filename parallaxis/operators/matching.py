@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
@@ -47,50 +47,52 @@ def ring_distance(a: Column, b: Column, n: Column | int) -> Column:
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    order = np.argsort(table["kp_id"].to_numpy(), kind="stable")
-    mat = np.array(table["descriptor"].to_pylist(), np.float64)[order]
+    kps = table["kp_id"].to_numpy()
+    order = np.argsort(kps, kind="stable")
+    column = table["descriptor"].combine_chunks()
+    mat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)[order]
+    kind = "<f4" if mat.dtype == np.float32 else "<f8"
     return pa.table({
-        "image_id": table["image_id"].slice(0, 1), "block": table["block"].slice(0, 1),
-        "kps": pa.array([table["kp_id"].to_numpy()[order]], pa.list_(pa.int64())), "dim": pa.array([mat.shape[1]], pa.int64()), "mat": pa.array([mat.tobytes()], pa.binary()),
+        "image_id": table["image_id"].slice(0, 1), "block": table["block"].slice(0, 1), "kps": pa.array([kps[order].astype("<i8").tobytes()], pa.binary()),
+        "kind": pa.array([kind]), "mat": pa.array([mat.astype(kind).tobytes()], pa.binary()),
     })
 
 
 def packed(descriptors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(image_id, block, kps, dim, mat): each image's descriptors in blocks."""
+    """(image_id, block, kps, kind, mat): each image's descriptors in blocks, floats as floats."""
     place = F.row_number().over(Window.partitionBy("image_id").orderBy("kp_id"))
     blocked = descriptors.select("image_id", "kp_id", "descriptor").withColumn("block", F.floor((place - 1) / block))
     kind = dict(descriptors.dtypes)["image_id"]
-    return blocked.groupBy("image_id", "block").applyInArrow(_pack, f"image_id {kind}, block long, kps array<long>, dim long, mat binary")
+    return blocked.groupBy("image_id", "block").applyInArrow(_pack, f"image_id {kind}, block long, kps binary, kind string, mat binary")
 
 
-def _two_best(near: np.ndarray, q: np.ndarray, r: np.ndarray, kps: np.ndarray) -> list[list[dict]]:
-    """The two nearest rows of r for each row of q, by near distances first and exact ones among the best."""
+def _two_best(near: np.ndarray, q: np.ndarray, r: np.ndarray, kps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the two nearest rows of r for each row of q (one if r has one): near distances choose among
+    which the exact ones are taken, ties to the lower id."""
     take = min(4, len(r))
     at = np.argpartition(near, take - 1, axis=1)[:, :take]
-    exact = ((q[:, None, :] - r[at]) ** 2).sum(2)
-    out = []
-    for d, ids in zip(exact, kps[at]):
-        order = np.lexsort((ids, d))[:2]
-        out.append([{"d2": float(d[k]), "kp": int(ids[k])} for k in order])
-    return out
+    exact, ids = ((q[:, None, :] - r[at]) ** 2).sum(2), kps[at]
+    best = np.lexsort((ids, exact), axis=1)[:, :2]
+    return np.take_along_axis(exact, best, 1), np.take_along_axis(ids, best, 1)
 
 
 def _ranked(both: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                row = {n: b.column(n)[k].as_py() for n in b.schema.names}
-                q = np.frombuffer(row["mat_q"]).reshape(-1, row["dim"])
-                r = np.frombuffer(row["mat_r"]).reshape(-1, row["dim"])
+                row = {n: b.column(n)[k] for n in b.schema.names}
+                kq, kr = (np.frombuffer(row[f"kps_{s}"].as_buffer(), "<i8") for s in "qr")
+                q, r = (np.frombuffer(row[f"mat_{s}"].as_buffer(), row[f"kind_{s}"].as_py()).astype(np.float64).reshape(n, -1) for s, n in (("q", len(kq)), ("r", len(kr))))
                 near = (q**2).sum(1)[:, None] - 2 * q @ r.T + (r**2).sum(1)[None]
-                sides = [(row["image_q"], row["image_r"], row["kps_q"], _two_best(near, q, r, np.array(row["kps_r"])))]
+                one, other = row["image_q"].as_py(), row["image_r"].as_py()
+                sides = [(one, other, kq, _two_best(near, q, r, kr))]
                 if both:
-                    sides.append((row["image_r"], row["image_q"], row["kps_r"], _two_best(near.T, r, q, np.array(row["kps_q"]))))
-                for one, other, kps, best in sides:
-                    n = len(kps)
+                    sides.append((other, one, kr, _two_best(near.T, r, q, kq)))
+                for a, o, kps, (d, ids) in sides:
+                    n, second = len(kps), d.shape[1] > 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([one] * n, pa.int64()), pa.array([other] * n, pa.int64()), pa.array(kps, pa.int64()), pa.array(best, pa.list_(pa.struct([("d2", pa.float64()), ("kp", pa.int64())])))],
-                        names=["image_q", "image_r", "kp_q", "best"],
+                        [pa.array(np.full(n, a, np.int64)), pa.array(np.full(n, o, np.int64)), pa.array(kps), pa.array(d[:, 0]), pa.array(ids[:, 0]), pa.array(d[:, 1]) if second else pa.nulls(n, pa.float64()), pa.array(ids[:, 1]) if second else pa.nulls(n, pa.int64())],
+                        names=["image_q", "image_r", "kp_q", "d1", "k1", "d2", "k2"],
                     )
 
     return run
@@ -102,11 +104,11 @@ def knn2(blocks: DataFrame, pairs: DataFrame, both: bool = False) -> DataFrame:
     ``pairs(image_q, image_r)`` are ordered pairs; with ``both`` the opposite ones are answered too, from the same
     products. A reference image with one descriptor gives ``NO_SECOND`` and -1.
     """
-    q = blocks.select(F.col("image_id").alias("image_q"), F.col("kps").alias("kps_q"), F.col("mat").alias("mat_q"), "dim")
-    r = blocks.select(F.col("image_id").alias("image_r"), F.col("kps").alias("kps_r"), F.col("mat").alias("mat_r"))
-    met = pairs.join(q, "image_q").join(r, "image_r").select(F.col("image_q").cast("long"), F.col("image_r").cast("long"), "kps_q", "mat_q", "kps_r", "mat_r", "dim")
-    ranked = met.mapInArrow(_ranked(both), "image_q long, image_r long, kp_q long, best array<struct<d2:double,kp:long>>")
-    merged = ranked.groupBy("image_q", "image_r", "kp_q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 2).alias("best"))
+    side = lambda s: blocks.select(F.col("image_id").alias(f"image_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("kps", "kind", "mat")))
+    met = pairs.join(side("q"), "image_q").join(side("r"), "image_r").withColumns({c: F.col(c).cast("long") for c in ("image_q", "image_r")})
+    ranked = met.mapInArrow(_ranked(both), "image_q long, image_r long, kp_q long, d1 double, k1 long, d2 double, k2 long")
+    two = F.filter(F.array(*(F.struct(F.col(f"d{k}").alias("d2"), F.col(f"k{k}").alias("kp")) for k in (1, 2))), lambda b: b["kp"].isNotNull())
+    merged = ranked.groupBy("image_q", "image_r", "kp_q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(two))), 1, 2).alias("best"))
     one, two = F.get("best", F.lit(0)), F.get("best", F.lit(1))
     return merged.select(
         "image_q", "image_r", "kp_q", one["kp"].alias("idx1"), one["d2"].alias("dist1"),
@@ -142,6 +144,12 @@ def verified_pairs(matches: DataFrame, min_matches: int = MIN_MATCHES) -> DataFr
     return matches.groupBy("image_i", "image_j").agg(F.count(F.lit(1)).alias("num_inliers")).filter(F.col("num_inliers") >= min_matches)
 
 
+def observed(pairs: DataFrame) -> tuple[DataFrame, Observation]:
+    """``pairs`` as they are, and what the job that computes them will have seen: pairs, inliers, fewest and most of one."""
+    stats, n = Observation(), F.col("num_inliers")
+    return pairs.observe(stats, F.count(F.lit(1)).alias("pairs"), F.sum(n).alias("inliers"), F.min(n).alias("fewest"), F.max(n).alias("most")), stats
+
+
 def isolated(images: DataFrame, pairs: DataFrame) -> DataFrame:
     """Images in no pair."""
     seen = pairs.select(F.col("image_i").alias("image_id")).union(pairs.select(F.col("image_j").alias("image_id")))

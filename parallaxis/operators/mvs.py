@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Cost of a hypothesis that cannot be judged, best sources averaged, and radius of a seed's patch.
-WORST, BEST_SOURCES, SEED_RADIUS = 2.0, 3, 50
+#: Cost of a hypothesis that cannot be judged, best sources averaged, and radius of a seed's patch in images
+#: of this width; in others it is to scale.
+WORST, BEST_SOURCES, SEED_RADIUS, SEED_WIDTH = 2.0, 3, 50, 1280
 REFINEMENTS, SHRINK = 2, 0.6
 
 
@@ -85,9 +86,10 @@ def start(matcher: Matcher, low: float, high: float, seeds: list[tuple[float, fl
     rays = matcher.rays(xx, yy)
     normal /= np.linalg.norm(normal, axis=-1, keepdims=True)
     normal *= -np.sign((normal * rays).sum(-1, keepdims=True) + 1e-12)
+    reach = round(SEED_RADIUS * w / SEED_WIDTH)
     for x, y, d in seeds:
-        ys = slice(max(0, round(y) - SEED_RADIUS), max(0, round(y) + SEED_RADIUS + 1))
-        xs = slice(max(0, round(x) - SEED_RADIUS), max(0, round(x) + SEED_RADIUS + 1))
+        ys = slice(max(0, round(y) - reach), max(0, round(y) + reach + 1))
+        xs = slice(max(0, round(x) - reach), max(0, round(x) + reach + 1))
         depth[ys, xs] = d
         normal[ys, xs] = -rays[ys, xs] / np.linalg.norm(rays[ys, xs], axis=-1, keepdims=True)
     return depth, normal
@@ -147,4 +149,6 @@ def depth_maps(jobs: DataFrame, iterations: int = 12, radius: int = 5) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(h * w, row["image_id"], np.int64)), pa.array(yy), pa.array(xx), *(pa.array(p.ravel().astype(np.float32)) for p in planes)], names=names)
 
     given = [c for c in ("image_id", "width", "height", "low", "high", "views", "seeds") if c in jobs.columns]
-    return jobs.select(*given).repartition("image_id").mapInArrow(run, "image_id long, y int, x int, depth float, nx float, ny float, nz float, conf float")
+    # a number that adaptive execution does not merge: a view is seconds of work
+    parts = max(jobs.count(), 1)
+    return jobs.select(*given).repartition(min(parts, 8 * jobs.sparkSession.sparkContext.defaultParallelism), "image_id").mapInArrow(run, "image_id long, y int, x int, depth float, nx float, ny float, nz float, conf float")

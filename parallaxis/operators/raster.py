@@ -119,6 +119,32 @@ def ring_peaks(bins: Column) -> Column:
     return F.transform(peaks, lambda p: F.struct(p["bin"].alias("bin"), (p["bin"] + 0.5 * (p["l"] - p["r"]) / (p["l"] - 2 * p["c"] + p["r"])).alias("at")))
 
 
+#: Cells a side and directions of a descriptor.
+CELLS, DIRECTIONS = 4, 8
+
+
+def scattered(samples: DataFrame, *by: str) -> DataFrame:
+    """(by..., bin, weight): trilinear histogram of ``samples(by..., x, y, o, m)`` over CELLS x CELLS cells of DIRECTIONS.
+
+    x and y are in cells from 0 to CELLS, cell centres at halves; o is in directions and wraps around. Each sample's m is
+    shared among the eight nearest bins; shares beyond the edge are lost. Rows with a null count for nothing. Spark adds
+    up each task's shares before it shuffles them.
+    """
+    usable = samples.filter("x is not null and y is not null and o is not null and m is not null")
+    at = {"x": F.col("x") - 0.5, "y": F.col("y") - 0.5, "o": F.col("o")}
+    placed = usable.select(*by, "m", *(F.floor(v).alias(f"{n}0") for n, v in at.items()), *((v - F.floor(v)).alias(f"f{n}") for n, v in at.items()))
+
+    def corner(dx: int, dy: int, do: int) -> Column:
+        x, y, o = F.col("x0") + dx, F.col("y0") + dy, F.pmod(F.col("o0") + do, F.lit(DIRECTIONS))
+        share = lambda n, d: F.col(f"f{n}") if d else 1 - F.col(f"f{n}")
+        inside = x.between(0, CELLS - 1) & y.between(0, CELLS - 1)
+        return F.struct(F.when(inside, (y * CELLS + x) * DIRECTIONS + o).cast("int").alias("bin"), (F.col("m") * share("x", dx) * share("y", dy) * share("o", do)).alias("weight"))
+
+    corners = F.array(*(corner(dx, dy, do) for dx in (0, 1) for dy in (0, 1) for do in (0, 1)))
+    spread = placed.select(*by, F.explode(corners).alias("c")).filter("c.bin is not null")
+    return spread.groupBy(*by, F.col("c.bin").alias("bin")).agg(F.sum("c.weight").alias("weight"))
+
+
 def normalised(descriptor: Column) -> Column:
     """Unit length, clipped, unit length again, scaled and capped."""
     unit = lambda v: F.transform(F.array(v), lambda u: F.transform(u, lambda x: x / (F.sqrt(V.dot(u, u)) + EPS)))[0]

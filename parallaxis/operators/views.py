@@ -32,10 +32,15 @@ def covisibility(observations: DataFrame) -> DataFrame:
     return two.groupBy("image_i", "image_j").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def neighbours(images: DataFrame, n: int, reach: int = RING) -> DataFrame:
-    """Adds ``other``: ids at most ``reach`` places away on a ring of n, whether there are such images or not."""
+def neighbours(images: DataFrame, n: int, reach: int = RING, ids: tuple[int, int] | None = None) -> DataFrame:
+    """Adds ``other``: ids at most ``reach`` places away on a ring of n, whether there are such images or not.
+
+    With ``ids``, the smallest and largest id that there is, no others.
+    """
     offset = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.array(k, k - n, k + n))
     others = F.transform(F.array_distinct(F.flatten(offset)), lambda k: F.col("image_id") + k)
+    if ids is not None:
+        others = F.filter(others, lambda i: i.between(*ids))
     return images.withColumn("other", F.explode(others)).filter("other <> image_id")
 
 

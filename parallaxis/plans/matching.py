@@ -7,9 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parallaxis import storage
 from parallaxis.functions import vectors as V
-from parallaxis.operators import graph, matching, sizes, views
+from parallaxis.operators import graph, hypotheses, matching, raster, sizes, views
+from parallaxis.plans import scene
 from parallaxis.plans.catalog import query, table
+from parallaxis.sources import pfm
 
 #: The stand-in descriptors are far apart, so queries use the loosest tested ratio and few matches a pair.
 RATIO, ENOUGH = 0.95, 5
@@ -168,8 +171,8 @@ def covisibility(spark, sf_dir):
 def corr_2d3d(spark, sf_dir):
     """For each keypoint, the point of the first neighbouring image (ring distance at most 5) that observes its match."""
     own = observations(spark, sf_dir)
-    n = own.agg(F.max("image_id")).first()[0] or 1
-    matches = views.neighbours(own.select("image_id", "kp_id").distinct(), n).withColumn("kp_other", F.col("kp_id"))
+    low, n = own.agg(F.min("image_id"), F.max("image_id")).first()
+    matches = views.neighbours(own.select("image_id", "kp_id").distinct(), n or 1, ids=(low or 0, n or 0)).withColumn("kp_other", F.col("kp_id"))
     return views.correspondences(matches, views.observation_index(own)).withColumnRenamed("kp_id", "kp_this")
 
 
@@ -226,11 +229,15 @@ def points_clear(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("point_id")).distinct()
 
 
-@query("octave_union", "select l_linenumber octave, count(*) n from lineitem where l_linenumber <= 3 group by all")
+@query("octave_union", f"""with {scene.RASTER}, o as (select 0 octave, * from rast union all select 1, image_id, y // 2, x // 2, v from rast where x % 2 = 0 and y % 2 = 0 union all select 2, image_id, y // 4, x // 4, v from rast where x % 4 = 0 and y % 4 = 0)
+  select octave, image_id, count(*) n, round(sum(v), 4) total from o group by all""")
 def octave_union(spark, sf_dir):
-    own = observations(spark, sf_dir)
-    octaves = [own.filter(F.col("seq") == k) for k in (1, 2, 3)]
-    return octaves[0].unionByName(octaves[1]).unionByName(octaves[2]).groupBy(F.col("seq").alias("octave")).agg(F.count(F.lit(1)).alias("n"))
+    """Each supplier's image, its half and its quarter, as one frame."""
+    octave, both = scene.raster(spark, sf_dir).select("image_id", "y", "x", "v"), None
+    for k in range(3):
+        own = octave.withColumn("octave", F.lit(k))
+        both, octave = own if both is None else both.unionByName(own), raster.half(octave)
+    return both.groupBy("octave", "image_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("total"))
 
 
 @query("feature_stats", "select count(*) total, round(count(*)::double / count(distinct label), 6) average from embeddings")
@@ -328,12 +335,6 @@ def argmax_pair(spark, sf_dir):
     return views.best_pair(scored)
 
 
-@query("argmax_config", "select config, votes from (select l_linenumber % 4 config, count(*) votes from lineitem group by all) order by votes desc, config limit 1")
-def argmax_config(spark, sf_dir):
-    votes = observations(spark, sf_dir).groupBy((F.col("seq") % 4).alias("config")).agg(F.count(F.lit(1)).alias("votes"))
-    return votes.orderBy(F.desc("votes"), "config").limit(1)
-
-
 @query("ring_lead", """with r as (select n_nationkey i, n_nationkey * 37 % 360 theta from nation) select i, theta, coalesce(lead(theta) over (order by i), first_value(theta) over (order by i)) next_theta from r""")
 def ring_lead(spark, sf_dir):
     own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), (F.col("n_nationkey") * 37 % 360).alias("theta"))
@@ -343,22 +344,78 @@ def ring_lead(spark, sf_dir):
 
 @query("direction_vote", "with r as (select s_suppkey i, s_acctbal theta from supplier) select case when sum(d) >= 0 then 1 else -1 end vote from (select lead(theta) over (order by i) - theta d from r)")
 def direction_vote(spark, sf_dir):
-    """The sign of the summed steps; the step that closes the ring is left out, or the sum would vanish."""
+    """The sign of the summed steps around the ring, without the step that closes it: what lies between first and last."""
     own = table(spark, sf_dir, "supplier")
-    step = F.lead("s_acctbal").over(Window.orderBy("s_suppkey")) - F.col("s_acctbal")
-    return own.select(step.alias("d")).agg(F.when(F.sum("d") >= 0, 1).otherwise(-1).alias("vote"))
+    return own.agg(F.when(F.max_by("s_acctbal", "s_suppkey") - F.min_by("s_acctbal", "s_suppkey") >= 0, 1).otherwise(-1).alias("vote"))
+
+
+_VOTES = f"""{scene.SEEN}, f as (select image_id, point_id kp, min(struct_pack(o := order_id, n := number, u := u, v := v)) s from seen group by all),
+  m as (select a.image_id i, a.kp, a.s.u ui, a.s.v vi, b.s.u uj, b.s.v vj, row_number() over (partition by a.image_id order by a.kp) rn from f a join f b on a.kp = b.kp and b.image_id = a.image_id + 1),
+  k as (select * from m where rn <= 10), t as (select i, count(*) n from k group by i), b as (select i, sum(n) over (order by i) - n before from t),
+  c as (select * from (values (0, 1, 1), (1, -1, 1), (2, 1, -1), (3, -1, -1)) t(config, axis, direction)),
+  w as (select c.*, k.*, axis * direction * radians(10.0::double * i) ai, axis * direction * radians(10.0::double * (i + 1)) aj, p.t2 di, q.t2 dj from k join b using (i) join ring p on p.image_id = i join ring q on q.image_id = i + 1 cross join c where before < 100),
+  x as (select *, (ui-640)/2000 xi, (vi-480)/2000 yi, (uj-640)/2000 xj, (vj-480)/2000 yj, di*cos(ai) ci0, di*sin(ai) ci1, dj*cos(aj) cj0, dj*sin(aj) cj1 from w),
+  y as (select *, sqrt(xi*xi + yi*yi + 1) li, sqrt(xj*xj + yj*yj + 1) lj from x),
+  z as (select *, (-sin(ai)*xi - cos(ai))/li p0, (cos(ai)*xi - sin(ai))/li p1, -yi/li p2, (-sin(aj)*xj - cos(aj))/lj q0, (cos(aj)*xj - sin(aj))/lj q1, -yj/lj q2 from y),
+  d as (select *, p0*q0 + p1*q1 + p2*q2 bb, p0*(ci0-cj0) + p1*(ci1-cj1) dd, q0*(ci0-cj0) + q1*(ci1-cj1) ee from z),
+  s as (select *, (bb*ee - dd)/(1 - bb*bb) s, (ee - bb*dd)/(1 - bb*bb) t from d),
+  g as (select *, (ci0 + s*p0 + cj0 + t*q0)/2 gx, (ci1 + s*p1 + cj1 + t*q1)/2 gy, (s*p2 + t*q2)/2 gz from s),
+  v as (select *, di - cos(ai)*gx - sin(ai)*gy zi, dj - cos(aj)*gx - sin(aj)*gy zj, degrees(acos(greatest(-1.0::double, least(1.0::double, ((ci0-gx)*(cj0-gx) + (ci1-gy)*(cj1-gy) + gz*gz) / (sqrt((ci0-gx)**2 + (ci1-gy)**2 + gz*gz) * sqrt((cj0-gx)**2 + (cj1-gy)**2 + gz*gz)))))) angle from g),
+  r as (select config, zi > 0 and zj > 0 and angle >= 2 and sqrt((2000*(cos(ai)*gy - sin(ai)*gx)/zi + 640 - ui)**2 + (480 - 2000*gz/zi - vi)**2) <= 4 and sqrt((2000*(cos(aj)*gy - sin(aj)*gx)/zj + 640 - uj)**2 + (480 - 2000*gz/zj - vj)**2) <= 4 valid from v),
+  votes as (select config, axis, direction, count(valid) tested, count_if(coalesce(valid, false))::bigint good from c left join r using (config) group by all)"""
+
+
+def _votes(spark, sf_dir) -> DataFrame:
+    """Matches of suppliers with the next are parts that line items of both see, at their first pixels."""
+    first = scene.seen(spark, sf_dir).groupBy("image_id", F.col("point_id").alias("kp")).agg(F.min(F.struct("order_id", "number", "u", "v")).alias("s"))
+    a = first.select(F.col("image_id").alias("i"), "kp", F.col("s.u").alias("ui"), F.col("s.v").alias("vi"))
+    b = first.select((F.col("image_id") - 1).alias("i"), "kp", F.col("s.u").alias("uj"), F.col("s.v").alias("vj"))
+    matches = hypotheses.tested(a.join(b, ["i", "kp"]), "i", "kp").withColumn("j", F.col("i") + 1)
+    orbit = scene.cameras(spark, sf_dir).select("image_id", F.radians(F.col("image_id") * 10.0).alias("angle"), F.col("t2").alias("distance"))
+    return hypotheses.orbit_votes(matches.drop("kp"), orbit, scene.FOCAL, scene.CX, scene.CY)
+
+
+@query("valid_triangulations", f"with {_VOTES} select config, tested, good from votes")
+def valid_triangulations(spark, sf_dir):
+    """For each sign of the orbit's axis and direction, how many of the first matches triangulate validly."""
+    return _votes(spark, sf_dir).select("config", "tested", "good")
 
 
-@query("valid_triangulations", """with m as (select l_suppkey pair, l_extendedprice z, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) rn from lineitem),
-  t as (select pair, count(*) tested, count_if(z > 30000) good from m where rn <= 10 group by all),
-  s as (select *, sum(tested) over (order by pair) - tested before from t) select sum(good)::bigint good, sum(tested)::bigint tested from s where before < 100""")
-def valid_triangulations(spark, sf_dir):
-    """Counts over the first ten matches of consecutive pairs, until a hundred have been tested."""
-    own = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pair"), F.col("l_extendedprice").alias("z"), "l_orderkey", "l_linenumber")
-    first = F.row_number().over(Window.partitionBy("pair").orderBy("l_orderkey", "l_linenumber"))
-    tested = own.withColumn("rn", first).filter("rn <= 10").groupBy("pair").agg(F.count(F.lit(1)).alias("tested"), F.count_if(F.col("z") > 30000).alias("good"))
-    before = F.sum("tested").over(Window.orderBy("pair")) - F.col("tested")
-    return tested.withColumn("before", before).filter("before < 100").agg(F.sum("good").alias("good"), F.sum("tested").alias("tested"))
+@query("argmax_config", f"with {_VOTES} select axis, direction, good from votes order by good desc, config limit 1")
+def argmax_config(spark, sf_dir):
+    """The signs under which most matches triangulate; the first of equal ones."""
+    return _votes(spark, sf_dir).orderBy(F.desc("good"), "config").limit(1).select("axis", "direction", "good")
+
+
+@query("log_stats", f"with {_MATCHES} select count(*) pairs, coalesce(sum(num_inliers), 0)::bigint inliers, min(num_inliers) fewest, max(num_inliers) most from verified")
+def log_stats(spark, sf_dir):
+    """What the matching of all pairs logs, observed while its table is written: no job of its own."""
+    made, stats = matching.observed(verified(spark, sf_dir))
+    storage.drop(storage.materialize(made, "verified-pairs"))
+    seen = stats.get
+    return spark.createDataFrame([(seen["pairs"], seen["inliers"] or 0, seen["fewest"], seen["most"])], "pairs long, inliers long, fewest long, most long")
+
+
+@query("untracked_scan")
+def untracked_scan(spark, sf_dir):
+    """Matches of each order's consecutive lines that make new points when they are scanned in order."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_suppkey", "l_partkey", "l_quantity")).alias("s"))
+    own = lines.select("l_orderkey", "l_linenumber", F.col("s.l_suppkey").alias("image_i"), F.col("s.l_partkey").alias("kp_i"))
+    other = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("s.l_suppkey").alias("image_j"), F.col("s.l_partkey").alias("kp_j"))
+    matches = own.join(other, ["l_orderkey", "l_linenumber"]).select("image_i", "kp_i", "image_j", "kp_j", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
+    tracked = lines.filter("s.l_quantity >= 48").select(F.col("s.l_suppkey").alias("image_id"), F.col("s.l_partkey").alias("kp_id"))
+    return views.grown(matches, tracked)
+
+
+@query("scan_pfm", f"with {scene.RASTER} select 'depth-' || image_id || '.pfm' file, count_if(v <> 0)::bigint n, round(sum(v), 3) total, round(sum(v * (x + 100 * y)), 3) placed from rast group by 1")
+def scan_pfm(spark, sf_dir):
+    """Each supplier's image, written as a PFM file by the executors and read back."""
+    own = scene.raster(spark, sf_dir).withColumn("file", F.concat(F.lit("depth-"), F.col("image_id").cast("string"), F.lit(".pfm")))
+    folder = storage.scratch(spark, "pfm")
+    pfm.write(own.select("file", F.lit(scene.WIDTH).alias("width"), F.lit(scene.HEIGHT).alias("height"), "y", "x", F.col("v").alias("depth")), folder)
+    depth = F.coalesce("depth", F.lit(0.0)).cast("double")
+    read = pfm.read(spark, folder)
+    return read.groupBy("file").agg(F.count("depth").alias("n"), F.round(F.sum(depth), 3).alias("total"), F.round(F.sum(depth * (F.col("x") + 100 * F.col("y"))), 3).alias("placed"))
 
 
 @query("pred_parallax", "select count(*) n from orders where degrees(acos(greatest(-1.0, least(1.0, o_totalprice / 500000 - 0.2)))) >= 60")

@@ -1,22 +1,17 @@
-"""Raster operators on an integer-arithmetic texture, and per-key array operators on the driver's tables."""
+"""Raster operators on images made of line items, one for each supplier, and per-key array operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallaxis.operators import raster
+from parallaxis.operators import raster, tiles
+from parallaxis.plans import scene
 from parallaxis.plans.catalog import query, table
-from parallaxis.sources import synthetic
 
-W, H = 64, 48
-_TEX = "tex as (select m image_id, y, x, ((x*7 + y*13 + x*y*3 + m*5) % 256)::double v from range(2) a(m), range(48) b(y), range(64) c(x))"
-
-
-def texture(spark) -> DataFrame:
-    at = synthetic.lattice(spark, W, H).crossJoin(F.broadcast(spark.range(2).withColumnRenamed("id", "image_id")))
-    x, y = F.col("x"), F.col("y")
-    return at.select("image_id", "y", "x", ((x * 7 + y * 13 + x * y * 3 + F.col("image_id") * 5) % 256).cast("double").alias("v"))
+W, H = scene.WIDTH, scene.HEIGHT
+_TEX = f"{scene.RASTER}, tex as (select * from rast)"
+texture = scene.raster
 
 
 def _kernel(sigma: float) -> str:
@@ -41,84 +36,71 @@ def _rounded(pixels: DataFrame) -> DataFrame:
 
 @query("gauss_blur_h", f"with {_TEX}, {_blur('b', 'tex', 1.6, 'x')} {_OUT} b")
 def gauss_blur_h(spark, sf_dir):
-    return _rounded(raster.blur(texture(spark), 1.6, "x"))
+    return _rounded(raster.blur(texture(spark, sf_dir), 1.6, "x"))
 
 
 @query("gauss_blur_v", f"with {_TEX}, {_blur('b', 'tex', 1.6, 'y')} {_OUT} b")
 def gauss_blur_v(spark, sf_dir):
-    return _rounded(raster.blur(texture(spark), 1.6, "y"))
+    return _rounded(raster.blur(texture(spark, sf_dir), 1.6, "y"))
 
 
-_SIGMAS = (1.0, 1.6, 2.2, 3.0)
+_SIGMAS = (1.0, 1.2, 2.2, 2.5)
 _STACK = ", ".join(_gauss(f"g{k}", s) for k, s in enumerate(_SIGMAS))
 _DOGS = "dogs as (" + " union all ".join(f"select {k} s, image_id, y, x, a.v - b.v v from g{k + 1} a join g{k} b using (image_id, y, x)" for k in range(3)) + ")"
 
 
-def dogs(pixels: DataFrame) -> DataFrame:
-    levels = [raster.gaussian(pixels, s) for s in _SIGMAS]
-    out = [raster.difference(b, a).withColumn("s", F.lit(k)) for k, (a, b) in enumerate(zip(levels, levels[1:]))]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
 @query("dog", f"with {_TEX}, {_gauss('g0', 1.0)}, {_gauss('g1', 1.6)} select image_id, y, x, round(a.v - b.v, 6) + 0.0::double v from g1 a join g0 b using (image_id, y, x)")
 def dog(spark, sf_dir):
-    own = texture(spark)
+    own = texture(spark, sf_dir)
     return _rounded(raster.difference(raster.gaussian(own, 1.6), raster.gaussian(own, 1.0)))
 
 
-_BLOBS = "tex as (select m image_id, y, x, floor(200 * exp(-((x % 16 - 7) * (x % 16 - 7) + (y % 16 - 8) * (y % 16 - 8)) / (2 * (1.6::double + m * 0.6::double) * (1.6::double + m * 0.6::double)))) + (x + 2 * y) % 3 v from range(2) a(m), range(48) b(y), range(64) c(x))"
-
-
-def blobs(spark) -> DataFrame:
-    """Twelve bright spots on a little grain, wider in the second image."""
-    x, y = F.col("x"), F.col("y")
-    wide = 1.6 + F.col("image_id") * 0.6
-    spot = F.floor(200 * F.exp(-((x % 16 - 7) * (x % 16 - 7) + (y % 16 - 8) * (y % 16 - 8)) / (2 * wide * wide)))
-    return texture(spark).select("image_id", "y", "x", (spot + (x + 2 * y) % 3).cast("double").alias("v"))
-
-
-@query("extrema_3x3x3", f"""with {_BLOBS}, {_STACK}, {_DOGS}, r as (select s, image_id, y, x, round(v, 6) v from dogs),
-  n as (select a.s, a.image_id, a.y, a.x, a.v, max(b.v) high, min(b.v) low, count(*) n from r a join r b on a.image_id = b.image_id and abs(a.s - b.s) <= 1 and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and (a.s, a.y, a.x) <> (b.s, b.y, b.x) group by all)
-  select s, image_id, y, x, v from n where n = 26 and (v > high or v < low)""")
+@query("extrema_3x3x3", f"""with {_TEX}, {_STACK}, {_DOGS}, r as (select s, image_id, y, x, round(v, 6) v from dogs),
+  o as (select b.image_id, b.s + i s, b.y + j y, b.x + k x, max(b.v) filter (where (i, j, k) <> (0, 0, 0)) high, min(b.v) filter (where (i, j, k) <> (0, 0, 0)) low, count(*) n, max(b.v) filter (where (i, j, k) = (0, 0, 0)) v
+    from r b, range(-1, 2) a(i), range(-1, 2) c(j), range(-1, 2) e(k) group by all having count(*) = 27)
+  select s::int s, image_id, y, x, v from o where v > high or v < low""")
 def extrema_3x3x3(spark, sf_dir):
-    return raster.extrema(dogs(blobs(spark)).withColumn("v", F.round("v", 6))).select("s", "image_id", "y", "x", "v")
+    """Extrema of three differences of blurs, on tiles of sixteen pixels."""
+    return tiles.extrema(tiles.cut(texture(spark, sf_dir), ["v"], 16), _SIGMAS, (H, W), 16).select("s", "image_id", "y", "x", "v")
 
 
 @query("downsample2", f"with {_TEX} select image_id, y // 2 y, x // 2 x, v from tex where x % 2 = 0 and y % 2 = 0")
 def downsample2(spark, sf_dir):
-    return raster.half(texture(spark))
+    return raster.half(texture(spark, sf_dir))
 
 
 @query("resize_max", f"with {_TEX} select image_id, y // 4 y, x // 4 x, round(avg(v), 6) v from tex group by all")
 def resize_max(spark, sf_dir):
-    """Down to 16 pixels at most: a factor of four."""
-    return _rounded(raster.block_mean(texture(spark), 4))
+    """Down to 8 pixels at most: a factor of four."""
+    return _rounded(raster.block_mean(texture(spark, sf_dir), 4))
 
 
 @query("gray_float", f"with {_TEX} select image_id, y, x, round(round(0.299::double * ((v * 3) % 256) + 0.587::double * ((v * 5) % 256) + 0.114::double * v) / 255, 6) v from tex")
 def gray_float(spark, sf_dir):
     v = F.col("v")
-    return texture(spark).select("image_id", "y", "x", F.round(raster.gray(v, (v * 5) % 256, (v * 3) % 256), 6).alias("v"))
+    return texture(spark, sf_dir).select("image_id", "y", "x", F.round(raster.gray(v, (v * 5) % 256, (v * 3) % 256), 6).alias("v"))
 
 
-_TURNS = {1: "x, y", 2: "63 - x, y", 3: "63 - x, 47 - y", 4: "x, 47 - y", 5: "y, x", 6: "47 - y, x", 7: "47 - y, 63 - x", 8: "y, 63 - x"}
+_TURNS = {1: "x, y", 2: "{w} - x, y", 3: "{w} - x, {h} - y", 4: "x, {h} - y", 5: "y, x", 6: "{h} - y, x", 7: "{h} - y, {w} - x", 8: "y, {w} - x"}
+_TURNS = {k: t.format(w=W - 1, h=H - 1).split(", ") for k, t in _TURNS.items()}
 
 
-@query("exif_orient", f"with {_TEX}, o as (" + " union all ".join(f"select {k} orientation, {t.split(', ')[0]} nx, {t.split(', ')[1]} ny, v from tex where image_id = 0" for k, t in _TURNS.items()) + ") select orientation, ny y, nx x, v from o")
+@query("exif_orient", f"with {_TEX}, o as (" + " union all ".join(f"select {k} orientation, image_id, {t[0]} nx, {t[1]} ny, v from tex" for k, t in _TURNS.items()) + ") select orientation, image_id, ny y, nx x, v from o where image_id % 8 + 1 = orientation")
 def exif_orient(spark, sf_dir):
-    own = texture(spark).filter("image_id = 0")
+    """Every image, shown as the orientation that its number stands for says."""
+    own = texture(spark, sf_dir)
     out = None
     for k in range(1, 9):
-        turned = raster.oriented(own, W, H, k).select(F.lit(k).alias("orientation"), "y", "x", "v")
+        turned = raster.oriented(own.filter(F.col("image_id") % 8 + 1 == k), W, H, k).select(F.lit(k).alias("orientation"), "image_id", "y", "x", "v")
         out = turned if out is None else out.unionByName(turned)
     return out
 
 
-@query("bilinear_sample", f"""with {_TEX}, s as (select image_id, x * 1.37 - 3 u, y * 1.21 - 2 v from tex), c as (select image_id, u::double u, v::double v, greatest(0.0::double, least(63.0::double, u::double)) cu, greatest(0.0::double, least(47.0::double, v::double)) cv from s),
-  k as (select c.*, dx, dy, least(floor(cu)::bigint + dx, 63) x, least(floor(cv)::bigint + dy, 47) y, (case dx when 1 then cu - floor(cu) else 1 - (cu - floor(cu)) end) * (case dy when 1 then cv - floor(cv) else 1 - (cv - floor(cv)) end) w from c, range(2) a(dx), range(2) b(dy))
+@query("bilinear_sample", f"""with {_TEX}, s as (select image_id, x * 1.37 - 3 u, y * 1.21 - 2 v from tex), c as (select image_id, u::double u, v::double v, greatest(0.0::double, least({W - 1}.0::double, u::double)) cu, greatest(0.0::double, least({H - 1}.0::double, v::double)) cv from s),
+  k as (select c.*, dx, dy, least(floor(cu)::bigint + dx, {W - 1}) x, least(floor(cv)::bigint + dy, {H - 1}) y, (case dx when 1 then cu - floor(cu) else 1 - (cu - floor(cu)) end) * (case dy when 1 then cv - floor(cv) else 1 - (cv - floor(cv)) end) w from c, range(2) a(dx), range(2) b(dy))
   select k.image_id, round(k.u, 4) u, round(k.v, 4) v, round(sum(w * t.v), 6) + 0.0::double value from k join tex t on t.image_id = k.image_id and t.x = k.x and t.y = k.y group by k.image_id, k.u, k.v""")
 def bilinear_sample(spark, sf_dir):
-    own = texture(spark)
+    own = texture(spark, sf_dir)
     samples = own.select("image_id", (F.col("x") * 1.37 - 3).alias("u"), (F.col("y") * 1.21 - 2).alias("v"))
     found = raster.bilinear(own, samples, W, H)
     return found.select("image_id", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"), (F.round("value", 6) + 0.0).alias("value"))

@@ -1,27 +1,29 @@
-"""Solvers on the synthetic turntable scene. SQL cannot express them, so most have no oracle; tests hold them against
-the scene's exact answers."""
+"""Solvers. Those on the tables' scene are registered; reconstructions of the synthetic turntable scene, one task a scene or a
+view, are for tests, which hold them against the scene's exact answers."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parallaxis import storage
 from parallaxis.functions import vectors as V
 from parallaxis.model import PRESETS, Config
-from parallaxis.operators import epipolar, features, fusion, geometry, mvs, raster, sfm, views
+from parallaxis.operators import epipolar, features, fusion, geometry, mvs, raster, sfm, sizes, views
 from parallaxis.plans import cameras as C
-from parallaxis.plans.catalog import query
+from parallaxis.plans import scene
+from parallaxis.plans.catalog import query, table
 from parallaxis.sources import synthetic
 
 K = np.array([[synthetic.FOCAL, 0, synthetic.CENTER_X], [0, synthetic.FOCAL, synthetic.CENTER_Y], [0, 0, 1]])
 
 
-def sightings(spark, every: int = 7) -> DataFrame:
-    """(image_id, kp_id, u, v): every seventh vertex where a camera sees it, to a tenth of a pixel."""
-    points = synthetic.sphere_vertices(spark).filter(F.col("v_id") % every == 0)
+def sightings(spark) -> DataFrame:
+    """(image_id, kp_id, u, v): every vertex where a camera sees it, to a tenth of a pixel."""
+    points = synthetic.sphere_vertices(spark)
     seen = points.crossJoin(F.broadcast(synthetic.ring_cameras(spark)))
     facing = F.col("x") * (F.col("cx") - F.col("x")) + F.col("y") * (F.col("cy") - F.col("y")) + F.col("z") * (F.col("cz") - F.col("z"))
     u, v = geometry.pixel(geometry.camera_frame(geometry.columns("x", "y", "z")), synthetic.FOCAL, synthetic.CENTER_X, synthetic.CENTER_Y)
@@ -30,30 +32,23 @@ def sightings(spark, every: int = 7) -> DataFrame:
 
 @query("fundamental_ransac")
 def fundamental_ransac(spark, sf_dir):
-    """Verified matches of neighbouring cameras."""
-    own = sightings(spark, 1)
-    a = own.select(F.col("image_id").alias("image_i"), "kp_id", F.col("u").alias("xi"), F.col("v").alias("yi"))
-    b = own.select(F.col("image_id").alias("image_j"), "kp_id", F.col("u").alias("xj"), F.col("v").alias("yj"))
-    met = a.join(b, "kp_id").filter("image_j = image_i + 1").select("image_i", "image_j", F.col("kp_id").alias("kp_i"), F.col("kp_id").alias("kp_j"), "xi", "yi", "xj", "yj")
-    return epipolar.verify_pairs(met)
+    """Verified matches of each supplier with the next: parts that line items of both see, at the first of their pixels."""
+    first = scene.seen(spark, sf_dir).groupBy("image_id", F.col("point_id").alias("kp")).agg(F.min(F.struct("order_id", "number", "u", "v")).alias("s"))
+    own = first.select("image_id", "kp", F.col("s.u").alias("u"), F.col("s.v").alias("v"))
+    a = own.select(F.col("image_id").alias("image_i"), "kp", F.col("u").alias("xi"), F.col("v").alias("yi"))
+    b = own.select((F.col("image_id") - 1).alias("image_i"), "kp", F.col("u").alias("xj"), F.col("v").alias("yj"))
+    met = a.join(b, ["image_i", "kp"])
+    return epipolar.verify_pairs(met.select("image_i", (F.col("image_i") + 1).alias("image_j"), F.col("kp").alias("kp_i"), F.col("kp").alias("kp_j"), "xi", "yi", "xj", "yj"))
 
 
 @query("triangulate")
 def triangulate(spark, sf_dir):
-    """(point_id, x, y, z, ok): points from all cameras that see them, and whether they pass the acceptance tests."""
-    rows = sightings(spark, 1).withColumnRenamed("kp_id", "point_id").join(F.broadcast(synthetic.ring_cameras(spark)), "image_id")
-    return epipolar.triangulate_points(rows, synthetic.FOCAL, synthetic.CENTER_X, synthetic.CENTER_Y)
+    """(point_id, x, y, z, ok): parts from all line items that see them, and whether they pass the acceptance tests."""
+    rows = scene.seen(spark, sf_dir).join(sizes.small(scene.cameras(spark, sf_dir)), "image_id")
+    return epipolar.triangulate_points(rows, scene.FOCAL, scene.CX, scene.CY)
 
 
-@query("bundle_adjust")
-def bundle_adjust(spark, sf_dir):
-    """Points moved off by a millimetre and adjusted with fixed cameras, all of them; cameras stay as they are."""
-    points = synthetic.sphere_vertices(spark).select(F.col("v_id").alias("point_id"), *((F.col(c) + 0.001).alias(c) for c in "xyz"))
-    rows = sightings(spark, 1).withColumnRenamed("kp_id", "point_id").join(F.broadcast(synthetic.ring_cameras(spark)), "image_id").join(points, "point_id")
-    return epipolar.adjust_points(rows.select("point_id", "x", "y", "z", "u", "v", *geometry.R, *geometry.T), synthetic.FOCAL, synthetic.CENTER_X, synthetic.CENTER_Y)
-
-
-def _reconstructed(sightings: DataFrame) -> DataFrame:
+def reconstructed(sightings: DataFrame) -> DataFrame:
     """(image_id, R, t, points) from matches of cameras at most thirty degrees of the ring apart: one scene is one task."""
     rows = sightings.withColumn("scene", F.lit(0))
 
@@ -69,15 +64,9 @@ def _reconstructed(sightings: DataFrame) -> DataFrame:
     return rows.groupBy("scene").applyInPandas(one, "image_id long, R array<double>, t array<double>, points long")
 
 
-@query("sfm_run")
 def sfm_ring(spark, sf_dir):
     """All cameras of the ring and all vertices."""
-    return _reconstructed(sightings(spark, 1))
-
-
-def sfm_run(spark, sf_dir):
-    """A smaller scene for tests: twelve cameras and every seventh vertex."""
-    return _reconstructed(sightings(spark).filter("image_id < 12"))
+    return reconstructed(sightings(spark))
 
 
 def _rendered(spark, width: int, height: int, images: str) -> DataFrame:
@@ -102,92 +91,126 @@ def _rendered(spark, width: int, height: int, images: str) -> DataFrame:
 
 @query("sift_cuda")
 def sift_cuda(spark, sf_dir):
-    """Features of all rendered views."""
-    return features.detect_all(_rendered(spark, 160, 120, "true")).drop("descriptor")
+    """Features of all suppliers' images."""
+    wide, high = scene.WIDTH, scene.HEIGHT
+
+    def pack(batches):
+        for batch in batches:
+            planes = [np.array([p["v"] for p in row], "<f4").tobytes() for row in batch.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array([wide] * len(planes), pa.int32()), pa.array([high] * len(planes), pa.int32()), pa.array(planes, pa.binary())], names=["image_id", "width", "height", "gray"])
 
+    lines = scene.raster(spark, sf_dir).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", (F.col("v") / 255).alias("v")))).alias("line"))
+    return features.detect_all(lines.mapInArrow(pack, "image_id long, width int, height int, gray binary")).drop("descriptor")
 
-@query("mvs_run")
-def mvs_run(spark, sf_dir):
-    """Depth maps of all views, small ones, from their best sources; pixels that enough other views confirm."""
-    width, height = 48, 36
+
+def mvs_ring(spark, sf_dir, views_of: str = "true", width: int = 48, height: int = 36, iterations: int = 12):
+    """Depth maps of the views that ``views_of`` names, small ones, from their best sources; pixels that enough other views confirm."""
     images = _rendered(spark, width, height, "true")
+    ring = synthetic.ring_cameras(spark)
     focal = synthetic.FOCAL * width / synthetic.WIDTH
     k = [focal, 0.0, width / 2, 0.0, focal, height / 2, 0.0, 0.0, 1.0]
     view = F.struct("gray", F.array(*map(F.lit, k)).alias("k"), F.array(*geometry.R).alias("r"), F.array(*geometry.T).alias("t")).alias("view")
-    seen = images.join(F.broadcast(synthetic.ring_cameras(spark)), "image_id").select("image_id", view)
-    chosen = storage.materialize(C.select_sources(spark, sf_dir).select(F.col("ref_id").alias("image_id"), "src_id", "rank"), "sources")
-    near = chosen.join(seen.withColumnRenamed("image_id", "src_id"), "src_id").select("image_id", "rank", "view").unionByName(seen.select("image_id", F.lit(0).cast("long").alias("rank"), "view"))
-    jobs = near.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "view"))), lambda s: s["view"]).alias("views"))
-    # depth range and seeds come from the points that a view sees
-    points = sightings(spark, 1).join(synthetic.sphere_vertices(spark).withColumnRenamed("v_id", "kp_id"), "kp_id").join(F.broadcast(synthetic.ring_cameras(spark)), "image_id")
+    seen = images.join(F.broadcast(ring), "image_id").select("image_id", view)
+    origin = [F.lit(0.0)] * 3
+    other = ring.select(F.col("image_id").alias("image_j"), *(F.col(c).alias(f"o{c}") for c in ("cx", "cy", "cz")))
+    pairs = ring.join(F.broadcast(other), F.col("image_id") < F.col("image_j"))
+    pairs = pairs.select(F.col("image_id").alias("image_i"), "image_j", F.lit(1).alias("shared"), F.round(views.baseline_angle(geometry.columns("cx", "cy", "cz"), geometry.columns("ocx", "ocy", "ocz"), origin), 4).alias("baseline_deg"))
+    best = min(8, max(3, synthetic.VIEWS - 1))
+    chosen = storage.materialize(views.top_sources(views.source_candidates(pairs).withColumn("score", F.round("score", 6)), best).select(F.col("ref_id").alias("image_id"), "src_id", "rank"), "sources")
+    near = chosen.join(seen.withColumnRenamed("image_id", "src_id"), "src_id").select("image_id", F.col("rank").cast("long").alias("rank"), "view").unionByName(seen.select("image_id", F.lit(0).cast("long").alias("rank"), "view"))
+    jobs = near.filter(views_of).groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "view"))), lambda s: s["view"]).alias("views"))
+    # depth range and seeds come from all points that a view sees
+    points = sightings(spark).join(synthetic.sphere_vertices(spark).withColumnRenamed("v_id", "kp_id"), "kp_id").join(F.broadcast(ring), "image_id")
     depth = geometry.camera_frame(geometry.columns("x", "y", "z"))[2]
     placed = points.select("image_id", "kp_id", (F.col("u") * width / synthetic.WIDTH).alias("x"), (F.col("v") * width / synthetic.WIDTH).alias("y"), depth.alias("depth"))
     ranges = views.depth_range(placed, "image_id", "depth")
-    seeds = placed.filter(F.col("kp_id") % 400 == 0).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("kp_id", "x", "y", "depth"))).alias("seeds"))
+    seeds = placed.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("kp_id", "x", "y", "depth"))).alias("seeds"))
     jobs = jobs.join(ranges, "image_id").join(seeds, "image_id", "left").select(
         "image_id", F.lit(width).alias("width"), F.lit(height).alias("height"), F.col("depth_min").alias("low"), F.col("depth_max").alias("high"), "views",
         F.transform("seeds", lambda s: F.array(s["x"], s["y"], s["depth"])).alias("seeds"),
     )
-    maps = storage.materialize(mvs.depth_maps(jobs), "depth-maps")
-    agreed = geometry.consistent_views(maps.select("image_id", "x", "y", "depth"), synthetic.ring_cameras(spark), chosen.select("image_id", "src_id"), focal, width / 2, height / 2)
+    maps = storage.materialize(mvs.depth_maps(jobs, iterations), "depth-maps")
+    agreed = geometry.consistent_views(maps.select("image_id", "x", "y", "depth"), ring, chosen.select("image_id", "src_id"), focal, width / 2, height / 2)
     kept = geometry.filtered_depths(agreed).filter("depth is not null").select("image_id", "x", "y")
     return maps.join(kept, ["image_id", "x", "y"], "left_semi")
 
 
-@query("fuse", f"""with {C._DEPTH}, q as (select d.image_id, (x - 32.0::double)/100*depth - t0 q0, (y - 24.0::double)/100*depth - t1 q1, depth - t2 q2, r0, r1, r2, r3, r4, r5, r6, r7, r8 from depth d join ring using (image_id)),
+@query("fuse", f"""with {C._DEPTH}, q as (select d.image_id, (x - {C.CX}::double)/{C.FOCAL}*depth - t0 q0, (y - {C.CY}::double)/{C.FOCAL}*depth - t1 q1, depth - t2 q2, r0, r1, r2, r3, r4, r5, r6, r7, r8 from depth d join ring using (image_id)),
   w as (select image_id, round(r0*q0+r3*q1+r6*q2, 9) x, round(r1*q0+r4*q1+r7*q2, 9) y, round(r2*q0+r5*q1+r8*q2, 9) z from q)
   select floor((x + 0.0037::double)/0.01)::bigint gx, floor((y + 0.0037::double)/0.01)::bigint gy, floor((z + 0.0037::double)/0.01)::bigint gz, count(*) n, count(distinct image_id) views from w group by all having count(distinct image_id) >= 2""")
 def fuse(spark, sf_dir):
     """A grid of a centimetre, moved so that the scene's symmetric pixels do not lie on its planes."""
-    world = fusion.lifted(C.depths(spark), synthetic.ring_cameras(spark), C.FOCAL, C.CX, C.CY)
+    world = fusion.lifted(C.depths(spark, sf_dir), scene.cameras(spark, sf_dir), C.FOCAL, C.CX, C.CY)
     moved = world.select("image_id", *((F.round(c, 9) + 0.0037).alias(c) for c in "XYZ"))
     return fusion.fuse(moved, 0.01, 2).select("gx", "gy", "gz", "n", "views")
 
 
-@query("quality_preset", "select * from (values ('low', 1600, 4, 8), ('medium', 2400, 6, 9), ('high', 3200, 12, 10), ('ultra', 4800, 12, 12)) t(quality, max_image_size, mvs_iterations, poisson_depth)")
+_QUALITIES = list(PRESETS)
+
+
+@query("quality_preset", "with p(k, quality, size, iterations, depth) as (values (0, 'low', 1600, 4, 8), (1, 'medium', 2400, 6, 9), (2, 'high', 3200, 12, 10), (3, 'ultra', 4800, 12, 12)) select c_custkey, quality, size max_image_size, iterations mvs_iterations, depth poisson_depth from customer join p on k = c_custkey % 4")
 def quality_preset(spark, sf_dir):
-    rows = [(q, c.max_image_size, c.mvs_iterations, c.poisson_depth) for q in PRESETS for c in [Config(quality=q).preset()]]
-    return spark.createDataFrame(rows, "quality string, max_image_size int, mvs_iterations int, poisson_depth int")
+    """What the quality that each customer's key names sets."""
+    made = [Config(quality=q).preset() for q in _QUALITIES]
+    options = F.array(*(F.struct(F.lit(q).alias("quality"), F.lit(c.max_image_size).alias("max_image_size"), F.lit(c.mvs_iterations).alias("mvs_iterations"), F.lit(c.poisson_depth).alias("poisson_depth")) for q, c in zip(_QUALITIES, made)))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.get(options, (F.col("c_custkey") % 4).cast("int")).alias("o")).select("c_custkey", "o.*")
 
 
-@query("blur_kernel", "with k as (select o, exp(-(o*o)::double / (2 * 1.6::double * 1.6::double)) w from range(-5, 6) t(o)) select o::bigint o, round(w / (select sum(w) from k), 8) w from k")
+@query("blur_kernel", """with k as (select o, exp(-(o*o)::double / (2 * 1.6::double * 1.6::double)) w from range(-5, 6) t(o)), n as (select o, w / (select sum(w) from k) w from k)
+  select l_orderkey point_id, round(sum(l_quantity * coalesce(w, 0)), 6) weighted from lineitem left join n on o = l_linenumber - 4 group by 1""")
 def blur_kernel(spark, sf_dir):
+    """Each order's quantities, weighted by the kernel about its fourth line."""
     w = raster.kernel(1.6)
-    return spark.range(len(w)).select((F.col("id") - len(w) // 2).alias("o"), F.round(F.get(F.array(*map(F.lit, w)), F.col("id").cast("int")), 8).alias("w"))
+    weight = F.coalesce(F.get(F.array(*map(F.lit, w)), F.col("l_linenumber") - 4 + len(w) // 2), F.lit(0.0))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("point_id")).agg(F.round(F.sum(F.col("l_quantity") * weight), 6).alias("weighted"))
 
 
-@query("octave_incremental", "select s::bigint s, round(sqrt(pow(1.6::double * pow(2, s / 3.0::double), 2) - pow(1.6::double * pow(2, (s - 1) / 3.0::double), 2)), 8) sigma from range(1, 6) t(s)")
+@query("octave_incremental", "select l_suppkey image_id, round(sum(l_quantity * sqrt(pow(1.6::double * pow(2, l_linenumber / 3.0::double), 2) - pow(1.6::double * pow(2, (l_linenumber - 1) / 3.0::double), 2))), 4) blur from lineitem group by 1")
 def octave_incremental(spark, sf_dir):
-    """What is missing from each blur to the next within an octave."""
+    """What is missing from each blur to the next within an octave (the line is the level), weighted by quantity."""
     sigma = lambda s: features.SIGMA0 * F.pow(F.lit(2.0), s / features.SCALES)
-    return spark.range(1, features.SCALES + 3).select(F.col("id").alias("s"), F.round(F.sqrt(sigma(F.col("id")) ** 2 - sigma(F.col("id") - 1) ** 2), 8).alias("sigma"))
+    level = F.col("l_linenumber")
+    step = F.sqrt(sigma(level) ** 2 - sigma(level - 1) ** 2)
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("image_id")).agg(F.round(F.sum(F.col("l_quantity") * step), 4).alias("blur"))
 
 
-@query("orbit_apply", f"with {C._RING} select image_id, round(0.25::double*cos(radians(10.0::double*(image_id+1))), 6) + 0.0::double x, round(0.25::double*sin(radians(10.0::double*(image_id+1))), 6) + 0.0::double y, 0.0::double z from ring")
+@query("orbit_apply", f"with {scene.RING} select image_id, round(cx*cos(radians(10.0::double)) - cy*sin(radians(10.0::double)), 6) + 0.0::double x, round(cx*sin(radians(10.0::double)) + cy*cos(radians(10.0::double)), 6) + 0.0::double y, 0.0::double z from ring")
 def orbit_apply(spark, sf_dir):
-    """Centres turned by one step about the orbit's axis."""
+    """Camera centres turned by one step about the orbit's axis."""
     step = np.radians(synthetic.STEP)
     turn = V.rotation_from_axis_angle([F.lit(0.0), F.lit(0.0), F.lit(float(step))])
     moved = V.matvec(turn, geometry.columns("cx", "cy", "cz"))
-    return synthetic.ring_cameras(spark).select("image_id", *(C.r6(x).alias(n) for x, n in zip(moved, "xyz")))
+    return scene.cameras(spark, sf_dir).select("image_id", *(C.r6(x).alias(n) for x, n in zip(moved, "xyz")))
+
+
+_REL = [f"({C._hom(i, j)})" for i in range(3) for j in range(3)]
+_SHIFT = [f"(b.t{i} - ({' + '.join(f'{_REL[3 * i + j]}*a.t{j}' for j in range(3))}))" for i in range(3)]
 
 
-@query("epipolar_residual", f"with {C._RING} select image_id, 0.0::double residual from ring")
+@query("epipolar_residual", f"""with {scene.SEEN},
+  n as (select s.point_id, s.image_id, s.order_id, s.number, (s.u - 640)/2000 p, (s.v - 480)/2000 q, x, y, z from seen s join verts on v_id = s.point_id),
+  m as (select n.*, b.r0*x+b.r1*y+b.r2*z+b.t0 d0, b.r3*x+b.r4*y+b.r5*z+b.t1 d1, b.r6*x+b.r7*y+b.r8*z+b.t2 d2, {', '.join(f'{r} e{k}' for k, r in enumerate(_REL))}, {', '.join(f'{t} f{k}' for k, t in enumerate(_SHIFT))} from n join ring a using (image_id) join ring b on b.image_id = n.image_id + 1),
+  g as (select *, e0*p + e1*q + e2 g0, e3*p + e4*q + e5 g1, e6*p + e7*q + e8 g2 from m)
+  select point_id, image_id, order_id, number, round(abs(d0*(f1*g2 - f2*g1) + d1*(f2*g0 - f0*g2) + d2*(f0*g1 - f1*g0)) / d2, 8) residual from g""")
 def epipolar_residual(spark, sf_dir):
-    """b' E a is zero for a point seen by a camera and the next one."""
-    a = synthetic.ring_cameras(spark)
-    b = a.select(((F.col("image_id") + 35) % 36).alias("image_id"), *(F.col(c).alias(f"n{c}") for c in [*geometry.R, *geometry.T]))
-    met = a.join(F.broadcast(b), "image_id")
+    """b' E a for every line item: its pixel, as observed, against where the next camera truly sees its point."""
+    cameras = scene.cameras(spark, sf_dir)
+    other = cameras.select((F.col("image_id") - 1).alias("image_id"), *(F.col(c).alias(f"n{c}") for c in [*geometry.R, *geometry.T]))
+    rows = scene.seen(spark, sf_dir).join(scene.points(spark, sf_dir).withColumnRenamed("v_id", "point_id"), "point_id")
+    met = rows.join(sizes.small(cameras), "image_id").join(sizes.small(other), "image_id")
     rel = V.matmul(geometry.columns(*(f"n{c}" for c in geometry.R)), V.transpose(geometry.columns(*geometry.R)))
+    met = met.withColumns({f"e{k}": x for k, x in enumerate(rel)})
+    rel = geometry.columns(*(f"e{k}" for k in range(9)))
     shift = [n - m for n, m in zip(geometry.columns(*(f"n{c}" for c in geometry.T)), V.matvec(rel, geometry.columns(*geometry.T)))]
-    x = [F.lit(0.01), F.lit(0.02), F.lit(0.015)]
-    first = geometry.camera_frame(x)
-    second = [p + t for p, t in zip(V.matvec(geometry.columns(*(f"n{c}" for c in geometry.R)), x), geometry.columns(*(f"n{c}" for c in geometry.T)))]
-    return met.select("image_id", C.r6(F.abs(V.dot3(second, V.cross3(shift, V.matvec(rel, first))))).alias("residual"))
+    first = [(F.col("u") - scene.CX) / scene.FOCAL, (F.col("v") - scene.CY) / scene.FOCAL, F.lit(1.0)]
+    second = [p + t for p, t in zip(V.matvec(geometry.columns(*(f"n{c}" for c in geometry.R)), geometry.columns("x", "y", "z")), geometry.columns(*(f"n{c}" for c in geometry.T)))]
+    residual = F.abs(V.dot3(second, V.cross3(shift, V.matvec(rel, first)))) / second[2]
+    return met.select("point_id", "image_id", "order_id", "number", F.round(residual, 8).alias("residual"))
 
 
-@query("signed_angle", "select id, round(((id % 12) - 5.5::double) * 0.5::double, 6) angle from range(24) t(id)")
+@query("signed_angle", "select o_orderkey id, round(o_totalprice / 110000 - 2.5::double, 6) angle from orders")
 def signed_angle(spark, sf_dir):
-    angle = ((F.col("id") % 12) - 5.5) * 0.5
+    """Between a fixed axis and the same, turned by what an order's price says."""
+    angle = F.col("o_totalprice") / 110000 - 2.5
     turned = [F.cos(angle), F.sin(angle), F.lit(0.0)]
-    return spark.range(24).select("id", F.round(V.signed_angle3([F.lit(1.0), F.lit(0.0), F.lit(0.0)], turned, [F.lit(0.0), F.lit(0.0), F.lit(1.0)]), 6).alias("angle"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.round(V.signed_angle3([F.lit(1.0), F.lit(0.0), F.lit(0.0)], turned, [F.lit(0.0), F.lit(0.0), F.lit(1.0)]), 6).alias("angle"))

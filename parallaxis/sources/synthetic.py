@@ -59,8 +59,11 @@ def lattice(spark: SparkSession, width: int, height: int) -> DataFrame:
     return spark.range(width * height).select((F.col("id") % width).alias("x"), F.floor(F.col("id") / width).alias("y"))
 
 
-def sphere_depth(cameras: DataFrame, pixels: DataFrame, focal: float, cx: float, cy: float, radius: float = RADIUS) -> DataFrame:
-    """(image_id, x, y, depth): camera-frame z of the nearest hit of each pixel's ray with the sphere at the origin."""
+def on_sphere(rows: DataFrame, focal: float, cx: float, cy: float, radius: float = RADIUS) -> DataFrame:
+    """(image_id, x, y, depth): camera-frame z of the nearest hit of each pixel's ray with the sphere at the origin.
+
+    ``rows`` has a camera's shift t0 to t2 and a pixel x, y.
+    """
     rx, ry = (F.col("x") - cx) / focal, (F.col("y") - cy) / focal
     centre = [F.col("t0"), F.col("t1"), F.col("t2")]  # the origin in the camera frame
     a = rx * rx + ry * ry + 1
@@ -68,10 +71,15 @@ def sphere_depth(cameras: DataFrame, pixels: DataFrame, focal: float, cx: float,
     c = centre[0] * centre[0] + centre[1] * centre[1] + centre[2] * centre[2] - radius * radius
     disc = b * b - a * c
     near, far = (b - F.sqrt(disc)) / a, (b + F.sqrt(disc)) / a
-    hit = cameras.crossJoin(F.broadcast(pixels)).filter(disc >= 0).withColumn("depth", F.when(near >= 0, near).otherwise(far))
+    hit = rows.filter(disc >= 0).withColumn("depth", F.when(near >= 0, near).otherwise(far))
     return hit.filter("depth >= 0").select("image_id", "x", "y", "depth")
 
 
+def sphere_depth(cameras: DataFrame, pixels: DataFrame, focal: float, cx: float, cy: float, radius: float = RADIUS) -> DataFrame:
+    """``on_sphere`` for every camera and pixel."""
+    return on_sphere(cameras.crossJoin(F.broadcast(pixels)), focal, cx, cy, radius)
+
+
 #: Fixed values of the texture: waves (frequency, phase of the azimuth, phase of the elevation) and noises (scale, shifts).
 WAVES = [(8.0, 0.0, 0.0), (16.0, 1.0, 0.5), (32.0, 2.0, 1.5)]
 NOISES = [(30.0, 0.0, 0.0), (60.0, 7.3, 13.7), (120.0, 23.1, 41.9), (200.0, 53.7, 97.3)]

@@ -61,6 +61,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
+
+
 def rename(spark: SparkSession, src: str, dst: str) -> bool:
     fs, p = file_system(spark, src)
     return fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(dst))
