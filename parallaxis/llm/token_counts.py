@@ -4,13 +4,16 @@ A ledger is a folder of committed batches. A batch holds signed additive deltas
 an insert adds a document and its tokens, a delete subtracts them, and a revised count subtracts the old figure and
 adds the new one. Totals are the sum of all batches, so they never need the documents again.
 
-A commit pre-aggregates its changes and writes them to a folder of its own; then it creates the batch's marker, a file
-under a name made from the batch id, that names the folder. The marker is created without overwriting: a batch id that
-has one is left alone, so a repeated or resumed commit counts once. Readers read the one folder that each marker
-names, so neither a half-written batch nor the second of two that race is ever counted.
+A commit pre-aggregates its changes and writes them to a folder of its own. It then writes a claim, a small file that
+names the folder, into a folder that no reader looks at, and renames that folder to one named after the batch id. The batch
+is committed from that rename on, claim and all. Where such a folder is there already, a rename puts the new one inside it,
+where it counts for nothing: a repeated or resumed commit adds nothing, and of two that race the first counts. A committer
+that dies earlier leaves at most folders that nothing names, and the batch can be committed again.
 
-``compact`` sums what is committed into a snapshot, whose own marker lists the batches that it holds; totals are the
-newest snapshot and the batches after it. Markers stay, so batches that were compacted are still known.
+``compact`` sums what is committed into a snapshot, whose own claim lists the batches that it holds; totals are the
+newest snapshot and the batches after it. What a snapshot replaces is removed by the compaction after it, so totals
+that were asked for before a compaction can still be read after it. Claims stay, so batches that were compacted are
+still known.
 
 Edge cases: null source, language or version are keys of their own; a null count is 0; an empty batch commits and
 changes nothing; keys whose documents and tokens both return to 0 vanish from the totals; extra columns are ignored.
@@ -19,6 +22,7 @@ changes nothing; keys whose documents and tokens both return to 0 vanish from th
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -76,10 +80,13 @@ class TokenLedger:
     def _marker(self, batch_id: str) -> str:
         return f"{self.root}/commits/{hashlib.sha256(batch_id.encode()).hexdigest()}"
 
+    def _claim(self, marker: str) -> dict:
+        return json.loads(storage.contents(self.spark, f"{marker}/claim"))
+
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds signed ``changes(source, lang, tokenizer_version, sign, n_tokens)``; False if the batch was there."""
         marker = self._marker(batch_id)
-        if storage.exists(self.spark, marker):
+        if storage.exists(self.spark, f"{marker}/claim"):
             return False
         delta = changes.groupBy(*KEYS).agg(
             F.sum("sign").cast("long").alias("d_docs"),
@@ -87,26 +94,33 @@ class TokenLedger:
         )
         return self._publish(marker, delta)
 
-    def _publish(self, marker: str, delta: DataFrame, also: tuple[str, ...] = ()) -> bool:
-        """Writes a delta and then its marker: the folder's name, and what else the marker is to say."""
+    def _publish(self, marker: str, delta: DataFrame, **also: list[str]) -> bool:
+        """Writes a delta and then its claim: the folder's name, and what else the claim is to say."""
         own = uuid.uuid4().hex
         delta.write.parquet(f"{self.root}/deltas/{own}")
-        if not storage.create(self.spark, marker, "\n".join([own, *also])):
-            storage.remove(self.spark, f"{self.root}/deltas/{own}")
-            return False
-        return storage.contents(self.spark, marker).split("\n")[0] == own
+        waiting = f"{self.root}/waiting/{own}"
+        storage.create(self.spark, f"{waiting}/claim", json.dumps({"folder": own, **also}))
+        storage.make_dir(self.spark, marker.rpartition("/")[0])
+        if not storage.rename(self.spark, waiting, marker):
+            storage.remove(self.spark, waiting)
+        if self._claim(marker)["folder"] == own:
+            return True
+        storage.remove(self.spark, f"{self.root}/deltas/{own}")
+        return False
+
+    def _snapshot(self) -> tuple[int, dict]:
+        """Number and claim of the newest snapshot."""
+        names = storage.listed(self.spark, f"{self.root}/snapshots")
+        if not names:
+            return -1, {"batches": [], "replaced": []}
+        return int(max(names)), self._claim(f"{self.root}/snapshots/{max(names)}")
 
     def _state(self) -> tuple[list[str], list[str]]:
         """Names of the folders to add up, and of the batches in them: the newest snapshot, and batches after it."""
-        snapshots = storage.listed(self.spark, f"{self.root}/snapshots")
-        folders, held = [], set()
-        if snapshots:
-            own, *batches = storage.contents(self.spark, f"{self.root}/snapshots/{max(snapshots)}").split("\n")
-            folders, held = [own], set(batches)
-        names = storage.listed(self.spark, f"{self.root}/commits")
-        later = [n for n in sorted(names) if n not in held]
-        folders += [storage.contents(self.spark, f"{self.root}/commits/{n}").split("\n")[0] for n in later]
-        return folders, sorted(held | set(later))
+        _, newest = self._snapshot()
+        folders, held = [newest["folder"]] if "folder" in newest else [], set(newest["batches"])
+        later = [n for n in sorted(storage.listed(self.spark, f"{self.root}/commits")) if n not in held]
+        return folders + [self._claim(f"{self.root}/commits/{n}")["folder"] for n in later], sorted(held | set(later))
 
     def _deltas(self, folders: list[str]) -> DataFrame:
         if not folders:
@@ -118,12 +132,12 @@ class TokenLedger:
 
     def compact(self) -> bool:
         """Sums what is committed into the next snapshot; False if another one was first."""
-        number = len(storage.listed(self.spark, f"{self.root}/snapshots"))
+        number, before = self._snapshot()
         folders, batches = self._state()
         summed = self._deltas(folders).groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        done = self._publish(f"{self.root}/snapshots/{number:012d}", summed.filter("d_docs <> 0 or d_tokens <> 0"), tuple(batches))
+        done = self._publish(f"{self.root}/snapshots/{number + 1:012d}", summed.filter("d_docs <> 0 or d_tokens <> 0"), batches=batches, replaced=folders)
         if done:
-            for f in folders:
+            for f in before["replaced"]:  # what the snapshot before this one replaced
                 storage.remove(self.spark, f"{self.root}/deltas/{f}")
         return done
 

@@ -282,6 +282,17 @@ def test_archives_are_members(spark, tmp_path):
     assert order == sorted(order) and len(order) == 501 and len({r.key_range for r in merged}) > 5
 
 
+def test_archives_are_bounded_below_the_shuffle_partitions(spark, tmp_path, monkeypatch):
+    """Pages of one partition are dealt into files of about the bound, though there are fewer of them than shuffle partitions."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 400_000)
+    rng = np.random.default_rng(3)
+    rows = [(k, f"http://h/{k}", "".join(map(chr, rng.integers(97, 123, 20_000)))) for k in range(120)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/warc")
+    sizes = [f.stat().st_size for f in (tmp_path / "warc").iterdir() if f.name.startswith("part-")]
+    assert len(sizes) >= 6 and max(sizes) < 2 * 400_000  # eight shuffle partitions, seven files asked for
+    assert {r.page_id for r in warc.read(spark, f"file://{tmp_path}/warc").collect()} == set(range(120))
+
+
 def test_ledger_races_and_snapshots(spark, monkeypatch):
     ledger = token_counts.TokenLedger(spark, storage.scratch(spark, "ledger"))
     change = lambda n: spark.createDataFrame([("a", "en", "v", 1, n)], "source string, lang string, tokenizer_version string, sign int, n_tokens long")
@@ -293,7 +304,38 @@ def test_ledger_races_and_snapshots(spark, monkeypatch):
     assert total() == [(1, 5)]
     assert ledger.commit("two", change(6)) and ledger.compact() and total() == [(2, 11)]
     assert not ledger.commit("one", change(1)) and not ledger.commit("two", change(1)) and ledger.commit("three", change(1))
-    assert total() == [(3, 12)] and ledger.compact() and total() == [(3, 12)] and len(storage.listed(spark, f"{ledger.root}/deltas")) == 1
+    held = ledger.totals()  # asked for before the compaction, read after it
+    assert total() == [(3, 12)] and ledger.compact() and total() == [(3, 12)] and [(r.n_docs, r.n_tokens) for r in held.collect()] == [(3, 12)]
+    # the newest snapshot and what it replaced: a snapshot and the third batch
+    assert len(storage.listed(spark, f"{ledger.root}/deltas")) == 3
+
+
+@pytest.mark.parametrize("step", ["delta", "create", "make_dir", "rename", "contents"])
+def test_ledger_after_a_crash(spark, monkeypatch, step):
+    """A committer that dies at any step leaves a batch that is either counted or can be committed again."""
+    ledger = token_counts.TokenLedger(spark, storage.scratch(spark, "ledger"))
+    change = lambda n: spark.createDataFrame([("a", "en", "v", 1, n)], "source string, lang string, tokenizer_version string, sign int, n_tokens long")
+    assert ledger.commit("before", change(1))
+
+    def dies(*a):
+        if step == "create":  # opened, and nothing written
+            file_system = storage.file_system(a[0], a[1])
+            file_system[0].create(file_system[1], False).close()
+        raise KeyboardInterrupt
+
+    bad = change(5)
+    if step == "delta":
+        bad = bad.withColumn("n_tokens", F.expr("raise_error('lost')").cast("long"))
+    else:
+        monkeypatch.setattr(storage, step, dies)
+    with pytest.raises(BaseException):
+        ledger.commit("batch", bad)
+    monkeypatch.undo()
+    assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] in ([(1, 1)], [(2, 6)])
+    ledger.commit("batch", change(5))
+    ledger.commit("batch", change(5))
+    assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(2, 6)]
+    assert ledger.compact() and not ledger.commit("batch", change(5)) and [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(2, 6)]
 
 
 def test_chat_windows_keep_the_budget(spark):
