@@ -87,11 +87,10 @@ def write(pages: DataFrame, path: str, captured: Column | None = None, revisit_b
         F.sha2(html.cast("binary"), 256).alias("digest"), (captured if captured is not None else F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))).cast("long").alias("captured"),
     )
     size = pages.agg(F.sum(F.octet_length("html").cast("long") + 1000)).first()[0] or 0
-    files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    # as many partitions as the join makes at least, so that it takes these as they are; none of them is merged with another
+    files = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     marks = _revisits(rows, revisit_bytes)
-    # fewer files than the join's own partitions would only add a second shuffle
-    if files > int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        rows = rows.repartition(files, "own", "digest")
+    rows = rows.repartition(files, "own", "digest")
     rows = rows.join(marks, ["own", "digest"], "left")
     rows = rows.withColumn("revisit", F.col("origin").isNotNull())
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
