@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 from parallaxis.llm import storage, thinning
 
 LENGTH, GRAM, BATCHES = 100, 32, 4
-#: Bytes that are fingerprinted at once, rows of a batch of documents, and runs whose suffixes one group sorts.
-BLOCK, BATCH_ROWS, SORTED_RUNS = 1 << 21, 500, 8_000
+#: Bytes of a block of documents, window starts that are fingerprinted at once (few, so that they stay in a core's cache), rows
+#: of a batch of documents, and runs whose suffixes one group sorts.
+BLOCK, CHUNK, BATCH_ROWS, SORTED_RUNS = 1 << 21, 1 << 16, 500, 8_000
 #: An anchor counts as hot from this many runs in the sample, and from this share of it; one document in SAMPLE.
 HOT_RUNS, HOT_SHARE, SAMPLE = 50, 1e-4, 16
 _FIRST = -(1 << 63)
@@ -69,7 +70,7 @@ _prints: dict[int, _Prints] = {}
 
 def _print(seed: int) -> _Prints:
     if seed not in _prints:
-        _prints[seed] = _Prints(seed, BLOCK + (1 << 17))
+        _prints[seed] = _Prints(seed, 4 * CHUNK)
     return _prints[seed]
 
 
@@ -78,8 +79,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lo, n, core, run): windows lo to lo + n - 1 share an anchor; ``ends`` has each byte's end of document."""
+def _runs_within(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     nothing = np.zeros(0, np.int64)
     if len(data) < length:
         return nothing, nothing, nothing, nothing
@@ -105,6 +105,16 @@ def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return lo, n, grams[anchor[begins]].view(np.int64), run.view(np.int64)
 
 
+def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lo, n, core, run): windows lo to lo + n - 1 share an anchor; ``ends`` has each byte's end of document."""
+    parts = []
+    for at in range(0, max(1, len(data)), CHUNK):
+        piece = slice(at, at + CHUNK + length - 1)
+        lo, *rest = _runs_within(data[piece], ends[piece] - at, length, gram)
+        parts.append((lo + at, *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, document of each piece, its text's hash, its offset in the text, its end in the block): whole windows."""
     pieces, size = [], 0
