@@ -4,7 +4,7 @@ Every observation has a residual and its derivatives by its camera (a small turn
 Column expressions. Normal-equation blocks are grouped sums: 6 x 6 for a camera, 3 x 3 for a point. Points are eliminated
 one by one, and the reduced camera system is never formed: conjugate gradients multiply with it by two passes over the
 observations, one grouped by point and one by camera, with the inverse camera blocks as preconditioner. One iteration is
-one written table and one row of sums for the driver, so a lost executor costs a re-read. Damping follows the cost: a step
+one written table, whose sums are seen as it is written, so a lost executor costs a re-read. Damping follows the cost: a step
 that raises it is taken back and damped more.
 
 Observations behind their camera, and those of unknown cameras or points, carry no weight. Cameras and points without an
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from parallaxis import storage
@@ -171,11 +171,18 @@ class Reduced:
         start = self.cameras.join(right, "image_id", "left").withColumns({n: F.coalesce(f"y{k}", F.lit(0.0)) - F.col(f"ec{k}") for k, n in enumerate(r)})
         zero = {n: F.lit(0.0) for n in (*p, *s, *x)}
         start = start.withColumns(zero | dict(zip(z, self._preconditioned(r)))).select("image_id", *_U, *_INV, *r, *p, *s, *z, *x)
-        state = storage.materialize(self.times(start, z, "q_"), "ba-cg")
         dot = lambda a, b: sum((F.col(m) * F.col(n) for m, n in zip(a[1:], b[1:])), F.col(a[0]) * F.col(b[0]))
+
+        def stored(vectors: DataFrame) -> tuple[DataFrame, float | None, float | None]:
+            """The vectors with the matrix's product, and two sums that are seen while they are written."""
+            sums = Observation()
+            made = self.times(vectors, z, "q_").observe(sums, F.sum(dot(r, z)).alias("gamma"), F.sum(dot(q, z)).alias("delta"))
+            made = storage.materialize(made, "ba-cg")
+            return made, sums.get["gamma"], sums.get["delta"]
+
+        state, gamma, delta = stored(start)
         first = before = alpha = None
         for _ in range(most):
-            gamma, delta = state.agg(F.sum(dot(r, z)), F.sum(dot(q, z))).first()
             if not gamma or gamma <= tolerance**2 * (first if first is not None else gamma) and first is not None:
                 break
             first = gamma if first is None else first
@@ -185,7 +192,7 @@ class Reduced:
             moved = state.withColumns({a: F.col(b) + beta * F.col(a) for a, b in [*zip(p, z), *zip(s, q)]})
             moved = moved.withColumns({a: F.col(a) + alpha * F.col(b) for a, b in zip(x, p)} | {a: F.col(a) - alpha * F.col(b) for a, b in zip(r, s)}).drop(*q)
             moved = moved.withColumns(dict(zip(z, self._preconditioned(r))))
-            old, state = state, storage.materialize(self.times(moved, z, "q_"), "ba-cg")
+            old, (state, gamma, delta) = state, stored(moved)
             storage.drop(old)
         return state.select("image_id", *x)
 

@@ -22,7 +22,7 @@ def bundle_adjust(spark, sf_dir):
     key = F.col("point_id")
     points = scene.points(spark, sf_dir).withColumnRenamed("v_id", "point_id")
     off = points.select("point_id", (F.col("x") + (key * 7 % 11 - 5) / 10000).alias("x"), (F.col("y") + (key * 5 % 13 - 6) / 10000).alias("y"), (F.col("z") + (key * 3 % 7 - 3) / 10000).alias("z"))
-    done = bundle.adjust(observed, off, scene.cameras(spark, sf_dir), bundle.Lens(scene.FOCAL, scene.CX, scene.CY), rounds=3, tolerance=1e-2)
+    done = bundle.adjust(observed, off, scene.cameras(spark, sf_dir), bundle.Lens(scene.FOCAL, scene.CX, scene.CY), rounds=2, tolerance=1e-2)
     by_camera, by_point = (observed.groupBy(k).agg(F.count(F.lit(1)).alias("n")) for k in ("image_id", "point_id"))
     centre = [-(F.col(f"r{k}") * F.col("t0") + F.col(f"r{3 + k}") * F.col("t1") + F.col(f"r{6 + k}") * F.col("t2")) for k in range(3)]
     cameras = done.cameras.join(by_camera, "image_id", "left").select(F.lit("camera").alias("kind"), F.col("image_id").alias("id"), *(c.alias(x) for c, x in zip(centre, "xyz")), F.coalesce("n", F.lit(0)).alias("n"))
@@ -91,7 +91,7 @@ def mirror_fix(spark, sf_dir):
     return fixed.select("node", "component", "mirrored", F.round("pose", 6).alias("pose"))
 
 
-@query("plane_fit", """with s as (select l_partkey k, l_quantity x, l_extendedprice / 1000 y, 0.3::double * l_quantity - 0.2::double * l_extendedprice / 1000 + l_discount * 50 z from lineitem),
+@query("plane_fit", """with s as (select l_partkey k, l_quantity / 1.01::double x, l_extendedprice / 1003 y, 0.3::double * l_quantity / 1.01::double - 0.2::double * l_extendedprice / 1003 + l_discount * 50 z from lineitem),
   c as (select k, count(*) n, avg(x) cx, avg(y) cy, avg(z) cz, covar_pop(x, x) a00, covar_pop(x, y) a01, covar_pop(x, z) a02, covar_pop(y, y) a11, covar_pop(y, z) a12, covar_pop(z, z) a22 from s group by k),
   t as (select *, (a00 + a11 + a22) / 3 q, a01*a01 + a02*a02 + a12*a12 p1 from c),
   u as (select *, sqrt(((a00-q)**2 + (a11-q)**2 + (a22-q)**2 + 2*p1) / 6) p from t),
@@ -105,7 +105,7 @@ def mirror_fix(spark, sf_dir):
     round(cx, 5) cx, round(cy, 5) cy, round(cz, 5) cz, case when flat then round(sqrt(greatest(w, 0)), 4) end rms from o""")
 def plane_fit(spark, sf_dir):
     """For each part, the plane through its line items' quantity, price and a mix of both."""
-    x, y = F.col("l_quantity"), F.col("l_extendedprice") / 1000
+    x, y = F.col("l_quantity") / 1.01, F.col("l_extendedprice") / 1003
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), x.alias("x"), y.alias("y"), (0.3 * x - 0.2 * y + F.col("l_discount") * 50).alias("z"))
     fit = eigen.plane_fit(rows, "k")
     return fit.select("k", "n", *((F.round(c, 5) + 0.0).alias(c) for c in ("nx", "ny", "nz")), *(F.round(c, 5).alias(c) for c in ("cx", "cy", "cz")), F.round("rms", 4).alias("rms"))
