@@ -149,15 +149,41 @@ def _along(plane: np.ndarray, weights: list[float], axis: int) -> np.ndarray:
     return total
 
 
-def _blurred(plane: np.ndarray, sigma: float, reach: int) -> np.ndarray:
-    """A plane with a frame of ``reach`` pixels, blurred where the kernel fits; what is left of the frame stays."""
+def _blurred(plane: np.ndarray, sigma: float) -> np.ndarray:
+    """A plane, blurred where the kernel fits."""
     weights = kernel(sigma)
     return _along(_along(plane, weights, 1), weights, 0)
 
 
+def blur(tiles: DataFrame, sigma: float, along: str) -> DataFrame:
+    """One direction of a Gaussian blur, ``along`` x or y."""
+    weights = kernel(sigma)
+    reach = len(weights) // 2
+
+    def made(planes: np.ndarray, ty: int, tx: int) -> np.ndarray:
+        inner = planes[:, reach:-reach, :] if along == "x" else planes[:, :, reach:-reach]
+        return np.stack([_along(p, weights, 1 if along == "x" else 0) for p in inner])
+
+    return stencil(tiles, reach, made)
+
+
+def difference(tiles: DataFrame, low: float, high: float) -> DataFrame:
+    """The wider blur less the narrower one, by one exchange."""
+    reach = max(len(kernel(s)) // 2 for s in (low, high))
+
+    def made(planes: np.ndarray, ty: int, tx: int) -> np.ndarray:
+        def level(plane: np.ndarray, sigma: float) -> np.ndarray:
+            cut_off = reach - len(kernel(sigma)) // 2
+            return _blurred(plane[cut_off : plane.shape[0] - cut_off, cut_off : plane.shape[1] - cut_off], sigma)
+
+        return np.stack([level(p, high) - level(p, low) for p in planes])
+
+    return stencil(tiles, reach, made)
+
+
 def gaussian(tiles: DataFrame, sigma: float) -> DataFrame:
     reach = len(kernel(sigma)) // 2
-    return stencil(tiles, reach, lambda planes, ty, tx: np.stack([_blurred(p, sigma, reach) for p in planes]))
+    return stencil(tiles, reach, lambda planes, ty, tx: np.stack([_blurred(p, sigma) for p in planes]))
 
 
 def extrema(tiles: DataFrame, sigmas: tuple[float, ...], size: tuple[int, int], tile: int = TILE, digits: int = 6) -> DataFrame:
@@ -176,7 +202,7 @@ def extrema(tiles: DataFrame, sigmas: tuple[float, ...], size: tuple[int, int],
             r = len(kernel(s)) // 2
             cut_off = widest - r
             inner = plane[cut_off : plane.shape[0] - cut_off, cut_off : plane.shape[1] - cut_off]
-            levels.append(_blurred(inner, s, r))
+            levels.append(_blurred(inner, s))
         stack = np.round(np.diff(np.stack(levels), axis=0), digits)
         h, w = stack.shape[1] - 2, stack.shape[2] - 2
         found = np.full((len(stack), h, w), np.nan)

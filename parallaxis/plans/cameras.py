@@ -398,13 +398,14 @@ def pose_error(spark, sf_dir):
     return scene.cameras(spark, sf_dir).agg(F.round(F.max(gone), 8).alias("worst"), F.round(F.avg(gone), 8).alias("mean"))
 
 
-@query("nearest_valid_both_sides", """with n as (select n_nationkey i, n_nationkey % 3 = 0 ok from nation)
-  select i, (select max(m.i) from n m where m.ok and m.i < n.i) before, (select min(m.i) from n m where m.ok and m.i > n.i) after from n where not ok""")
+@query("nearest_valid_both_sides", """with n as (select o_orderkey i, o_custkey c, o_orderstatus = 'F' ok from orders)
+  select i, (select max(m.i) from n m where m.ok and m.c = n.c and m.i < n.i) before, (select min(m.i) from n m where m.ok and m.c = n.c and m.i > n.i) after from n where not ok""")
 def nearest_valid_both_sides(spark, sf_dir):
-    own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), (F.col("n_nationkey") % 3 == 0).alias("ok"))
-    valid = F.when(F.col("ok"), F.col("i"))
-    before = F.last(valid, ignorenulls=True).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(valid, ignorenulls=True).over(Window.orderBy("i").rowsBetween(1, Window.unboundedFollowing))
+    """For every order that is not final, its customer's nearest final ones before and after."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), "o_custkey", (F.col("o_orderstatus") == "F").alias("ok"))
+    valid, by = F.when(F.col("ok"), F.col("i")), Window.partitionBy("o_custkey").orderBy("i")
+    before = F.last(valid, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(valid, ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
     return own.select("i", "ok", before.alias("before"), after.alias("after")).filter("not ok").drop("ok")
 
 

@@ -133,19 +133,22 @@ def pair_distinct(spark, sf_dir):
     return pairs_sequential(spark, sf_dir).agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query("circ_dist", "select a.n_nationkey a, b.n_nationkey b, least(abs(a.n_nationkey - b.n_nationkey), 25 - abs(a.n_nationkey - b.n_nationkey)) dist from nation a, nation b")
+@query("circ_dist", f"with {_RING}, p as (select distinct least(p, (p + k) % n) a, greatest(p, (p + k) % n) b, n from ring, range(1, 11) t(k) where p <> (p + k) % n) select a, b, least(abs(a - b), n - abs(a - b)) dist from p")
 def circ_dist(spark, sf_dir):
-    keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"))
-    both = keys.crossJoin(F.broadcast(keys.withColumnRenamed("a", "b")))
-    return both.withColumn("dist", matching.ring_distance(F.col("a"), F.col("b"), 25))
+    """Ring distances of all sequential pairs."""
+    n = table(spark, sf_dir, "supplier").count()
+    pairs = pairs_sequential(spark, sf_dir).select(F.col("image_i").alias("a"), F.col("image_j").alias("b"))
+    return pairs.withColumn("dist", matching.ring_distance(F.col("a"), F.col("b"), n))
 
 
-@query("seq_order", "select n_nationkey image_id, row_number() over (order by least(least(abs(n_nationkey - 3), 25 - abs(n_nationkey - 3)), least(abs(n_nationkey - 7), 25 - abs(n_nationkey - 7))), n_nationkey) place from nation")
+@query("seq_order", f"with {_RING} select p image_id, row_number() over (order by least(least(abs(p - 3), n - abs(p - 3)), least(abs(p - 7), n - abs(p - 7))), p) - 1 place from ring")
 def seq_order(spark, sf_dir):
-    key = F.col("n_nationkey")
-    near = F.least(matching.ring_distance(key, F.lit(3), 25), matching.ring_distance(key, F.lit(7), 25))
-    place = F.row_number().over(Window.orderBy(near, key)).cast("long")
-    return table(spark, sf_dir, "nation").select(key.alias("image_id"), place.alias("place"))
+    """All suppliers in the order of their ring distance from the nearer of two."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey")
+    key, n = F.col("image_id"), suppliers.count()
+    near = F.least(matching.ring_distance(key, F.lit(3), n), matching.ring_distance(key, F.lit(7), n))
+    placed = sizes.numbered(suppliers, "s_suppkey", name="image_id").select("image_id", near.alias("near"))
+    return sizes.numbered(placed, "near", "image_id", name="place").select("image_id", "place")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,11 +338,12 @@ def argmax_pair(spark, sf_dir):
     return views.best_pair(scored)
 
 
-@query("ring_lead", """with r as (select n_nationkey i, n_nationkey * 37 % 360 theta from nation) select i, theta, coalesce(lead(theta) over (order by i), first_value(theta) over (order by i)) next_theta from r""")
+@query("ring_lead", "select o_orderkey i, o_totalprice theta, coalesce(lead(o_totalprice) over r, first_value(o_totalprice) over r) next_theta from orders window r as (partition by o_custkey order by o_orderkey)")
 def ring_lead(spark, sf_dir):
-    own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), (F.col("n_nationkey") * 37 % 360).alias("theta"))
-    ring = Window.orderBy("i")
-    return own.withColumn("next_theta", F.coalesce(F.lead("theta").over(ring), F.first("theta").over(ring)))
+    """Each customer's orders are a ring: the price of the next one, and of the first after the last."""
+    ring = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    after = F.coalesce(F.lead("o_totalprice").over(ring), F.first("o_totalprice").over(ring))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("theta"), after.alias("next_theta"))
 
 
 @query("direction_vote", "with r as (select s_suppkey i, s_acctbal theta from supplier) select case when sum(d) >= 0 then 1 else -1 end vote from (select lead(theta) over (order by i) - theta d from r)")

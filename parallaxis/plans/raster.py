@@ -12,6 +12,11 @@ from parallaxis.plans.catalog import query, table
 W, H = scene.WIDTH, scene.HEIGHT
 _TEX = f"{scene.RASTER}, tex as (select * from rast)"
 texture = scene.raster
+_TILE = 16
+
+
+def _tiles(spark, sf_dir) -> DataFrame:
+    return tiles.cut(texture(spark, sf_dir), ["v"], _TILE)
 
 
 def _kernel(sigma: float) -> str:
@@ -36,12 +41,12 @@ def _rounded(pixels: DataFrame) -> DataFrame:
 
 @query("gauss_blur_h", f"with {_TEX}, {_blur('b', 'tex', 1.6, 'x')} {_OUT} b")
 def gauss_blur_h(spark, sf_dir):
-    return _rounded(raster.blur(texture(spark, sf_dir), 1.6, "x"))
+    return _rounded(tiles.pixels(tiles.blur(_tiles(spark, sf_dir), 1.6, "x"), ["v"], _TILE))
 
 
 @query("gauss_blur_v", f"with {_TEX}, {_blur('b', 'tex', 1.6, 'y')} {_OUT} b")
 def gauss_blur_v(spark, sf_dir):
-    return _rounded(raster.blur(texture(spark, sf_dir), 1.6, "y"))
+    return _rounded(tiles.pixels(tiles.blur(_tiles(spark, sf_dir), 1.6, "y"), ["v"], _TILE))
 
 
 _SIGMAS = (1.0, 1.2, 2.2, 2.5)
@@ -51,8 +56,7 @@ _DOGS = "dogs as (" + " union all ".join(f"select {k} s, image_id, y, x, a.v - b
 
 @query("dog", f"with {_TEX}, {_gauss('g0', 1.0)}, {_gauss('g1', 1.6)} select image_id, y, x, round(a.v - b.v, 6) + 0.0::double v from g1 a join g0 b using (image_id, y, x)")
 def dog(spark, sf_dir):
-    own = texture(spark, sf_dir)
-    return _rounded(raster.difference(raster.gaussian(own, 1.6), raster.gaussian(own, 1.0)))
+    return _rounded(tiles.pixels(tiles.difference(_tiles(spark, sf_dir), 1.0, 1.6), ["v"], _TILE))
 
 
 @query("extrema_3x3x3", f"""with {_TEX}, {_STACK}, {_DOGS}, r as (select s, image_id, y, x, round(v, 6) v from dogs),
@@ -61,7 +65,7 @@ def dog(spark, sf_dir):
   select s::int s, image_id, y, x, v from o where v > high or v < low""")
 def extrema_3x3x3(spark, sf_dir):
     """Extrema of three differences of blurs, on tiles of sixteen pixels."""
-    return tiles.extrema(tiles.cut(texture(spark, sf_dir), ["v"], 16), _SIGMAS, (H, W), 16).select("s", "image_id", "y", "x", "v")
+    return tiles.extrema(_tiles(spark, sf_dir), _SIGMAS, (H, W), _TILE).select("s", "image_id", "y", "x", "v")
 
 
 @query("downsample2", f"with {_TEX} select image_id, y // 2 y, x // 2 x, v from tex where x % 2 = 0 and y % 2 = 0")

@@ -35,7 +35,7 @@ _NAMES = ["file", "width", "height", "y", "x", "depth"]
 _HEAD = re.compile(rb"Pf[ \t\r]*\n\s*(\d+)\s+(\d+)\s*\n\s*([-+0-9.eE]+)[ \t\r]*\n")
 
 
-def _located(path: str) -> tuple[arrow_fs.FileSystem, str]:
+def located(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+.-]+:", path) else (arrow_fs.LocalFileSystem(), path)
 
 
@@ -44,60 +44,101 @@ class _File(InputPartition):
     path: str
 
 
-class _Reader(DataSourceReader):
+class FolderReader(DataSourceReader):
+    """Reads the files of a folder whose names end in ``suffix``, each as one partition."""
+
+    suffix = ""
+
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        store, path = _located(self.path)
+        store, path = located(self.path)
         info = store.get_file_info(path)
         if info.type == arrow_fs.FileType.File:
             return [_File(path)]
         found = store.get_file_info(arrow_fs.FileSelector(path)) if info.type == arrow_fs.FileType.Directory else []
-        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == arrow_fs.FileType.File and f.base_name.lower().endswith(".pfm")] or [_File("")]
+        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == arrow_fs.FileType.File and f.base_name.lower().endswith(self.suffix)] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
+        if partition.path:
+            store, _ = located(self.path)
+            with store.open_input_file(partition.path) as source:
+                yield from self.rows(partition.path.rsplit("/", 1)[-1], source)
+
+    def rows(self, name: str, source: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
+
+
+class _Reader(FolderReader):
+    suffix = ".pfm"
+
+    def rows(self, name: str, source: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+        head = _HEAD.match(source.read(256))
+        if head is None:
             return
-        store, _ = _located(self.path)
-        name = partition.path.rsplit("/", 1)[-1]
-        with store.open_input_file(partition.path) as source:
-            head = _HEAD.match(source.read(256))
-            if head is None:
-                return
-            w, h = int(head[1]), int(head[2])
-            try:
-                order = "<f4" if float(head[3]) < 0 else ">f4"
-            except ValueError:
-                return
-            if source.size() < head.end() + 4 * w * h or not w * h:
-                return
-            step = max(1, BLOCK_PIXELS // w)
-            for row in range(0, h, step):
-                n = min(step, h - row)
-                source.seek(head.end() + 4 * w * row)
-                depth = np.frombuffer(source.read(4 * w * n), order).astype(np.float32)
-                # lines come from the bottom up
-                y = np.repeat(h - 1 - np.arange(row, row + n, dtype=np.int32), w)
-                size = len(depth)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * size), pa.array(np.full(size, w, np.int32)), pa.array(np.full(size, h, np.int32)), pa.array(y), pa.array(np.tile(np.arange(w, dtype=np.int32), n)), pa.array(depth, mask=depth == 0)], names=_NAMES
-                )
+        w, h = int(head[1]), int(head[2])
+        try:
+            order = "<f4" if float(head[3]) < 0 else ">f4"
+        except ValueError:
+            return
+        if source.size() < head.end() + 4 * w * h or not w * h:
+            return
+        step = max(1, BLOCK_PIXELS // w)
+        for row in range(0, h, step):
+            n = min(step, h - row)
+            source.seek(head.end() + 4 * w * row)
+            depth = np.frombuffer(source.read(4 * w * n), order).astype(np.float32)
+            # lines come from the bottom up
+            y = np.repeat(h - 1 - np.arange(row, row + n, dtype=np.int32), w)
+            size = len(depth)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * size), pa.array(np.full(size, w, np.int32)), pa.array(np.full(size, h, np.int32)), pa.array(y), pa.array(np.tile(np.arange(w, dtype=np.int32), n)), pa.array(depth, mask=depth == 0)], names=_NAMES
+            )
 
 
 @dataclass
-class _Written(WriterCommitMessage):
+class Written(WriterCommitMessage):
     files: list[str]
 
 
-class _Writer(DataSourceArrowWriter):
+class StagedWriter:
+    """Tasks write into folders beside the target; files are moved into place together, or removed."""
+
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, f"_writing-{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        store, path = _located(self.path)
-        # a repeated or second attempt of a task has a folder of its own
-        folder = f"{path}/{self.job}/{uuid.uuid4().hex}"
+    def stage(self) -> tuple[arrow_fs.FileSystem, str]:
+        """A folder for one attempt of a task: a repeated or second attempt has its own."""
+        store, path = located(self.path)
+        return store, f"{path}/{self.job}/{uuid.uuid4().hex}"
+
+    def commit(self, messages: list[Written]) -> None:
+        store, path = located(self.path)
+        files = [f for m in messages if m is not None for f in m.files]
+        names = [f.rsplit("/", 1)[-1] for f in files]
+        try:
+            if len(set(names)) < len(names):
+                raise ValueError("rows of one file lie in several partitions")
+            if not self.overwrite:
+                there = [i.base_name for i in store.get_file_info([f"{path}/{n}" for n in names]) if i.type != arrow_fs.FileType.NotFound]
+                if there:
+                    raise FileExistsError(f"{there[0]} is there already")
+            store.create_dir(path, recursive=True)
+            for file, name in zip(files, names):
+                store.move(file, f"{path}/{name}")
+        finally:
+            self.abort(messages)
+
+    def abort(self, messages: list[Written]) -> None:
+        store, path = located(self.path)
+        if store.get_file_info(f"{path}/{self.job}").type == arrow_fs.FileType.Directory:
+            store.delete_dir(f"{path}/{self.job}")
+
+
+class _Writer(StagedWriter, DataSourceArrowWriter):
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, folder = self.stage()
         done: list[str] = []
         name, plane = None, np.zeros((0, 0), "<f4")
 
@@ -127,29 +168,7 @@ class _Writer(DataSourceArrowWriter):
                     plane = np.zeros((int(h[a]), int(w[a])), "<f4")
                 plane[y[a:b].astype(int), x[a:b].astype(int)] = depth[a:b]
         close()
-        return _Written(done)
-
-    def commit(self, messages: list[_Written]) -> None:
-        store, path = _located(self.path)
-        files = [f for m in messages if m is not None for f in m.files]
-        names = [f.rsplit("/", 1)[-1] for f in files]
-        try:
-            if len(set(names)) < len(names):
-                raise ValueError("rows of one file lie in several partitions")
-            if not self.overwrite:
-                there = [i.base_name for i in store.get_file_info([f"{path}/{n}" for n in names]) if i.type != arrow_fs.FileType.NotFound]
-                if there:
-                    raise FileExistsError(f"{there[0]} is there already")
-            store.create_dir(path, recursive=True)
-            for file, name in zip(files, names):
-                store.move(file, f"{path}/{name}")
-        finally:
-            self.abort(messages)
-
-    def abort(self, messages: list[_Written]) -> None:
-        store, path = _located(self.path)
-        if store.get_file_info(f"{path}/{self.job}").type == arrow_fs.FileType.Directory:
-            store.delete_dir(f"{path}/{self.job}")
+        return Written(done)
 
 
 class PfmSource(DataSource):

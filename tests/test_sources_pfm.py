@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parallaxis.operators import hypotheses, matching, views
-from parallaxis.sources import formats, pfm
+from parallaxis.sources import formats, pfm, ply
 
 
 def rows_of(planes):
@@ -63,6 +63,26 @@ def test_other_files_give_no_rows(spark, tmp_path):
     assert [(r.file, r.y, r.x, r.depth) for r in pfm.read(spark, str(tmp_path)).orderBy("x").collect()] == [("big.pfm", 0, 0, 1.5), ("big.pfm", 0, 1, -2.0)]
 
 
+def test_point_clouds(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(*map(float, rng.normal(size=3).astype(np.float32) * np.float32(1e3)), float(rng.integers(256)) / 255, 0.5, None) for _ in range(500)]
+    frame = spark.createDataFrame(rows, "X double, Y double, Z double, r double, g double, b double").repartition(3)
+    ply.write(frame, f"{tmp_path}/clouds")
+    files = sorted(f.name for f in (tmp_path / "clouds").iterdir())
+    assert len(files) == 3 and all(f.endswith(".ply") for f in files)
+    got = ply.read(spark, f"file://{tmp_path}/clouds").collect()
+    own = lambda x, y, z, r, g, b: (np.float32(x), np.float32(y), np.float32(z), round(r * 255), int(g * 255), int((b or 0) * 255))
+    assert sorted(own(r.X, r.Y, r.Z, r.r, r.g + 1e-9, r.b) for r in got) == sorted(own(*r) for r in rows)
+    assert all(sorted(r.place for r in got if r.file == f) == list(range(sum(r.file == f for r in got))) for f in files)
+    with pytest.raises(Exception, match="without a coordinate"):
+        ply.write(frame.withColumn("Y", F.when(F.col("X") > 0, F.col("Y"))), f"{tmp_path}/bad")
+    assert not (tmp_path / "bad").exists() or list((tmp_path / "bad").iterdir()) == []
+    ply.write(frame.limit(0), f"{tmp_path}/empty")
+    (tmp_path / "clouds" / "mesh.ply").write_text("ply\nformat binary 1.0\nend_header\n")
+    (tmp_path / "clouds" / "short.ply").write_text((tmp_path / "clouds" / files[0]).read_text()[:60])
+    assert ply.read(spark, f"{tmp_path}/clouds").count() == 500 and ply.read(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_orbit_votes(spark):
     """Points seen along a true orbit: both signs that turn it the right way see them, the others do not."""
     rng = np.random.default_rng(2)
