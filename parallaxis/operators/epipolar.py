@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Pixel limit and confidence of fundamental matrices, fewest points, and rounds tried at most.
 F_PIXELS, F_CONFIDENCE, F_POINTS, F_ROUNDS = 3.0, 0.99, 8, 2000
-#: Limits of absolute pose.
-PNP_PIXELS, PNP_ROUNDS, PNP_POINTS = 4.0, 500, 6
+#: Pixel limit and confidence of absolute poses, rounds tried at most, and fewest points.
+PNP_PIXELS, PNP_CONFIDENCE, PNP_ROUNDS, PNP_POINTS = 4.0, 0.99, 10_000, 6
 HUBER = 1.0
 
 
@@ -162,7 +162,9 @@ def absolute_pose(points: np.ndarray, pixels: np.ndarray, k: np.ndarray, seed: i
         p = (points @ r.T + t) @ k.T
         return (p[:, 2] > 0) & (np.linalg.norm(p[:, :2] / np.where(p[:, 2:] == 0, 1e-12, p[:, 2:]) - pixels, axis=1) < PNP_PIXELS)
 
-    for _ in range(PNP_ROUNDS):
+    done, needed = 0, PNP_ROUNDS
+    while done < needed:
+        done += 1
         pick = rng.choice(n, PNP_POINTS, replace=False)
         made = resection(points[pick], rays[pick])
         if made is None:
@@ -170,8 +172,9 @@ def absolute_pose(points: np.ndarray, pixels: np.ndarray, k: np.ndarray, seed: i
         ok = inside(*made)
         if ok.sum() > best.sum():
             best, pose = ok, made
-            if ok.mean() > 0.98:
-                break
+            # as many rounds as make a sample of inliers alone as likely as the confidence asks for
+            miss = 1 - ok.mean() ** PNP_POINTS
+            needed = min(PNP_ROUNDS, 1 if miss <= 0 else int(np.ceil(np.log(1 - PNP_CONFIDENCE) / np.log(miss))))
     if pose is None or best.sum() < PNP_POINTS:
         return None
     cameras = adjust([pose], points[best], np.zeros(best.sum(), int), np.arange(best.sum()), pixels[best], k, fix_points=True)[0]
