@@ -100,10 +100,43 @@ with d as (select row_number() over () r, doc_id, coalesce(text, '') t from docu
   g as (select r, {', '.join(f"count_if(kind = '{kind}')::bigint n_{kind}" for kind in pii.BASE)}, {_LISTED} filter (where k < {len(pii.BASE)}) base, {_LISTED} spans, string_agg(printf('%.2f', score), ',' order by k, start) scores from f group by r)
 select doc_id, {', '.join(f"coalesce(n_{kind}, 0) n_{kind}" for kind in pii.BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(scores, '') scores from d left join g using (r)"""
 
+#: Places of all windows of 100 bytes by their digest; texts are cut into pieces first, as offsets into long ones are slow.
+SUFFIX_DEDUP = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+  c as (select doc_id, h, unnest(range((length(h) // 2 - 100) // 256 + 1)) c from d where length(h) >= 200),
+  v as (select doc_id, c, substr(h, 512 * c + 1, 710) part from c),
+  w as (select doc_id, c, part, unnest(range(least(256, length(part) // 2 - 99))) i from v),
+  k as (select doc_id, 256 * c + i s, md5(substr(part, 2 * i + 1, 200)) m from w),
+  f as (select m, min(struct_pack(d := doc_id, s := s)) f from k group by m having count(*) > 1),
+  x as (select k.doc_id, k.s, lag(k.s) over (partition by k.doc_id order by k.s) before from k join f using (m) where k.doc_id <> f.f.d or k.s <> f.f.s),
+  g as (select *, sum(case when before is null or s > before + 100 then 1 else 0 end) over (partition by doc_id order by s) span from x),
+  p as (select doc_id, span, min(s) a, max(s) + 100 b from g group by all),
+  q as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) after from p),
+  o as (select doc_id, sum(b - a)::bigint gone, count(*) spans, string_agg(substr(d.h, 2 * after + 1, 2 * (a - after)), '' order by a) front, max(b) last from q join d using (doc_id) group by doc_id)
+select doc_id, length(h) // 2 n_bytes, coalesce(gone, 0) n_removed, coalesce(spans, 0) n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) kept_sha256 from d left join o using (doc_id)"""
+
+#: The checksum is worked out bytewise; letters beyond one byte are of two.
+SPELLING = f"""
+with recursive t as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) crc from range(256) r(i)),
+  r as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') run from documents),
+  c as (select doc_id, run, count(*) n from r group by all),
+  y as (select *, flatten(list_transform(string_split(doc_id::varchar || ':' || run, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195, unicode(x)::bigint - 64] end)) bytes from c),
+  h as (select run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) h from y, t),
+  e as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end word, n from h),
+  w as (select word, sum(n)::bigint n from e where length(word) >= 5 group by word having sum(n) >= 3),
+  o as (select word, i, substr(word, 1, i) || substr(word, i + 2) hole from (select word, unnest(range(length(word))) i from w)),
+  p as (select a.word, b.word near from o a join o b on a.i = b.i and a.hole = b.hole and a.word <> b.word union select word, hole from o where hole in (select word from w) union select hole, word from o where hole in (select word from w)),
+  b as (select p.word, near, w.n near_n, count(*) over (partition by p.word) n_near, row_number() over (partition by p.word order by w.n desc, near) rn from p join w on w.word = p.near),
+  f as (select w.word, w.n, coalesce(n_near, 0) n_near, case when near_n >= 2 * w.n then near end form, case when near_n >= 2 * w.n then near_n end form_n from w left join b on b.word = w.word and rn = 1),
+  u as (select word, word root, form next from f union all select u.word, f.word, f.form from u join f on f.word = u.next)
+select f.word, f.form, u.root, f.n, f.n_near, f.form_n from f join u on u.word = f.word and u.next is null"""
+
 ORACLE_SQL = {
     "op3_pii_spans": PII_SPANS,
     "op2_line_dedup": LINE_DEDUP,
     "op7_warc_index": WARC_INDEX,
     "op8_chat_windows": CHAT_WINDOWS,
     "op9_ngram_jaccard_join": JACCARD_JOIN,
+    "op11_suffix_dedup": SUFFIX_DEDUP,
+    "op13_spelling_variants": SPELLING,
 }
