@@ -159,15 +159,40 @@ def ncc_cost(n: Column, sr: Column, ss: Column, srr: Column, sss: Column, srs: C
     return F.when((n < patch * patch // 2) | (vr < 1e-6) | (vs < 1e-6), 2.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(2.0), cost)))
 
 
+#: Side of the tiles in which pixels meet samples.
+SAMPLED_TILE = 32
+
+
 def bilinear(pixels: DataFrame, samples: DataFrame, width: int, height: int) -> DataFrame:
-    """Values of ``samples(image_id, u, v)`` between pixels; positions beyond the edge take the edge's."""
+    """Values of ``samples(image_id, u, v)`` between pixels; positions beyond the edge take the edge's.
+
+    Pixels meet samples as tiles that also hold the first line and column of the next ones, so a sample is shuffled once
+    and finds all its four pixels in one row. A pixel that is missing counts for nothing, a sample without any has no row.
+    """
     u = F.greatest(F.lit(0.0), F.least(F.lit(width - 1.0), F.col("u")))
     v = F.greatest(F.lit(0.0), F.least(F.lit(height - 1.0), F.col("v")))
-    placed = samples.select("image_id", "u", "v", F.floor(u).alias("x0"), F.floor(v).alias("y0"), (u - F.floor(u)).alias("fu"), (v - F.floor(v)).alias("fv"))
-    corners = F.array(*(
-        F.struct(F.least(F.col("x0") + dx, F.lit(width - 1)).alias("x"), F.least(F.col("y0") + dy, F.lit(height - 1)).alias("y"), ((F.col("fu") if dx else 1 - F.col("fu")) * (F.col("fv") if dy else 1 - F.col("fv"))).alias("w"))
-        for dx in (0, 1) for dy in (0, 1)
-    ))
-    spread = placed.select("image_id", "u", "v", F.explode(corners).alias("c")).select("image_id", "u", "v", "c.x", "c.y", "c.w")
-    met = spread.join(pixels.withColumnRenamed("v", "value"), ["image_id", "y", "x"])
-    return met.groupBy("image_id", "u", "v").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+    side = SAMPLED_TILE + 1
+    back = lambda c: F.when((F.col(c) % SAMPLED_TILE == 0) & (F.col(c) > 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    tile = lambda c: F.floor(F.col(c) / SAMPLED_TILE)
+    shared = pixels.select("image_id", "y", "x", "v", F.explode(back("y")).alias("by")).select("*", F.explode(back("x")).alias("bx"))
+    dealt = shared.select("image_id", (tile("y") - F.col("by")).alias("ty"), (tile("x") - F.col("bx")).alias("tx"), "y", "x", "v")
+    at = ((F.col("y") - F.col("ty") * SAMPLED_TILE) * side + F.col("x") - F.col("tx") * SAMPLED_TILE).cast("int")
+    held = dealt.groupBy("image_id", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("v").alias("value")))).alias("_pixels"))
+    # lines as long as the image allows: without gaps, a pixel's place follows from its position
+    wide = F.least(F.lit(side), width - F.col("tx") * SAMPLED_TILE).cast("int")
+    high = F.least(F.lit(side), height - F.col("ty") * SAMPLED_TILE).cast("int")
+    whole = (F.size("_pixels") == wide * high) & F.forall(F.transform("_pixels", lambda p, i: (p["at"] == F.floor(i / wide) * side + i % wide) & p["value"].isNotNull()), lambda same: same)
+    tiles = held.withColumn("_wide", wide).withColumn("_whole", whole)
+    placed = samples.select("image_id", "u", "v", *(c.cast("int").alias(n) for n, c in (("_x", F.floor(u)), ("_y", F.floor(v)))), (u - F.floor(u)).alias("_fu"), (v - F.floor(v)).alias("_fv"))
+    met = placed.withColumns({"ty": tile("_y"), "tx": tile("_x")}).join(tiles, ["image_id", "ty", "tx"])
+    at_place, share_of = (lambda place: lambda p: p["at"] == place), (lambda weight: lambda p: p["value"] * weight)
+    direct, found = F.lit(0.0), []
+    for dx in (0, 1):
+        for dy in (0, 1):
+            x, y = F.least(F.col("_x") + dx, F.lit(width - 1)) - F.col("tx") * SAMPLED_TILE, F.least(F.col("_y") + dy, F.lit(height - 1)) - F.col("ty") * SAMPLED_TILE
+            weight = (F.col("_fu") if dx else 1 - F.col("_fu")) * (F.col("_fv") if dy else 1 - F.col("_fv"))
+            direct = direct + F.get("_pixels", (y * F.col("_wide") + x).cast("int"))["value"] * weight
+            found.append(F.transform(F.filter("_pixels", at_place(y * side + x)), share_of(weight)))
+    shares = F.concat(*found)
+    summed = F.aggregate(shares, F.lit(None).cast("double"), lambda s, x: F.coalesce(s + x, s, x))
+    return met.filter(F.col("_whole") | (F.size(shares) > 0)).select("image_id", "u", "v", F.when(F.col("_whole"), direct).otherwise(summed).alias("value"))

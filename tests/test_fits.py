@@ -316,3 +316,31 @@ def test_propagation_is_independent_of_tiles(spark, images, tile):
                             if 0 <= r + dy < H and 0 <= c + dx < W and abs(before[k, r + dy, c + dx] - target[k, r, c]) < abs(value[k, r, c] - target[k, r, c]):
                                 value[k, r, c] = before[k, r + dy, c + dx]
     assert all(r.d == value[r.image_id, r.y, r.x] for r in got.collect()) and got.count() == value.size
+
+
+def test_pixels_are_taken_for_as_many_as_they_are(spark, sf_dir):
+    """An exploded frame passes for as small as what it came from, and all its pixels would be broadcast."""
+    from parallaxis.plans import cameras, scene
+
+    for frame in (scene.lattice(scene.cameras(spark, sf_dir), 32, 24), scene.raster(spark, sf_dir), cameras.depths(spark, sf_dir)):
+        size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        assert size >= 16 * frame.count()
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_bilinear_over_tiles(spark, gaps):
+    rng, w, h = random.Random(3), 70, 37
+    pixels = {(i, y, x): rng.randrange(256) * 1.0 for i in range(2) for y in range(h) for x in range(w) if not gaps or rng.random() < 0.4}
+    samples = [(i, x * 1.37 - 3, y * 1.21 - 2) for i in range(2) for y in range(h) for x in range(w)]
+    want = {}
+    for i, u, v in samples:
+        cu, cv = max(0.0, min(w - 1.0, u)), max(0.0, min(h - 1.0, v))
+        for dx in (0, 1):
+            for dy in (0, 1):
+                at = (i, min(int(cv) + dy, h - 1), min(int(cu) + dx, w - 1))
+                if at in pixels:
+                    share = ((cu % 1) if dx else 1 - cu % 1) * ((cv % 1) if dy else 1 - cv % 1)
+                    want[i, u, v] = want.get((i, u, v), 0.0) + share * pixels[at]
+    frame = spark.createDataFrame([(*k, v) for k, v in pixels.items()], "image_id long, y long, x long, v double")
+    got = {(r.image_id, r.u, r.v): r.value for r in raster.bilinear(frame, spark.createDataFrame(samples, "image_id long, u double, v double"), w, h).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
