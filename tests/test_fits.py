@@ -344,3 +344,22 @@ def test_bilinear_over_tiles(spark, gaps):
     frame = spark.createDataFrame([(*k, v) for k, v in pixels.items()], "image_id long, y long, x long, v double")
     got = {(r.image_id, r.u, r.v): r.value for r in raster.bilinear(frame, spark.createDataFrame(samples, "image_id long, u double, v double"), w, h).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_painted_many_batches(spark):
+    """A tile whose rectangles come in several batches, under keys that are not numbers, some of them null."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", None, "b"]), x, y, x + rng.randrange(9), y + rng.randrange(9), k, None if k % 5 == 0 else rng.random()) for k in range(400) for x, y in [(rng.randrange(40), rng.randrange(40))]]
+    want = {}
+    for image, x0, y0, x1, y1, _, d in rows:
+        for y in range(y0, min(37, y1 + 1)):
+            for x in range(x0, min(41, x1 + 1)):
+                want[image, y, x] = d
+    frame = spark.createDataFrame(rows, "image_id string, x0 long, y0 long, x1 long, y1 long, o long, d double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {(r.image_id, r.y, r.x): r.d for r in painting.painted(frame, 41, 37, ["o"], ["d"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want
