@@ -1,8 +1,8 @@
 """``pfm``, a data source of one-channel PFM files: read and written by the executors, a file at a time.
 
 Reading: ``spark.read.format("pfm").load(folder)`` gives (file, width, height, y, x, depth), one row for each pixel with a
-depth; 0 means none and becomes null. A file is one partition, read in blocks of lines; files of other kinds, or cut short,
-give no rows.
+depth; 0 means none and becomes null. Small files share a partition, a large one has its own; each is read in blocks of
+lines; files of other kinds, or cut short, give no rows.
 
 Writing: rows (file, width, height, y, x, depth) become a file each, named ``file``; missing or null pixels are 0. Rows of
 one file have to be in one partition and follow each other, as ``arranged`` lays them out; more than one partition with
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,8 @@ from pyspark.sql.types import StructType
 SCHEMA = "file string, width int, height int, y int, x int, depth float"
 #: Pixels of a block that is read at once.
 BLOCK_PIXELS = 1 << 20
+#: Bytes of files that one task reads, and what opening one more counts as; files moved into place at once.
+PARTITION_BYTES, OPEN_BYTES, MOVES = 16 << 20, 32 << 10, 16
 _NAMES = ["file", "width", "height", "y", "x", "depth"]
 _HEAD = re.compile(rb"Pf[ \t\r]*\n\s*(\d+)\s+(\d+)\s*\n\s*([-+0-9.eE]+)[ \t\r]*\n")
 
@@ -40,12 +43,25 @@ def located(path: str) -> tuple[arrow_fs.FileSystem, str]:
 
 
 @dataclass
-class _File(InputPartition):
-    path: str
+class _Files(InputPartition):
+    paths: list[str]
+
+
+def shared_out(files: list[arrow_fs.FileInfo]) -> list[InputPartition]:
+    """Files in partitions of ``PARTITION_BYTES``, to which opening a file counts as ``OPEN_BYTES``; one without files if there are none."""
+    parts, held = [_Files([])], 0
+    for f in files:
+        cost = max(f.size or 0, 0) + OPEN_BYTES
+        if parts[-1].paths and held + cost > PARTITION_BYTES:
+            parts.append(_Files([]))
+            held = 0
+        parts[-1].paths.append(f.path)
+        held += cost
+    return parts
 
 
 class FolderReader(DataSourceReader):
-    """Reads the files of a folder whose names end in ``suffix``, each as one partition."""
+    """Reads the files of a folder whose names end in ``suffix``, small ones together as one partition."""
 
     suffix = ""
 
@@ -56,15 +72,15 @@ class FolderReader(DataSourceReader):
         store, path = located(self.path)
         info = store.get_file_info(path)
         if info.type == arrow_fs.FileType.File:
-            return [_File(path)]
+            return shared_out([info])
         found = store.get_file_info(arrow_fs.FileSelector(path)) if info.type == arrow_fs.FileType.Directory else []
-        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == arrow_fs.FileType.File and f.base_name.lower().endswith(self.suffix)] or [_File("")]
+        return shared_out([f for f in sorted(found, key=lambda f: f.path) if f.type == arrow_fs.FileType.File and f.base_name.lower().endswith(self.suffix)])
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        if partition.path:
-            store, _ = located(self.path)
-            with store.open_input_file(partition.path) as source:
-                yield from self.rows(partition.path.rsplit("/", 1)[-1], source)
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        store, _ = located(self.path)
+        for path in partition.paths:
+            with store.open_input_file(path) as source:
+                yield from self.rows(path.rsplit("/", 1)[-1], source)
 
     def rows(self, name: str, source: pa.NativeFile) -> Iterator[pa.RecordBatch]:
         raise NotImplementedError
@@ -125,8 +141,8 @@ class StagedWriter:
                 if there:
                     raise FileExistsError(f"{there[0]} is there already")
             store.create_dir(path, recursive=True)
-            for file, name in zip(files, names):
-                store.move(file, f"{path}/{name}")
+            with ThreadPoolExecutor(MOVES) as movers:
+                list(movers.map(store.move, files, (f"{path}/{n}" for n in names)))
         finally:
             self.abort(messages)
 

@@ -135,3 +135,14 @@ def test_neighbours_within_ids(spark):
     frame = spark.createDataFrame([(0,), (3,), (9,)], "image_id long")
     got = {(r.image_id, r.other) for r in views.neighbours(frame, 9, 2, ids=(0, 9)).collect()}
     assert got == {(0, 1), (0, 2), (0, 7), (0, 8), (0, 9), (3, 1), (3, 2), (3, 4), (3, 5), (9, 0), (9, 1), (9, 2), (9, 7), (9, 8)}
+
+
+def test_small_files_share_a_partition(tmp_path):
+    for k in range(300):
+        (tmp_path / f"d{k:03}.pfm").write_bytes(b"Pf\n2 1\n-1.0\n" + b"\0" * 8)
+    parts = pfm._Reader(str(tmp_path)).partitions()
+    assert sum(len(p.paths) for p in parts) == 300 and len(parts) == 1
+    with open(tmp_path / "d150.pfm", "ab") as large:
+        large.truncate(pfm.PARTITION_BYTES)
+    assert sorted(len(p.paths) for p in pfm._Reader(str(tmp_path)).partitions()) == [1, 149, 150]
+    assert [p.paths for p in pfm._Reader(str(tmp_path / "none")).partitions()] == [[]]
