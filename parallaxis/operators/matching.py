@@ -2,7 +2,7 @@
 
 Descriptors are rows ``(image_id, kp_id, descriptor)``. Matching packs each image's descriptors into blocks of at most
 ``BLOCK`` rows, joins blocks of candidate image pairs, and lets numpy rank every pair of blocks; per-block bests are
-merged by a grouped sort of at most two rows a block. Mutual neighbours come from one product of two blocks, by rows and
+merged by a grouped sort of at most two rows a block. One image's blocks are dealt out in parts. Mutual neighbours come from one product of two blocks, by rows and
 by columns. No descriptor is shuffled more than once for each block that it meets, and no task holds more than two
 blocks.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Rows of a block that are ranked at once, and parts into which the blocks of one image pair are dealt.
+STRIP, PARTS = 128, 8
 #: Up to this many images all pairs are candidates; beyond it each image meets its next RING neighbours on the ring.
 EXHAUSTIVE_IMAGES, RING = 50, 10
 #: The sentinel distance where an image has a single descriptor.
@@ -69,11 +71,14 @@ def packed(descriptors: DataFrame, block: int = BLOCK) -> DataFrame:
 def _two_best(near: np.ndarray, q: np.ndarray, r: np.ndarray, kps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distances and ids of the two nearest rows of r for each row of q (one if r has one): near distances choose among
     which the exact ones are taken, ties to the lower id."""
-    take = min(4, len(r))
-    at = np.argpartition(near, take - 1, axis=1)[:, :take]
-    exact, ids = ((q[:, None, :] - r[at]) ** 2).sum(2), kps[at]
-    best = np.lexsort((ids, exact), axis=1)[:, :2]
-    return np.take_along_axis(exact, best, 1), np.take_along_axis(ids, best, 1)
+    take, found, named = min(4, len(r)), [], []
+    for k in range(0, len(q), STRIP):
+        at = np.argpartition(near[k : k + STRIP], take - 1, axis=1)[:, :take]
+        exact, ids = ((q[k : k + STRIP, None, :] - r[at]) ** 2).sum(2), kps[at]
+        best = np.lexsort((ids, exact), axis=1)[:, :2]
+        found.append(np.take_along_axis(exact, best, 1))
+        named.append(np.take_along_axis(ids, best, 1))
+    return np.concatenate(found), np.concatenate(named)
 
 
 def _ranked(both: bool):
@@ -83,7 +88,10 @@ def _ranked(both: bool):
                 row = {n: b.column(n)[k] for n in b.schema.names}
                 kq, kr = (np.frombuffer(row[f"kps_{s}"].as_buffer(), "<i8") for s in "qr")
                 q, r = (np.frombuffer(row[f"mat_{s}"].as_buffer(), row[f"kind_{s}"].as_py()).astype(np.float64).reshape(n, -1) for s, n in (("q", len(kq)), ("r", len(kr))))
-                near = (q**2).sum(1)[:, None] - 2 * q @ r.T + (r**2).sum(1)[None]
+                near = q @ r.T
+                near *= -2
+                near += (q**2).sum(1)[:, None]
+                near += (r**2).sum(1)[None]
                 one, other = row["image_q"].as_py(), row["image_r"].as_py()
                 sides = [(one, other, kq, _two_best(near, q, r, kr))]
                 if both:
@@ -104,8 +112,11 @@ def knn2(blocks: DataFrame, pairs: DataFrame, both: bool = False) -> DataFrame:
     ``pairs(image_q, image_r)`` are ordered pairs; with ``both`` the opposite ones are answered too, from the same
     products. A reference image with one descriptor gives ``NO_SECOND`` and -1.
     """
-    side = lambda s: blocks.select(F.col("image_id").alias(f"image_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("kps", "kind", "mat")))
-    met = pairs.join(side("q"), "image_q").join(side("r"), "image_r").withColumns({c: F.col(c).cast("long") for c in ("image_q", "image_r")})
+    side = lambda s: blocks.select(F.col("image_id").alias(f"image_{s}"), "block", *(F.col(c).alias(f"{c}_{s}") for c in ("kps", "kind", "mat")))
+    # few images would be few tasks: blocks of an image meet another image's in parts
+    one = pairs.join(side("q").withColumn("part", F.col("block") % PARTS), "image_q").drop("block")
+    other = side("r").drop("block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    met = one.join(other, ["image_r", "part"]).drop("part").withColumns({c: F.col(c).cast("long") for c in ("image_q", "image_r")})
     ranked = met.mapInArrow(_ranked(both), "image_q long, image_r long, kp_q long, d1 double, k1 long, d2 double, k2 long")
     two = F.filter(F.array(*(F.struct(F.col(f"d{k}").alias("d2"), F.col(f"k{k}").alias("kp")) for k in (1, 2))), lambda b: b["kp"].isNotNull())
     merged = ranked.groupBy("image_q", "image_r", "kp_q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(two))), 1, 2).alias("best"))

@@ -146,3 +146,19 @@ def test_small_files_share_a_partition(tmp_path):
         large.truncate(pfm.PARTITION_BYTES)
     assert sorted(len(p.paths) for p in pfm._Reader(str(tmp_path)).partitions()) == [1, 149, 150]
     assert [p.paths for p in pfm._Reader(str(tmp_path / "none")).partitions()] == [[]]
+
+
+def test_ranking_two_full_blocks_holds_one_product():
+    """Peak beyond the product of two blocks, 33 MB: strips of it, not copies."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, kps = np.random.default_rng(0), np.arange(matching.BLOCK).astype("<i8").tobytes()
+    mats = [rng.random((matching.BLOCK, 16), np.float32).tobytes() for _ in "qr"]
+    row = pa.RecordBatch.from_pydict({"image_q": [0], "image_r": [1], "kps_q": [kps], "kps_r": [kps], "mat_q": mats[:1], "mat_r": mats[1:], "kind_q": ["<f4"], "kind_r": ["<f4"]})
+    tracemalloc.start()
+    assert [b.num_rows for b in matching._ranked(True)(iter([row]))] == [matching.BLOCK] * 2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
