@@ -96,10 +96,13 @@ def sift_cuda(spark, sf_dir):
 
     def pack(batches):
         for batch in batches:
-            planes = [np.array([p["v"] for p in row], "<f4").tobytes() for row in batch.column("line").to_pylist()]
+            lists = batch.column("line")
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            planes = [values[a:b].astype("<f4").tobytes() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array([wide] * len(planes), pa.int32()), pa.array([high] * len(planes), pa.int32()), pa.array(planes, pa.binary())], names=["image_id", "width", "height", "gray"])
 
     lines = scene.raster(spark, sf_dir).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", (F.col("v") / 32).alias("v")))).alias("line"))
+    lines = lines.select("image_id", F.transform("line", lambda p: p["v"].cast("float")).alias("line"))
     return features.detect_all(lines.mapInArrow(pack, "image_id long, width int, height int, gray binary")).drop("descriptor")
 
 
