@@ -10,6 +10,8 @@ from parallaxis.functions import vectors as V
 
 #: The scoring range of baselines in degrees, and where the score stops growing.
 MIN_BASELINE, BEST_BASELINE, MAX_BASELINE = 5.0, 30.0, 90.0
+#: Observations for each partition in which images are paired and pairs counted.
+PART_ROWS = 500_000
 #: Fixed value: places on the ring between images whose matches count.
 RING = 5
 #: Depth range percentiles and margins, and the margins about the centroid for fewer than two points.
@@ -24,12 +26,15 @@ def observation_index(observations: DataFrame) -> DataFrame:
 def covisibility(observations: DataFrame) -> DataFrame:
     """(image_i, image_j, shared): points that both images see, i < j.
 
-    Each point's images are listed once and paired inside the list, so the shuffle carries lists, not a self-join.
+    Images of a point meet in a sorted join, so no task holds lists or their pairs; pairs are counted where they are
+    brought together, as hardly any repeats within a task before. Partitions are as many as the rows ask for, so what a
+    task counts does not grow with the input.
     """
-    seen = observations.groupBy("point_id").agg(F.array_sort(F.collect_set("image_id")).alias("images")).filter(F.size("images") > 1)
-    one = seen.select(F.posexplode("images").alias("k", "image_i"), "images")
-    two = one.select("image_i", F.explode(F.slice("images", F.col("k") + 2, F.size("images"))).alias("image_j"))
-    return two.groupBy("image_i", "image_j").agg(F.count(F.lit(1)).alias("shared"))
+    parts = observations.count() // PART_ROWS + 1
+    seen = observations.select("point_id", "image_id").filter("point_id is not null and image_id is not null").repartition(parts, "point_id").distinct()
+    other = seen.select("point_id", F.col("image_id").alias("image_j"))
+    met = seen.withColumnRenamed("image_id", "image_i").join(other.hint("merge"), "point_id").filter("image_i < image_j")
+    return met.select("image_i", "image_j").repartition(parts, "image_i", "image_j").groupBy("image_i", "image_j").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def neighbours(images: DataFrame, n: int, reach: int = RING, ids: tuple[int, int] | None = None) -> DataFrame:

@@ -162,3 +162,11 @@ def test_ranking_two_full_blocks_holds_one_product():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 50e6
+
+
+def test_covisibility_gathers_no_lists(spark):
+    """Images of a point meet in a join, repeated ones once; null points and images pair with nothing, as in SQL."""
+    rows = [(1, 0), (1, 1), (1, 1), (1, 2), (2, 0), (2, 1), (3, 5), (None, 7), (None, 8), (4, None), (4, 6)]
+    found = views.covisibility(spark.createDataFrame(rows, "point_id long, image_id long"))
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 2), (0, 2, 1), (1, 2, 1)]
