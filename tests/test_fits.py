@@ -147,6 +147,28 @@ def test_signed_components(spark):
     assert mirror.signed_components(frame.limit(0), linked).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [2, 7, 10**6])
+def test_signed_components_contract_edges_where_they_are(spark, chunk):
+    rng = random.Random(chunk)
+    edges = [(u, v, rng.random() < 0.4) for u, v in ((rng.randrange(90), rng.randrange(90)) for _ in range(80))] + [(k, k + 1, k % 3 == 0) for k in range(100, 160)]
+    frame = spark.range(170).withColumnRenamed("id", "node")
+    linked = spark.createDataFrame(edges, "u long, v long, flipped boolean").repartition(5)
+    want = sides_by_search(list(range(170)), edges)
+    assert {w[3] for w in want} == {True, False}
+    for closed in (False, True):
+        assert sorted(tuple(r) for r in mirror.signed_components(frame, linked, closed, chunk).collect()) == want
+
+
+def test_signed_components_spread_only_links_of_stars(spark, monkeypatch):
+    """A chain that lies together leaves nothing to be spread in rounds, and one that contradicts itself one node."""
+    met = []
+    monkeypatch.setattr(mirror.graph, "label_components", lambda nodes, edges, f=mirror.graph.label_components: met.append((nodes.count(), edges.count())) or f(nodes, edges))
+    edges = [(k, k + 1, k % 3 == 0) for k in range(50)] + [(60, 61, True), (60, 61, False)]
+    linked = spark.createDataFrame(edges, "u long, v long, flipped boolean").coalesce(1)
+    sides = mirror.signed_components(spark.range(70).withColumnRenamed("id", "node"), linked, closed=True)
+    assert met == [(2, 2)] and sides.filter("component = 0").count() == 51 and sides.filter("not satisfied").count() == 2
+
+
 def test_interpolated(spark):
     rows = [("a", 1, None, 5.0), ("a", 2, True, 10.0), ("a", 3, False, 99.0), ("a", 6, True, 30.0), ("a", 7, False, 99.0), ("b", 1, False, 1.0), (None, 1, True, 4.0), (None, 3, None, None)]
     frame = spark.createDataFrame(rows, "g string, k long, ok boolean, p double")
