@@ -1,4 +1,5 @@
-from parallaxis.plans import scene
+from parallaxis.operators import hypotheses
+from parallaxis.plans import matching, scene
 
 
 def test_lattice_deals_more_images_into_more_tasks(spark, monkeypatch):
@@ -7,3 +8,18 @@ def test_lattice_deals_more_images_into_more_tasks(spark, monkeypatch):
     dealt = scene.lattice(images, 4, 3)
     assert dealt.rdd.getNumPartitions() == 20 and dealt.distinct().count() == 40 * 12
     assert scene.lattice(images.limit(1), 4, 3).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_begun_pairs_are_those_that_are_tested(spark):
+    rows = [(p, k) for p in range(40) for k in range((p * 7) % 15)]
+    matches = spark.createDataFrame(rows, "p long, k long").repartition(5)
+    for each, enough in ((10, 100), (3, 5), (1, 1), (20, 10**6)):
+        tested = {r.p for r in hypotheses.tested(matches, "p", "k", each, enough).collect()}
+        assert {r.p for r in hypotheses.begun(matches.select("p"), "p", each, enough).collect()} == tested
+
+
+def test_votes_give_pixels_to_begun_pairs_alone(spark, sf_dir, monkeypatch):
+    met = []
+    monkeypatch.setattr(matching.hypotheses, "tested", lambda m, *a, f=hypotheses.tested: met.append(m) or f(m, *a))
+    assert matching.valid_triangulations(spark, sf_dir).count() == 4
+    assert "LeftSemi" in met[0]._jdf.queryExecution().optimizedPlan().toString()
