@@ -44,8 +44,8 @@ BLOCK_TOKENS = 500_000
 BATCH_ROWS = 512
 #: Windows of a round, sources with a queue of their own, and tokens below which a queue waits for a later window.
 ROUND, QUEUES, PIECE = 256, 1000, 64
-#: Numbers of dealt rounds that a task keeps at hand.
-KEPT = 2_000_000
+#: Numbers of dealt rounds that a task keeps at hand, and rounds that it deals at once.
+KEPT, AHEAD = 2_000_000, 16
 #: Rows of per-partition places that are still broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -211,9 +211,14 @@ class Plan:
     def windows(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Of all windows of rounds ``first`` to ``last``: what each queue gave before it, and gives to it."""
         ks = list(range(first, last + 1))
-        if len(self.dealt) + len(ks) > max(KEPT // (ROUND * len(self.totals)), len(ks)):
-            self.dealt.clear()
-        self._dealt(ks)
+        if any(k not in self.dealt for k in ks):
+            # dealt side by side, rounds that the next documents need cost little more; all queues' places fit in KEPT
+            n = len(self.totals)
+            ahead = min(AHEAD, KEPT // (ROUND * n * n), (self.total - 1) // (ROUND * self.window) + 1 - first)
+            more = [*ks, *range(last + 1, first + ahead)]
+            if len(self.dealt) + len(more) > max(KEPT // (ROUND * n), len(more)):
+                self.dealt.clear()
+            self._dealt(more)
         gives = np.concatenate([self.dealt[k] for k in ks])
         return self.before(first) + np.cumsum(gives, 0) - gives, gives
 
@@ -237,8 +242,14 @@ def deal(tokens_of: np.ndarray, capacity: list[int], plan: Plan | None = None, p
     left, deficit = tokens_of.copy(), np.zeros(tokens_of.shape)
     out = np.empty((len(left), len(capacity), left.shape[1]), np.int64)
     quantum, upto = tokens_of / max(1, sum(capacity)), np.cumsum([0, *capacity])
+    due = None if plan is None else plan.ideal(places)
     for w, room in enumerate(capacity):
-        deficit += quantum * room if plan is None else plan.ideal(places + upto[w + 1]) - plan.ideal(places + upto[w])
+        if plan is None:
+            deficit += quantum * room
+        else:
+            now = plan.ideal(places + upto[w + 1])
+            deficit += now - due
+            due = now
         full = np.full(len(left), room)
         earned = np.clip(np.floor(deficit + 1e-9), 0, left).astype(np.int64)
         earned[deficit < np.minimum(PIECE, left)] = 0
@@ -286,7 +297,7 @@ def _pack(plan: Plan, names: dict[str | None, int], with_ids: bool):
                 for s, n in zip(row["seen_sources"], row["seen_tokens"]):
                     q = names.get(s, rest)
                     place[q] = place.get(q, 0) + n
-                ids, lengths = _widen(row["ids"]), np.array(row["lengths"], np.int64)
+                ids, lengths = _widen(row["ids"]).tobytes(), np.array(row["lengths"], np.int64)
                 first = np.cumsum(lengths) - lengths
                 queue = np.array([names.get(s, rest) for s in row["sources"]])
                 docs, sources = row["doc_ids"], row["sources"]
@@ -294,7 +305,8 @@ def _pack(plan: Plan, names: dict[str | None, int], with_ids: bool):
                     own = np.flatnonzero(queue == q)
                     doc, start, length, sequence, offset = _pieces(plan, int(q), place.get(int(q), 0), lengths[own])
                     doc = own[doc]
-                    raw = [ids[b : b + n].tobytes() for b, n in zip(first[doc] + start, length)]
+                    begins = (first[doc] + start) * 4
+                    raw = [ids[b:e] for b, e in zip(begins.tolist(), (begins + length * 4).tolist())]
                     cols = {
                         "doc_id": pa.array([docs[x] for x in doc], pa.int64()), "start": pa.array(start), "length": pa.array(length),
                         "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()), "doc_tokens": pa.array(lengths[doc]),

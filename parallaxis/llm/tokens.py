@@ -37,6 +37,26 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+#: ASCII marks that a pre-token of marks holds; an apostrophe may begin one of letters, and a sign of comparison a control string.
+MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'<>")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return pack(*ids) if ids and (pack := PACK.get(len(ids))) else np.asarray(ids, dtype="<u4").tobytes()
+
+
+def _letters(stem: bytes) -> str | None:
+    """The lower-case form of a word of letters that normalising leaves alone otherwise, None for anything else."""
+    if stem.isalpha():  # ASCII
+        return stem.decode().lower()
+    w = stem.decode()
+    if not w.isalpha():
+        return None
+    if w.islower():
+        return w if is_normalized("NFC", w) else None
+    return w.lower() if max(w) < "\u0100" else None
+
+
 class WordEncoder:
     """Encodes texts to packed ids; ``path`` names a tokenizers JSON whose pre-tokenizer splits on white space."""
 
@@ -44,10 +64,17 @@ class WordEncoder:
         # a task has one core; the library's own threads would only wait for work beside it
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: the merges alone, for chunks of lower-case letters, on which normalising and pre-tokenising change nothing
+        #: the merges alone, for lower-case letters, on which normalising and pre-tokenising change nothing
         self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        #: for each id whether it ends a word, so that many words are encoded as one text
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.alphabet = byte_alphabet()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -57,39 +84,55 @@ class WordEncoder:
         self.young[chunk] = ids
         self.size += len(chunk) + len(ids) + ENTRY_BYTES
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words in the byte alphabet, each of which is one pre-token."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 5_000):
+            part = words[k : k + 5_000]
+            ids = np.asarray(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(stops * 4).tolist()]
+                out += [raw[i:j] for i, j in zip(at, at[1:])]
+            else:  # a vocabulary that does not mark the ends of words
+                out += [_packed(e.ids) for e in self.bare.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
     def _learn(self, chunks: set[bytes]) -> None:
-        """Adds the ids of chunks; a closing comma or full stop after a letter is always a pre-token of its own."""
+        """Adds the ids of chunks; ASCII marks that close a word of letters are always a pre-token of their own."""
         if self.size > self.cache_bytes:
             self.old, self.young, self.size = self.young, {}, 0
-        stems, ended = set(), []
+        young, old, alphabet = self.young, self.old, self.alphabet
+        tailed, plain, other = [], {}, {}
         for c in chunks:
-            if c in self.old:
-                self._put(c, self.old[c])
-            elif len(c) > 1 and c[-1] in b".," and c[-2:-1].isalpha():
-                ended.append(c)
-                stems.update((c[:-1], c[-1:]))
-            else:
-                stems.add(c)
-        plain, other = [], []
-        for c in stems:
-            if c in self.young:
+            if (ids := old.get(c)) is not None:
+                self._put(c, ids)
                 continue
-            if c in self.old:
-                self._put(c, self.old[c])
+            stem = c.rstrip(MARKS)
+            word = _letters(stem)
+            if word is None:
+                other[c] = c.decode()
                 continue
-            w = c.decode()
-            if w.isalpha() and w.islower() and (w.isascii() or is_normalized("NFC", w)):
-                plain.append((c, c.decode("latin-1").translate(self.alphabet)))
-            else:
-                other.append((c, w))
-        for tokenizer, pairs in ((self.bare, plain), (self.tokenizer, other)):
-            for k in range(0, len(pairs), 20_000):
-                part = pairs[k : k + 20_000]
-                found = tokenizer.encode_batch_fast([w for _, w in part], add_special_tokens=False)
-                for (c, _), e in zip(part, found):
-                    self._put(c, pack(*ids) if (ids := e.ids) and (pack := PACK.get(len(ids))) else np.asarray(ids, dtype="<u4").tobytes())
-        for c in ended:
-            self._put(c, self.young[c[:-1]] + self.young[c[-1:]])
+            if len(stem) < len(c):
+                tail = c[len(stem) :]
+                tailed.append((c, stem, tail))
+                if tail not in young:
+                    other[tail] = tail.decode()
+                if stem in young:
+                    continue
+            plain[stem] = word if word.isascii() else word.encode().decode("latin-1").translate(alphabet)
+        found = dict(zip(plain, self._words(list(plain.values()))))
+        listed = list(other)
+        for k in range(0, len(listed), 20_000):
+            part = listed[k : k + 20_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast([other[c] for c in part], add_special_tokens=False)):
+                self._put(c, _packed(e.ids))
+        for c, stem, tail in tailed:
+            self._put(c, (found[stem] if stem in found else young[stem]) + young[tail])
+        # stems that no text holds by themselves would only take room
+        for c, ids in found.items():
+            if c in chunks:
+                self._put(c, ids)
 
     def encode(self, texts: list[str | None], group: int = 64) -> list[bytes]:
         """Packed little-endian uint32 ids for every text; null and empty texts have no ids."""
@@ -101,15 +144,18 @@ class WordEncoder:
                 # control strings are matched before lower-casing, so texts that may hold one keep their case
                 chunks = (raw if b"<|" in raw else raw.lower()).split()
                 found = list(map(get, chunks))
-                if None in found:
-                    gap = [(found, i, c) for i, (c, v) in enumerate(zip(chunks, found)) if v is None]
-                    missing.update(c for _, _, c in gap)
-                    gaps += gap
+                if n := found.count(None):
+                    gap, i = [], -1
+                    for _ in range(n):
+                        gap.append(i := found.index(None, i + 1))
+                    missing.update([chunks[i] for i in gap])
+                    gaps.append((found, chunks, gap))
                 packed.append(found)
             if missing:
                 self._learn(missing)
-                for found, i, c in gaps:
-                    found[i] = self.young[c]
+                for found, chunks, gap in gaps:
+                    for i in gap:
+                        found[i] = self.young[chunks[i]]
             out += map(b"".join, packed)
         return out
 

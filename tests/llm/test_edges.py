@@ -194,6 +194,25 @@ def test_plan_is_one_order():
             assert (np.bincount(doc, length, len(lengths)) == lengths).all()
 
 
+def test_rounds_are_dealt_side_by_side(monkeypatch):
+    """A task that goes through many rounds deals them in few calls, with the same windows as one by one."""
+    totals, calls, deal = np.array([90_000, 30_000, 11_072 + 5]), [], packing.deal
+    monkeypatch.setattr(packing, "ROUND", 8)
+    monkeypatch.setattr(packing, "deal", lambda *a: calls.append(len(a[0])) or deal(*a))
+
+    def walk():
+        plan, out = packing.Plan.of(totals, totals.astype(float), 256), []
+        for place in range(0, 30_000, 250):
+            for q, share in enumerate((3, 1)):
+                out.append(np.stack(packing._pieces(plan, q, place * share, np.full(5, 50 * share))))
+        return np.concatenate(out, 1)
+
+    ahead = walk()
+    assert sum(calls) >= 64 and len(calls) <= 6
+    monkeypatch.setattr(packing, "AHEAD", 1)
+    assert (walk() == ahead).all() and len(calls) > 60
+
+
 def test_deficits_are_carried():
     given = packing.deal(np.array([[700, 300, 24], [1024, 0, 0]]), [64] * 16)
     assert (given.sum(2) == 64).all() and (given.sum(1) == [[700, 300, 24], [1024, 0, 0]]).all()

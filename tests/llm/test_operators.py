@@ -336,6 +336,27 @@ def test_word_encoder_equals_the_tokenizer():
     assert own.encode(texts) == want and own.encode([None, ""]) == [b"", b""]
 
 
+def test_word_encoder_hands_over_many_words_at_once():
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.given = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.given += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    own = tokens.WordEncoder(tokens.default_vocabulary(), cache_bytes=60_000)
+    rng = random.Random(6)
+    endings = ["", "", ",", ".", ".%%%", "!!", "&&&", "'", "<", "\u0301", "\u0301.", "\u0338"]
+    words = ["".join(rng.choice("abcdeéßÉÀ") for _ in range(rng.randint(3, 9))) + rng.choice(endings) for _ in range(6000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 6000, 100)] + ["ÀÉ. × µ! ªº, İ. Σ. ΑΣ, ǅ. Å. क़. क़, </w> a</w> ﬁ."]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    odd = len([w for w in words if w[-1] in "'<\u0301\u0338" or w.endswith("\u0301.")])
+    own.bare, own.tokenizer = Counted(own.bare), Counted(own.tokenizer)
+    assert own.encode(texts) == want
+    assert own.bare.given + own.tokenizer.given < odd + 60 < 3000
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(tokens.default_vocabulary())
