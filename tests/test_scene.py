@@ -1,4 +1,4 @@
-from parallaxis.operators import hypotheses
+from parallaxis.operators import geometry, hypotheses
 from parallaxis.plans import matching, scene
 
 
@@ -23,3 +23,17 @@ def test_votes_give_pixels_to_begun_pairs_alone(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(matching.hypotheses, "tested", lambda m, *a, f=hypotheses.tested: met.append(m) or f(m, *a))
     assert matching.valid_triangulations(spark, sf_dir).count() == 4
     assert "LeftSemi" in met[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_moved_pixels_are_rounded_to_six_decimals_first(spark):
+    """A pixel that lands within half a millionth of the middle of two counts as in the middle, as in the SQL."""
+    pose = {**{r: float(r in ("r0", "r4", "r8")) for r in geometry.R}, "t1": 0.0, "t2": 0.0}
+    moves = [0.4999997, 0.5, 0.5000003, 0.5000007, 1.4999993, 1.4999997, 1.5000003, 2.5000003]
+    cameras = spark.createDataFrame([{"image_id": k, "t0": t / 50, **pose} for k, t in enumerate([0.0, *moves])])
+    depths = spark.createDataFrame([(0, 10, 5, 1.0), *((k + 1, x, 5, 1.0) for k in range(len(moves)) for x in range(10, 14))], "image_id long, x long, y long, depth double")
+    sources = spark.createDataFrame([(0, k + 1) for k in range(len(moves))], "image_id long, src_id long")
+    agreed = []
+    for x in range(10, 14):
+        own = depths.filter(f"image_id = 0 or x = {x}")
+        agreed.append(geometry.consistent_views(own, cameras, sources, 50.0, 16.0, 12.0).filter("image_id = 0").first().views)
+    assert agreed == [3, 2, 3, 0]
