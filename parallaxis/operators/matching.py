@@ -16,9 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from parallaxis import storage
+from parallaxis.operators import sizes
+
 BLOCK = 2048
 #: Rows of a block that are ranked at once, and parts into which the blocks of one image pair are dealt.
 STRIP, PARTS = 128, 8
+#: Blocks of an image that are tried, in turn, to settle that it has enough matches before all of its pairs are matched.
+TRIED = (1, 8)
 #: Up to this many images all pairs are candidates; beyond it each image meets its next RING neighbours on the ring.
 EXHAUSTIVE_IMAGES, RING = 50, 10
 #: The sentinel distance where an image has a single descriptor.
@@ -106,13 +111,14 @@ def _ranked(both: bool):
     return run
 
 
-def knn2(blocks: DataFrame, pairs: DataFrame, both: bool = False) -> DataFrame:
+def knn2(blocks: DataFrame, pairs: DataFrame, both: bool = False, queries: DataFrame | None = None) -> DataFrame:
     """(image_q, image_r, kp_q, idx1, dist1, idx2, dist2): squared distances, ties to the lower kp_id.
 
     ``pairs(image_q, image_r)`` are ordered pairs; with ``both`` the opposite ones are answered too, from the same
-    products. A reference image with one descriptor gives ``NO_SECOND`` and -1.
+    products. With ``queries``, blocks as well, only those are answered. A reference image with one descriptor gives
+    ``NO_SECOND`` and -1.
     """
-    side = lambda s: blocks.select(F.col("image_id").alias(f"image_{s}"), "block", *(F.col(c).alias(f"{c}_{s}") for c in ("kps", "kind", "mat")))
+    side = lambda s: (queries if s == "q" and queries is not None else blocks).select(F.col("image_id").alias(f"image_{s}"), "block", *(F.col(c).alias(f"{c}_{s}") for c in ("kps", "kind", "mat")))
     # few images would be few tasks: blocks of an image meet another image's in parts
     one = pairs.join(side("q").withColumn("part", F.col("block") % PARTS), "image_q").drop("block")
     other = side("r").drop("block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
@@ -167,6 +173,52 @@ def isolated(images: DataFrame, pairs: DataFrame) -> DataFrame:
     return images.select("image_id").distinct().join(seen, "image_id", "left_anti")
 
 
+def _settled(own: DataFrame, blocks: DataFrame, queries: DataFrame, pairs: DataFrame, enough: int, ratio: float) -> DataFrame:
+    """(image_id): images of ``pairs(image_q, image_r)`` whose ``queries`` alone have enough matches; no image is image_r twice.
+
+    Each such match is one of ``match_pairs``: neighbours are looked for in whole images, both ways.
+    """
+    found = knn2(blocks, pairs, queries=queries)
+    ahead = storage.materialize(found.filter(passes_ratio(F.col("dist1"), F.col("dist2"), ratio)).select("image_q", "image_r", "kp_q", "idx1"), "matches-ahead")
+    named = own.join(ahead.select(F.col("image_r").alias("image_id"), F.col("idx1").alias("kp_id")).distinct(), ["image_id", "kp_id"], "left_semi")
+    back = knn2(blocks, pairs.select(F.col("image_r").alias("image_q"), F.col("image_q").alias("image_r")), queries=packed(named))
+    back = back.select(F.col("image_r").alias("image_q"), F.col("image_q").alias("image_r"), F.col("idx1").alias("kp_q"), F.col("kp_q").alias("idx1"))
+    many = ahead.join(back, ["image_q", "image_r", "kp_q", "idx1"]).groupBy("image_q", "image_r").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough)
+    settled = storage.materialize(many.select(F.explode(F.array("image_q", "image_r")).alias("image_id")).distinct(), "settled-images")
+    storage.drop(ahead)
+    return settled
+
+
+def isolated_images(descriptors: DataFrame, enough: int, ratio: float = RATIO, block: int = BLOCK, tried: tuple[int, ...] = TRIED) -> DataFrame:
+    """(image_id): images that have no ``enough`` matches with any other, as ``isolated`` finds from all pairs.
+
+    One pair with enough matches settles both of its images, and some of its matches are enough. So an image's first
+    blocks are matched with the next image in order, then more blocks of those still open with the one after; all pairs
+    are matched whole for images that this leaves open, however many. Of equal descriptors of an image two are kept, one
+    of them the lowest: the others are nobody's mutual neighbours, and the second says that the first has an equal.
+    """
+    alike = descriptors.groupBy(F.col("image_id").cast("long").alias("image_id"), "descriptor").agg(F.min("kp_id").alias("low"), F.max("kp_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    two = F.when(F.col("n") > 1, F.array("low", "high")).otherwise(F.array("low"))
+    own = storage.materialize(alike.select("image_id", F.explode(two).alias("kp_id"), "descriptor"), "distinct-descriptors")
+    blocks = storage.materialize(packed(own, block), "descriptor-blocks")
+    images = storage.materialize(sizes.numbered(own.select("image_id").distinct(), "image_id", name="place"), "images")
+    left = images.select("image_id")
+    having = lambda pairs, end: pairs.join(left.withColumnRenamed("image_id", end), end, "left_semi").select("image_i", "image_j")
+    ends = lambda pairs: having(pairs, "image_i").union(having(pairs, "image_j")).distinct()
+    for step, first in enumerate(tried, 1):
+        if left.isEmpty():
+            break
+        later = images.select(F.col("image_id").alias("image_j"), (F.col("place") - step).alias("place"))
+        pairs = ends(images.withColumnRenamed("image_id", "image_i").join(later, "place").select("image_i", "image_j")).toDF("image_q", "image_r")
+        settled = _settled(own, blocks, blocks.filter(F.col("block") < first), pairs, enough, ratio)
+        left = storage.materialize(left.join(settled, "image_id", "left_anti"), "open-images")
+        storage.drop(settled)
+    storage.drop(blocks)
+    if left.isEmpty():
+        return left
+    return isolated(left, verified_pairs(match_pairs(own, ends(pairs_exhaustive(images)), ratio, block), enough))
+
+
 def matches_for_image(matches: DataFrame, image: int) -> DataFrame:
     """Matches of one image, with itself first: (image_id, other, kp_this, kp_other)."""
     one = matches.filter(F.col("image_i") == image).select(F.col("image_i").alias("image_id"), F.col("image_j").alias("other"), F.col("kp_i").alias("kp_this"), F.col("kp_j").alias("kp_other"))

@@ -1,4 +1,7 @@
+import numpy as np
+
 from parallaxis.operators import geometry, hypotheses
+from parallaxis.operators import matching as matchers
 from parallaxis.plans import matching, scene
 
 
@@ -37,3 +40,38 @@ def test_moved_pixels_are_rounded_to_six_decimals_first(spark):
         own = depths.filter(f"image_id = 0 or x = {x}")
         agreed.append(geometry.consistent_views(own, cameras, sources, 50.0, 16.0, 12.0).filter("image_id = 0").first().views)
     assert agreed == [3, 2, 3, 0]
+
+
+def test_isolated_images_are_those_of_all_pairs(spark, monkeypatch):
+    """Whatever settles an image early, the result is that of matching all pairs whole; equal descriptors included."""
+    rng = np.random.default_rng(7)
+    own = rng.normal(size=(7, 30, 8))
+    own[1, :15] = own[0, :15] + 0.01  # settled by the next image
+    own[4, 20:] = own[2, 20:] + 0.01  # by the one after, and by its last block only
+    own[6, ::3] = own[3, ::3] + 0.01  # by an image far away
+    own[5, :20] = own[0, 0]  # many equal ones, with equals elsewhere
+    rows = [(k, 100 * k + n, [float(x) for x in v]) for k, image in enumerate(own) for n, v in enumerate(image)]
+    frame = spark.createDataFrame(rows, "image_id int, kp_id long, descriptor array<double>").repartition(3)
+    whole = []
+    monkeypatch.setattr(matchers, "match_pairs", lambda d, p, *a, f=matchers.match_pairs: whole.append(p.count()) or f(d, p, *a))
+    for enough in (1, 5, 9, 11, 40):
+        pairs = matchers.verified_pairs(matchers.match_pairs(frame, matchers.pairs_exhaustive(frame), 0.6), enough)
+        want = sorted(r.image_id for r in matchers.isolated(frame, pairs).collect())
+        for block, tried in ((4, (1, 3)), (50, (1,)), (7, ())):
+            got = sorted(r.image_id for r in matchers.isolated_images(frame, enough, 0.6, block, tried).collect())
+            assert got == want, (enough, block)
+    assert max(whole) == 21 and min(whole) < 21
+    assert matchers.isolated_images(frame.limit(0), 1).count() == 0
+    assert [r.image_id for r in matchers.isolated_images(frame.filter("image_id = 3"), 1).collect()] == [3]
+
+
+def test_settled_images_are_not_matched_whole(spark, monkeypatch):
+    """Ten images that have enough matches in their first blocks: no pair is matched whole."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 8))
+    rows = [(k, n, [float(x) for x in v]) for k in range(10) for n, v in enumerate(base + rng.normal(0, 0.01, base.shape))]
+    frame = spark.createDataFrame(rows, "image_id int, kp_id long, descriptor array<double>")
+    monkeypatch.setattr(matchers, "match_pairs", None)
+    assert matchers.isolated_images(frame, 5, 0.6, 20).count() == 0
+    monkeypatch.setattr(matching, "descriptors", lambda *a: frame)
+    assert matching.isolated_images(spark, "").count() == 0
